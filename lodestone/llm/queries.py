@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from lodestone.llm.bpe import op10_byte_bpe
+from lodestone.llm.decontaminate import op4_benchmark_decontamination
 from lodestone.llm.near_dup import op9_minhash_near_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op4_benchmark_decontamination, op9_minhash_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
