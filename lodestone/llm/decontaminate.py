@@ -18,7 +18,6 @@ each on its own text. A null item_id is named by an empty string. Empty tables g
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +26,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ALNUM, BROADCAST_ROWS, column, load, materialize, release, runs, utf8, words
+from lodestone.llm.common import ALNUM, column, load, materialize, release, runs, utf8, words
 
 #: Distinct test terms that tasks hold as a sorted array (8 bytes each); beyond that, postings of all terms are joined.
 HELD_TERMS = 4_000_000
+#: What phrase_matches adds.
+NAMED = ("n_words", "n_hit", "item_ids")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text and `row`, a digest of both: what postings point to."""
-    d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return d.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+def _rows(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """`row`, a digest of doc_id and text that postings point to; text; and `columns` under a prefix."""
+    text = F.col("text").cast("string")
+    return docs.select(F.xxhash64("doc_id", text).alias("row"), text.alias("text"), *[F.col(f"`{c}`").alias(f"_{c}") for c in columns])
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -127,11 +128,12 @@ def _candidates(index: DataFrame, keys: DataFrame) -> DataFrame:
     return placed.join(pairs, "item_id").filter(both).select("row", "item_id", "shift")
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """Every row of `docs`: doc_id, n_words, n_hit, item_ids (sorted array of items with windows that occur in it)."""
+def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, columns: list[str] | None = None) -> DataFrame:
+    """Every row of `docs`: doc_id (or `columns`), n_words, n_hit, item_ids (sorted; items with windows that occur in it)."""
+    columns = columns or ["doc_id"]
     terms = materialize(item_terms(items), "terms")
     vocabulary = _sorted_terms(terms)
-    rows = _rows(docs)
+    rows = _rows(docs, columns)
     counts = term_counts(docs, vocabulary).withColumnRenamed("n", "n_seen")
     keys = materialize(window_keys(terms, counts, size), "keys")
     anchors = _sorted_terms(keys.select(F.col("t1").alias("term")).union(keys.select("t2")))
@@ -140,7 +142,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFra
     release(index)
     whole = terms.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("words"))
     held = found.join(whole, "item_id").groupBy("row").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("found"))
-    joined = rows.join(held, "row", "left").select("doc_id", "text", "found")
+    own = [f"_{c}" for c in columns if c != "text"]
+    joined = rows.join(held, "row", "left").select("text", "found", *[f"`{c}`" for c in own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +157,11 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFra
                 n_words[a:b] = np.diff(at)
                 for i in np.flatnonzero(some[a:b]):
                     n_hit[a + i], named[a + i] = _hits(h[at[i] : at[i + 1]].view(np.int64), found[int(a + i)].as_py(), size)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n_words), pa.array(n_hit), pa.array(named, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "item_ids"])
+            kept = [column(batch, "text" if c == "text" else f"_{c}") for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words), pa.array(n_hit), pa.array(named, pa.list_(pa.string()))], names=[*columns, *NAMED])
 
-    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, item_ids array<string>")
+    kinds = [f"`{c}` {'string' if c == 'text' else docs.schema[c].dataType.simpleString()}" for c in columns]
+    return joined.mapInArrow(run, ", ".join([*kinds, "n_words long, n_hit long, item_ids array<string>"]))
 
 
 def _hits(text: np.ndarray, found: list[dict], size: int) -> tuple[int, list[str]]:
@@ -184,14 +189,14 @@ def proximity_matches(docs: DataFrame, items: DataFrame, size: int = 10, slack:
     It reads the same stored postings; order and distance inside the window don't matter.
     """
     terms = materialize(item_terms(items), "terms")
-    rows = _rows(docs)
+    rows = _rows(docs, ["doc_id"])
     keys = materialize(window_keys(terms, term_counts(docs, _sorted_terms(terms)).withColumnRenamed("n", "n_seen"), size), "keys")
     index = materialize(postings(rows, _sorted_terms(keys.select(F.col("t1").alias("term")).union(keys.select("t2")))), "postings")
     left = index.select(F.col("term").alias("t1"), "row", F.col("positions").alias("x"))
     right = index.select(F.col("term").alias("t2"), "row", F.col("positions").alias("y"))
     met = keys.join(left, "t1").join(right, ["t2", "row"])
     near = met.filter(F.exists("x", lambda p: F.exists("y", lambda q: F.abs(p - q) <= slack)))
-    return near.select("row", "item_id", "start").distinct().join(rows.select("row", "doc_id").distinct(), "row").select("doc_id", "item_id", "start")
+    return near.select("row", "item_id", "start").distinct().join(rows.select("row", F.col("_doc_id").alias("doc_id")).distinct(), "row").select("doc_id", "item_id", "start")
 
 
 def digest(matches: DataFrame) -> DataFrame:
@@ -199,5 +204,11 @@ def digest(matches: DataFrame) -> DataFrame:
     return matches.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of `docs` in which no window of any item occurs, with all their columns (those named as in NAMED give way)."""
+    own = [c for c in docs.columns if c not in NAMED]
+    return phrase_matches(docs, items, size, own).filter("n_hit = 0").select(*[f"`{c}`" for c in own])
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(phrase_matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")))

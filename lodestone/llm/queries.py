@@ -3,13 +3,31 @@
 from __future__ import annotations
 
 from lodestone.llm.bpe import op10_byte_bpe
+from lodestone.llm.chat import OP8_SQL, op8_chat_snapshot_collapse
 from lodestone.llm.decontaminate import op4_benchmark_decontamination
+from lodestone.llm.html_text import op7_html_extraction
+from lodestone.llm.language import op5_language_id
 from lodestone.llm.near_dup import op9_minhash_near_dedup
+from lodestone.llm.pii import op3_feistel_pseudonyms
+from lodestone.llm.quality import op1_quality_classifier
+from lodestone.llm.shard import op2_hilbert_sharding
+
+QUERIES = (
+    op1_quality_classifier,
+    op2_hilbert_sharding,
+    op3_feistel_pseudonyms,
+    op4_benchmark_decontamination,
+    op5_language_id,
+    op7_html_extraction,
+    op8_chat_snapshot_collapse,
+    op9_minhash_near_dedup,
+    op10_byte_bpe,
+)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_benchmark_decontamination, op9_minhash_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat_snapshot_collapse": OP8_SQL}
