@@ -6,6 +6,7 @@ from lodestone.llm.bpe import op10_byte_bpe
 from lodestone.llm.chat import OP8_SQL, op8_chat_snapshot_collapse
 from lodestone.llm.decontaminate import op4_benchmark_decontamination
 from lodestone.llm.html_text import op7_html_extraction
+from lodestone.llm.image import op6_image_copies
 from lodestone.llm.language import op5_language_id
 from lodestone.llm.near_dup import op9_minhash_near_dedup
 from lodestone.llm.pii import op3_feistel_pseudonyms
@@ -18,6 +19,7 @@ QUERIES = (
     op3_feistel_pseudonyms,
     op4_benchmark_decontamination,
     op5_language_id,
+    op6_image_copies,
     op7_html_extraction,
     op8_chat_snapshot_collapse,
     op9_minhash_near_dedup,
