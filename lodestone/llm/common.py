@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.storage import materialize, release, shared_dir  # noqa: F401
+
 #: Rows of (long key, small payload) that may be broadcast: about 50 MB as a hashed relation.
 BROADCAST_ROWS = 500_000
 
@@ -20,36 +20,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-    return jsc.getCheckpointDir().get()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there, so a lost executor costs one stage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lodestone_path = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete what :func:`materialize` wrote, once nothing that is still to be computed reads it."""
-    for df in frames:
-        if path := getattr(df, "_lodestone_path", None):
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if `df` (a materialized table of narrow rows) has at most `rows` rows; else join by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
