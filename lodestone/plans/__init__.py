@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.plans import fixtures, functions, ingest, joins, observations  # noqa: F401
-from lodestone.plans.base import QUERIES, SQL, adapt
+from lodestone.plans import analytics, bodies, entities, fixtures, functions, ingest, joins, monitor, observations  # noqa: F401
+from lodestone.plans.base import QUERIES, SQL, adapt, with_views
 
 
 def queries() -> dict:
@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {name: with_views(sql, *views) for name, (sql, views) in SQL.items()}

@@ -10,7 +10,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 Query = Callable[["Data"], DataFrame]
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
 def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
@@ -19,7 +19,7 @@ def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = with_views(sql, *views)
+            SQL[f.__name__] = (sql, views)
         return f
 
     return add

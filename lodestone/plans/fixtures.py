@@ -100,7 +100,7 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey
 view("v10", """
 SELECT o_orderpriority AS source_id, CAST(o_custkey % 7 AS INT) AS jurisdiction, 'load' AS attribute, CAST(2030 AS INT) AS target_year, 'mw' AS metric,
   CASE o_custkey % 2 WHEN 0 THEN 'base' ELSE 'high' END AS scenario, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS published,
-  round(avg(o_totalprice), 2) AS value, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 'MW' END AS unit
+  max(o_totalprice) AS value, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 'MW' END AS unit
 FROM orders GROUP BY o_orderpriority, o_custkey % 7, o_custkey % 2, CAST(date_trunc('quarter', o_orderdate) AS DATE)""")
 
 view("oplog", """
