@@ -11,7 +11,8 @@ an item; an item of fewer words, but not none, is one window.
 
 `phrase_matches` returns those matches. `proximity_matches` relaxes step 3: terms of a window within `slack` words.
 
-Cases: null and empty texts have no words. Items with equal texts each count. Rows that repeat a doc_id are decided
+Cases: null and empty texts have no words. Items with equal texts each count, and items that
+share an id are one item in the result. Rows that repeat a doc_id are decided
 each on its own text. A null item_id is named by an empty string. Empty tables give no hits.
 """
 
@@ -32,6 +33,8 @@ from lodestone.llm.common import ALNUM, column, load, materialize, release, runs
 HELD_TERMS = 4_000_000
 #: What phrase_matches adds.
 NAMED = ("n_words", "n_hit", "item_ids")
+#: Between an item's id and the digest of its text.
+_MARK = "\x1f"
 
 
 def _rows(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -41,7 +44,8 @@ def _rows(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """(item_id string, n, pos, term): every word of every item."""
+    """(item_id, n, pos, term): every word of every item; item_id is followed by a digest of the text, so that items
+    that share an id stay apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,7 +57,9 @@ def item_terms(items: DataFrame) -> DataFrame:
                 pos = np.arange(len(h)) - np.repeat(at[:-1], n)
                 yield pa.RecordBatch.from_arrays([column(batch, "item_id").take(pa.array(own)), pa.array(np.repeat(n, n)), pa.array(pos), pa.array(h.view(np.int64))], names=["item_id", "n", "pos", "term"])
 
-    known = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    name = F.coalesce(F.col("item_id").cast("string"), F.lit(""))
+    known = items.select(F.concat(name, F.lit(_MARK), F.md5(F.encode(text, "utf-8"))).alias("item_id"), text.alias("text")).distinct()
     return known.mapInArrow(run, "item_id string, n long, pos long, term long")
 
 
@@ -179,7 +185,7 @@ def _hits(text: np.ndarray, found: list[dict], size: int) -> tuple[int, list[str
             at = int(s) + lo + shift
             cover[at] += 1
             cover[at + width] -= 1
-            items.add(x["item_id"])
+            items.add(x["item_id"].rpartition(_MARK)[0])
     return int(np.count_nonzero(np.cumsum(cover[:-1]))), sorted(items)
 
 
@@ -196,7 +202,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, size: int = 10, slack:
     right = index.select(F.col("term").alias("t2"), "row", F.col("positions").alias("y"))
     met = keys.join(left, "t1").join(right, ["t2", "row"])
     near = met.filter(F.exists("x", lambda p: F.exists("y", lambda q: F.abs(p - q) <= slack)))
-    return near.select("row", "item_id", "start").distinct().join(rows.select("row", F.col("_doc_id").alias("doc_id")).distinct(), "row").select("doc_id", "item_id", "start")
+    return near.select("row", "item_id", "start").distinct().join(rows.select("row", F.col("_doc_id").alias("doc_id")).distinct(), "row").select("doc_id", F.substring_index("item_id", _MARK, 1).alias("item_id"), "start")
 
 
 def digest(matches: DataFrame) -> DataFrame:
