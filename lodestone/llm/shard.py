@@ -76,7 +76,7 @@ def hilbert_shards(rows: DataFrame, dimensions: dict[str, Column], shards: int,
     own = rows.columns
     put = rows.withColumns({f"_{n}": place(dimensions[n], edges[n]) for n in names})
     put = put.withColumn("hilbert", hilbert3(*[F.col(f"_{n}") for n in names])).withColumn("_tie", F.xxhash64(*unique))
-    put = put.withColumn("_bucket", F.pmod("_tie", F.lit(TIES)).cast("int")).select(*own, "hilbert", "_tie", "_bucket")
+    put = materialize(put.withColumn("_bucket", F.pmod("_tie", F.lit(TIES)).cast("int")).select(*own, "hilbert", "_tie", "_bucket"), "cells")
 
     buckets = materialize(put.groupBy("hilbert", "_bucket").agg(F.count("*").alias("n")), "buckets")
     cells = buckets.groupBy("hilbert").agg(F.sum("n").alias("n"))
@@ -100,6 +100,7 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert, by the dimensions lang, source and text length."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), prefix_number(F.col("lang").cast("string")).alias("_l"), prefix_number(F.col("source").cast("string")).alias("_s0"))
+    rows = materialize(rows, "metadata")  # narrow rows: the texts are read once
     out = hilbert_shards(rows, {"lang": F.col("_l"), "source": F.col("_s0"), "length": F.col("size")}, shards, ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
