@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.common import column, load
 
 #: Parts that a task remembers (twice over: those of late, and those before), and characters replayed together.
-REMEMBERED, BLOCK = 500_000, 24 << 20
+REMEMBERED, BLOCK = 250_000, 12 << 20
 #: From so many places on, a merge is applied to all of them by vector operations.
 MANY = 40
 #: Letters and digits of Unicode 17 and 18, which the pattern engine of tiktoken (Unicode 16) takes for
@@ -254,6 +254,12 @@ class Codec:
             at = end
         return out
 
+    def shrink(self) -> None:
+        """Keep little between tasks: the worker that holds this may run other stages next."""
+        self.before = {}
+        if len(self.parts) > REMEMBERED:
+            self.parts = {}
+
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.split(","))) if ids else b""
 
@@ -288,6 +294,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True) ->
                 flat = np.array(",".join(x for x in coded if x).split(",") if any(n) else [], np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *[x for x, _ in added]])
+        codec.shrink()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{x} {k}" for x, k in added)])
     return kept.mapInArrow(run, schema)
