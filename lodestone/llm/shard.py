@@ -57,7 +57,7 @@ def _edges(rows: DataFrame, keys: dict[str, Column], bins: int) -> dict[str, lis
     """Cut points of each dimension: approximate quantiles over all rows (one aggregate row, `bins` - 1 numbers each)."""
     shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     got = rows.agg(*[F.percentile_approx(c, shares, F.lit(10_000)).alias(name) for name, c in keys.items()]).first()
-    return {name: sorted(set(got[name] or [])) for name in keys}
+    return {name: sorted(got[name] or []) for name in keys}  # repeats kept: a frequent value spans several bins
 
 
 def prefix_number(c: Column, chars: int = 6) -> Column:
