@@ -207,7 +207,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", section:
     joined = second.join(small(rates, 100_000).select(*place), F.col("host").eqNullSafe(F.col("_ph")) & F.col("section").eqNullSafe(F.col("_ps")))
     out = joined.withColumn("low_quality", posterior(joined, rates))
     site = (F.col("s") + F.col("k") * F.col("prior")) / (F.col("n") + F.col("k"))
-    return out.select(*[F.col(f"`_{c}`").alias(c) for c in columns], F.col("p").alias("doc_score"), site.alias("site_rate"), "low_quality", (F.col("low_quality") < reject).alias("kept"))
+    return out.select(*[F.col(f"`_{c}`").alias(c) for c in columns], F.col("p").alias("doc_score"), site.alias("site_rate"), "low_quality", (F.col("low_quality") < reject if model else F.lit(True)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, reject: float = 0.5) -> DataFrame:
