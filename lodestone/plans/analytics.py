@@ -175,7 +175,12 @@ def p4_facet_filter(d):
     return an.facet_filter(d.customer, c_mktsegment="BUILDING", c_nationkey=3, c_name=None).select("c_custkey", "c_name")
 
 
-@query(None)
+WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 2))"
+
+
+@query(f"""SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, d.doc_id,
+  round(least(0.99::DOUBLE, 0.9::DOUBLE * 0.6::DOUBLE + 0.4::DOUBLE * hits / n + CASE WHEN d.source = concat('src', CAST(query_id % 20 AS STRING)) THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN d.doc_id % 10 = 0 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END), 4) AS score
+ FROM (SELECT query_id, doc_id, count(*) AS hits, max(n) AS n FROM (SELECT item_id AS query_id, len({WORDS}) AS n, unnest({WORDS}) AS word FROM benchmark) q JOIN (SELECT doc_id, unnest({WORDS}) AS word FROM documents) w USING (word) GROUP BY 1, 2) h JOIN documents d ON h.doc_id = d.doc_id) WHERE score >= 0.72) WHERE rank <= 5""")
 def r6_lexical_topk(d):
     docs = d.documents.select("doc_id", "text", F.col("source").alias("domain"), (F.col("doc_id") % 10 == 0).alias("recent"))
     return an.lexical_topk(d.benchmark.select(F.col("item_id").alias("query_id"), "text", F.concat(F.lit("src"), F.col("item_id") % 20).alias("domain")), docs)

@@ -63,7 +63,9 @@ def x3_shred_json_feed(d):
     return bo.shred_json_feed(d.orders.select(F.col("o_orderkey").alias("id"), body.alias("body")), "id", "body").select("id", "pos", "title", "link")
 
 
-@query(None)
+@query("""SELECT page_id, pos, url, title FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS r FROM (SELECT page_id, min(pos) AS pos, url, arg_min(title, pos) AS title FROM
+ (SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), hrefs[i]) AS url, trim(titles[i]) AS title FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"#]*)"[^>]*>([^<]*)</a>', 1) AS hrefs, regexp_extract_all(html, '<a href="([^"#]*)"[^>]*>([^<]*)</a>', 2) AS titles FROM pages), generate_series(1, 200) AS g(i) WHERE i <= len(hrefs))
+ WHERE length(title) >= 3 GROUP BY page_id, url)) WHERE r <= 30""")
 def x4_extract_links(d):
     return bo.extract_links(d.pages, "page_id", "html", "url", min_text=3)
 

@@ -27,7 +27,7 @@ def e7_match_entities(d):
 
 @query(None)
 def e8_apply_merges(d):
-    s = d.msites
+    s = d.msites.withColumn("name", F.concat(F.lit("Site "), "operator"))
     return en.apply_merges(s, en.match_entities(s, en.MatchConfig(auto=0.5, queue=0.4, auto_distance_m=2000)))
 
 
@@ -101,7 +101,12 @@ def e18_merge_roster(d):
     return en.merge_roster(v.filter("not active"), v.filter("active"))
 
 
-@query(None)
+COMP = f"(SELECT norm, concat('co_', substr(md5(norm), 1, 16)) AS company_id FROM (SELECT DISTINCT {NORM} AS norm FROM v4 WHERE NOT active) WHERE norm IS NOT NULL)"
+NAMES = f"(SELECT DISTINCT raw_name AS name, {NORM} AS norm FROM v4 WHERE active)"
+
+
+@query(f"""SELECT name, company_id, 'normalized' AS how, true AS approved FROM {NAMES} JOIN {COMP} USING (norm) UNION ALL
+SELECT DISTINCT n.name, c.company_id, 'trigram', false FROM (SELECT *, {GR.format(c='norm')} AS g FROM {NAMES} WHERE norm NOT IN (SELECT norm FROM {COMP})) n JOIN (SELECT *, {GR.format(c='norm')} AS g FROM {COMP}) c ON {SIM.format(a='n.g', b='c.g')} >= 0.92""", "v4")
 def e18_roster_aliases(d):
     v = d.v4.select(F.col("raw_name").alias("name"), "active")
     return en.roster_aliases(en.merge_roster(v.filter("not active"), v.filter("not active")), v.filter("active"))

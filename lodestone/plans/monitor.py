@@ -170,12 +170,14 @@ def g1_ingest_stream(d):
     return d.spark.read.parquet(f"{base}/table").agg(F.count("*").alias("n"), F.countDistinct("content_hash").alias("hashes"))
 
 
-@query(None)
+@query("""SELECT CAST(epoch(w) AS BIGINT) AS start_s, CAST(epoch(w) AS BIGINT) + 86400 AS end_s, event_type, count(*) AS n FROM (SELECT event_type, date_trunc('hour', ts) - to_hours(CAST(k AS INTEGER)) AS w FROM events, generate_series(0, 23) AS g(k))
+WHERE w + INTERVAL 24 HOURS <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOURS FROM events) GROUP BY 1, 2, 3""")
 def g5_trailing_stream(d):
     base = f"{shared_dir(d.spark)}/stream-{uuid.uuid4().hex}"
     q = trailing_stream(_stream(d), "ts", "event_type").writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return d.spark.read.schema("start timestamp, end timestamp, event_type string, n long").parquet(f"{base}/out")
+    out = d.spark.read.schema("start timestamp, end timestamp, event_type string, n long").parquet(f"{base}/out")
+    return out.select(F.unix_timestamp("start").alias("start_s"), F.unix_timestamp("end").alias("end_s"), "event_type", "n")
 
 
 @query("SELECT o_orderkey AS id, o_totalprice FROM orders WHERE o_totalprice IS NOT NULL AND o_orderkey % 2 = 0 AND o_orderstatus <> 'P'")

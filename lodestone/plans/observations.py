@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import observations as ob
-from lodestone.plans.base import query, view
+from lodestone.plans.base import VIEWS, query, view
 from lodestone.plans.fixtures import AS_OF
 
 view("agree_in", """
@@ -59,6 +59,9 @@ SELECT * FROM (SELECT o.*, k.lineages, row_number() OVER (PARTITION BY o.entity_
     AND o.lat IS NOT DISTINCT FROM k.lat AND o.lng IS NOT DISTINCT FROM k.lng
   WHERE NOT retracted AND NOT superseded) WHERE rn = 1""", "v1")
 
+view("v1free", "SELECT * FROM v1 WHERE redistributable", "v1")
+view("bestfree", VIEWS["best"][0].replace("FROM v1", "FROM v1free"), "v1free")
+
 PIVOT = """max(CASE WHEN attribute = 'name' THEN value_text END) AS name, max(CASE WHEN attribute = 'operator' THEN value_text END) AS operator,
   max(CASE WHEN attribute = 'coordinates' THEN lat END) AS lat, max(CASE WHEN attribute = 'coordinates' THEN lng END) AS lng,
   max(CASE WHEN attribute = 'capacity' THEN value_num END) AS capacity, max(CASE WHEN attribute = 'capacity' THEN capacity_basis END) AS capacity_basis"""
@@ -84,7 +87,9 @@ def e5_current_view(d):
     return ob.current_view(d.entities, d.v1)
 
 
-@query(None)
+@query(f"""SELECT e.entity_id, {PIVOT}, any_value(c.citations) AS citations FROM entities e JOIN gate g ON e.entity_id = g.entity_id AND g.publishable LEFT JOIN bestfree b ON e.entity_id = b.entity_id
+LEFT JOIN (SELECT entity_id, concat('[', string_agg(concat('{{"source_id":', CAST(source_id AS STRING), ',"source_class":"', source_class, '"}}'), ',' ORDER BY source_id, source_class), ']') AS citations
+  FROM (SELECT DISTINCT entity_id, source_id, source_class FROM v1free WHERE NOT retracted AND NOT superseded) GROUP BY entity_id) c ON e.entity_id = c.entity_id GROUP BY e.entity_id""", "entities", "gate", "bestfree")
 def e5_public_view(d):
     return ob.public_view(d.entities, d.v1)
 
