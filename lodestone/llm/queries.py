@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from lodestone.llm.bpe import op10_byte_bpe
 from lodestone.llm.chat import OP8_SQL, op8_chat_snapshot_collapse
-from lodestone.llm.decontaminate import op4_benchmark_decontamination
+from lodestone.llm.decontaminate import OP4_SQL, op4_benchmark_decontamination
 from lodestone.llm.html_text import op7_html_extraction
 from lodestone.llm.image import op6_image_copies
 from lodestone.llm.language import op5_language_id
-from lodestone.llm.near_dup import op9_minhash_near_dedup
+from lodestone.llm.near_dup import OP9_SQL, op9_minhash_near_dedup
 from lodestone.llm.pii import op3_feistel_pseudonyms
 from lodestone.llm.quality import op1_quality_classifier
 from lodestone.llm.shard import op2_hilbert_sharding
@@ -32,4 +32,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_snapshot_collapse": OP8_SQL}
+    return {"op4_benchmark_decontamination": OP4_SQL, "op8_chat_snapshot_collapse": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
