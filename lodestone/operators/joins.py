@@ -47,9 +47,11 @@ def geo_pairs(df: DataFrame, metres: float, key: str = "site_id", lat: str = "la
     band = lambda x: F.floor(x / tall).cast("long")
 
     def columns(b: Column) -> Column:
-        edge = F.greatest(F.abs(b), F.abs(b + 1)) * tall
-        c = F.cos(F.radians(F.least(edge, F.lit(89.9))))
-        return F.greatest(F.lit(1), F.floor(360.0 * c / tall)).cast("long")
+        # As many as are still `metres` wide a band beyond the far edge; 0.85: a chord or a slanting path is shorter
+        # than the arc. Close to a pole one column holds the band.
+        edge = (F.greatest(F.abs(b), F.abs(b + 1)) + 1) * tall
+        n = F.floor(0.85 * 360.0 * F.cos(F.radians(F.least(edge, F.lit(90.0)))) / tall)
+        return F.when(n < 8, 1).otherwise(n).cast("long")
 
     column = lambda b, x: F.floor((F.pmod(x + 180.0, F.lit(360.0))) / 360.0 * columns(b)).cast("long")
     g = F.coalesce(F.col(group).cast("string"), F.lit("\x00")) if group else F.lit("")
