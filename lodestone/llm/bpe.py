@@ -27,7 +27,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import column, load
+from lodestone.llm.common import column, give_back, load, runs, utf8
 
 #: Parts that a task remembers (twice over: those of late, and those before), and characters replayed together.
 REMEMBERED, BLOCK = 250_000, 12 << 20
@@ -286,15 +286,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in runs(utf8(column(whole, "text"))[1], BLOCK)):
             coded = codec.encode(column(batch, "text").to_pylist())
             n = [x.count(",") + 1 if x else 0 for x in coded]
             cols = [pa.array(n, pa.int64()), pa.array([sha(x.encode()) for x in coded]), pa.array([sha(codec.decode(x)) for x in coded])]
             if ids:
-                flat = np.array(",".join(x for x in coded if x).split(",") if any(n) else [], np.int32)
+                flat = np.concatenate([np.zeros(0, np.int32), *[np.fromstring(x, np.int32, sep=",") for x in coded if x]])
                 cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *[x for x, _ in added]])
         codec.shrink()
+        give_back()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{x} {k}" for x, k in added)])
     return kept.mapInArrow(run, schema)

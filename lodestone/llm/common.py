@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -40,6 +42,13 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0] : o[-1]], o - o[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: the worker stays, and other stages run beside it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc: nothing to trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def runs(offsets: np.ndarray, budget: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about `budget` bytes (a longer row has a range of its own), so that vectors stay bounded."""
     n, a = len(offsets) - 1, 0

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ALNUM, column, load, materialize, release, runs, utf8, words
+from lodestone.llm.common import ALNUM, column, give_back, load, materialize, release, runs, utf8, words
 
 #: Distinct test terms that tasks hold as a sorted array (8 bytes each); beyond that, postings of all terms are joined.
 HELD_TERMS = 4_000_000
@@ -165,6 +165,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, columns: l
                     n_hit[a + i], named[a + i] = _hits(h[at[i] : at[i + 1]].view(np.int64), found[int(a + i)].as_py(), size)
             kept = [column(batch, "text" if c == "text" else f"_{c}") for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words), pa.array(n_hit), pa.array(named, pa.list_(pa.string()))], names=[*columns, *NAMED])
+        give_back()
 
     kinds = [f"`{c}` {'string' if c == 'text' else docs.schema[c].dataType.simpleString()}" for c in columns]
     return joined.mapInArrow(run, ", ".join([*kinds, "n_words long, n_hit long, item_ids array<string>"]))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACED, column, load, materialize, release, runs, shingles, small, utf8, words
+from lodestone.llm.common import SPACED, column, give_back, load, materialize, release, runs, shingles, small, utf8, words
 from lodestone.llm.components import components
 
 #: Lists of at most so many members are expanded to pairs; the sides of a block comparison.
@@ -78,6 +78,7 @@ def signatures(docs: DataFrame, width: int, k: int, sets: bool = False) -> DataF
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(sig[full].ravel())))
                 row += b - a
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "fp", "shingles" if sets else "sig"])
+        give_back()
 
     kind = "shingles binary" if sets else "sig array<int>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_shingles long, fp binary, {kind}")
@@ -112,6 +113,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if 100 * both >= percent * (len(small_) + len(large) - both):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        give_back()
 
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACED, column, load, materialize, runs, small, utf8, words
+from lodestone.llm.common import SPACED, column, give_back, load, materialize, runs, small, utf8, words
 
 #: Labelled rows that the model is fitted to (the first by a hash of their id), bins of each statistic.
 SAMPLE, BINS = 12_000, 12
@@ -151,6 +151,7 @@ def evidence(docs: DataFrame, model: Model | None, name: str = "evidence") -> Da
         for batch in batches:
             s = model.log_odds(text_statistics(batch)) - prior if model else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, name])
+        give_back()
 
     return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"{name} double"]))
 
