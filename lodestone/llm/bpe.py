@@ -27,10 +27,10 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import column, give_back, load, runs, utf8
+from lodestone.llm.common import column, give_back, load, runs, small_batches, utf8
 
 #: Parts that a task remembers (twice over: those of late, and those before), and characters replayed together.
-REMEMBERED, BLOCK = 250_000, 12 << 20
+REMEMBERED, BLOCK = 120_000, 4 << 20
 #: From so many places on, a merge is applied to all of them by vector operations.
 MANY = 40
 #: Letters and digits of Unicode 17 and 18, which the pattern engine of tiktoken (Unicode 16) takes for
@@ -278,6 +278,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True) ->
     """
     spark = docs.sparkSession
     spark.sparkContext.addFile(ranks_path)
+    small_batches(spark)
     name = ranks_path.rstrip("/").rpartition("/")[2]
     added = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *([("token_ids", "array<int>")] if ids else [])]
     own = [c for c in docs.columns if c not in {x for x, _ in added}]

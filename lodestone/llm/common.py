@@ -42,6 +42,13 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0] : o[-1]], o - o[0]
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Have the session send texts to Python in batches of at most `rows` rows, so that long documents don't add up."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def give_back() -> None:
     """Return freed memory to the system at a task's end: the worker stays, and other stages run beside it."""
     pa.default_memory_pool().release_unused()
