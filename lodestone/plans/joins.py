@@ -62,7 +62,7 @@ def j8_cross_expand(d):
 
 @query(f"SELECT a.site_id AS a, b.site_id AS b, round({HAV.format(a='a', b='b')}, 3) AS distance_m FROM sites_small a JOIN sites_small b ON a.site_id < b.site_id AND a.country = b.country AND {HAV.format(a='a', b='b')} <= 2000", "sites_small")
 def j11_geo_pairs(d):
-    return jo.geo_pairs(d.sites_small, 2000, group="country").withColumn("distance_m", F.round("distance_m", 3))
+    return jo.geo_pairs(d.v3, 2000, group="country").withColumn("distance_m", F.round("distance_m", 3))
 
 
 view("names", "SELECT company_id, lower(raw_name) AS nm, kind FROM v4 WHERE company_id <= 1200", "v4")
@@ -72,12 +72,13 @@ view("names", "SELECT company_id, lower(raw_name) AS nm, kind FROM v4 WHERE comp
   len(list_intersect(a.g, b.g)) * 1.0 / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS similarity
 FROM (SELECT company_id, kind, {GRAMS.format(c='nm')} AS g FROM names) a JOIN (SELECT company_id, kind, {GRAMS.format(c='nm')} AS g FROM names) b ON a.company_id < b.company_id AND a.kind = b.kind) WHERE similarity >= 0.6""", "names")
 def j12_trigram_pairs(d):
-    return jo.trigram_pairs(d.names, 0.6, "company_id", "nm", "kind").withColumn("similarity", F.round("similarity", 6))
+    names = d.v4.select("company_id", F.lower("raw_name").alias("nm"), "kind")
+    return jo.trigram_pairs(names, 0.6, "company_id", "nm", "kind").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT a.site_id AS a, b.site_id AS b FROM v3 a JOIN v3 b ON a.operator = b.operator AND a.subdivision = b.subdivision AND a.country = b.country AND a.site_id < b.site_id WHERE a.site_id <= 1500 AND b.site_id <= 1500", "v3")
 def j13_block_pairs(d):
-    return jo.block_pairs(d.sites_small, ["operator", "subdivision", "country"], "site_id")
+    return jo.block_pairs(d.v3, ["operator", "subdivision", "country"], "site_id")
 
 
 @query("""SELECT site_id, poly_id FROM (SELECT s.site_id, e.poly_id, count(*) FILTER ((e.y > s.lat) <> (e.v > s.lat) AND s.lng < (e.u - e.x) * (s.lat - e.y) / (e.v - e.y) + e.x) AS n
@@ -132,7 +133,7 @@ def u1_union_all(d):
 @query("""SELECT a, b, string_agg(reason, ',' ORDER BY reason) AS reasons FROM (SELECT a.site_id AS a, b.site_id AS b, 'operator' AS reason FROM sites_small a JOIN sites_small b ON a.operator = b.operator AND a.subdivision = b.subdivision AND a.site_id < b.site_id
 UNION SELECT a.site_id, b.site_id, 'external' FROM sites_small a JOIN sites_small b ON a.external_id = b.external_id AND a.site_id < b.site_id) GROUP BY a, b""", "sites_small")
 def u2_union_distinct(d):
-    by = lambda cols, why: jo.block_pairs(d.sites_small, cols, "site_id").withColumn("reason", F.lit(why))
+    by = lambda cols, why: jo.block_pairs(d.v3, cols, "site_id").withColumn("reason", F.lit(why))
     pairs = by(["operator", "subdivision"], "operator").unionByName(by(["external_id"], "external"))
     return pairs.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
