@@ -14,6 +14,12 @@ SIM = "(len(list_intersect({a}, {b})) * 1.0 / (len({a}) + len({b}) - len(list_in
 view("msites", "SELECT site_id, concat('Site ', operator, ' ', CAST(site_id % 40 AS STRING)) AS name, operator, country, subdivision, lat, lng, parent_id, external_id, site_id % 7 AS score FROM v3 WHERE site_id <= 400", "v3")
 
 
+def _sites(d):
+    """What msites has, of all sites."""
+    name = F.concat(F.lit("Site "), "operator", F.lit(" "), (F.col("site_id") % 40).cast("string"))
+    return d.v3.select("site_id", name.alias("name"), "operator", "country", "subdivision", "lat", "lng", "parent_id", "external_id", (F.col("site_id") % 7).alias("score"))
+
+
 @query(f"""SELECT a, b, match, CASE WHEN match >= 0.92 AND qa = qb AND (ext IS NOT NULL OR dist <= 250) THEN 'auto_merged' WHEN match >= 0.70 THEN 'queued' ELSE 'rejected' END AS decision FROM
  (SELECT *, round((0.35 * nm + 0.30 * geo + 0.20 * op + 0.10 * coalesce(ext, 0) + 0.05) / (0.90 + CASE WHEN ext IS NULL THEN 0 ELSE 0.10 END) + 1e-9, 4) AS match FROM
  (SELECT a.site_id AS a, b.site_id AS b, round({SIM.format(a='a.g', b='b.g')}, 4) AS nm, {HAV.format(a='a', b='b')} AS dist, round(exp(-{HAV.format(a='a', b='b')} / 500), 4) AS geo, CASE WHEN a.operator = b.operator THEN 1.0 ELSE 0.0 END AS op,
@@ -22,18 +28,18 @@ view("msites", "SELECT site_id, concat('Site ', operator, ' ', CAST(site_id % 40
   WHERE ((a.country = b.country AND {HAV.format(a='a', b='b')} <= 2000) OR (a.country = b.country AND {SIM.format(a='a.g', b='b.g')} >= 0.45) OR (a.operator = b.operator AND a.subdivision = b.subdivision))
    AND NOT (coalesce(a.parent_id = b.site_id, false) OR coalesce(b.parent_id = a.site_id, false) OR coalesce(a.parent_id = b.parent_id, false))))""", "msites")
 def e7_match_entities(d):
-    return en.match_entities(d.msites).select("a", "b", "match", "decision")
+    return en.match_entities(_sites(d)).select("a", "b", "match", "decision")
 
 
 @query(None)
 def e8_apply_merges(d):
-    s = d.msites.withColumn("name", F.concat(F.lit("Site "), "operator"))
+    s = _sites(d).withColumn("name", F.concat(F.lit("Site "), "operator"))
     return en.apply_merges(s, en.match_entities(s, en.MatchConfig(auto=0.5, queue=0.4, auto_distance_m=2000)))
 
 
 @query(None)
 def q6_check_share(d):
-    m = en.match_entities(d.msites)
+    m = en.match_entities(_sites(d))
     return en.check_share(m, F.col("decision") == "auto_merged", en.MatchConfig().share_rail)
 
 
@@ -130,9 +136,15 @@ def e20_grain_from_name(d):
 
 @query("""SELECT building, CAST(n AS BIGINT) AS n FROM (SELECT CASE WHEN site_id % 4 = 0 THEN concat('id:', CAST(site_id % 50 AS STRING)) ELSE concat(CAST(site_id % 30 AS STRING), ' main st|', '787') END AS building, count(*) AS n FROM v3 GROUP BY 1)""", "v3")
 def e21_group_buildings(d):
+    return e21_attached_sites(d).select("building", "n")
+
+
+@query(None)
+def e21_attached_sites(d):
+    """The groups of e21_group_buildings with the site that each is attached to."""
     s = d.v3
     c = s.select(F.when(F.col("site_id") % 4 == 0, F.col("site_id") % 50).alias("resolved_id"), F.concat((F.col("site_id") % 30).cast("string"), F.lit(" Main St")).alias("street"), F.lit("787").alias("zip"), "lat", "lng")
-    return en.group_buildings(c, s.filter("site_id <= 200")).select("building", "n")
+    return en.group_buildings(c, s)
 
 
 @query("SELECT id, min(company_id) AS company_id FROM (SELECT c.id, p.company_id FROM cands c JOIN v4 p ON lower(c.operator) = lower(p.kind)) GROUP BY id", "cands", "v4")

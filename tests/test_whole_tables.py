@@ -6,11 +6,14 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from compare import duck, mismatch
+from test_joins import metres
 
 from lodestone import plans
+from lodestone.plans.base import Data
 
 #: The filter of ids that each query's SQL has.
 SUBSET = {
+    "e7_match_entities": "WHERE site_id <= 400",
     "j11_geo_pairs": "WHERE site_id <= 1500",
     "j12_trigram_pairs": "WHERE company_id <= 1200",
     "j13_block_pairs": "WHERE a.site_id <= 1500 AND b.site_id <= 1500",
@@ -22,9 +25,9 @@ SUBSET = {
 def beyond(tmp_path_factory):
     """A folder of tables whose ids lie on both sides of each filter."""
     d = tmp_path_factory.mktemp("beyond")
-    sites = [*range(380, 430), *range(1480, 1530), *range(14_980, 15_001)]
+    sites = [*range(380, 430), 452, *range(1480, 1530), *range(14_980, 15_001)]
     segments = ["BUILDING", "MACHINERY", "FURNITURE"]
-    customer = {"c_custkey": sites, "c_name": [f"Customer#{i}" for i in sites], "c_mktsegment": [segments[i % 3] for i in sites], "c_nationkey": [i % 4 for i in sites]}
+    customer = {"c_custkey": sites, "c_name": [f"Customer#{i}" for i in sites], "c_mktsegment": [segments[(i + 1) // 2 % 3] for i in sites], "c_nationkey": [(i + 1) // 2 % 4 for i in sites]}
     parts = [*range(1180, 1220), *range(19_960, 20_001)]
     colours = ["azure", "beige", "coral"]
     part = {"p_partkey": parts, "p_brand": [f"Brand#{i % 2}" for i in parts], "p_name": [f"{colours[i % 3]} {colours[i // 3 % 3]}" for i in parts], "p_type": ["STEEL" if i % 2 else "TIN" for i in parts], "p_size": [i % 5 for i in parts], "p_retailprice": [1.0 * i for i in parts]}
@@ -39,3 +42,35 @@ def test_all_ids(spark, beyond, name):
     df = plans.queries()[name](spark, beyond)
     assert mismatch(df, con, sql.replace(SUBSET[name], "")) is None
     assert df.count() > con.sql(sql).shape[0]
+
+
+def test_merges_and_share_of_all_sites(spark, beyond):
+    con, sql = duck(beyond), plans.oracle_sql()["e7_match_entities"].replace(SUBSET["e7_match_entities"], "")
+    want = [r[0] for r in con.sql(f"SELECT decision FROM ({sql})").fetchall()]
+    share = plans.queries()["q6_check_share"](spark, beyond).first()
+    assert (share.n, share.flagged) == (len(want), want.count("auto_merged"))
+    # e8 names sites by operator alone, and has thresholds of its own.
+    for old, new in ((", ' ', CAST(site_id % 40 AS STRING)", ""), ("0.92", "0.5"), ("0.70", "0.4"), ("250", "2000"), ("qa = qb", "true")):
+        assert old in sql
+        sql = sql.replace(old, new)
+    pairs = con.sql(f"SELECT a, b FROM ({sql}) WHERE decision = 'auto_merged'").fetchall()
+    order = lambda i: (-(i % 7), i)
+    best: dict[int, int] = {}
+    for pair in pairs:
+        survivor, loser = sorted(pair, key=order)
+        best[loser] = min(survivor, best.get(loser, survivor), key=order)
+    assert {r.loser: r.survivor for r in plans.queries()["e8_apply_merges"](spark, beyond).collect()} == best and max(best) > 400
+
+
+def test_groups_attach_to_all_sites(spark, beyond):
+    site = [(r.site_id, r.lat, r.lng) for r in Data(spark, beyond).v3.collect()]
+    groups: dict[str, list] = {}
+    for s in site:
+        groups.setdefault(f"id:{s[0] % 50}" if s[0] % 4 == 0 else f"{s[0] % 30} main st|787", []).append(s)
+    want = {}
+    for name, of in groups.items():
+        centre = (name, sum(s[1] for s in of) / len(of), sum(s[2] for s in of) / len(of))
+        near = [(round(metres(centre, s), 3), f"e:{s[0]}") for s in site if metres(centre, s) <= 100]
+        want[name] = (len(of), min(near)[1][2:] if near else None)
+    got = plans.queries()["e21_attached_sites"](spark, beyond).collect()
+    assert {r.building: (r.n, r.attached_to) for r in got} == want and want["id:2"] == (1, "452")
