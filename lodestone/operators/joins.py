@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.geo import haversine_m
 from lodestone.functions.text import trigrams
-from lodestone.storage import materialize
+from lodestone.storage import materialize, release
 
 #: Metres of a degree of latitude.
 DEGREE_M = 111_194.9
@@ -119,11 +119,12 @@ def pip_join(points: DataFrame, polygons: DataFrame, key: str, cell: float = 0.0
     return met.groupBy(key, "poly_id").agg(F.count_if(F.coalesce(crosses, F.lit(False))).alias("n")).filter("n % 2 = 1").select(key, "poly_id")
 
 
-def nearest_control(pos: DataFrame, pool: DataFrame, lo_m: float, hi_m: float, stratum: str, key: str = "site_id", rounds: int = 3) -> DataFrame:
+def nearest_control(pos: DataFrame, pool: DataFrame, lo_m: float, hi_m: float, stratum: str, key: str = "site_id") -> DataFrame:
     """(site, control, distance_m): each site with a control of its stratum between two distances, one to one.
 
-    Sites and controls that name each other as nearest are matched, then the rest tries again, for a bounded number of
-    rounds; a site without control has a null one.
+    Sites and controls that name each other as nearest are matched, then the rest tries again until no candidate is
+    left, so a site has a null control only if others took all of its candidates. Nearest is by (distance, site,
+    control) for both sides: the first of the candidates left always matches, and the result is that of taking pairs in this order.
     """
     both = pos.select(key, "lat", "lng", stratum, F.lit(True).alias("is_site")).unionByName(pool.select(key, "lat", "lng", stratum, F.lit(False).alias("is_site")))
     pairs = geo_pairs(both, hi_m, key, group=stratum).filter(F.col("distance_m") >= lo_m)
@@ -132,12 +133,15 @@ def nearest_control(pos: DataFrame, pool: DataFrame, lo_m: float, hi_m: float, s
     cand = pairs.select(F.when(F.col("sa"), F.col("a")).otherwise(F.col("b")).alias("site"), F.when(F.col("sa"), F.col("b")).otherwise(F.col("a")).alias("control"), "distance_m")
     cand = materialize(cand, "controls")
     done = None
-    for _ in range(rounds):
-        by = lambda x, y: F.row_number().over(W.partitionBy(x).orderBy("distance_m", y))
-        hit = cand.withColumn("r1", by("site", "control")).withColumn("r2", by("control", "site")).filter("r1 = 1 and r2 = 1").select("site", "control", "distance_m")
-        hit = materialize(hit, "matched")
+    while not cand.isEmpty():
+        best = lambda x, y: cand.groupBy(x).agg(F.min(F.struct("distance_m", y)).alias("m")).select(x, f"m.{y}", "m.distance_m")  # noqa: B023, E731
+        hit = materialize(best("site", "control").join(best("control", "site"), ["site", "control", "distance_m"]), "matched")
         done = hit if done is None else done.unionByName(hit)
-        cand = materialize(cand.join(hit.select("site"), "site", "left_anti").join(hit.select("control"), "control", "left_anti"), "controls")
+        rest = materialize(cand.join(hit.select("site"), "site", "left_anti").join(hit.select("control"), "control", "left_anti"), "controls")
+        release(cand)
+        cand = rest
+    if done is None:
+        done = cand
     return pos.select(F.col(key).alias("site")).join(done, "site", "left")
 
 

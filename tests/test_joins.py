@@ -59,3 +59,16 @@ def test_dictionary_prefers_longer_matches_and_earlier_columns(spark):
 def test_long_pointer_chains(spark):
     df = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "id long, p long")
     assert {r.survivor for r in resolve_superseded(df, "id", "p").collect()} == {0}
+
+
+def test_nearest_control_until_none_is_left(spark):
+    r = random.Random(8)
+    site = [(i, 30.0, -100.0) for i in range(20)] + [(i, 30 + r.uniform(0, 0.3), -100 + r.uniform(0, 0.3)) for i in range(20, 30)]
+    pool = [(100 + i, 30.06, -100.0) for i in range(9)] + [(120 + i, 30 + r.uniform(0, 0.3), -100 + r.uniform(0, 0.3)) for i in range(17)]
+    frame = lambda rows: spark.createDataFrame([(*x, "s") for x in rows], "site_id long, lat double, lng double, g string")
+    got = {x.site: x.control for x in jo.nearest_control(frame(site), frame(pool), 5_000, 25_000, "g").collect()}
+    want: dict = {s[0]: None for s in site}
+    for d, s, c in sorted((metres(a, b), a[0], b[0]) for a in site for b in pool):
+        if 5_000 <= d <= 25_000 and want[s] is None and c not in want.values():
+            want[s] = c
+    assert got == want
