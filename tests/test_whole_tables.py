@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -74,3 +76,10 @@ def test_groups_attach_to_all_sites(spark, beyond):
         want[name] = (len(of), min(near)[1][2:] if near else None)
     got = plans.queries()["e21_attached_sites"](spark, beyond).collect()
     assert {r.building: (r.n, r.attached_to) for r in got} == want and want["id:2"] == (1, "452")
+
+
+def test_dates_of_all_events(spark, tmp_path):
+    ids = [0, 1, 19_999, 20_000, 20_001, 3_000_000_000]
+    pq.write_table(pa.table({"event_id": ids}), tmp_path / "events.parquet")
+    got = {r.event_id: r.d for r in plans.queries()["f12_epoch_ms"](spark, str(tmp_path)).collect()}
+    assert got == {i: datetime.date(1970, 1, 1) + datetime.timedelta(days=i % 20_000) for i in ids}
