@@ -182,3 +182,16 @@ def test_pipeline(spark):
             assert docs.columns == columns
         assert {r.doc_id for r in docs.select("doc_id").collect()} <= before
     assert docs.filter("n_tokens > 0").count() == docs.count() == cp.run(spark, SF).count()
+
+
+def test_near_descriptors_meet(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(200):
+        bits = [r.getrandbits(32) for _ in range(8)]
+        far = list(bits)
+        for k in r.sample(range(256), 7):
+            far[k // 32] ^= 1 << k % 32
+        rows += [(2 * i, 0, bits), (2 * i + 1, 0, far)]
+    met = image._pairs(image._posts(spark.createDataFrame(rows, "node long, kp long, bits array<bigint>"))).select("a", "b").distinct().collect()
+    assert {(x.a, x.b) for x in met} >= {(2 * i, 2 * i + 1) for i in range(200)}
