@@ -195,3 +195,21 @@ def test_near_descriptors_meet(spark):
         rows += [(2 * i, 0, bits), (2 * i + 1, 0, far)]
     met = image._pairs(image._posts(spark.createDataFrame(rows, "node long, kp long, bits array<bigint>"))).select("a", "b").distinct().collect()
     assert {(x.a, x.b) for x in met} >= {(2 * i, 2 * i + 1) for i in range(200)}
+
+
+def test_long_lists_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(image, "BLOCK", 4)
+    rows = [(i, k, 7, 60) for i in range(30) for k in (0, 1)]
+    posts = spark.createDataFrame(rows, "node long, kp int, key long, m long")
+    comp = spark.createDataFrame([(i, i % 3) for i in range(30)], "node long, component long")
+    out = [tuple(r) for r in image._across(posts, comp).collect()]
+    want = {(a, j, b, k) for a in range(30) for b in range(a + 1, 30) if a % 3 != b % 3 for j in (0, 1) for k in (0, 1)}
+    assert len(out) == len(want) and set(out) == want
+
+
+def test_rendered_has_flat_scaled_and_turned_pictures(spark):
+    vectors = spark.createDataFrame([(4 * i, [float(i)]) for i in range(60)], "vec_id long, embedding array<double>")
+    seen = {r.image_id: image.read_pgm(bytes(r.image)) for r in image.rendered(vectors).collect()}
+    flat = sum(np.mean(x[1:] == x[:-1]) > 0.6 for i, x in seen.items() if i % 2 == 0)
+    sides = [max(x.shape) for i, x in seen.items() if i % 2]
+    assert 15 <= flat <= 45 and max(sides) > 64 and min(sides) < 46
