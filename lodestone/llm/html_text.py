@@ -148,6 +148,12 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def density(b: Block) -> float:
+    """Share of stop words among a block's words."""
+    words = b.text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
 def decide(b: Block) -> bool | None:
     """Pass one: content, boilerplate, or None for undecided."""
     if b.outside:
@@ -159,8 +165,7 @@ def decide(b: Block) -> bool | None:
         return None
     if b.inside:
         return True
-    words = b.text.lower().split()
-    dense = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    dense = density(b)
     if dense >= STOP_HIGH:
         return True if n > LENGTH_HIGH else None
     return None if dense >= STOP_LOW else False
@@ -199,11 +204,20 @@ def inherit(known: list[Block], labels: list[bool | None]) -> list[bool]:
     return out
 
 
+def decide_all(known: list[Block]) -> list[bool | None]:
+    """Pass one of a page: where no block is content or has stop words enough, those of its language aren't in the list, and length and links decide alone."""
+    labels = [decide(b) for b in known]
+    plain = [not b.outside and len(b.text) >= LENGTH_LOW and b.link_chars <= LINKS_MOST * len(b.text) for b in known]
+    if True in labels or any(density(b) >= STOP_LOW for b, long in zip(known, plain, strict=True) if long):
+        return labels
+    return [(True if len(b.text) > LENGTH_HIGH else None) if long else label for b, label, long in zip(known, labels, plain, strict=True)]
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     known = blocks(page)
-    return " ".join(b.text for b, good in zip(known, inherit(known, [decide(b) for b in known]), strict=True) if good)
+    return " ".join(b.text for b, good in zip(known, inherit(known, decide_all(known)), strict=True) if good)
 
 
 def extract(pages: DataFrame) -> DataFrame:

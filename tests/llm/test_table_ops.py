@@ -213,3 +213,14 @@ def test_rendered_has_flat_scaled_and_turned_pictures(spark):
     flat = sum(np.mean(x[1:] == x[:-1]) > 0.6 for i, x in seen.items() if i % 2 == 0)
     sides = [max(x.shape) for i, x in seen.items() if i % 2]
     assert 15 <= flat <= 45 and max(sides) > 64 and min(sides) < 46
+
+
+ITALIAN = "Il gatto della casa dorme nel giardino mentre i bambini giocano sotto gli alberi e nessuno vuole ancora tornare dentro prima di sera. " * 2
+JAPANESE = "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。何でも薄暗いじめじめした所でニャーニャー泣いていた事だけは記憶している。" * 2
+
+
+@pytest.mark.parametrize("prose", [ITALIAN.strip(), JAPANESE])
+def test_main_text_of_other_languages_without_article(prose):
+    links = "<div>" + "<a href='x'>altra pagina del sito con un titolo lungo</a> " * 4 + "</div>"
+    page = f"<nav>menu</nav>{links}<div><p>{prose}</p><p>{prose}</p></div><div class='cookie-notice'>{prose}</div>"
+    assert html_text.main_text(page) == f"{prose} {prose}"
