@@ -9,7 +9,8 @@ Four kinds of evidence meet in each page's posterior, as sums of log odds:
 - the host: P(language | host) is a Dirichlet posterior that shrinks toward its domain's, and that toward the global
   distribution; the page itself is left out of its host's counts.
 
-The text models are fitted to a bounded sample of documents with a known language; everything else uses all pages.
+The text models are fitted to a bounded sample of the documents of each language, and every language that a document
+has can be answered; everything else uses all pages.
 
 Cases: null or empty html has no text evidence, a null url no host or suffix evidence; a page without any evidence gets
 the global distribution. Ties go to the first language in alphabetical order. Rows with equal ids are each classified.
@@ -25,14 +26,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import column, load, materialize, small
 from lodestone.llm.html_text import main_text
 
-#: Documents that the text models are fitted to (the first by a hash of their id), trigram buckets, and the number of
-#: trigrams beyond which more of them add no certainty.
+#: Documents that the text models are fitted to (shared equally by the languages, of each the first by a hash of their
+#: id, LEAST at least), trigram buckets, and the number of trigrams beyond which more of them add no certainty.
 SAMPLE, BUCKETS, CERTAIN = 4_000, 1 << 14, 150
+LEAST = 50
 #: Strength with which a host shrinks toward its domain and a domain toward all pages, in pages.
 HOST_PAGES, DOMAIN_PAGES, SMOOTH = 5.0, 20.0, 1.0
 
@@ -59,9 +62,18 @@ class TextModels:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> TextModels | None:
-    """Trigram models of the languages in at most `sample` documents."""
-    known = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", F.lower(F.col("lang").cast("string")).alias("lang"), "text")
-    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    """Trigram models of all languages, each from at most max(LEAST, sample / languages) documents."""
+    lang = F.lower(F.col("lang").cast("string"))
+    known = docs.filter("lang is not null and text is not null and doc_id is not null")
+    ids = materialize(known.select("doc_id", lang.alias("lang")).distinct(), "known")
+    counts = materialize(ids.groupBy("lang").agg(F.count("*").alias("n")), "counts")
+    each = max(LEAST, sample // max(1, counts.count()))
+    # A hash below the cutoff leaves about twice as many as are taken, so no task ranks a whole language.
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    few = ids.join(small(counts), "lang").filter(place < (2.0 * each + LEAST) / F.col("n"))
+    chosen = few.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("rn") <= each).select("doc_id", "lang")
+    chosen = materialize(chosen, "chosen")
+    rows = known.select("doc_id", lang.alias("lang"), "text").join(small(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

@@ -224,3 +224,10 @@ def test_main_text_of_other_languages_without_article(prose):
     links = "<div>" + "<a href='x'>altra pagina del sito con un titolo lungo</a> " * 4 + "</div>"
     page = f"<nav>menu</nav>{links}<div><p>{prose}</p><p>{prose}</p></div><div class='cookie-notice'>{prose}</div>"
     assert html_text.main_text(page) == f"{prose} {prose}"
+
+
+def test_rare_languages_are_classes(spark):
+    docs = spark.createDataFrame([(i, "EN" if i % 2 else "de", f"text {i} of the sort") for i in range(3_000)] + [(5_000, "it", "il gatto dorme nel giardino"), (5_001, None, "x"), (None, "fr", "y")], "doc_id long, lang string, text string")
+    models = language.train(docs, 40)
+    assert models.languages == ["de", "en", "it"] and np.isfinite(models.log_p).all()
+    assert np.argmax(models.evidence("il gatto dorme")) == 2
