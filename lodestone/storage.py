@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The tables that the innermost :func:`scope` has seen written.
+_WRITTEN: ContextVar[list[DataFrame] | None] = ContextVar("written", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share. One is made only in local mode, where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
     return jsc.getCheckpointDir().get()
 
@@ -26,6 +34,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
+    if (seen := _WRITTEN.get()) is not None:
+        seen.append(out)
     return out
 
 
@@ -36,3 +46,15 @@ def release(*frames: DataFrame) -> None:
             spark = df.sparkSession
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Delete at the end all tables that operators wrote inside; results have to be computed (written, counted) by then."""
+    seen: list[DataFrame] = []
+    token = _WRITTEN.set(seen)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+        release(*seen)
