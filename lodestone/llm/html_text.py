@@ -7,14 +7,21 @@ undecided. Pass two gives every undecided block the label of its nearest decided
 on, else the nearer side's. Inside an article element prose needs no stop words to be content, so that pages in other
 languages come out whole.
 
+Words in class, id and role mark boilerplate if they name it (`sidebar`), not if they name a layout that has it
+(`has-sidebar`). A form is boilerplate where the page has content outside of it, and not where it wraps the page: a main
+or article element inside a form stands by itself, and so does a main element inside marked boxes.
+
 Cases: null or empty html, and a page without content, give an empty text. Broken markup is read as far as it goes: an
-unclosed comment or script runs to the end of the page. Rows with equal ids are extracted each on its own.
+unclosed comment or script runs to the end of the page; after a tag whose quotes never close, tags end at the next `>`.
+Pages of any length and depth are read in time linear in them. Rows with equal ids are extracted each on its own.
+An empty table gives an empty result; other columns of `pages` are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,16 +41,24 @@ STOP_WORDS = frozenset(
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "title", "select", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var del img wbr input".split())
-OUTSIDE = {"nav", "aside", "footer", "form", "menu", "button", "dialog", "head", "fieldset"}
+OUTSIDE = {"nav", "aside", "footer", "menu", "button", "dialog", "head"}
+FORM = {"form", "fieldset"}
 CONTENT = {"article", "main"}
-#: Class and id words that mark boilerplate.
+#: Elements whose text is prose even where most of it is one link.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption", "dd"}
+#: Class and id words that mark boilerplate, the layouts and styles that only mention it, and those that hide.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|cookies?|consent|gdpr|notice|alert|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|comments?|replies|reply|disqus|share|sharing|social|related|recommended|promo|newsletter|subscribe|signup|login|popup|modal|overlay|toolbar|pagination|pager|skip|hidden)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|banner|cookies?|consent|gdpr|notice|alert|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|comments?|replies|reply|disqus|share|sharing|social|related|recommended|promo|newsletter|subscribe|signup|login|popup|modal|overlay|toolbar|pagination|pager|skip)(?:$|[_-])",
     re.I,
 )
-TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+LAYOUT = re.compile(r"^(?:has|with|without|no|show|shows|hide|hides|js|overflow)[_-]", re.I)
+UNSEEN = {"hidden", "is-hidden", "visually-hidden", "sr-only", "d-none"}
+START = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?])")
+STOP = re.compile(r"[>\"']")
+NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+UNSHOWN = re.compile(r"""\baria-hidden\s*=\s*["']?true|\bstyle\s*=\s*(?:"[^"]*|'[^']*)display\s*:\s*none""", re.I)
 
 LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS_MOST = 70, 200, 0.20, 0.30, 0.33
 
@@ -55,24 +70,37 @@ class Block:
     outside: bool
     inside: bool
     heading: bool
+    form: bool = False
+    prose: bool = False
+
+
+def _marked(attributes: str) -> bool:
+    """Whether a tag's attributes name boilerplate, or hide what it holds."""
+    for found in NAMED.findall(attributes):
+        for word in "".join(found).split():
+            if word.lower() in UNSEEN or (MARKED.search(word) and not LAYOUT.match(word)):
+                return True
+    return bool(HIDDEN.search(QUOTED.sub("", attributes)) or UNSHOWN.search(attributes))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, with what pass one needs to know of each."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, outside, inside an article
+    open_: list[tuple[str, bool, bool, bool]] = []  # name, outside, inside an article, inside a form
+    depth: Counter[str] = Counter()  # of the names in open_
     parts: list[str] = []
     links: list[str] = []
-    at, in_link, heading = 0, 0, False
+    at, in_link, heading, strict = 0, 0, False, True
 
-    def state() -> tuple[bool, bool]:
-        return (open_[-1][1], open_[-1][2]) if open_ else (False, False)
+    def state() -> tuple[bool, bool, bool]:
+        return open_[-1][1:] if open_ else (False, False, False)
 
     def flush() -> None:
         nonlocal heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, len(" ".join(html.unescape(" ".join(links)).split())), *state(), heading))
+            outside, inside, form = state()
+            out.append(Block(text, len(" ".join(html.unescape(" ".join(links)).split())), outside, inside, heading, form, bool(open_) and open_[-1][0] in PROSE))
         parts.clear()
         links.clear()
         heading = False
@@ -83,38 +111,61 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 links.append(s)
 
-    def close(name: str) -> None:
-        for i in range(len(open_) - 1, -1, -1):
-            if open_[i][0] == name:
-                del open_[i:]
-                return
+    def pop() -> None:
+        depth[open_.pop()[0]] -= 1
+
+    def tag_end(i: int) -> int:
+        """The place of the > that ends a tag whose attributes begin at i, or -1."""
+        nonlocal strict
+        j = i
+        while strict and (m := STOP.search(page, j)):
+            if m[0] == ">":
+                return m.start()
+            j = page.find(m[0], m.end()) + 1
+            if not j:
+                break
+        strict = False
+        return page.find(">", i)
 
     n = len(page)
+    last = max(page.rfind(">"), page.rfind("<!--"))
     while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
+        i = page.find("<", at) if at <= last else -1
+        if i < 0:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        if m[0] == "<!--":
-            end = page.find("-->", at)
+        say(page[at:i])
+        m = START.match(page, i)
+        if not m:
+            say("<")
+            at = i + 1
+            continue
+        if m[1]:
+            end = page.find("-->", m.end())
             at = n if end < 0 else end + 3
             continue
-        if not m[2]:
+        end = tag_end(m.end()) if m[3] else page.find(">", m.end())
+        if end < 0:
+            say(page[i:])
+            break
+        at = end + 1
+        if not m[3]:
             continue
-        name = m[2].lower()
-        if m[1]:
+        name, attributes = m[3].lower(), page[m.end() : end]
+        if m[2]:
             if name == "a":
                 in_link = max(0, in_link - 1)
             elif name not in INLINE:
                 flush()
-                close(name)
+                if depth[name]:
+                    while open_[-1][0] != name:
+                        pop()
+                    pop()
             continue
         if name in RAW:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if not attributes.endswith("/"):
+                stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = stop.end() if stop else n
             continue
         if name == "a":
             in_link = 1
@@ -129,21 +180,24 @@ def blocks(page: str) -> list[Block]:
             continue
         if name == "p" or name in ("div", "ul", "ol", "table", "section", "article", "aside", "footer", "header", "nav", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "main"):
             if open_ and open_[-1][0] == "p":
-                open_.pop()
+                pop()
         elif open_ and open_[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            open_.pop()
-        outside, inside = state()
+            pop()
+        outside, inside, form = state()
         if name in CONTENT:
-            inside = True
+            inside, form = True, False
+            if name == "main" and not any(depth[x] for x in OUTSIDE):
+                outside = False
         elif name in OUTSIDE or (name == "header" and not inside):
             outside = True
-        elif name not in ("html", "body") and m[3]:
-            words = " ".join(a or b or c for a, b, c in NAMED.findall(m[3]))
-            if MARKED.search(words) or HIDDEN.search(m[3]):
-                outside = True
+        elif name not in ("html", "body") and attributes and _marked(attributes):
+            outside = True
+        if name in FORM:
+            form = True
         heading = re.fullmatch("h[1-6]", name) is not None
-        if not m[3].endswith("/"):
-            open_.append((name, outside, inside))
+        if not attributes.endswith("/"):
+            open_.append((name, outside, inside, form))
+            depth[name] += 1
     flush()
     return out
 
@@ -159,7 +213,7 @@ def decide(b: Block) -> bool | None:
     if b.outside:
         return False
     n = len(b.text)
-    if b.link_chars > LINKS_MOST * n:
+    if b.link_chars > LINKS_MOST * n and not (b.inside and b.prose):
         return None if b.inside and n >= LENGTH_HIGH else False
     if n < LENGTH_LOW:
         return None
@@ -206,7 +260,8 @@ def inherit(known: list[Block], labels: list[bool | None]) -> list[bool]:
 
 def decide_all(known: list[Block]) -> list[bool | None]:
     """Pass one of a page: where no block is content or has stop words enough, those of its language aren't in the list, and length and links decide alone."""
-    labels = [decide(b) for b in known]
+    wraps = not any(decide(b) for b in known if not b.form)  # a form that holds all the content is no form
+    labels = [False if b.form and not wraps else decide(b) for b in known]
     plain = [not b.outside and len(b.text) >= LENGTH_LOW and b.link_chars <= LINKS_MOST * len(b.text) for b in known]
     if True in labels or any(density(b) >= STOP_LOW for b, long in zip(known, plain, strict=True) if long):
         return labels
