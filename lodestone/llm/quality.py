@@ -9,8 +9,9 @@
    document itself. Rows with a posterior of at least `reject` are rejected.
 
 Cases: a null or empty text has statistics of an empty text. A null host or section is a group of its own. Rows that
-repeat a doc_id are scored each on its own text. Without labelled rows of both classes nothing is known and everything
-is kept with the rate one half. An empty table gives an empty result.
+repeat a doc_id are scored each on its own text; the model takes the one with the least statistics. Without labelled
+rows of both classes nothing is known and everything is kept with the rate one half. An empty table gives an empty
+result. Texts of any length are read whole, in ranges of bounded size. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -136,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
             x = text_statistics(batch)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), column(batch, "quality").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    one = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r"))
+    got = one.select("doc_id", "r.quality", "r.x").toPandas().sort_values("doc_id")
     if got.quality.nunique() < 2:
         return None
     return fit(np.stack(got.x), (1 - got.quality).to_numpy(float))
@@ -188,14 +190,15 @@ def posterior(scored: DataFrame, rates: DataFrame) -> Column:
     return 1 / (1 + F.exp(-(F.col("evidence") + F.log(m / (1 - m)))))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", section: str = "lang", reject: float = 0.5, sample: int = SAMPLE, columns: list[str] | None = None) -> DataFrame:
-    """Every row of `docs`: its doc_id (or `columns`), doc_score, site_rate, low_quality (posterior) and kept."""
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", section: str = "lang", reject: float = 0.5, sample: int = SAMPLE, columns: list[str] | None = None, only_kept: bool = False) -> DataFrame:
+    """Every row of `docs`: its doc_id (or `columns`), doc_score, site_rate, low_quality (posterior) and kept; or, with
+    `only_kept`, the `columns` of those that stay."""
     model = train(docs, labels, sample)
     rate = model.rate if model else 0.5
     start = float(np.log(rate / (1 - rate)))
 
     def scored(own: list[str]) -> DataFrame:
-        d = docs.select(*[F.col(f"`{c}`").alias(f"_{c}") for c in own], F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("host"), F.col(section).cast("string").alias("section"))
+        d = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(own)], F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("host"), F.col(section).cast("string").alias("section"))
         return evidence(d, model).withColumn("p", 1 / (1 + F.exp(-(F.col("evidence") + start))))
 
     columns = columns or ["doc_id"]
@@ -207,14 +210,17 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", section:
     place = [F.col("host").alias("_ph"), F.col("section").alias("_ps"), "n", "s", "prior", "k"]
     joined = second.join(small(rates, 100_000).select(*place), F.col("host").eqNullSafe(F.col("_ph")) & F.col("section").eqNullSafe(F.col("_ps")))
     out = joined.withColumn("low_quality", posterior(joined, rates))
+    own = [F.col(f"_{i}").alias(c) for i, c in enumerate(columns)]
+    stays = F.col("low_quality") < reject if model else F.lit(True)
+    if only_kept:
+        return out.filter(stays).select(*own)
     site = (F.col("s") + F.col("k") * F.col("prior")) / (F.col("n") + F.col("k"))
-    return out.select(*[F.col(f"`_{c}`").alias(c) for c in columns], F.col("p").alias("doc_score"), site.alias("site_rate"), "low_quality", (F.col("low_quality") < reject if model else F.lit(True)).alias("kept"))
+    return out.select(*own, F.col("p").alias("doc_score"), site.alias("site_rate"), "low_quality", stays.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, reject: float = 0.5) -> DataFrame:
     """The rows of `docs` that the classifier keeps, with all their columns."""
-    own = docs.columns
-    return classify(docs, labels, reject=reject, columns=own).filter("kept").select(*[f"`{c}`" for c in own])
+    return classify(docs, labels, reject=reject, columns=docs.columns, only_kept=True)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
