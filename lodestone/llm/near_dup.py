@@ -13,7 +13,8 @@ forest of its confirmed links. No pair that could join two components is left ou
 
 Cases: a null text or one without words has an empty set and is linked with nothing. Equal sets (copies, and rows
 that repeat a doc_id) are one node. Rows without a doc_id can't name a component: component_id null, kept.
-An empty table gives an empty result. Other columns of `docs` are ignored.
+An empty table gives an empty result. Other columns of `docs` are ignored, whatever their names. Texts of any length are
+read whole, in ranges of bounded size. Sets hold 64-bit hashes of shingles: two that differ coincide with a chance of 2^-64.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,21 +51,26 @@ def _coefficients(k: int) -> tuple[np.ndarray, np.ndarray]:
     return g.integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1), g.integers(0, 2**63, k, dtype=np.uint64)
 
 
+def _row() -> Column:
+    """What tells rows of one doc_id apart: a digest of the text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def signatures(docs: DataFrame, width: int, k: int, sets: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, fp, sig) of each row; fp is a digest of the set. With `sets`, `shingles` instead of sig."""
+    """(doc_id, row, n_shingles, fp, sig) of each row; row digests the text, fp the set. With `sets`, `shingles` instead of sig."""
     mul, add = _coefficients(k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = utf8(column(batch, "text"))
-            ids, row = column(batch, "doc_id"), 0
+            ids, texts, row = column(batch, "doc_id"), column(batch, "row"), 0
             for a, b in runs(offs):
                 h, at = words(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a], SPACED)
                 u, at = shingles(h, at, width)
                 size = np.diff(at)
                 whole = u.tobytes()
                 fp = [hashlib.blake2b(whole[8 * x : 8 * y], digest_size=16).digest() for x, y in zip(at[:-1], at[1:], strict=True)]
-                cols = [ids.slice(row, b - a), pa.array(size), pa.array(fp, pa.binary())]
+                cols = [ids.slice(row, b - a), texts.slice(row, b - a), pa.array(size), pa.array(fp, pa.binary())]
                 if sets:
                     cols.append(pa.array([whole[8 * x : 8 * y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()))
                 else:
@@ -77,11 +83,11 @@ def signatures(docs: DataFrame, width: int, k: int, sets: bool = False) -> DataF
                     lengths = np.where(size > 0, k, 0)
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(sig[full].ravel())))
                 row += b - a
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "fp", "shingles" if sets else "sig"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n_shingles", "fp", "shingles" if sets else "sig"])
         give_back()
 
     kind = "shingles binary" if sets else "sig array<int>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_shingles long, fp binary, {kind}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, row long, n_shingles long, fp binary, {kind}")
 
 
 def _prefixes(nodes: DataFrame, t: int) -> DataFrame:
@@ -160,11 +166,17 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]
     return nodes.join(stars, "node", "left").select(*nodes.columns, F.coalesce("component", "node").alias("comp")), stars
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, miss: float = 1e-6) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text); see the module."""
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, miss: float = 1e-6, rows: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text); see the module. With `rows` also
+    `row`, a digest of the text that tells rows of one doc_id apart."""
     t = least_matches(k, percent / 100, miss)
     signed = materialize(signatures(docs, width, k), "signatures")
-    nodes = materialize(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig")), "nodes")
+    full = signed.filter("n_shingles > 0 and doc_id is not null")
+    # A set is named by its least doc_id, or by its digest where rows of one doc_id have different sets.
+    torn = materialize(full.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select(F.col("doc_id").alias("doc"), F.lit(True).alias("torn")), "torn")
+    own_name = -1 - F.pmod(F.xxhash64("fp"), F.lit(1 << 62))
+    nodes = full.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.any_value("sig").alias("sig")).join(small(torn), "doc", "left")
+    nodes = materialize(nodes.select("fp", "doc", F.when(F.col("torn"), own_name).otherwise(F.col("doc")).alias("node"), "sig"), "nodes")
     sigs = nodes.select("node", "sig")
     posts = materialize(_prefixes(sigs, t), "postings")
 
@@ -178,9 +190,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     pairs = materialize(met.withColumn("agree", agree).filter(F.col("agree") >= t).select("a", "b", "agree"), "pairs")
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(posts.filter(F.col("m") > PAIRED).select("node")).distinct()
-    wanted = materialize(ends, "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted.withColumnRenamed("node", "doc_id")), "doc_id")
-    sets = materialize(signatures(texts, width, k, sets=True).filter("n_shingles > 0").select(F.col("doc_id").alias("node"), "shingles"), "sets")
+    ends_ = materialize(ends, "ends")
+    wanted = materialize(small(ends_).join(nodes.select("node", "fp", "doc"), "node"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted.select(F.col("doc").alias("doc_id")).distinct()), "doc_id")
+    whole = signatures(texts, width, k, sets=True).filter("n_shingles > 0").select("doc_id", "fp", "shingles")
+    # Rows that repeat both the doc_id and the text would come twice.
+    sets = materialize(whole.join(small(wanted.withColumnRenamed("doc", "doc_id")), ["doc_id", "fp"]).select("node", "shingles"), "sets")
 
     # First each node with the partner it agrees with most, then every other pair across components.
     either = pairs.select(F.col("a").alias("node"), "a", "b", "agree").union(pairs.select(F.col("b").alias("node"), "a", "b", "agree"))
@@ -210,17 +225,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     every = links[0].union(links[1])
     for more in links[2:]:
         every = every.union(more)
-    named, _ = _labelled(nodes.select("fp", "node"), every)
-    release(posts, hot, sets, wanted)
-    out = signed.select("doc_id", "n_shingles", "fp").join(named.select("fp", "comp"), "fp", "left")
+    named, _ = _labelled(nodes.select("fp", "node", "doc"), every)
+    if not torn.isEmpty():
+        least = named.groupBy("comp").agg(F.min("doc").alias("least"))
+        named = named.join(least, "comp").select("fp", F.col("least").alias("comp"))
+    release(posts, hot, sets, wanted, ends_)
+    out = signed.select("doc_id", "row", "n_shingles", "fp").join(named.select("fp", "comp"), "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    own = ["doc_id", "row"] if rows else ["doc_id"]
+    return out.select(*own, "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that are the first of their near-duplicates, with all their columns."""
-    gone = materialize(near_duplicates(docs, width, percent).filter("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` that are the first of their near-duplicates, with all their columns.
+
+    Each row of a doc_id that repeats is decided on its own text; rows that repeat both are one document and stay or go together.
+    """
+    gone = materialize(near_duplicates(docs, width, percent, rows=True).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "gone")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("doc_id").cast("long").alias("i"), _row().alias("r"))
+    return own.join(small(gone), (F.col("i") == F.col("_id")) & F.col("r").eqNullSafe(F.col("_row")), "left_anti").select("d.*")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
