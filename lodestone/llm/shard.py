@@ -11,7 +11,8 @@ bucket rows are numbered by hash, then id, then checksum. A cell that holds a th
 its tie buckets.
 
 Cases: a null text has no bytes (size 8, checksum 0). Null metadata is quantised as the least value. Equal rows are
-interchangeable: each gets a slot of its own. An empty table gives no rows.
+interchangeable: each gets a slot of its own. An empty table gives no rows. Other columns may have any names. Texts of any
+length are read whole.
 """
 
 from __future__ import annotations
@@ -96,23 +97,31 @@ def hilbert_shards(rows: DataFrame, dimensions: dict[str, Column], shards: int,
     return cut.select(*own, "hilbert", "shard", (F.col("rank") - first("cast(shard as bigint)")).cast("long").alias("slot"))
 
 
+def _metadata(docs: DataFrame, *more: Column) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = lambda c: prefix_number(F.col(c).cast("string"))
+    return docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), key("lang").alias("_l"), key("source").alias("_s0"), *more)
+
+
+def _placed(rows: DataFrame, shards: int) -> DataFrame:
+    return hilbert_shards(rows, {"lang": F.col("_l"), "source": F.col("_s0"), "length": F.col("size")}, shards, ["doc_id", "text_crc32", "size"])
+
+
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert, by the dimensions lang, source and text length."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), prefix_number(F.col("lang").cast("string")).alias("_l"), prefix_number(F.col("source").cast("string")).alias("_s0"))
-    rows = materialize(rows, "metadata")  # narrow rows: the texts are read once
-    out = hilbert_shards(rows, {"lang": F.col("_l"), "source": F.col("_s0"), "length": F.col("size")}, shards, ["doc_id", "text_crc32", "size"])
+    out = _placed(materialize(_metadata(docs), "metadata"), shards)  # narrow rows: the texts are read once
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
-    """Write all columns of `docs` as one Parquet folder for each shard, sorted by slot. doc_id and text must tell rows apart."""
-    put = shard_documents(docs, shards).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot")
-    crc = F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8"))
-    own = docs.drop("shard", "slot")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (crc == F.col("_crc"))
-    joined = own.join(put, same).drop("_id", "_crc").repartition(shards, "shard").sortWithinPartitions("shard", "slot")
-    joined.write.partitionBy("shard").parquet(path)
+    """Write `docs` as one Parquet folder for each shard, sorted by slot, a row for each row.
+
+    The folders are those of the partition column `shard`, and `slot` is a column; columns of `docs` with these names,
+    in any case, are written as `own_shard` and `own_slot`.
+    """
+    own = [F.col(f"`{c}`").alias(f"own_{c}" if c.lower() in ("shard", "slot") else c) for c in docs.columns]
+    put = _placed(_metadata(docs, F.struct(*own).alias("_own")), shards)
+    put.select("_own.*", "shard", "slot").repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
