@@ -11,6 +11,8 @@ anti-join, so that a first turn that very many conversations share is one row.
 
 Cases: turns are ordered by turn, then role, then text; repeated rows are turns of their own. Null roles and texts are
 hashed as such and rendered empty. Rows without a conv_id are one conversation without id. An empty table gives no rows.
+Texts of any length are hashed and rendered whole. Other columns are ignored, whatever their names. Texts aren't compared:
+two different prefixes of as many turns have equal hashes with a chance of about 2^-128.
 """
 
 from __future__ import annotations

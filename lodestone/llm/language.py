@@ -7,14 +7,17 @@ Four kinds of evidence meet in each page's posterior, as sums of log odds:
 - the declared markup language, and the address suffix (country domain or language folder): P(value | language) comes
   from grouped aggregation over all pages, so a declaration that is often wrong counts for little;
 - the host: P(language | host) is a Dirichlet posterior that shrinks toward its domain's, and that toward the global
-  distribution; the page itself is left out of its host's counts.
+  distribution.
+
+The page itself is left out of the counts of its own declaration, suffix and host.
 
 The text models are fitted to a bounded sample of the documents of each language, and every language that a document
 has can be answered; everything else uses all pages.
 
 Cases: null or empty html has no text evidence, a null url no host or suffix evidence; a page without any evidence gets
 the global distribution. Ties go to the first language in alphabetical order. Rows with equal ids are each classified.
-An empty table gives an empty result; without documents of known language the result has null languages.
+An empty table gives an empty result; without documents of known language the result has null languages. Pages and texts of
+any length are read whole. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -143,12 +146,19 @@ def identify(pages: DataFrame, models: TextModels | None) -> DataFrame:
     every = seen.agg(F.count("*").alias("n"), *sums).first()
     base = [((every[f"s{i}"] or 0.0) + 1) / ((every.n or 0) + len(names)) for i in span]
 
+    every_value: dict[str, list[float]] = {}
+
     def likelihood(by: str) -> DataFrame:
-        """log P(value | language) of each value of a column, smoothed; the values are few (codes of 2 or 3 letters)."""
+        """The pages of each value of a column by language; the values are few (codes of 2 or 3 letters)."""
         t = seen.filter(f"{by} is not null").groupBy(by).agg(*sums)
         whole = t.agg(*[F.sum(f"s{i}").alias(f"w{i}") for i in span], F.count("*").alias("v")).first()
-        logs = [F.log((F.col(f"s{i}") + SMOOTH) / F.lit(float((whole[f"w{i}"] or 0) + SMOOTH * (whole.v or 1)))) for i in span]
-        return t.select(F.col(by).alias(f"_{by}"), *[x.alias(f"{by}{i}") for i, x in enumerate(logs)])
+        every_value[by] = [float((whole[f"w{i}"] or 0) + SMOOTH * (whole.v or 1)) for i in span]
+        return t.select(F.col(by).alias(f"_{by}"), *[F.col(f"s{i}").alias(f"{by}{i}") for i in span])
+
+    def log_p(by: str, i: int) -> Column:
+        """log P(value | language i), smoothed, the page itself left out; 0 without a value."""
+        own = F.col(f"q{i}")
+        return F.coalesce(F.log((F.col(f"{by}{i}") - own + SMOOTH) / (every_value[by][i] - own)), F.lit(0.0))
 
     host = materialize(seen.filter("host is not null").groupBy("host", "domain").agg(F.count("*").alias("n"), *sums), "hosts")
     up = host.groupBy("domain").agg(F.sum("n").alias("dn"), *[F.sum(f"s{i}").alias(f"d{i}") for i in span])
@@ -161,7 +171,7 @@ def identify(pages: DataFrame, models: TextModels | None) -> DataFrame:
     score = []
     for i in span:
         prior = F.coalesce((F.col(f"s{i}") - F.col(f"q{i}") + HOST_PAGES * F.col(f"d{i}")) / (F.col("n") - 1 + HOST_PAGES), F.lit(base[i]))
-        score.append(F.log(F.greatest(prior, F.lit(1e-6))) + ll[i] + F.coalesce(F.col(f"declared{i}"), F.lit(0.0)) + F.coalesce(F.col(f"suffix{i}"), F.lit(0.0)))
+        score.append(F.log(F.greatest(prior, F.lit(1e-6))) + ll[i] + log_p("declared", i) + log_p("suffix", i))
     out = out.withColumns({f"p{i}": s for i, s in enumerate(score)})
     p = [F.col(f"p{i}") for i in span]
     best = lambda cols: F.get(F.array(*[F.lit(x) for x in names]), F.array_position(F.array(*cols), F.array_max(F.array(*cols))).cast("int") - 1)
