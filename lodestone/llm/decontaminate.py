@@ -5,15 +5,17 @@ an item; an item of fewer words, but not none, is one window.
 
 1. One pass over all documents counts, in each task, how often every test term occurs; the sums order the terms.
 2. Each window is keyed by its two rarest terms. A second pass stores the postings of those terms: (term, row, positions).
-3. Postings meet the item positions of their term. Position minus item position is the alignment; an alignment at
-   which both key terms of a window stand where they should is a candidate. Every occurrence of a window gives one.
+3. The two lists of a window are intersected by row, and their positions by the distance of the two terms in the window.
+   What is left, less the item position, is the alignment of a candidate; every occurrence of a window gives one. Windows
+   of different items that have the same two terms at the same distance share that work.
 4. The words of a candidate's row are held against the item's at that alignment, so the matches returned are exact.
 
 `phrase_matches` returns those matches. `proximity_matches` relaxes step 3: terms of a window within `slack` words.
 
-Cases: null and empty texts have no words. Items with equal texts each count, and items that
-share an id are one item in the result. Rows that repeat a doc_id are decided
-each on its own text. A null item_id is named by an empty string. Empty tables give no hits.
+Cases: null and empty texts have no words. Items with equal texts each count, and items that share an id are one item in
+the result. Rows that repeat a doc_id are decided each on its own text. A null item_id is named by an empty string. Empty
+tables give no hits. Texts of any length are read whole, in ranges of bounded size. Other columns may have any names but
+those that are added, which give way.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ALNUM, column, give_back, load, materialize, release, runs, utf8, words
+from lodestone.llm.common import ALNUM, column, give_back, load, materialize, release, runs, small, utf8, words
 
-#: Distinct test terms that tasks hold as a sorted array (8 bytes each); beyond that, postings of all terms are joined.
+#: Distinct test terms that tasks hold as a sorted array (8 bytes each); beyond that the call raises, and the items have
+#: to be given in parts, whose results unite.
 HELD_TERMS = 4_000_000
 #: What phrase_matches adds.
 NAMED = ("n_words", "n_hit", "item_ids")
@@ -126,12 +129,13 @@ def window_keys(terms: DataFrame, counts: DataFrame, size: int) -> DataFrame:
 
 def _candidates(index: DataFrame, keys: DataFrame) -> DataFrame:
     """(row, item_id, shift): alignments at which both key terms of some window stand."""
-    ends = keys.select("item_id", F.col("p1").alias("p"), F.col("t1").alias("term")).union(keys.select("item_id", "p2", "t2")).distinct()
-    met = index.join(ends, "term").select("row", "item_id", "p", F.explode("positions").alias("at")).select("row", "item_id", (F.col("at") - F.col("p")).alias("shift"), "p")
-    placed = met.groupBy("row", "item_id", "shift").agg(F.collect_set("p").alias("places"))
-    pairs = keys.groupBy("item_id").agg(F.collect_set(F.struct("p1", "p2")).alias("pairs"))
-    both = F.exists("pairs", lambda x: F.array_contains("places", x["p1"]) & F.array_contains("places", x["p2"]))
-    return placed.join(pairs, "item_id").filter(both).select("row", "item_id", "shift")
+    named = materialize(keys.select("t1", "t2", (F.col("p2") - F.col("p1")).cast("int").alias("gap"), "item_id", "p1").distinct(), "named")
+    pairs = materialize(named.select("t1", "t2", "gap").distinct(), "pairs")
+    lists = lambda t, x: index.select(F.col("term").alias(t), "row", F.col("positions").alias(x))
+    by_row = lists("t1", "x").join(small(pairs), "t1").join(lists("t2", "y"), ["t2", "row"])
+    starts = F.array_intersect("x", F.transform("y", lambda v: v - F.col("gap")))
+    placed = by_row.select("t1", "t2", "gap", "row", F.explode(starts).alias("at"))
+    return placed.join(small(named), ["t1", "t2", "gap"]).select("row", "item_id", (F.col("at") - F.col("p1")).cast("long").alias("shift")).distinct()
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, columns: list[str] | None = None) -> DataFrame:
@@ -203,7 +207,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, size: int = 10, slack:
     right = index.select(F.col("term").alias("t2"), "row", F.col("positions").alias("y"))
     met = keys.join(left, "t1").join(right, ["t2", "row"])
     near = met.filter(F.exists("x", lambda p: F.exists("y", lambda q: F.abs(p - q) <= slack)))
-    return near.select("row", "item_id", "start").distinct().join(rows.select("row", F.col("_doc_id").alias("doc_id")).distinct(), "row").select("doc_id", F.substring_index("item_id", _MARK, 1).alias("item_id"), "start")
+    return near.select("row", "item_id", "start").distinct().join(rows.select("row", F.col("_doc_id").alias("doc_id")).distinct(), "row").select("doc_id", F.regexp_extract("item_id", f"(?s)^(.*){_MARK}", 1).alias("item_id"), "start")
 
 
 def digest(matches: DataFrame) -> DataFrame:
