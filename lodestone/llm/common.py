@@ -42,11 +42,17 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0] : o[-1]], o - o[0]
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Have the session send texts to Python in batches of at most `rows` rows, so that long documents don't add up."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """What is written inside goes to Python in batches of at most `rows` rows, so that long rows don't add up."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
         spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def give_back() -> None:
