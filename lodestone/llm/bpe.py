@@ -9,7 +9,11 @@ blocks don't change the result; a piece already replayed by this task is looked
 Text is cut at single spaces before the pattern runs: every match that holds a space between other characters starts
 with it, so " word" splits alike wherever it stands. Where white space runs make that untrue, the whole text is split.
 
-Cases: a null or empty text has no tokens. Rows with equal texts or ids are encoded alike, each on its own row.
+The public pattern is assumed by the shortcuts only; with any other, every text is split whole.
+
+Cases: a null or empty text has no tokens. Rows with equal texts or ids are encoded alike, each on its own row. An empty
+table gives an empty result. Texts of any length are encoded whole, several to a block or one by itself. Columns with the
+names that are added give way. Decoding null gives no bytes; an array with an id that no token has decodes to null.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import column, give_back, load, runs, small_batches, utf8
+from lodestone.llm.common import column, give_back, load, runs, utf8
 
 #: Parts that a task remembers (twice over: those of late, and those before), and characters replayed together.
 REMEMBERED, BLOCK = 120_000, 4 << 20
@@ -185,8 +189,8 @@ class MergeReplay:
 class Codec:
     """Encodes and decodes texts; ids are kept as comma-joined decimals, the form that is hashed."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.replay, self.pattern = MergeReplay(ranks), regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, shortcuts: bool = False):
+        self.replay, self.pattern, self.shortcuts = MergeReplay(ranks), regex.compile(pattern), shortcuts
         self.newer = regex.compile(f"[{NEWER}]")
         self.token = {str(i): t for t, i in ranks.items()}
         self.parts: dict[str, str] = {}
@@ -196,6 +200,8 @@ class Codec:
 
     def split(self, text: str) -> list[str]:
         """What the pattern matches in `text`."""
+        if not self.shortcuts:
+            return self._findall(text)
         word = text[1:] if text[:1] == " " else text
         if word.isalpha():
             return [text]
@@ -214,6 +220,8 @@ class Codec:
         return out
 
     def _cut(self, text: str) -> list[str]:
+        if not self.shortcuts:
+            return [text]
         if any(r in text for r in self.runs):
             return self._findall(text)
         first, *rest = text.split(" ")
@@ -243,14 +251,16 @@ class Codec:
         while at < len(texts):
             met: set[str] = set()
             end, size = at, 0
+            cuts: list[list[str]] = []
             while end < len(texts) and size < BLOCK:
-                if t := texts[end]:
-                    met.update(self._cut(t))
-                    size += len(t)
+                t = texts[end] or ""
+                cuts.append(self._cut(t) if t else [])
+                met.update(cuts[-1])
+                size += len(t)
                 end += 1
             self._learn(met)
             get = self.parts.__getitem__
-            out.extend(",".join(map(get, self._cut(t))) if t else "" for t in texts[at:end])
+            out.extend(",".join(map(get, x)) for x in cuts)
             at = end
         return out
 
@@ -265,27 +275,27 @@ class Codec:
 
 
 @lru_cache(1)
-def _codec(name: str, pattern: str) -> Codec:
+def _codec(name: str, pattern: str, shortcuts: bool) -> Codec:
     """One for each Python worker; the rank file comes with the job."""
-    return Codec(read_ranks(SparkFiles.get(name)), pattern)
+    return Codec(read_ranks(SparkFiles.get(name)), pattern, shortcuts)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True, shortcuts: bool = False) -> DataFrame:
     """All columns of `docs` with n_tokens, ids_sha256 and decoded_sha256, and with `ids` the ids themselves.
 
     The digests take the names n_tokens, ids_sha256, decoded_sha256 and token_ids; columns of `docs` with such names
-    give way. decoded_sha256 hashes the bytes that decoding the ids gives.
+    give way. decoded_sha256 hashes the bytes that decoding the ids gives. `shortcuts` says that the pattern cuts words and
+    white space as the public one does.
     """
     spark = docs.sparkSession
     spark.sparkContext.addFile(ranks_path)
-    small_batches(spark)
     name = ranks_path.rstrip("/").rpartition("/")[2]
     added = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *([("token_ids", "array<int>")] if ids else [])]
     own = [c for c in docs.columns if c not in {x for x, _ in added}]
     kept = docs.select(*[f"`{c}`" for c in own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name, pattern)
+        codec = _codec(name, pattern, shortcuts)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in (whole.slice(a, b - a) for whole in batches for a, b in runs(utf8(column(whole, "text"))[1], BLOCK)):
             coded = codec.encode(column(batch, "text").to_pylist())
@@ -302,6 +312,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True) ->
     return kept.mapInArrow(run, schema)
 
 
+def _joined(by_id: dict[int, bytes], ids: list[int]) -> bytes | None:
+    """The tokens' bytes, or None where an id has no token."""
+    found = [by_id.get(i) for i in ids]
+    return None if None in found else b"".join(found)
+
+
 def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
     """All columns of `tokens` with `decoded` (binary): the bytes of its token_ids (null: none)."""
     spark = tokens.sparkSession
@@ -312,7 +328,7 @@ def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_id = _tokens(name)
         for batch in batches:
-            out = [b"".join(map(by_id.__getitem__, x or [])) for x in column(batch, "token_ids").to_pylist()]
+            out = [_joined(by_id, x or []) for x in column(batch, "token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "decoded binary"]))
@@ -331,4 +347,4 @@ def public_ranks() -> tuple[str, str]:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(load(spark, sf_dir, "documents").select("doc_id", "text"), *public_ranks(), ids=False).drop("text")
+    return encode(load(spark, sf_dir, "documents").select("doc_id", "text"), *public_ranks(), ids=False, shortcuts=True).drop("text")

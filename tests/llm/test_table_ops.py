@@ -209,7 +209,7 @@ def test_long_lists_meet_in_blocks(spark, monkeypatch):
 
 def test_rendered_has_flat_scaled_and_turned_pictures(spark):
     vectors = spark.createDataFrame([(4 * i, [float(i)]) for i in range(60)], "vec_id long, embedding array<double>")
-    seen = {r.image_id: image.read_pgm(bytes(r.image)) for r in image.rendered(vectors).collect()}
+    seen = {r.image_id: image.read_image(bytes(r.image)) for r in image.rendered(vectors).collect()}
     flat = sum(np.mean(x[1:] == x[:-1]) > 0.6 for i, x in seen.items() if i % 2 == 0)
     sides = [max(x.shape) for i, x in seen.items() if i % 2]
     assert 15 <= flat <= 45 and max(sides) > 64 and min(sides) < 46

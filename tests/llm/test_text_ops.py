@@ -157,6 +157,8 @@ def test_bpe_equals_the_library(spark):
         assert (x.n_tokens, list(x.token_ids or [])) == (len(ids), ids)
         assert x.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert x.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    fast = bpe.encode(docs(spark, rows), *bpe.public_ranks(), shortcuts=True)
+    assert {x.doc_id: x.ids_sha256 for x in fast.collect()} == {i: x.ids_sha256 for i, x in out.items()}
     back = bpe.decode(bpe.encode(docs(spark, rows), *bpe.public_ranks()), bpe.public_ranks()[0])
     assert all(bytes(x.decoded).decode() == (x.text or "") for x in back.collect())
 
