@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, near_dup, pii, quality
-from lodestone.llm.common import load
+from lodestone.llm.common import load, small_batches
 from lodestone.storage import release, scope, shared_dir
 
 
@@ -63,7 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        with scope():
+        with scope(), small_batches(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
         release(docs)
         docs = spark.read.parquet(f"{base}/{i}")
