@@ -2,13 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Accented letters and what they become.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-SUFFIXES = "incorporated|inc|corporation|corp|company|co|llc|llp|lp|ltd|limited|plc|holdings|holding|group|gmbh|sarl|pte|pty|ag|sa|nv|bv"
-SECOND = "incorporated|inc|corporation|corp|company|co|llc|llp|lp|ltd|limited|plc|holdings|holding|group|gmbh|ag|sa|nv|bv"
+#: Corporate suffixes of the first and the second pass; words that operators' and stations' names lose.
+SUFFIXES = "incorporated|inc|llc|ltd|limited|corp|corporation|plc|sa|ag|gmbh|nv|bv|co|company|companies|holdings|holding|group|lp|llp|sarl|pte|pty"
+SECOND = "incorporated|inc|llc|ltd|limited|corp|corporation|plc|sa|ag|gmbh|nv|bv|co|company|companies|holdings|holding|group|lp|llp"
+OPERATOR_WORDS = "inc|llc|ltd|limited|corp|corporation|co|company|plc|gmbh|sa|ag|holdings?|group"
+STATION_TYPES = "switching station|substation|switchyard|switching|switch|sub station|s/?s|tap|poi|interchange|delivery station|dc tie"
+#: What a search address encodes, in this order.
+ENCODED = (("%", "%25"), ("&", "%26"), (" ", "%20"), ('"', "%22"), ("'", "%27"), ("(", "%28"), (")", "%29"), ("/", "%2F"))
+#: States by name.
+STATES = {
+    "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT", "delaware": "DE", "florida": "FL",
+    "georgia": "GA", "hawaii": "HI", "idaho": "ID", "illinois": "IL", "indiana": "IN", "iowa": "IA", "kansas": "KS", "kentucky": "KY", "louisiana": "LA", "maine": "ME",
+    "maryland": "MD", "massachusetts": "MA", "michigan": "MI", "minnesota": "MN", "mississippi": "MS", "missouri": "MO", "montana": "MT", "nebraska": "NE", "nevada": "NV",
+    "new hampshire": "NH", "new jersey": "NJ", "new mexico": "NM", "new york": "NY", "north carolina": "NC", "north dakota": "ND", "ohio": "OH", "oklahoma": "OK",
+    "oregon": "OR", "pennsylvania": "PA", "rhode island": "RI", "south carolina": "SC", "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT",
+    "vermont": "VT", "virginia": "VA", "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY",
+    "district of columbia": "DC", "washington dc": "DC", "puerto rico": "PR",
+}
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value evaluated once, however often it is used (a column expression repeats what it names)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -30,24 +52,23 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 def normalize_company(c: Column) -> Column:
     """Lower case without a leading "the", marks and up to two stacked corporate suffixes; null if nothing is left."""
-    s = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"^the\s+", ""), "[^a-z0-9]+", " "))
-    s = F.regexp_replace(s, rf" ({SUFFIXES})$", "")
-    s = F.regexp_replace(s, rf" ({SECOND})$", "")
-    return blank_to_null(F.regexp_replace(s, " +", " "))
+    s = F.regexp_replace(F.regexp_replace(F.lower(c), r"^\s*the\s+", ""), "[^a-z0-9]+", " ")
+    for suffixes in (SUFFIXES, SECOND):
+        s = F.regexp_replace(s, rf"\s+({suffixes})\s*$", "")
+    return blank_to_null(F.regexp_replace(s, r"\s+", " "))
 
 
 def normalize_operator(c: Column) -> Column:
-    """& becomes and, dots go, corporate suffixes go anywhere."""
-    s = F.replace(F.replace(F.lower(c), F.lit("&"), F.lit(" and ")), F.lit("."), F.lit(""))
-    s = F.regexp_replace(s, r"\b(inc|llc|ltd|corp|corporation|co|company|lp|plc|gmbh|holdings|group)\b", " ")
-    return blank_to_null(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]+", " "), " +", " "))
+    """& becomes and, dots go, commas part words, corporate words go anywhere; null if nothing is left."""
+    s = F.replace(F.replace(F.replace(F.lower(c), F.lit("&"), F.lit(" and ")), F.lit("."), F.lit("")), F.lit(","), F.lit(" "))
+    return blank_to_null(F.regexp_replace(F.regexp_replace(s, rf"\b({OPERATOR_WORDS})\b", " "), "[^a-z0-9]+", " "))
 
 
 def normalize_station(c: Column) -> Column:
     """Accents and type words gone; null for placeholder names."""
-    s = F.translate(F.lower(F.trim(c)), *ACCENTS)
-    bare = F.regexp_replace(F.regexp_replace(s, r"\b(substation|sub station|switching station|switchyard|station|sub|ss|tap)\b", " "), "[^a-z0-9]+", " ")
-    return F.when(s.rlike(r"^(unknown|tap)\s*\d+$"), F.lit(None)).otherwise(blank_to_null(F.regexp_replace(bare, " +", " ")))
+    s = F.translate(F.lower(c), *ACCENTS)
+    bare = F.regexp_replace(F.regexp_replace(s, rf"\b({STATION_TYPES})\b", " "), "[^a-z0-9 ]+", " ")
+    return F.when(~s.rlike("^(unknown|tap)[0-9]+$"), blank_to_null(F.regexp_replace(bare, r"\s+", " ")))
 
 
 def slug(c: Column, cap: int = 60) -> Column:
@@ -58,7 +79,7 @@ def slug(c: Column, cap: int = 60) -> Column:
 def percent_encode(c: Column) -> Column:
     """The characters that break a query string, the percent sign first."""
     out = c
-    for raw, code in (("%", "%25"), (" ", "%20"), ('"', "%22"), ("&", "%26"), ("#", "%23"), ("+", "%2B"), ("'", "%27"), (",", "%2C")):
+    for raw, code in ENCODED:
         out = F.replace(out, F.lit(raw), F.lit(code))
     return out
 
@@ -109,7 +130,8 @@ def decode_entities(c: Column) -> Column:
         wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), wide).otherwise(r)
 
-    out = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(char(F.get(refs, i)), F.lit("")))), "")
+    both = F.struct(gaps.alias("g"), refs.alias("r"))
+    out = let(both, lambda s: F.array_join(F.transform(s["g"], lambda g, i: F.concat(g, F.coalesce(char(F.get(s["r"], i)), F.lit("")))), ""))
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
@@ -138,19 +160,31 @@ def normalize_address(c: Column) -> Column:
     return F.struct(F.nullif(F.regexp_extract(s, r"^(\d+)\s", 1), F.lit("")).alias("number"), blank_to_null(F.regexp_replace(s, r"^\d+\s+", "")).alias("body"))
 
 
+#: What the parts of an address in the States look like, from the right.
+US_COUNTRY, US_STATE, US_CITY = r"(?i)^(USA|United States)$", r"^[A-Za-z][A-Za-z .]*( +[0-9]{5}(-[0-9]{4})?)?$", r"^[A-Za-z][A-Za-z .'-]*$"
+
+
 def parse_address_rtl(c: Column) -> Column:
-    """struct(street, city, state, zip, country, basis) read from the right of a comma-separated address."""
-    p = F.transform(F.split(c, ","), lambda x: F.trim(x))
-    n = F.size(p)
-    at = lambda i: F.get(p, n - i)
-    us = r"^[A-Z]{2}( \d{5}(-\d{4})?)?$"
-    country = F.when(at(1).rlike(us), F.lit("US")).when(n >= 2, at(1))
-    tail = F.when(at(1).rlike(us), at(1)).when(at(2).rlike(us), at(2))
-    named = at(1).rlike(us)
-    city = F.when(named, at(2)).when(tail.isNotNull(), at(3)).when(n >= 3, at(2))
-    street = F.when(named & (n >= 3), at(3)).when(~named & tail.isNotNull() & (n >= 4), at(4)).when(tail.isNull() & (n >= 3), at(3))
-    basis = F.when(named, "us_tail").when(tail.isNotNull(), "us_tail_country").when(n >= 3, "country_last").when(n == 2, "city_country").otherwise("unparsed")
-    return F.struct(blank_to_null(street).alias("street"), blank_to_null(city).alias("city"), F.substring(tail, 1, 2).alias("state"), F.nullif(F.regexp_extract(tail, r"(\d{5})", 1), F.lit("")).alias("zip"), blank_to_null(country).alias("country"), basis.alias("basis"))
+    """struct(street, city, state, zip, country, basis) of a comma-separated address.
+
+    From the right: country, state with or without zip, city; a part between is neither. The street is the first part. An
+    address that doesn't end so gives its street only; `basis` says which.
+    """
+    p = F.transform(F.split(F.trim(c), ","), lambda x: F.trim(x))
+
+    def parsed(p: Column) -> Column:
+        n = F.size(p)
+        at = lambda i: F.get(p, n - i)
+        us = F.coalesce((n >= 3) & at(1).rlike(US_COUNTRY) & at(2).rlike(US_STATE) & at(3).rlike(US_CITY), F.lit(False))
+        raw = F.trim(F.regexp_replace(at(2), r"\s+[0-9]{5}(-[0-9]{4})?$", ""))
+        named = F.element_at(F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv]), F.lower(raw))
+        state = F.coalesce(named, F.when(raw.rlike("^[A-Za-z]{2}$"), F.upper(raw)))
+        street = F.nullif(F.get(p, F.lit(0)), F.lit(""))
+        basis = F.when(us, "freetext_us").when(street.isNull(), None).when(n == 1, "freetext_unsegmented").otherwise("freetext")
+        only = lambda v: F.when(us, v)
+        return F.struct(street.alias("street"), only(at(3)).alias("city"), only(state).alias("state"), only(F.nullif(F.regexp_extract(at(2), r"([0-9]{5}(-[0-9]{4})?)$", 1), F.lit(""))).alias("zip"), only(F.lit("US")).alias("country"), basis.alias("basis"))
+
+    return let(p, parsed)
 
 
 def campus_stem(c: Column) -> Column:
@@ -163,10 +197,61 @@ def to_name_array(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: Bands with the priorities and the label that call for each; labels that block.
+BANDS = (("P1", ("highest", "critical"), "p1"), ("P2", ("high",), "p2"), ("P3", ("medium",), "p3"))
+BLOCKING = ("blocked", "decision-needed", "governance")
+
+
+def _lower_all(labels: Column) -> Column:
+    return F.transform(F.coalesce(labels, F.array().cast("array<string>")), lambda x: F.lower(x))
+
+
 def priority_band(priority: Column, labels: Column) -> Column:
-    """now, next or later by number (1 is most urgent) and labels."""
-    return F.when((priority == 1) | F.arrays_overlap(labels, F.array(F.lit("urgent"))), "now").when(priority.isin(2, 3), "next").otherwise("later")
+    """P1 to P4 by a tracker's priority or a label, the most urgent first."""
+    out = F.lit("P4")
+    for band, words, label in reversed(BANDS):
+        out = F.when(F.lower(priority).isin(*words) | F.array_contains(_lower_all(labels), label), band).otherwise(out)
+    return out
+
+
+def is_blocked(status: Column, labels: Column, blocking: tuple[str, ...] = BLOCKING) -> Column:
+    """By a status that says so, or by any of the labels that block."""
+    return F.coalesce(F.lower(status).contains("blocked"), F.lit(False)) | F.arrays_overlap(_lower_all(labels), F.array(*[F.lit(x) for x in blocking]))
+
+
+def json_texts(c: Column) -> Column:
+    """The elements of a JSON array as texts; null if it is none."""
+    v = F.try_parse_json(c)
+    return F.when(F.schema_of_variant(v).startswith("ARRAY<"), F.transform(F.variant_get(v, "$", "array<variant>"), lambda x: F.try_variant_get(x, "$", "string")))
+
+
+def json_get(c: Column, *path: str) -> Column:
+    """The value at a path of keys as text; null where it is missing or null."""
+    return F.try_variant_get(F.try_parse_json(c), "$" + "".join(f"['{k}']" for k in path), "string")
+
+
+def json_build(strip_nulls: bool = False, **fields: Column) -> Column:
+    """A JSON object of the fields, nulls kept or (strip_nulls) left out."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": str(strip_nulls).lower()})
+
+
+def _entries(c: Column) -> Column:
+    """The top-level fields of a JSON object, each value as JSON."""
+    return F.transform_values(F.from_json(c, "map<string,variant>"), lambda k, v: F.to_json(v))
+
+
+def _object(m: Column) -> Column:
+    """A JSON object of a map of keys to JSON, keys in order."""
+    pairs = F.array_sort(F.map_entries(m))
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"])), ","), F.lit("}"))
+
+
+def json_strip_nulls(c: Column) -> Column:
+    """A JSON object without its top-level fields that are null, keys in order."""
+    return _object(F.map_filter(_entries(c), lambda k, v: v != "null"))
 
 
-def is_blocked(status: Column, labels: Column) -> Column:
-    return F.coalesce(F.lower(status).contains("block"), F.lit(False)) | F.coalesce(F.arrays_overlap(labels, F.array(F.lit("blocked"))), F.lit(False))
+def json_merge(a: Column, b: Column) -> Column:
+    """Two JSON objects as one, the second's fields winning, keys in order; a null side gives the other."""
+    x, y = _entries(a), _entries(b)
+    return F.coalesce(_object(F.map_concat(F.map_filter(x, lambda k, v: ~F.array_contains(F.map_keys(y), k)), y)), _object(x), _object(y))

@@ -27,8 +27,10 @@ FROM lineitem""")
 view("entities", """
 SELECT DISTINCT l_orderkey AS entity_id,
   CASE l_orderkey % 5 WHEN 0 THEN 'parcel' WHEN 1 THEN 'address' WHEN 2 THEN 'centroid' WHEN 3 THEN 'municipality' ELSE 'none' END AS geo_precision,
-  CASE l_orderkey % 4 WHEN 0 THEN 'operational' WHEN 1 THEN 'under_construction' WHEN 2 THEN 'announced' ELSE 'rumored' END AS lifecycle,
-  CAST(l_orderkey % 101 AS BIGINT) AS old_score
+  CASE l_orderkey % 11 WHEN 0 THEN 'operational' WHEN 1 THEN 'commissioning' WHEN 2 THEN 'expansion' WHEN 3 THEN 'construction' WHEN 4 THEN 'permitted' WHEN 5 THEN 'entitled'
+    WHEN 6 THEN 'announced' WHEN 7 THEN 'rumored' WHEN 8 THEN 'decommissioned' WHEN 9 THEN 'unheard of' END AS lifecycle,
+  concat('L', CAST(1 + l_orderkey % 4 AS STRING)) AS old_layer, CAST(l_orderkey % 101 AS BIGINT) AS old_score,
+  CASE l_orderkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' END AS old_band, l_orderkey % 2 = 0 AS old_publishable
 FROM lineitem""")
 
 view("bands", """
@@ -43,7 +45,9 @@ view("v2", """
 SELECT n_name AS state, concat('s', CAST(o_custkey % 5 AS STRING)) AS source_key, CAST(o_orderkey AS STRING) AS record_id, c_name AS recipient,
   CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE concat(n_name, CASE WHEN o_custkey % 2 = 0 THEN ' County' ELSE '' END) END AS county,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'tax abatement' WHEN '2-HIGH' THEN 'cash grant' WHEN '3-MEDIUM' THEN 'TIF' ELSE 'Sales Tax exemption' END AS award_type,
-  o_totalprice AS amount, CAST(o_orderdate AS DATE) AS term_start, CAST(NULL AS DATE) AS term_end
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'abatement' WHEN '2-HIGH' THEN 'grant' WHEN '3-MEDIUM' THEN 'tif' WHEN '4-NOT SPECIFIED' THEN 'exemption' END AS incentive_type,
+  o_totalprice AS amount, CAST(o_orderdate AS DATE) AS term_start, CAST(NULL AS DATE) AS term_end, CASE WHEN o_custkey % 4 <> 0 THEN CAST(o_custkey % 4 * 2.5 AS DOUBLE) END AS term_years,
+  CASE WHEN o_custkey % 3 <> 0 THEN concat('Program ', CAST(o_custkey % 3 AS STRING)) END AS program_name, CASE WHEN o_custkey % 5 = 0 THEN 'Act 7' END AS statute_citation
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 
 view("award_registry", """

@@ -9,23 +9,24 @@ from lodestone.functions import text as tx
 from lodestone.functions import values as vl
 from lodestone.plans.base import query, view
 
-SUF = "incorporated|inc|corporation|corp|company|co|llc|llp|lp|ltd|limited|plc|holdings|holding|group|gmbh"
+view("odd_names", "SELECT company_id, CASE company_id % 9 WHEN 0 THEN concat('  The ', raw_name, ' Companies') WHEN 1 THEN concat(raw_name, ', Co. S.A.R.L. sarl') WHEN 2 THEN concat(raw_name, ' Holding & Group, Ltd.') WHEN 3 THEN concat(raw_name, ' AG') WHEN 4 THEN 'Group Inc' WHEN 5 THEN NULL WHEN 6 THEN concat(raw_name, ' Pty Ltd') WHEN 7 THEN concat(raw_name, ' L.P.') ELSE raw_name END AS nm FROM v4", "v4")
+FIRST = "incorporated|inc|llc|ltd|limited|corp|corporation|plc|sa|ag|gmbh|nv|bv|co|company|companies|holdings|holding|group|lp|llp"
 
 
-@query(f"""SELECT company_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(trim(raw_name)), '^the\\s+', ''), '[^a-z0-9]+', ' ', 'g')), ' ({SUF}|sarl|pte|pty|ag|sa|nv|bv)$', ''), ' ({SUF}|ag|sa|nv|bv)$', ''), ' +', ' ', 'g')), '') AS norm FROM v4""", "v4")
+@query(rf"""SELECT company_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(nm, '')), '^\s*the\s+', ''), '[^a-z0-9]+', ' ', 'g'), '\s+({FIRST}|sarl|pte|pty)\s*$', ''), '\s+({FIRST})\s*$', ''), '\s+', ' ', 'g')), '') AS norm FROM odd_names""", "odd_names")
 def f1_normalize_company(d):
-    return d.v4.select("company_id", tx.normalize_company(F.col("raw_name")).alias("norm"))
+    return d.odd_names.select("company_id", tx.normalize_company(F.col("nm")).alias("norm"))
 
 
-@query("""SELECT company_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(lower(raw_name || ' & Co.'), '&', ' and '), '.', ''), '\\b(inc|llc|ltd|corp|corporation|co|company|lp|plc|gmbh|holdings|group)\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')), '') AS norm FROM v4""", "v4")
+@query(r"""SELECT company_id, nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(lower(nm), '&', ' and '), '.', ''), ',', ' '), '\b(inc|llc|ltd|limited|corp|corporation|co|company|plc|gmbh|sa|ag|holdings?|group)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), '') AS norm FROM odd_names""", "odd_names")
 def f2_normalize_operator(d):
-    return d.v4.select("company_id", tx.normalize_operator(F.concat("raw_name", F.lit(" & Co."))).alias("norm"))
+    return d.odd_names.select("company_id", tx.normalize_operator(F.col("nm")).alias("norm"))
 
 
-view("stations", "SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN concat('Unknown', CAST(s_suppkey AS STRING)) WHEN 1 THEN concat('Río ', s_name, ' Substation') WHEN 2 THEN concat('tap ', CAST(s_suppkey AS STRING)) ELSE concat(s_name, ' Switching Station') END AS nm FROM supplier")
+view("stations", "SELECT s_suppkey AS id, CASE s_suppkey % 8 WHEN 0 THEN concat('UNKNOWN', CAST(s_suppkey AS STRING)) WHEN 1 THEN concat('Río ', s_name, ' Substation') WHEN 2 THEN concat('tap', CAST(s_suppkey AS STRING)) WHEN 3 THEN concat('Tap ', CAST(s_suppkey AS STRING)) WHEN 4 THEN concat(s_name, ' DC Tie S/S') WHEN 5 THEN concat(s_name, ' Station') WHEN 6 THEN concat(s_name, ' Switch (POI)') ELSE concat(s_name, ' Switching Station') END AS nm FROM supplier")
 
 
-@query("""SELECT id, CASE WHEN regexp_matches(lower(trim(nm)), '^(unknown|tap)\\s*\\d+$') THEN NULL ELSE nullif(trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(trim(nm))), '\\b(substation|sub station|switching station|switchyard|station|sub|ss|tap)\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')), '') END AS norm FROM stations""", "stations")
+@query(r"""SELECT id, CASE WHEN NOT regexp_matches(strip_accents(lower(nm)), '^(unknown|tap)[0-9]+$') THEN nullif(trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(nm)), '\b(switching station|substation|switchyard|switching|switch|sub station|s/?s|tap|poi|interchange|delivery station|dc tie)\b', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')), '') END AS norm FROM stations""", "stations")
 def f3_normalize_station(d):
     return d.stations.select("id", tx.normalize_station(F.col("nm")).alias("norm"))
 
@@ -36,16 +37,16 @@ def f4_slug_and_ids(d):
     return d.v4.select("company_id", tx.slug(F.col("raw_name"), 20).alias("slug"), tx.stable_id(F.col("raw_name"), "co_").alias("id"), tx.lineage_key(F.col("kind"), F.col("company_id")).alias("lineage"))
 
 
-@query("""SELECT company_id, replace(replace(replace(replace(replace(replace(replace(replace(raw_name || ' 5% "q" & #1', '%', '%25'), ' ', '%20'), '"', '%22'), '&', '%26'), '#', '%23'), '+', '%2B'), '''', '%27'), ',', '%2C') AS enc, CASE WHEN regexp_replace(regexp_replace(lower(trim(kind)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') = 'economy' THEN 'eco' ELSE regexp_replace(regexp_replace(lower(trim(kind)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') END AS skey FROM v4""", "v4")
+@query("""SELECT company_id, replace(replace(replace(replace(replace(replace(replace(replace(concat(raw_name, ' 5% "q" & #1 (it''s a/b), +'), '%', '%25'), '&', '%26'), ' ', '%20'), '"', '%22'), chr(39), '%27'), '(', '%28'), ')', '%29'), '/', '%2F') AS enc, CASE WHEN regexp_replace(regexp_replace(lower(trim(kind)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') = 'economy' THEN 'eco' ELSE regexp_replace(regexp_replace(lower(trim(kind)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') END AS skey FROM v4""", "v4")
 def f5_percent_encode_source_key(d):
     """F5 and F6."""
-    return d.v4.select("company_id", tx.percent_encode(F.concat("raw_name", F.lit(' 5% "q" & #1'))).alias("enc"), tx.source_key(F.col("kind"), {"economy": "eco"}).alias("skey"))
+    return d.v4.select("company_id", tx.percent_encode(F.concat("raw_name", F.lit(" 5% \"q\" & #1 (it's a/b), +"))).alias("enc"), tx.source_key(F.col("kind"), {"economy": "eco"}).alias("skey"))
 
 
-view("money", "SELECT o_orderkey AS id, concat('$', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), ',000') AS plain, concat('$', CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING), '.5 ', CASE o_custkey % 4 WHEN 0 THEN 'million' WHEN 1 THEN 'billion' WHEN 2 THEN 'thousand' ELSE '' END) AS scaled FROM orders")
+view("money", "SELECT o_orderkey AS id, concat('$', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), ',000') AS plain, concat(CASE o_custkey % 3 WHEN 0 THEN '-$' ELSE '$' END, CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING), '.5 ', CASE o_custkey % 4 WHEN 0 THEN 'million' WHEN 1 THEN 'billion' WHEN 2 THEN 'thousand' ELSE '' END) AS scaled FROM orders")
 
 
-@query("""SELECT id, TRY_CAST(regexp_replace(plain, '[$,\\s]', '', 'g') AS DOUBLE) AS num, CAST(floor(TRY_CAST(regexp_extract(scaled, '([0-9.]+)', 1) AS DOUBLE) * CASE WHEN scaled LIKE '%million' THEN 1e6 WHEN scaled LIKE '%billion' THEN 1e9 WHEN scaled LIKE '%thousand' THEN 1e3 ELSE 1 END + 0.5) AS BIGINT) AS usd FROM money""", "money")
+@query("""SELECT id, TRY_CAST(regexp_replace(plain, '[$,\\s]', '', 'g') AS DOUBLE) AS num, CAST(floor(TRY_CAST(regexp_extract(replace(scaled, '$', ''), '(-?[0-9.]+)', 1) AS DOUBLE) * CASE WHEN scaled LIKE '%million' THEN 1e6 WHEN scaled LIKE '%billion' THEN 1e9 WHEN scaled LIKE '%thousand' THEN 1e3 ELSE 1 END + 0.5) AS BIGINT) AS usd FROM money""", "money")
 def f9_parse_numbers(d):
     """F9 and F10."""
     return d.money.select("id", vl.parse_number(F.col("plain")).alias("num"), vl.parse_usd_scaled(F.col("scaled")).alias("usd"))
@@ -62,7 +63,7 @@ view("dates", """SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, CASE o
 def f11_parse_dates(d):
     """F11, F13, F14 and F21's year."""
     end = F.lit("2001-08-02").cast("date")
-    return d.dates.select("id", vl.parse_date_any(F.col("s")).alias("parsed"), vl.years_between(F.col("d"), end).alias("years"), vl.lag_days(F.col("d"), end).alias("lag"), vl.year4(F.concat(F.lit("in "), F.year("d").cast("string"))).alias("y4"))
+    return d.dates.select("id", vl.parse_date_any(F.col("s")).alias("parsed"), vl.years_between(F.col("d"), end).alias("years"), vl.lag_days(F.col("d"), end).alias("lag"), vl.year4(F.concat(F.lit("in "), F.year("d").cast("string"), F.lit("01"))).alias("y4"))
 
 
 @query("SELECT event_id, CAST(epoch_ms(CAST(event_id * 86400000 AS BIGINT)) AS DATE) AS d FROM events WHERE event_id < 20000")
@@ -71,36 +72,53 @@ def f12_epoch_ms(d):
     return d.events.select("event_id", vl.epoch_ms_to_date((day * 86400000).cast("string")).alias("d"))
 
 
-view("plans", """SELECT o_orderkey AS id, concat('Rebuild Cotton', CAST(o_custkey % 7 AS STRING), ' to Edith Clarke ', CAST(100 + o_custkey % 5 * 35 AS STRING), '-kV line in Deaf Smith County for ',
-  CASE o_custkey % 4 WHEN 0 THEN 'data center' WHEN 1 THEN 'solar generation' WHEN 2 THEN 'reliability' ELSE 'age' END) AS title,
-  CASE o_custkey % 3 WHEN 0 THEN 'Future projects' ELSE 'Completed' END AS section, CASE o_custkey % 5 WHEN 0 THEN 'In Service' WHEN 1 THEN 'Cancelled' ELSE 'Open' END AS status FROM orders""")
+#: Worked cases of plan rows, with what is to be read from each.
+view("plan_cases", """SELECT * FROM (VALUES
+  (0, 'Rebuild Cottonwood to Edith Clarke 345-kV line in Deaf Smith County for data center', 'Future', 'Energized', 345, 'Deaf Smith', 'Rebuild Cottonwood|Edith Clarke', 'load_growth', true, 'actual'),
+  (1, 'new San Miguel Switching Station for solar', 'rtp', '', CAST(NULL AS INT), CAST(NULL AS STRING), 'San Miguel', 'generation_interconnection', false, 'projected'),
+  (2, 'Bakersfield Switch upgrade, reliability', 'completed', 'Planned', NULL, NULL, 'Bakersfield', 'reliability', false, 'actual'),
+  (3, 'Line built in Winston-Salem Counties; congestion', 'future', 'Under Construction', NULL, 'Winston-Salem', '', 'economic', false, 'required'),
+  (4, 'asset condition of Mc.Neal-Hill Substation, 138 kV', 'future', 'Cancelled', 138, NULL, 'Mc.Neal-Hill', 'asset_condition', false, 'unknown'),
+  (5, 'Energize Line', 'proposed', NULL, NULL, NULL, '', NULL, false, 'projected'),
+  (6, 'crypto mine 69 kv', '', '', 69, NULL, '', NULL, true, 'unknown'),
+  (7, CAST(NULL AS STRING), 'cancelled', NULL, NULL, NULL, NULL, NULL, false, 'unknown'),
+  (8, 'Line from New Switchyard to A Line Project in St. Mary Anne County, policy', 'planned', 'closed out', NULL, 'St. Mary Anne', '', 'policy', false, 'actual')
+ ) AS c(k, title, section, status, kv, county, names, driver, large, date_type)""")
+view("plans", "SELECT o_orderkey AS id, c.* FROM orders JOIN plan_cases c ON o_custkey % 9 = c.k", "plan_cases")
 
 
-@query("""SELECT id, CAST(regexp_extract(title, '([0-9]{2,4})-kV', 1) AS INTEGER) AS kv, 'Deaf Smith' AS county, 'Edith Clarke' AS last_name, CASE WHEN title LIKE '%data center' THEN 'large_load' WHEN title LIKE '%generation%' THEN 'generation' WHEN title LIKE '%reliab%' THEN 'reliability' ELSE 'asset_renewal' END AS driver,
- title LIKE '%data center' AS large, CASE WHEN status = 'Cancelled' THEN 'unknown' WHEN status = 'In Service' THEN 'actual' WHEN section LIKE 'Future%' THEN 'projected' ELSE 'actual' END AS date_type FROM plans""", "plans")
+@query("SELECT id, kv, county, names, driver, large, date_type FROM plans", "plans")
 def f15_plan_fields(d):
     """F15 to F19."""
     t = F.col("title")
-    return d.plans.select("id", vl.extract_kv(t).alias("kv"), vl.extract_county(t).alias("county"), F.element_at(vl.extract_station_names(t), -1).alias("last_name"), vl.classify_driver(t).alias("driver"), vl.is_large_load(t).alias("large"), vl.classify_date_type(F.col("section"), F.col("status")).alias("date_type"))
+    return d.plans.select("id", vl.extract_kv(t).alias("kv"), vl.extract_county(t).alias("county"), F.array_join(vl.extract_station_names(t), "|").alias("names"), vl.classify_driver(t).alias("driver"), vl.is_large_load(t).alias("large"), vl.classify_date_type(F.col("section"), F.col("status")).alias("date_type"))
 
 
-@query("""SELECT record_id, CASE award_type WHEN 'tax abatement' THEN 'abatement' WHEN 'cash grant' THEN 'grant' WHEN 'TIF' THEN 'tif' ELSE 'exemption' END AS kind, CASE WHEN county LIKE '% County' THEN replace(county, ' County', '') END AS county FROM v2""", "v2")
+view("incentives", """SELECT o_orderkey AS record_id, c.* FROM orders JOIN (VALUES (0, 'Tax Increment financing', 'tif', 'Albany County Industrial Development Agency', 'Albany'), (1, 'PILOT agreement', 'pilot', 'City of Yonkers Agency', NULL), (2, 'Payment-in-lieu of taxes', 'pilot', 'St. Lawrence COUNTY IDA', 'St. Lawrence'),
+  (3, 'low interest Loan', 'loan', '', NULL), (4, 'training support', 'other', NULL, NULL), (5, NULL, NULL, 'County of Kings', NULL), (6, '', NULL, 'A  county', 'A'), (7, 'tax credit grant', 'credit', 'x', NULL), (8, 'Reinvestment Zone abatement', 'tif', 'x', NULL), (9, 'abatement or exemption', 'abatement', 'x', NULL),
+  (10, 'cash grant', 'grant', 'x', NULL), (11, 'Sales Tax exemption', 'exemption', 'Countyline Agency', NULL), (12, 'TIF', 'tif', 'x', NULL), (13, 'motif', 'other', 'x', NULL)) AS c(k, raw, kind, authority, county) ON o_custkey % 14 = c.k""")
+
+
+@query("SELECT record_id, kind, county FROM incentives", "incentives")
 def f20_incentive_type(d):
     """F20 and F21's county."""
-    return d.v2.select("record_id", vl.normalize_incentive_type(F.col("award_type")).alias("kind"), vl.county_from_authority(F.col("county")).alias("county"))
+    return d.incentives.select("record_id", vl.normalize_incentive_type(F.col("raw")).alias("kind"), vl.county_from_authority(F.col("authority")).alias("county"))
 
 
-view("naics", "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN '221112' WHEN 1 THEN '331110' WHEN 2 THEN '325180' WHEN 3 THEN '327310' WHEN 4 THEN '311221' ELSE '541512' END AS code, CASE p_partkey % 3 WHEN 0 THEN ' Operational ' WHEN 1 THEN 'planned' ELSE 'odd' END AS status FROM part")
+view("naics", """SELECT p_partkey AS id, c.*, CASE p_partkey % 3 WHEN 0 THEN ' Operational ' WHEN 1 THEN 'planned' ELSE 'odd' END AS status FROM part JOIN (VALUES (0, '331313', 'smelter'), (1, '331110', 'steel'), (2, '322121', 'paper'), (3, '334413', 'fab'), (4, '324110', 'refinery'), (5, '325412', 'pharma'),
+  (6, '325180', 'chemical'), (7, '336111', 'auto'), (8, '336390', 'auto'), (9, '541512', 'other'), (10, NULL, 'unknown'), (11, '33-13 x', 'smelter'), (12, '', 'unknown'), (13, '33', 'other')) AS c(k, code, industry) ON p_partkey % 14 = c.k""")
 
 
-@query("""SELECT id, CASE code WHEN '221112' THEN 'power' WHEN '331110' THEN 'primary_metals' WHEN '325180' THEN 'chemicals' WHEN '327310' THEN 'materials' WHEN '311221' THEN 'consumer' ELSE 'other' END AS industry,
- CASE trim(lower(status)) WHEN 'operational' THEN 'live' WHEN 'planned' THEN 'announced' ELSE 'unknown' END AS status FROM naics""", "naics")
+@query("SELECT id, industry, CASE trim(lower(status)) WHEN 'operational' THEN 'live' WHEN 'planned' THEN 'announced' ELSE 'unknown' END AS status FROM naics", "naics")
 def f22_codes(d):
     """F22 and F23."""
     return d.naics.select("id", vl.industry_class(F.col("code")).alias("industry"), vl.map_status(F.col("status"), {"operational": "live", "planned": "announced"}).alias("status"))
 
 
-@query("SELECT entity_id, CASE lifecycle WHEN 'operational' THEN 'L4' WHEN 'under_construction' THEN 'L3' WHEN 'announced' THEN 'L2' ELSE 'L1' END AS layer FROM entities", "entities")
+LAYER = "CASE WHEN lifecycle IN ('operational', 'commissioning', 'expansion') THEN 'L1' WHEN lifecycle = 'construction' THEN 'L2' WHEN lifecycle IN ('permitted', 'entitled') THEN 'L3' WHEN lifecycle IN ('announced', 'rumored') THEN 'L4' END"
+
+
+@query(f"SELECT entity_id, {LAYER} AS layer FROM entities", "entities")
 def f24_layer(d):
     from lodestone.operators.observations import LAYERS, steps
 
@@ -133,11 +151,17 @@ def f31_haversine(d):
     return d.v3.select("site_id", F.round(geo.haversine_m(F.col("lat"), F.col("lng"), F.lit(31.0), F.lit(-99.0)), 2).alias("m"))
 
 
-@query("SELECT auto_id, CAST(CASE cadence WHEN 'hourly' THEN 3600 WHEN 'daily' THEN 86400 WHEN 'weekly' THEN 604800 WHEN 'monthly' THEN 2678400 END AS BIGINT) AS secs, cadence AS norm, last_artifact_at IS NULL OR epoch(TIMESTAMP '2024-02-01' - last_artifact_at) >= coalesce(CASE cadence WHEN 'hourly' THEN 3600 WHEN 'daily' THEN 86400 WHEN 'weekly' THEN 604800 WHEN 'monthly' THEN 2678400 END, 86400) AS due FROM sources", "sources")
+view("cadences", """SELECT auto_id, last_artifact_at, CASE CAST(substr(auto_id, 2) AS INT) % 10 WHEN 0 THEN 'hourly' WHEN 1 THEN 'daily' WHEN 2 THEN 'weekly' WHEN 3 THEN 'semiannual' WHEN 4 THEN 'monthly' WHEN 5 THEN 'event_driven' WHEN 6 THEN 'archival_refresh' WHEN 7 THEN 'one_time' WHEN 8 THEN 'biweekly' END AS cadence,
+  CASE CAST(substr(auto_id, 2) AS INT) % 10 WHEN 0 THEN 'HOURLY, daily digest' WHEN 1 THEN 'twice Daily' WHEN 2 THEN 'Weekly' WHEN 3 THEN '2 per month' WHEN 4 THEN 'continuous' WHEN 5 THEN 'on events' WHEN 6 THEN 'yearly' END AS said FROM sources""", "sources")
+
+
+@query("""SELECT auto_id, CAST(CASE cadence WHEN 'hourly' THEN 3600 WHEN 'daily' THEN 86400 WHEN 'weekly' THEN 7 * 86400 WHEN 'biweekly' THEN 14 * 86400 WHEN 'monthly' THEN 31 * 86400 WHEN 'quarterly' THEN 92 * 86400 WHEN 'semiannual' THEN 184 * 86400 WHEN 'annual' THEN 366 * 86400 END AS BIGINT) AS secs,
+ CASE WHEN said ILIKE '%hourly%' THEN 'hourly' WHEN said ILIKE '%daily%' THEN 'daily' WHEN said ILIKE '%weekly%' THEN 'weekly' WHEN said ILIKE '%per %' OR said ILIKE '%continuous%' OR said ILIKE '%event%' THEN 'event_driven' ELSE 'archival_refresh' END AS norm,
+ last_artifact_at IS NULL OR epoch(TIMESTAMP '2024-02-01' - last_artifact_at) >= 60 * CASE cadence WHEN 'hourly' THEN 50 WHEN 'weekly' THEN 6.5 * 24 * 60 WHEN 'archival_refresh' THEN 27 * 24 * 60 WHEN 'one_time' THEN 365 * 24 * 60 ELSE 20 * 60 END AS due FROM cadences""", "cadences")
 def f32_cadence(d):
     """F32 and H9."""
     c = F.col("cadence")
-    return d.sources.select("auto_id", vl.cadence_seconds(c).alias("secs"), vl.normalize_cadence(F.concat(F.lit("every "), c)).alias("norm"), vl.is_due(c, F.col("last_artifact_at"), F.lit("2024-02-01").cast("timestamp")).alias("due"))
+    return d.cadences.select("auto_id", vl.cadence_seconds(c).alias("secs"), vl.normalize_cadence(F.col("said")).alias("norm"), vl.is_due(c, F.col("last_artifact_at"), F.lit("2024-02-01").cast("timestamp")).alias("due"))
 
 
 @query("""SELECT s_suppkey AS id, CAST(s_suppkey AS STRING) AS number, concat('n ', lower(replace(s_name, '#', '#')), ' st') AS body FROM supplier""")
@@ -146,13 +170,16 @@ def f33_normalize_address(d):
     return d.supplier.select(F.col("s_suppkey").alias("id"), a["number"].alias("number"), a["body"].alias("body"))
 
 
-@query("""SELECT s_suppkey AS id, concat(CAST(s_suppkey AS STRING), ' Main St') AS street, 'Austin' AS city, CASE WHEN s_suppkey % 3 <> 2 THEN 'TX' END AS state, CASE WHEN s_suppkey % 3 <> 2 THEN '78701' END AS zip,
- CASE s_suppkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'USA' ELSE 'Mexico' END AS country, CASE s_suppkey % 3 WHEN 0 THEN 'us_tail' WHEN 1 THEN 'us_tail_country' ELSE 'country_last' END AS basis FROM supplier""")
+view("addresses", """SELECT s_suppkey AS id, c.* FROM supplier JOIN (VALUES (0, 'Historic District, 11680 Hayden Road, Manassas, VA, USA', 'Historic District', 'Manassas', 'VA', NULL, 'US', 'freetext_us'),
+  (1, '1 Main St, Austin, Texas 78701-1234, united states', '1 Main St', 'Austin', 'TX', '78701-1234', 'US', 'freetext_us'), (2, '5 Rue X, Paris, France', '5 Rue X', NULL, NULL, NULL, NULL, 'freetext'), (3, 'only this', 'only this', NULL, NULL, NULL, NULL, 'freetext_unsegmented'),
+  (4, ' , Austin', NULL, NULL, NULL, NULL, NULL, NULL), (5, CAST(NULL AS STRING), NULL, NULL, NULL, NULL, NULL, NULL), (6, '2 Elm, O''Fallon, Nowhere 60000, USA', '2 Elm', 'O''Fallon', NULL, '60000', 'US', 'freetext_us'), (7, '3 Elm, 5th Ward, TX 78701, USA', '3 Elm', NULL, NULL, NULL, NULL, 'freetext'),
+  (8, '9 Oak, St. Paul, mn 55101, USA', '9 Oak', 'St. Paul', 'MN', '55101', 'US', 'freetext_us')) AS c(k, addr, street, city, state, zip, country, basis) ON s_suppkey % 9 = c.k""")
+
+
+@query("SELECT id, street, city, state, zip, country, basis FROM addresses", "addresses")
 def f34_parse_address(d):
-    k = F.col("s_suppkey") % 3
-    tail = F.when(k == 0, "Austin, TX 78701").when(k == 1, "Austin, TX 78701, USA").otherwise("Austin, Mexico")
-    a = tx.parse_address_rtl(F.concat(F.col("s_suppkey").cast("string"), F.lit(" Main St, "), tail))
-    return d.supplier.select(F.col("s_suppkey").alias("id"), *[a[c].alias(c) for c in ("street", "city", "state", "zip", "country", "basis")])
+    a = tx.parse_address_rtl(F.col("addr"))
+    return d.addresses.select("id", *[a[c].alias(c) for c in ("street", "city", "state", "zip", "country", "basis")])
 
 
 @query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS stem, substr(s_name, 1, 6) AS head FROM supplier")
@@ -162,14 +189,38 @@ def f36_campus_stem(d):
     return d.supplier.select(F.col("s_suppkey").alias("id"), tx.campus_stem(name).alias("stem"), tx.head(F.col("s_name"), 6).alias("head"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 = 1 OR o_custkey % 3 = 0 THEN 'now' WHEN o_custkey % 5 IN (2, 3) THEN 'next' ELSE 'later' END AS band, o_orderstatus = 'P' AS blocked FROM orders")
+view("issues", """SELECT o_orderkey AS id, CASE o_custkey % 6 WHEN 0 THEN 'Highest' WHEN 1 THEN 'critical' WHEN 2 THEN 'High' WHEN 3 THEN 'Medium' WHEN 4 THEN 'Low' END AS priority, CASE o_orderkey % 7 WHEN 0 THEN 'P1' WHEN 1 THEN 'p2' WHEN 2 THEN 'P3' WHEN 3 THEN 'Governance' WHEN 4 THEN 'decision-needed' WHEN 5 THEN 'BLOCKED' ELSE 'x' END AS label,
+  CASE o_orderstatus WHEN 'P' THEN 'Was Blocked' ELSE 'Open' END AS status FROM orders""")
+
+
+@query("""SELECT id, CASE WHEN lower(coalesce(priority, '')) IN ('highest', 'critical') OR lower(label) = 'p1' THEN 'P1' WHEN lower(coalesce(priority, '')) = 'high' OR lower(label) = 'p2' THEN 'P2' WHEN lower(coalesce(priority, '')) = 'medium' OR lower(label) = 'p3' THEN 'P3' ELSE 'P4' END AS band,
+ lower(status) LIKE '%blocked%' OR lower(label) IN ('blocked', 'decision-needed', 'governance') AS blocked FROM issues""", "issues")
 def f40_priority_band(d):
-    labels = F.array(F.when(F.col("o_custkey") % 3 == 0, "urgent").otherwise("normal"))
-    status = F.when(F.col("o_orderstatus") == "P", "Blocked").otherwise("open")
-    return d.orders.select(F.col("o_orderkey").alias("id"), tx.priority_band((F.col("o_custkey") % 5).cast("int"), labels).alias("band"), tx.is_blocked(status, labels).alias("blocked"))
+    labels = F.array("label", F.lit("other"))
+    return d.issues.select("id", tx.priority_band(F.col("priority"), labels).alias("band"), tx.is_blocked(F.col("status"), labels).alias("blocked"))
 
 
-@query("SELECT o_orderkey AS id, greatest(1, least(5, CAST(floor(o_totalprice % 100 / 20 + 0.5) AS BIGINT))) AS score, greatest(coalesce(o_totalprice, 0) - 100000, 0) AS headroom FROM orders")
+@query("""SELECT id, greatest(1, least(5, CAST(round(x / 20 + 0.5) AS BIGINT))) AS score, greatest(1, least(5, CAST(round(5 - 4 * x / 100) AS BIGINT))) AS opposed, greatest(1, least(5, CAST(round(1 + 4 * x / 100) AS BIGINT))) AS open,
+ least(CASE WHEN w >= 1000 THEN 5 WHEN w >= 300 THEN 4 WHEN w >= 100 THEN 3 WHEN w >= 20 THEN 2 ELSE 1 END, CASE WHEN x >= 95 THEN 5 WHEN x >= 80 THEN 4 WHEN x >= 50 THEN 3 ELSE 2 END)::BIGINT AS power, greatest(coalesce(o_totalprice, 0) - 100000, 0) AS headroom
+FROM (SELECT o_orderkey AS id, CAST(o_custkey % 101 AS DOUBLE) AS x, o_totalprice / 100 AS w, o_totalprice FROM orders)""")
 def f42_dimension_score(d):
     """F42 and P1."""
-    return d.orders.select(F.col("o_orderkey").alias("id"), vl.dimension_score(F.col("o_totalprice") % 100).alias("score"), vl.headroom(F.col("o_totalprice"), F.lit(100000.0)).alias("headroom"))
+    x = (F.col("o_custkey") % 101).cast("double")
+    score = lambda kind: vl.dimension_score(x, kind)
+    return d.orders.select(F.col("o_orderkey").alias("id"), score("level").alias("score"), score("opposition").alias("opposed"), score("openness").alias("open"), vl.power_score(F.col("o_totalprice") / 100, x).alias("power"), vl.headroom(F.col("o_totalprice"), F.lit(100000.0)).alias("headroom"))
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN concat(p_brand, '|', CAST(p_size AS STRING)) WHEN 1 THEN '' END AS texts FROM part")
+def f26_json_texts(d):
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, F.concat(F.lit('["'), "p_brand", F.lit('", '), F.col("p_size").cast("string"), F.lit("]"))).when(k == 1, "[]").when(k == 2, F.concat(F.lit('{"a": "'), "p_brand", F.lit('"}'))).otherwise("broken [")
+    return d.part.select(F.col("p_partkey").alias("id"), F.array_join(tx.json_texts(raw), "|").alias("texts"))
+
+
+@query("""SELECT p_partkey AS id, p_brand AS got, concat('{"brand":"', p_brand, '","none":null}') AS built, concat('{"brand":"', p_brand, '"}') AS bare, concat('{"a":{"b":"', p_brand, '"},"n":1}') AS stripped, concat('{"a":2,"n":null,"z":[', CAST(p_size AS STRING), ']}') AS merged FROM part""")
+def f27_json(d):
+    """Get, build, strip nulls and merge."""
+    doc = F.concat(F.lit('{"n": 1, "a": {"b": "'), "p_brand", F.lit('"}, "x": null}'))
+    other = F.concat(F.lit('{"z": ['), F.col("p_size").cast("string"), F.lit('], "a": 2}'))
+    fields = {"brand": F.col("p_brand"), "none": F.lit(None).cast("string")}
+    return d.part.select(F.col("p_partkey").alias("id"), tx.json_get(doc, "a", "b").alias("got"), tx.json_build(**fields).alias("built"), tx.json_build(True, **fields).alias("bare"), tx.json_strip_nulls(doc).alias("stripped"), tx.json_merge(F.lit('{"n": null, "a": {"q": 1}}'), other).alias("merged"))
