@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import campus_stem, normalize_company, normalize_operator, normalize_station, stable_id, trigram_similarity
+from lodestone.functions.text import campus_stem, json_build, normalize_company, normalize_operator, normalize_station, stable_id, trigram_similarity
 from lodestone.operators.ingest import best_per_key
 from lodestone.operators.joins import block_pairs, geo_pairs, trigram_pairs
 from lodestone.storage import materialize, release
@@ -90,24 +90,36 @@ def check_share(decisions: DataFrame, flag: Column, most: float) -> DataFrame:
     return g.select("n", "flagged", share.alias("share"), (share <= most).alias("ok"))
 
 
-def apply_merges(entities: DataFrame, decisions: DataFrame, key: str = "site_id", score: str = "score") -> DataFrame:
-    """(loser, survivor): for each auto-merged pair's loser the best survivor by score, then id; chains end in resolve_superseded."""
-    auto = decisions.filter("decision = 'auto_merged'").select("a", "b")
+def apply_merges(entities: DataFrame, decisions: DataFrame, key: str = "site_id", score: str = "score", actor: str = "matcher") -> tuple[DataFrame, DataFrame]:
+    """(entities with superseded_by, merges). An auto-merged pair's survivor is the one of higher score, then of lower id.
+
+    A row that loses to several points to the best of them; where that one loses too, resolve_superseded follows the
+    chain. merges, one row a loser, are the audit: surviving, merged, match_score, method, reason, actor. No row goes.
+    """
+    auto = decisions.filter("decision = 'auto_merged'").select("a", "b", "match", "why")
     s = entities.select(F.col(key), F.col(score).alias("s"))
     j = auto.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
     a_wins = (F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
-    pairs = j.select(F.when(a_wins, F.col("b")).otherwise(F.col("a")).alias("loser"), F.when(a_wins, F.col("a")).otherwise(F.col("b")).alias("survivor"), F.greatest("sa", "sb").alias("s"))
-    return best_per_key(pairs, ["loser"], [F.desc("s"), F.asc("survivor")]).drop("s")
+    pairs = j.select(F.when(a_wins, F.col("b")).otherwise(F.col("a")).alias("merged"), F.when(a_wins, F.col("a")).otherwise(F.col("b")).alias("surviving"), F.greatest("sa", "sb").alias("s"), "match", "why")
+    best = best_per_key(pairs, ["merged"], [F.desc("s"), F.asc("surviving")])
+    merges = best.select("surviving", "merged", F.col("match").alias("match_score"), F.lit("auto").alias("method"), F.col("why").alias("reason"), F.lit(actor).alias("actor"))
+    pointer = merges.select(F.col("merged").alias(key), F.col("surviving").alias("superseded_by"))
+    return entities.drop("superseded_by").join(pointer, key, "left"), merges
 
 
-def resolve_tree(df: DataFrame, key: str, parent: str, depth: int = 3) -> DataFrame:
-    """(key, root, depth): the top of each row's parent chain, at most `depth` levels up."""
-    p = df.select(F.col(key).alias("_k"), F.col(parent).alias("_p"))
-    cur = df.select(F.col(key), F.col(key).alias("root"), F.col(parent).alias("up"), F.lit(0).alias("depth"))
-    for _ in range(depth):
-        j = cur.join(p, F.col("up") == F.col("_k"), "left")
-        cur = j.select(key, F.when(F.col("_k").isNotNull(), F.col("up")).otherwise(F.col("root")).alias("root"), F.when(F.col("_k").isNotNull(), F.col("_p")).alias("up"), (F.col("depth") + F.when(F.col("_k").isNotNull(), 1).otherwise(0)).alias("depth"))
-    return cur.select(key, "root", "depth")
+def resolve_tree(df: DataFrame, key: str, parent: str, superseded: str = "superseded_by", grain: str = "grain", depth: int = 3) -> DataFrame:
+    """(key, root, depth, root_grain) of live rows, down from those without a parent, at most `depth` levels.
+
+    Superseded rows, and what stands below one, below a missing row or in a cycle, have no root and no row.
+    """
+    live = df.filter(F.col(superseded).isNull())
+    level = live.filter(F.col(parent).isNull()).select(F.col(key), F.col(key).alias("root"), F.lit(0).alias("depth"), F.col(grain).alias("root_grain"))
+    out, below = level, live.filter(F.col(parent).isNotNull()).select(F.col(key), F.col(parent).alias("_p"))
+    for i in range(1, depth + 1):
+        above = level.select(F.col(key).alias("_p"), "root", "root_grain")
+        level = below.join(above, "_p").select(key, "root", F.lit(i).alias("depth"), "root_grain")
+        out = out.unionByName(level)
+    return out
 
 
 def inventory_counts(entities: DataFrame) -> DataFrame:
@@ -133,24 +145,29 @@ def resolve_superseded(df: DataFrame, key: str, pointer: str) -> DataFrame:
 
 
 def validate_hierarchy(df: DataFrame, ranks: dict[str, int], depth: int = 3) -> DataFrame:
-    """(id, code): DCH01 own parent, DCH02 missing parent, DCH03 parent's grain doesn't outrank, DCH04 cycle, DCH05 too deep."""
+    """(id, code): DCH01 own parent, DCH02 missing parent, DCH03 parent's grain doesn't outrank, DCH04 cycle, DCH05 too deep.
+
+    A row's ancestors are followed for one level more than `depth` allows. A cycle is one that comes back to the row in
+    these steps; a chain that goes on beyond them, a longer cycle among it, is too deep.
+    """
     rank = F.lit(None).cast("int")
     for g, r in ranks.items():
         rank = F.when(F.col("grain") == g, r).otherwise(rank)
     n = df.select("id", "parent_id", rank.alias("r"))
-    p = n.select(F.col("id").alias("p1"), F.col("parent_id").alias("g1"), F.col("r").alias("pr"))
-    j = n.join(p, F.col("parent_id") == F.col("p1"), "left")
-    up = n.select(F.col("id").alias("p2"), F.col("parent_id").alias("g2"))
-    j = j.join(up, F.col("g1") == F.col("p2"), "left")
-    up3 = n.select(F.col("id").alias("p3"), F.col("parent_id").alias("g3"))
-    j = j.join(up3, F.col("g2") == F.col("p3"), "left")
+    up = n.select(F.col("id").alias("_i"), F.col("parent_id").alias("_up"), F.col("r").alias("_r"))
+    j = n.join(up, F.col("parent_id") == F.col("_i"), "left").withColumnsRenamed({"_i": "p1", "_r": "pr", "_up": "a2"})
+    for k in range(2, depth + 1):
+        j = j.join(up.drop("_r"), F.col(f"a{k}") == F.col("_i"), "left").drop("_i").withColumnRenamed("_up", f"a{k + 1}")
     own = F.col("parent_id") == F.col("id")
+    back = F.lit(False)
+    for k in range(2, depth + 2):
+        back = back | F.coalesce(F.col(f"a{k}") == F.col("id"), F.lit(False))
     codes = F.array(
         F.when(own, "DCH01"),
         F.when(F.col("parent_id").isNotNull() & F.col("p1").isNull(), "DCH02"),
         F.when(~own & (F.col("pr") <= F.col("r")), "DCH03"),
-        F.when(~own & ((F.col("g1") == F.col("id")) | ((F.col("g1") != F.col("p1")) & (F.col("g2") == F.col("id")))), "DCH04"),
-        F.when(F.col("p3").isNotNull() & F.col("g3").isNotNull(), "DCH05"),
+        F.when(~own & back, "DCH04"),
+        F.when(~own & ~back & F.col(f"a{depth + 1}").isNotNull(), "DCH05"),
     )
     return j.select("id", F.explode(F.filter(codes, lambda x: x.isNotNull())).alias("code"))
 
@@ -181,31 +198,46 @@ def anchor_years(resolved: DataFrame) -> DataFrame:
     return best_per_key(r, ["anchor_id"], [F.desc("confidence"), F.desc("year"), F.asc("mention_id")]).select("anchor_id", "year")
 
 
-#: A source's confidence as a multiplier.
-SOURCE_MULTIPLIER = {"VRF": 0.95, "SRC": 0.85, "INF": 0.60}
+#: Multipliers of a source's confidence, best first; the last is for all others.
+TIER_MULTIPLIER = (("VRF", 0.95), ("SRC", 0.85), ("INF", 0.60), ("EST", 0.40))
 
 
 def incentive_attributes(awards: DataFrame, counties: DataFrame, registry: DataFrame) -> DataFrame:
-    """(county, attribute, value): five attributes of each county's awards, by its best source.
+    """(county, attribute, value, confidence_tier, multiplier, source_level): five attributes of each county's awards, as JSON.
 
-    counties: state, county. An unregistered source counts as estimated and primary.
+    awards: state, county, source_key, incentive_type, amount, term_years, term_start, term_end, program_name,
+    statute_citation. counties: state, county. INC-01 presence and count, INC-02 types, INC-03 amounts, INC-04 terms,
+    INC-05 programs and statutes. All carry the best tier among the sources, and primary if any source is. An
+    unregistered source counts as estimated and primary.
     """
-    bare = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\s+county$", "")
-    a = awards.withColumn("_c", bare(F.col("county"))).filter("_c is not null")
+    bare = lambda c: F.regexp_replace(F.lower(c), r"\s+county$", "")
+    a = awards.filter("county is not null").withColumn("_c", bare(F.col("county")))
     c = counties.select(F.col("state").alias("_s"), bare(F.col("county")).alias("_k"), F.col("county").alias("_name"))
-    j = a.join(c, (F.col("state") == F.col("_s")) & (F.col("_c") == F.col("_k"))).join(registry, "source_key", "left")
-    conf = F.coalesce("confidence", F.lit("EST"))
-    mult = F.lit(0.40)
-    for k, v in SOURCE_MULTIPLIER.items():
-        mult = F.when(conf == k, v).otherwise(mult)
-    g = j.groupBy(F.col("_name").alias("county")).agg(
-        F.count("*").cast("string").alias("INC-01"), F.round(F.sum("amount"), 0).cast("bigint").cast("string").alias("INC-02"),
-        F.array_join(F.array_sort(F.collect_set("award_type")), ",").alias("INC-03"), F.max(mult).cast("string").alias("INC-04"),
-        F.when(F.bool_or(F.coalesce("source_kind", F.lit("primary")) == "primary"), "primary").otherwise("aggregator").alias("INC-05"),
+    known = registry.select("source_key", "confidence", "source_kind")
+    j = a.join(c, (F.col("state") == F.col("_s")) & (F.col("_c") == F.col("_k"))).join(known, "source_key", "left")
+    mult = F.lit(TIER_MULTIPLIER[-1][1])
+    for k, v in TIER_MULTIPLIER[:-1]:
+        mult = F.when(F.col("confidence") == k, v).otherwise(mult)
+    listed = lambda c: F.array_sort(F.collect_set(c))
+    usd = F.col("amount").cast("decimal(18,2)")
+    g = j.groupBy(F.col("_s").alias("state"), F.col("_name").alias("county")).agg(
+        F.count("*").alias("n"), listed("incentive_type").alias("types"), F.sum(usd).cast("decimal(28,2)").alias("total"), F.max(usd).alias("top"), F.max("term_years").alias("years"), F.min("term_start").alias("first"),
+        F.max("term_end").alias("last"), listed("program_name").alias("programs"), listed("statute_citation").alias("statutes"), F.max(mult).alias("multiplier"), F.bool_or(F.coalesce("source_kind", F.lit("primary")) == "primary").alias("primary"),
     )
-    from lodestone.operators.observations import unpivot_attrs
-
-    return unpivot_attrs(g, ["county"], [f"INC-0{i}" for i in range(1, 6)])
+    col, lit = F.col, F.lit
+    values = {
+        "INC-01": {"present": lit(True), "disclosure_count": col("n"), "state": col("state")},
+        "INC-02": {"types": col("types"), "disclosure_count": col("n")},
+        "INC-03": {"total_award_usd": col("total"), "max_award_usd": col("top"), "currency": lit("USD"), "record_count": col("n")},
+        "INC-04": {"max_term_years": col("years"), "earliest_start": col("first"), "latest_end": col("last")},
+        "INC-05": {"programs": col("programs"), "statutes": col("statutes")},
+    }
+    rows = F.explode(F.array(*[F.struct(lit(k).alias("attribute"), json_build(**v).alias("value")) for k, v in values.items()])).alias("r")
+    tier = lit(TIER_MULTIPLIER[-1][0])
+    for k, v in reversed(TIER_MULTIPLIER[:-1]):
+        tier = F.when(col("multiplier") >= v, k).otherwise(tier)
+    level = F.when(col("primary"), "primary").otherwise("aggregator")
+    return g.select("county", rows, tier.alias("confidence_tier"), "multiplier", level.alias("source_level")).select("county", "r.attribute", "r.value", "confidence_tier", "multiplier", "source_level")
 
 
 def merge_roster(curated: DataFrame, roster: DataFrame) -> DataFrame:

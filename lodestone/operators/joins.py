@@ -10,10 +10,17 @@ from lodestone.functions.geo import haversine_m
 from lodestone.functions.text import trigrams
 from lodestone.storage import materialize, release
 
+#: Rows of a configuration table, and of narrow rows that are broadcast.
+HELD, SMALL = 100_000, 500_000
 #: Metres of a degree of latitude.
 DEGREE_M = 111_194.9
 
 
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """Hint a broadcast if `df` has at most `rows` rows; else join by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def enrich(df: DataFrame, dim: DataFrame, on: str, defaults: dict[str, object]) -> DataFrame:
     """Left join with fallbacks where the dimension lacks the key."""
     out = df.join(dim, on, "left")
@@ -32,7 +39,9 @@ def leftovers(misses: DataFrame, parent: str, columns: list[str]) -> DataFrame:
 
 
 def cross_expand(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every pair of two configuration tables."""
+    """Every pair of two configuration tables; the second has at most `HELD` rows."""
+    if b.limit(HELD + 1).count() > HELD:
+        raise ValueError(f"over {HELD} rows on the right")
     return a.crossJoin(F.broadcast(b))
 
 
@@ -103,18 +112,21 @@ def block_pairs(df: DataFrame, columns: list[str], key: str) -> DataFrame:
 def pip_join(points: DataFrame, polygons: DataFrame, key: str, cell: float = 0.05) -> DataFrame:
     """(key, poly_id): points inside rings given as (poly_id, seq, x, y) vertices, by crossing parity.
 
-    A ring's edges are posted to the latitude cells that they span, so a point meets only the edges at its own height
-    within the ring's bounding box.
+    A ring's bounding box is posted to the cells that it meets, its edges to the rows of cells that they span. So a point
+    meets the rings of its own cell, and of these the edges at its own height.
     """
     ring = W.partitionBy("poly_id").orderBy("seq")
     first = F.first(F.struct("x", "y")).over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     nxt = F.coalesce(F.lead(F.struct("x", "y")).over(ring), first)
-    box = [F.min("x").over(W.partitionBy("poly_id")).alias("x0"), F.max("x").over(W.partitionBy("poly_id")).alias("x1")]
-    edges = polygons.select("poly_id", "x", "y", nxt.alias("n"), *box).select("poly_id", "x", "y", F.col("n.x").alias("u"), F.col("n.y").alias("v"), "x0", "x1")
     at = lambda c: F.floor(c / cell).cast("long")
-    edges = edges.withColumn("cell", F.explode(F.sequence(at(F.least("y", "v")), at(F.greatest("y", "v")))))
-    pts = points.select(F.col(key), F.col("lng").alias("px"), F.col("lat").alias("py"), at(F.col("lat")).alias("cell"))
-    met = pts.join(F.broadcast(edges), "cell").filter("px between x0 and x1")
+    between = lambda a, b: F.explode(F.sequence(at(a), at(b)))
+    edges = polygons.select("poly_id", "x", "y", nxt.alias("n")).select("poly_id", "x", "y", F.col("n.x").alias("u"), F.col("n.y").alias("v"))
+    edges = edges.withColumn("row", between(F.least("y", "v"), F.greatest("y", "v")))
+    box = polygons.groupBy("poly_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    box = box.withColumn("row", between(F.col("y0"), F.col("y1"))).withColumn("col", between(F.col("x0"), F.col("x1")))
+    pts = points.select(F.col(key), F.col("lng").alias("px"), F.col("lat").alias("py")).withColumns({"row": at(F.col("py")), "col": at(F.col("px"))})
+    near = pts.join(small(box), ["row", "col"]).filter("px between x0 and x1 and py between y0 and y1").select(key, "poly_id", "px", "py", "row")
+    met = near.join(small(edges), ["poly_id", "row"])
     crosses = ((F.col("y") > F.col("py")) != (F.col("v") > F.col("py"))) & (F.col("px") < (F.col("u") - F.col("x")) * (F.col("py") - F.col("y")) / (F.col("v") - F.col("y")) + F.col("x"))
     return met.groupBy(key, "poly_id").agg(F.count_if(F.coalesce(crosses, F.lit(False))).alias("n")).filter("n % 2 = 1").select(key, "poly_id")
 
@@ -146,31 +158,43 @@ def nearest_control(pos: DataFrame, pool: DataFrame, lo_m: float, hi_m: float, s
 
 
 def prefix_lookup(df: DataFrame, dim: DataFrame, group: str, text: str, prefix: str, out: str) -> DataFrame:
-    """The dimension row of the same group whose prefix the text starts with; the longest, then the least, wins."""
-    met = df.join(dim.select(group, prefix, out), group, "left").withColumn("_hit", F.expr(f"startswith(lower({text}), lower({prefix}))"))
-    best = F.max(F.when(F.col("_hit"), F.struct(F.length(prefix).alias("n"), F.col(out).alias("v"))))
-    return met.groupBy(*df.columns).agg(best["v"].alias(out))
+    """Every row with the value of its group's prefix that the text starts with; the longest, then the greatest, wins.
+
+    A group's prefixes are one row, so rows keep their number, repeated ones too.
+    """
+    rules = dim.groupBy(F.col(group).alias("_g")).agg(F.collect_list(F.struct(F.length(prefix).alias("n"), F.col(out).alias("v"), F.lower(prefix).alias("p"))).alias("_rules"))
+    hits = F.filter("_rules", lambda r: F.startswith(F.lower(F.col(text)), r["p"]))
+    return df.join(rules, F.col(group) == F.col("_g"), "left").select(*df.columns, F.array_max(hits)["v"].alias(out))
 
 
 def gazetteer_lookup(df: DataFrame, dim: DataFrame, state: str, county: str, code: str) -> DataFrame:
-    """Code by case-insensitive state and county, with county/parish/borough suffixes taken off both sides."""
+    """Code by case-insensitive state and county, with county/parish/borough suffixes taken off both sides; of several the least."""
     bare = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\s+(county|parish|borough)$", "")
-    d = dim.select(F.upper(F.trim(state)).alias("_s"), bare(F.col(county)).alias("_c"), F.col(code)).dropDuplicates(["_s", "_c"])
+    d = dim.groupBy(F.upper(F.trim(state)).alias("_s"), bare(F.col(county)).alias("_c")).agg(F.min(code).alias(code))
     return df.join(d, (F.upper(F.trim(F.col(state))) == F.col("_s")) & (bare(F.col(county)) == F.col("_c")), "left").drop("_s", "_c")
 
 
-def dictionary_resolve(df: DataFrame, terms: DataFrame, key: str, columns: list[str], words: int = 3) -> DataFrame:
+def dictionary_resolve(df: DataFrame, terms: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, code): the one code that a row's longest whole-word dictionary terms name; earlier columns are preferred.
 
-    terms: (term lower-cased, code). N-grams of 1 to `words` words meet terms by equality; a match inside a longer
-    match of the same column is dropped; a row resolves only if one code is left in its first column with any.
+    terms: (term lower-cased, code). N-grams of the dictionary's own lengths meet its terms by equality; a match inside a
+    longer match of the same column is dropped; a row resolves only if one code is left in its first column with any.
     """
-    parts = F.array(*[F.struct(F.lit(i).alias("place"), F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ").alias("w")) for i, c in enumerate(columns)])
+    parted = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), " ")
+    known = materialize(terms.select(F.array_join(parted(F.col("term")), " ").alias("term"), "code").filter("term <> ''").distinct(), "terms")
+    lengths = [r.n for r in known.select(F.size(F.split("term", " ")).alias("n")).distinct().orderBy("n").collect()]  # a few small numbers
+    if not lengths:
+        return df.select(key, F.lit(None).cast("string").alias("code")).limit(0)
+    parts = F.array(*[F.struct(F.lit(i).alias("place"), parted(F.coalesce(F.col(c), F.lit(""))).alias("w")) for i, c in enumerate(columns)])
     tok = df.select(key, F.explode(parts).alias("p")).select(key, "p.place", "p.w")
-    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size("w") - i)), lambda n: F.struct(i.alias("s"), (i + n).alias("e"), F.array_join(F.slice("w", i + 1, n), " ").alias("term")))))
-    hit = tok.select(key, "place", F.explode(grams).alias("g")).select(key, "place", "g.s", "g.e", "g.term").join(terms, "term")
-    inner = hit.alias("i").join(hit.alias("o"), (F.col(f"i.{key}") == F.col(f"o.{key}")) & (F.col("i.place") == F.col("o.place")) & (F.col("o.s") <= F.col("i.s")) & (F.col("o.e") >= F.col("i.e")) & (F.col("o.e") - F.col("o.s") > F.col("i.e") - F.col("i.s")), "left_anti")
-    codes = inner.groupBy(key, "place").agg(F.collect_set("code").alias("codes"))
+    grams = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("s"), (i + n).alias("e"), F.array_join(F.slice("w", i + 1, n), " ").alias("term")))
+    every = F.flatten(F.array(*[F.when(F.size("w") >= n, grams(n)).otherwise(F.array().cast("array<struct<s:int,e:int,term:string>>")) for n in lengths]))
+    hit = tok.select(key, "place", F.explode(every).alias("g")).select(key, "place", "g.s", "g.e", "g.term").join(small(known), "term")
+    spans = hit.groupBy(key, "place", "s", "e").agg(F.collect_set("code").alias("codes"))
+    # A span lies inside another if one that starts no later, and isn't it, ends no earlier.
+    before = W.partitionBy(key, "place").orderBy("s", F.desc("e")).rowsBetween(W.unboundedPreceding, -1)
+    outer = spans.withColumn("_far", F.max("e").over(before)).filter("_far is null or _far < e")
+    codes = outer.groupBy(key, "place").agg(F.array_distinct(F.flatten(F.collect_set("codes"))).alias("codes"))
     first = codes.groupBy(key).agg(F.min_by("codes", "place").alias("codes"))
     return first.filter(F.size("codes") == 1).select(key, F.col("codes")[0].alias("code"))
 

@@ -13,7 +13,8 @@ FRESH_DAYS = ((180, 10), (365, 6), (730, 3))
 PLACE_POINTS = {"verified": 15, "parcel": 15, "address": 10, "centroid": 5, "municipality": 2}
 AGREED = ("name", "operator", "coordinates", "capacity")
 CLEARED = ("cleared", "attribution_required")
-LAYERS = {"operational": "L4", "under_construction": "L3", "permitted": "L3", "announced": "L2", "rumored": "L1"}
+#: The layer of each stage of life; a stage that isn't here (decommissioned) has none.
+LAYERS = {"operational": "L1", "commissioning": "L1", "expansion": "L1", "construction": "L2", "permitted": "L3", "entitled": "L3", "announced": "L4", "rumored": "L4"}
 
 
 def steps(c: Column, table: dict, default: object = None) -> Column:
@@ -73,17 +74,32 @@ def band_lookup(df: DataFrame, bands: DataFrame, score: str, key: str) -> DataFr
     return hit.groupBy(key, *names).agg(F.min(F.struct("sort_order", "band"))["band"].alias("band"))
 
 
-def confidence(entities: DataFrame, obs: DataFrame, bands: DataFrame, as_of: str) -> DataFrame:
-    """(entity_id, lineage_pts, official_pts, agree_pts, agree_all_pts, fresh_pts, place_pts, score, band)."""
+def _evidence(obs: DataFrame) -> DataFrame:
+    """(entity_id, n, official, latest, c, c2): what the score takes from the observations, in one shuffle of them.
+
+    Rows are dealt by entity once; claims are grouped within it, to attributes, to the entity.
+    """
     real = F.col("source_class") != "news"
-    o = obs.filter(~F.col("retracted"))
-    agg = o.groupBy("entity_id").agg(
-        F.countDistinct(F.when(real, F.col("lineage"))).alias("n"),
-        F.bool_or(F.col("source_class") == "official_record").alias("official"),
-        F.max(F.when(real, F.col("observed_at"))).alias("latest"),
+    known = F.col("attribute").isin(*AGREED) & _bucket().isNotNull()
+    o = obs.filter(~F.col("retracted") & F.col("entity_id").isNotNull()).select(
+        "entity_id", "lineage", F.when(real, F.col("lineage")).alias("own"), F.when(real, F.col("observed_at")).alias("at"), (F.col("source_class") == "official_record").alias("official"),
+        F.when(known, F.col("attribute")).alias("attribute"), F.when(known, F.coalesce("capacity_basis", F.lit("-"))).alias("basis"), F.when(known, _bucket()).alias("bucket"),
     )
-    e = entities.select("entity_id", "geo_precision").join(agg, "entity_id", "left")
-    e = e.join(agreement_points(obs).withColumnRenamed("points", "c"), "entity_id", "left").join(agreement_points(obs, True).withColumnRenamed("points", "c2"), "entity_id", "left")
+    common = [F.bool_or("official").alias("official"), F.max("at").alias("at")]
+    same = o.repartition("entity_id").groupBy("entity_id", "attribute", "basis", "bucket").agg(F.collect_set("own").alias("own"), F.collect_set("lineage").alias("all"), *common)
+    joined = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    per = same.groupBy("entity_id", "attribute", "basis").agg(joined("own").alias("own"), joined("all").alias("all"), F.max(F.size("own")).alias("most"), F.max(F.size("all")).alias("most2"), *common)
+    met = lambda c: F.size(F.collect_set(F.when(c >= 2, F.col("attribute"))))
+    points = lambda a, c: F.when(c > 0, F.floor(15.0 * a / c)).otherwise(0).cast("bigint")
+    whole = per.groupBy("entity_id").agg(
+        F.size(joined("own")).alias("n"), *common, met(F.size("own")).alias("_c"), met(F.col("most")).alias("_a"), met(F.size("all")).alias("_c2"), met(F.col("most2")).alias("_a2"),
+    )
+    return whole.select("entity_id", "n", "official", F.col("at").alias("latest"), points(F.col("_a"), F.col("_c")).alias("c"), points(F.col("_a2"), F.col("_c2")).alias("c2"))
+
+
+def confidence(entities: DataFrame, obs: DataFrame, bands: DataFrame, as_of: str) -> DataFrame:
+    """(entity_id, lineage_pts, official_pts, agree_pts, agree_all_pts, fresh_pts, place_pts, score, band)."""
+    e = entities.select("entity_id", "geo_precision").join(_evidence(obs), "entity_id", "left")
     age = F.datediff(F.lit(as_of).cast("date"), F.col("latest"))
     fresh = F.lit(0)
     for days, points in reversed(FRESH_DAYS):
@@ -106,17 +122,20 @@ def confidence(entities: DataFrame, obs: DataFrame, bands: DataFrame, as_of: str
 
 def best_claims(obs: DataFrame) -> DataFrame:
     """The best live claim of each entity and attribute: cap, recency, number of lineages that make the same claim, id."""
-    o = live(obs).withColumn("value_key", value_key())
-    n = o.groupBy("entity_id", "attribute", "value_key").agg(F.countDistinct("lineage").alias("lineages"))
     same = ["entity_id", "attribute"]
-    o = o.alias("o").join(n.alias("n"), [F.col(f"o.{c}") == F.col(f"n.{c}") for c in same] + [F.col("o.value_key").eqNullSafe(F.col("n.value_key"))]).select("o.*", "n.lineages")
+    o = live(obs).withColumn("value_key", value_key()).repartition(*same)  # one shuffle serves both windows
+    o = o.withColumn("lineages", F.size(F.collect_set("lineage").over(W.partitionBy(*same, "value_key"))).cast("bigint"))
     order = [steps(F.col("cap"), CAP_RANK, 0).desc(), F.col("observed_at").desc_nulls_last(), F.col("lineages").desc(), F.col("obs_id").asc()]
     return o.withColumn("rn", F.row_number().over(W.partitionBy(*same).orderBy(*order))).filter("rn = 1").drop("rn")
 
 
 def pivot_attributes(best: DataFrame, spec: dict[str, tuple[str, str]], by: str = "entity_id") -> DataFrame:
     """One row per entity: output column -> (attribute, value column). One shuffle and a fixed schema."""
-    return best.groupBy(by).agg(*[F.max(F.when(F.col("attribute") == a, F.col(c))).alias(out) for out, (a, c) in spec.items()])
+    return best.groupBy(by).agg(*_pivot(spec))
+
+
+def _pivot(spec: dict[str, tuple[str, str]]) -> list[Column]:
+    return [F.max(F.when(F.col("attribute") == a, F.col(c))).alias(out) for out, (a, c) in spec.items()]
 
 
 SPEC = {"name": ("name", "value_text"), "operator": ("operator", "value_text"), "lat": ("coordinates", "lat"), "lng": ("coordinates", "lng"), "capacity": ("capacity", "value_num"), "capacity_basis": ("capacity", "capacity_basis")}
@@ -124,9 +143,8 @@ SPEC = {"name": ("name", "value_text"), "operator": ("operator", "value_text"),
 
 def current_view(entities: DataFrame, obs: DataFrame) -> DataFrame:
     """Every entity with its best value of each attribute, the lineages behind them, and whether a restricted source is among them."""
-    best = best_claims(obs)
-    extra = best.groupBy("entity_id").agg(F.sum("lineages").alias("resolved_lineages"), F.bool_or(~F.col("redistributable")).alias("has_restricted_input"))
-    return entities.select("entity_id").join(pivot_attributes(best, SPEC), "entity_id", "left").join(extra, "entity_id", "left")
+    more = [F.sum("lineages").alias("resolved_lineages"), F.bool_or(~F.col("redistributable")).alias("has_restricted_input")]
+    return entities.select("entity_id").join(best_claims(obs).groupBy("entity_id").agg(*_pivot(SPEC), *more), "entity_id", "left")
 
 
 def public_view(entities: DataFrame, obs: DataFrame) -> DataFrame:
@@ -138,14 +156,20 @@ def public_view(entities: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def recompute(entities: DataFrame, obs: DataFrame, bands: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
-    """(rows whose layer, score or publishable flag changes, run statistics). A second run over its result changes none."""
+    """(rows whose layer, score, band or publishable flag changes, run statistics). A second run over its result changes none.
+
+    entities: entity_id, geo_precision, lifecycle, and the stored old_layer, old_score, old_band, old_publishable.
+    """
     new = confidence(entities, obs, bands, as_of).select("entity_id", "score", "band")
     gate = publishable(obs).select("entity_id", F.col("publishable").alias("_p"))
-    e = entities.select("entity_id", "lifecycle", F.col("old_score")).join(new, "entity_id").join(gate, "entity_id", "left")
-    e = e.withColumn("layer", steps(F.col("lifecycle"), LAYERS)).withColumn("publishable", F.coalesce("_p", F.lit(False))).drop("_p")
-    changed = e.filter(~F.col("score").eqNullSafe(F.col("old_score")))
-    stats = e.agg(F.count("*").alias("seen"), F.count_if(~F.col("score").eqNullSafe(F.col("old_score"))).alias("changed"))
-    return changed.select("entity_id", "layer", "old_score", "score", "publishable"), stats
+    old = ["layer", "score", "band", "publishable"]
+    e = entities.select("entity_id", "lifecycle", *[f"old_{c}" for c in old]).join(new, "entity_id").join(gate, "entity_id", "left")
+    e = e.withColumn("layer", steps(F.col("lifecycle"), LAYERS)).withColumn("publishable", F.coalesce("_p", F.lit(False)))
+    moved = F.lit(False)
+    for c in old:
+        moved = moved | ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
+    stats = e.agg(F.count("*").alias("seen"), F.count_if(moved).alias("changed"), F.count_if("publishable").alias("publishable"))
+    return e.filter(moved).select("entity_id", *old, "old_score"), stats
 
 
 def unpivot_attrs(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

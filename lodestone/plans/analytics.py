@@ -131,10 +131,35 @@ def w2_revisions(d):
     return an.revisions(d.v10, KEYS, "published", "value").select("source_id", "jurisdiction", "scenario", "published", "value", F.round("delta", 4).alias("delta"), "gap_days")
 
 
-@query("SELECT source_id, count(*) AS n FROM v10 WHERE value IS NOT NULL AND unit IS NULL GROUP BY 1", "v10")
+view("forecasts", "SELECT *, CASE WHEN source_id = '1-URGENT' THEN 'ghost' ELSE attribute END AS attr, CASE WHEN jurisdiction % 3 = 0 THEN NULL ELSE jurisdiction END AS jur, CASE WHEN source_id = '2-HIGH' THEN '' ELSE unit END AS u FROM v10", "v10")
+
+
+def _pack(d):
+    obs = d.forecasts.drop("attribute", "jurisdiction", "unit").withColumnsRenamed({"attr": "attribute", "jur": "jurisdiction", "u": "unit"})
+    registry = d.spark.createDataFrame([("load",)], "attribute string")
+    story = (F.col("source_id") == "3-MEDIUM") & (F.col("metric") == "mw") & (F.col("scenario") == "base")
+    return an.forecast_pack(obs, KEYS, registry, {"base": story})
+
+
+@query("SELECT source_id, count(*) AS n FROM forecasts WHERE value IS NOT NULL AND (unit IS NULL OR u = '') GROUP BY 1", "forecasts")
 def e29_forecast_pack(d):
     """E29 and Q4."""
-    return an.forecast_pack(d.v10, KEYS)["no_unit"]
+    return _pack(d)["no_unit"]
+
+
+@query("SELECT source_id, count(*) FILTER (jur IS NULL) AS unmapped, count(*) FILTER (jur IS NOT NULL) AS mapped FROM forecasts GROUP BY 1", "forecasts")
+def e29_unmapped(d):
+    return _pack(d)["unmapped"]
+
+
+@query("SELECT DISTINCT attr AS attribute FROM forecasts WHERE attr IS NOT NULL AND attr NOT IN ('load')", "forecasts")
+def e29_soft_keys(d):
+    return _pack(d)["soft_keys"]
+
+
+@query("SELECT jur AS jurisdiction, count(*) AS n, round(sum(delta), 2) AS moved FROM (SELECT jur, value - lag(value) OVER (PARTITION BY jur ORDER BY published) AS delta FROM forecasts WHERE source_id = '3-MEDIUM' AND scenario = 'base' AND jur IS NOT NULL) GROUP BY 1", "forecasts")
+def e29_story(d):
+    return _pack(d)["story_base"].filter("jurisdiction is not null").groupBy("jurisdiction").agg(F.count("*").alias("n"), F.round(F.sum("delta"), 2).alias("moved"))
 
 
 @query("SELECT company_id, kind, concat('C-', lpad(CAST(row_number() OVER (ORDER BY kind, company_id) AS STRING), 6, '0')) AS public_id FROM v4", "v4")
@@ -175,28 +200,44 @@ def p4_facet_filter(d):
     return an.facet_filter(d.customer, c_mktsegment="BUILDING", c_nationkey=3, c_name=None).select("c_custkey", "c_name")
 
 
-WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 2))"
-
-
-@query(f"""SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, d.doc_id,
-  round(least(0.99::DOUBLE, 0.9::DOUBLE * 0.6::DOUBLE + 0.4::DOUBLE * hits / n + CASE WHEN d.source = concat('src', CAST(query_id % 20 AS STRING)) THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN d.doc_id % 10 = 0 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END), 4) AS score
- FROM (SELECT query_id, doc_id, count(*) AS hits, max(n) AS n FROM (SELECT item_id AS query_id, len({WORDS}) AS n, unnest({WORDS}) AS word FROM benchmark) q JOIN (SELECT doc_id, unnest({WORDS}) AS word FROM documents) w USING (word) GROUP BY 1, 2) h JOIN documents d ON h.doc_id = d.doc_id) WHERE score >= 0.72) WHERE rank <= 5""")
+@query("""SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(least(0.99::DOUBLE, own * 0.6::DOUBLE + hits / n * 0.4::DOUBLE + CASE WHEN source = qd THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END + boost), 6) AS score
+ FROM (SELECT q.query_id, any_value(q.n) AS n, any_value(q.qd) AS qd, d.doc_id, any_value(d.source) AS source, any_value(d.own) AS own, any_value(d.boost) AS boost, count(*) AS hits FROM (SELECT item_id AS query_id, concat('src', CAST(item_id % 20 AS STRING)) AS qd, unnest(w) AS word, len(w) AS n FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) > 3) AS w FROM benchmark)) q
+  JOIN (SELECT doc_id, source, lower(text) AS t, 0.5::DOUBLE + doc_id % 50 / 100.0::DOUBLE AS own, CASE doc_id % 10 WHEN 3 THEN 0.03::DOUBLE WHEN 2 THEN 0.02::DOUBLE WHEN 1 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM documents) d ON contains(d.t, q.word) GROUP BY q.query_id, d.doc_id)) WHERE score >= 0.72) WHERE rank <= 5""")
 def r6_lexical_topk(d):
-    docs = d.documents.select("doc_id", "text", F.col("source").alias("domain"), (F.col("doc_id") % 10 == 0).alias("recent"))
+    k = F.col("doc_id") % 10
+    docs = d.documents.select("doc_id", "text", F.col("source").alias("domain"), (F.col("doc_id") % 50 / 100.0 + 0.5).alias("score"), F.when(k == 3, 0.03).when(k == 2, 0.02).when(k == 1, 0.01).otherwise(0.0).alias("boost"))
     return an.lexical_topk(d.benchmark.select(F.col("item_id").alias("query_id"), "text", F.concat(F.lit("src"), F.col("item_id") % 20).alias("domain")), docs)
 
 
-@query("""SELECT country, CASE WHEN cov >= 40 THEN round(score, 2) END AS composite, round(cov, 2) AS coverage FROM (SELECT country, sum(raw * w) / sum(w) AS score, sum(w) * 100.0 / 100 AS cov FROM
- (SELECT n_regionkey AS country, tier, avg(raw * m) AS raw, min(w) AS w FROM (SELECT n_regionkey, n_nationkey % 6 AS tier, CAST(n_nationkey * 4 AS DOUBLE) AS raw, CASE WHEN n_nationkey % 2 = 0 THEN 1.0 ELSE 0.85 END AS m, CASE n_nationkey % 6 WHEN 0 THEN 30 WHEN 1 THEN 20 WHEN 2 THEN 20 WHEN 3 THEN 10 WHEN 4 THEN 10 ELSE 10 END AS w FROM nation) GROUP BY 1, 2) GROUP BY 1)""")
+view("country_attrs", """SELECT c_custkey % 40 AS country, CASE (c_custkey + c_custkey % 40 * 3) % 12 WHEN 0 THEN 'CTY-PWR-CAP-PC' WHEN 1 THEN 'CTY-PWR-MIX' WHEN 2 THEN 'CTY-REG-WGI' WHEN 3 THEN 'CTY-REG-LAW' WHEN 4 THEN 'CTY-PRM-DB2020' WHEN 5 THEN 'CTY-COM-CAPACITY' WHEN 6 THEN 'CTY-INC-FDI-RRI' WHEN 7 THEN 'CTY-PRM-DB2021' WHEN 8 THEN 'PWR' WHEN 9 THEN 'CTY-REG-OPEN' ELSE 'CTY-PWR-ACCESS' END AS attribute_code
+ FROM customer WHERE c_custkey % 40 < 30 OR c_custkey % 3 = 0""")
+
+
+@query("""WITH n AS (SELECT country, least(count(*) FILTER (attribute_code LIKE 'CTY-PWR-%'), 4) AS p, least(count(*) FILTER (attribute_code LIKE 'CTY-REG-%'), 3) AS r, count(*) FILTER (attribute_code = 'CTY-PRM-DB2020') > 0 AS m, count(*) FILTER (attribute_code = 'CTY-COM-CAPACITY') > 0 AS c, least(count(*) FILTER (attribute_code LIKE 'CTY-INC-%'), 2) AS i FROM country_attrs GROUP BY 1),
+ t AS (SELECT *, CASE WHEN p > 0 THEN 18 ELSE 0 END + CASE WHEN r > 0 THEN 12 ELSE 0 END + CASE WHEN m THEN 5 ELSE 0 END + CASE WHEN c THEN 8 ELSE 0 END + CASE WHEN i > 0 THEN 12 ELSE 0 END AS possible, p * 0.25 * 18 * 0.3 + r / 3 * 12 * 0.3 + CASE WHEN m THEN 5 * 0.3 ELSE 0 END + CASE WHEN c THEN 8 * 0.6 ELSE 0 END + i * 0.5 * 12 * 0.3 AS total FROM n),
+ s AS (SELECT *, CASE WHEN possible >= 40 THEN least(100.0::DOUBLE, round(CAST(total / possible * 100 AS DOUBLE), 2)) END AS composite FROM t)
+SELECT country, composite, CAST(possible AS DOUBLE) AS coverage, CASE WHEN composite >= 80 THEN CASE WHEN possible >= 80 THEN 'Verified' WHEN possible >= 60 THEN 'Estimated' ELSE 'Inferred' END WHEN composite >= 60 THEN CASE WHEN possible >= 60 THEN 'Estimated' ELSE 'Inferred' END WHEN composite >= 40 THEN 'Inferred' ELSE 'Unscored' END AS label,
+ CASE WHEN p > 0 THEN 'EST' ELSE 'ABS' END AS power_flag, CASE WHEN c THEN 'INF' ELSE 'ABS' END AS community_flag, 'ABS' AS labor_flag, CASE WHEN r > 0 THEN round(CAST(r / 3 * 100 AS DOUBLE), 2) END AS regulatory_raw, i > 0 AS incentives_counted FROM s""", "country_attrs")
 def e16_country_composite(d):
-    w = d.spark.createDataFrame([(0, 30), (1, 20), (2, 20), (3, 10), (4, 10), (5, 10)], "tier int, weight int")
-    a = d.nation.select(F.col("n_regionkey").alias("country"), (F.col("n_nationkey") % 6).alias("tier"), (F.col("n_nationkey") * 4).cast("double").alias("raw"), F.when(F.col("n_nationkey") % 2 == 0, "VRF").otherwise("SRC").alias("confidence"))
-    return an.country_composite(a, w, {"VRF": 1.0, "SRC": 0.85, "INF": 0.6}).select("country", "composite", "coverage")
+    s = an.country_composite(d.country_attrs)
+    get = lambda c, path: F.get_json_object(c, path)
+    return s.select(
+        "country", "composite", "coverage", "label", get("flags", "$.T2_power").alias("power_flag"), get("flags", "$.T8_community").alias("community_flag"), get("flags", "$.T4_labor").alias("labor_flag"),
+        get("breakdown", "$.T3_regulatory.raw_score").cast("double").alias("regulatory_raw"), get("breakdown", "$.T7_incentives.counted").cast("boolean").alias("incentives_counted"),
+    )
+
+
+_FACTS = {
+    "facilities": "CAST(count(*) AS STRING)", "operational": "CAST(count(*) FILTER (status = 'operational') AS STRING)", "announced": "CAST(count(*) FILTER (status = 'announced') AS STRING)",
+    "capacity": "CAST(CAST(floor(sum(capacity)) AS BIGINT) AS STRING)", "operational_capacity": "CAST(CAST(floor(sum(capacity) FILTER (status = 'operational')) AS BIGINT) AS STRING)", "with_acres": "CAST(count(acres) AS STRING)",
+    "states": "CAST(count(DISTINCT state) AS STRING)", "tiers": "string_agg(DISTINCT tier, ',' ORDER BY tier)", "scored": "CAST(count(score) AS STRING)",
+    "exposure": "printf('%.2f', round(sum(score * capacity) / sum(capacity) FILTER (score IS NOT NULL), 2))",
+}
 
 
-@query("SELECT company, 'facilities' AS attribute, CAST(count(*) AS STRING) AS value FROM v8 GROUP BY company UNION ALL SELECT company, 'states', CAST(count(DISTINCT state) AS STRING) FROM v8 GROUP BY company UNION ALL SELECT company, 'tiers', string_agg(DISTINCT tier, ',' ORDER BY tier) FROM v8 GROUP BY company", "v8")
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT company, '{k}' AS attribute, {v} AS value FROM v8 GROUP BY company" for k, v in _FACTS.items()) + " UNION ALL SELECT company, 'tenants', string_agg(DISTINCT t, ',' ORDER BY t) FROM (SELECT company, tenant_a AS t FROM v8 UNION ALL SELECT company, tenant_b FROM v8) GROUP BY company) WHERE value IS NOT NULL", "v8")
 def e17_company_footprint(d):
-    return an.company_footprint(d.v8).filter("attribute in ('facilities', 'states', 'tiers')")
+    return an.company_footprint(d.v8)
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")

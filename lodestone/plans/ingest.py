@@ -60,9 +60,10 @@ def io4_canonicalize_headers(d):
     return ig.canonicalize_headers(odd, {"order_key": ["lorderkey"], "line_no": ["line_no", "line no"], "flag": ["return_flag", "flag"]}, ["order_key"])
 
 
-@query("SELECT * FROM (VALUES ('a', 1), ('b', 2)) AS t(k, v)")
+@query("SELECT v, count(*) AS n FROM orders JOIN (VALUES ('1-URGENT', 1), ('2-HIGH', 2), ('none', 3)) AS t(k, v) ON o_orderpriority = k GROUP BY v")
 def io5_values_table(d):
-    return ig.values_table(d.spark, [("a", 1), ("b", 2)], "k string, v int")
+    t = ig.values_table(d.spark, [("1-URGENT", 1), ("2-HIGH", 2), ("none", 3)], "k string, v int")
+    return d.orders.join(F.broadcast(t), F.col("o_orderpriority") == F.col("k")).groupBy("v").agg(F.count("*").alias("n"))  # three rows
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, concat('new ', c_name) FROM customer WHERE c_custkey % 2 = 1")
@@ -127,7 +128,7 @@ def e31_unify_registry(d):
     return ig.unify_registry({"feeds": d.supplier, "rosters": d.customer}, specs, evidence)
 
 
-@query("SELECT regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g') AS slug, c_name AS name, concat('%22', replace(c_name, '#', '%23'), '%22%20data%20center') AS query FROM customer WHERE c_custkey % 10 <> 0")
+@query("SELECT regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g') AS slug, c_name AS name, concat('%22', c_name, '%22%20data%20center') AS query FROM customer WHERE c_custkey % 10 <> 0")
 def e32_generate_watches(d):
     from lodestone.functions.text import slug
 

@@ -9,7 +9,6 @@ from lodestone.plans.base import query, view
 
 HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2))))"
 GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({c}), '[^\\pL\\pN]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
-view("sites_small", "SELECT * FROM v3 WHERE site_id <= 1500", "v3")
 
 
 @query("SELECT l_orderkey, l_linenumber, o_totalprice, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 45")
@@ -60,12 +59,12 @@ def j8_cross_expand(d):
     return jo.cross_expand(d.nation.select("n_name"), d.region.select("r_name")).withColumn("label", F.concat_ws("/", "r_name", "n_name"))
 
 
-@query(f"SELECT a.site_id AS a, b.site_id AS b, round({HAV.format(a='a', b='b')}, 3) AS distance_m FROM sites_small a JOIN sites_small b ON a.site_id < b.site_id AND a.country = b.country AND {HAV.format(a='a', b='b')} <= 2000", "sites_small")
+@query(f"SELECT a.site_id AS a, b.site_id AS b, round({HAV.format(a='a', b='b')}, 3) AS distance_m FROM v3 a JOIN v3 b ON a.site_id < b.site_id AND a.country = b.country AND {HAV.format(a='a', b='b')} <= 2000", "v3")
 def j11_geo_pairs(d):
     return jo.geo_pairs(d.v3, 2000, group="country").withColumn("distance_m", F.round("distance_m", 3))
 
 
-view("names", "SELECT company_id, lower(raw_name) AS nm, kind FROM v4 WHERE company_id <= 1200", "v4")
+view("names", "SELECT company_id, lower(raw_name) AS nm, kind FROM v4", "v4")
 
 
 @query(f"""SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT a.company_id AS a, b.company_id AS b,
@@ -76,7 +75,7 @@ def j12_trigram_pairs(d):
     return jo.trigram_pairs(names, 0.6, "company_id", "nm", "kind").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("SELECT a.site_id AS a, b.site_id AS b FROM v3 a JOIN v3 b ON a.operator = b.operator AND a.subdivision = b.subdivision AND a.country = b.country AND a.site_id < b.site_id WHERE a.site_id <= 1500 AND b.site_id <= 1500", "v3")
+@query("SELECT a.site_id AS a, b.site_id AS b FROM v3 a JOIN v3 b ON a.operator = b.operator AND a.subdivision = b.subdivision AND a.country = b.country AND a.site_id < b.site_id", "v3")
 def j13_block_pairs(d):
     return jo.block_pairs(d.v3, ["operator", "subdivision", "country"], "site_id")
 
@@ -93,11 +92,13 @@ def j15_nearest_control(d):
     return jo.nearest_control(s.filter("site_id % 10 = 0"), s.filter("site_id % 10 <> 0"), 5_000, 25_000, "country")
 
 
-@query("SELECT raw_name, max(label) AS label FROM (SELECT raw_name, CASE WHEN starts_with(lower(raw_name), 'brand#1') THEN 'first' WHEN starts_with(lower(raw_name), 'brand#') THEN 'brand' END AS label FROM v4) GROUP BY raw_name", "v4")
+view("twice", "SELECT raw_name, company_id % 2 AS g FROM v4 UNION ALL SELECT raw_name, 1 FROM v4", "v4")
+
+
+@query("SELECT raw_name, g, CASE WHEN g = 1 THEN CASE WHEN starts_with(lower(raw_name), 'brand#1') THEN 'first' WHEN starts_with(lower(raw_name), 'brand#') THEN 'brand' END END AS label FROM twice", "twice")
 def j16_prefix_lookup(d):
-    dim = d.spark.createDataFrame([(1, "Brand#", "brand"), (1, "Brand#1", "first")], "g int, prefix string, label string")
-    names = d.v4.select("raw_name", F.lit(1).alias("g")).distinct()
-    return jo.prefix_lookup(names, dim, "g", "raw_name", "prefix", "label").drop("g")
+    dim = d.spark.createDataFrame([(1, "Brand#", "brand"), (1, "Brand#1", "first"), (7, "Brand", "other")], "g int, prefix string, label string")
+    return jo.prefix_lookup(d.twice, dim, "g", "raw_name", "prefix", "label")
 
 
 @query("SELECT record_id, n_nationkey AS code FROM v2 LEFT JOIN nation ON upper(state) = upper(n_name) AND regexp_replace(lower(county), '\\s+(county|parish|borough)$', '') = lower(n_name)", "v2")
@@ -106,13 +107,13 @@ def j17_gazetteer_lookup(d):
     return jo.gazetteer_lookup(d.v2.select("record_id", "state", "county"), dim, "state", "county", "code").select("record_id", "code")
 
 
-@query("""SELECT doc_id, CASE WHEN (w LIKE '% the %' OR w LIKE '% of the %')  AND NOT w LIKE '% de la %' AND NOT w LIKE '% und %' THEN 'en' WHEN w LIKE '% de la %' AND NOT w LIKE '% the %' AND NOT w LIKE '% und %' THEN 'fr'
-  WHEN w LIKE '% und %' AND NOT w LIKE '% the %' AND NOT w LIKE '% de la %' THEN 'de' END AS code FROM
-  (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')) || ' ' AS w FROM documents)
-WHERE code IS NOT NULL""")
+@query("""SELECT doc_id, CASE WHEN the AND NOT (la OR fox OR und) THEN 'en' WHEN la AND NOT (the OR fox OR und) THEN 'fr' WHEN und AND NOT (the OR la OR fox) THEN 'de' WHEN fox AND NOT (the OR la OR und) THEN 'five' END AS code FROM
+ (SELECT doc_id, replace(replace(w, ' ', '  '), '  of  the  course  of  this  ', ' _ ') LIKE '% the %' AS the, w LIKE '% de la %' AS la, w LIKE '% of the course of this %' AS fox, w LIKE '% und %' AS und FROM
+  (SELECT doc_id, ' ' || trim(regexp_replace(lower(CASE WHEN doc_id % 50 = 0 THEN concat('Of the course, of this ', text) ELSE text END), '[^\\pL\\pN]+', ' ', 'g')) || ' ' AS w FROM documents)) WHERE code IS NOT NULL""")
 def j18_dictionary_resolve(d):
-    terms = d.spark.createDataFrame([("the", "en"), ("of the", "en"), ("de la", "fr"), ("und", "de")], "term string, code string")
-    return jo.dictionary_resolve(d.documents, terms, "doc_id", ["text"])
+    terms = d.spark.createDataFrame([("the", "en"), ("of the", "en"), ("de la", "fr"), ("und", "de"), ("of the course of this", "five")], "term string, code string")
+    text = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("Of the course, of this "), "text")).otherwise(F.col("text"))
+    return jo.dictionary_resolve(d.documents.select("doc_id", text.alias("text")), terms, "doc_id", ["text"])
 
 
 @query("""SELECT s.s_suppkey AS id, coalesce(a.k, b.k) AS match_key, CASE WHEN a.k IS NOT NULL THEN 'url' WHEN b.k IS NOT NULL THEN 'name' END AS basis
@@ -130,8 +131,8 @@ def u1_union_all(d):
     return d.nation.select(F.col("n_name").alias("name")).unionByName(d.region.select(F.col("r_name").alias("name")))
 
 
-@query("""SELECT a, b, string_agg(reason, ',' ORDER BY reason) AS reasons FROM (SELECT a.site_id AS a, b.site_id AS b, 'operator' AS reason FROM sites_small a JOIN sites_small b ON a.operator = b.operator AND a.subdivision = b.subdivision AND a.site_id < b.site_id
-UNION SELECT a.site_id, b.site_id, 'external' FROM sites_small a JOIN sites_small b ON a.external_id = b.external_id AND a.site_id < b.site_id) GROUP BY a, b""", "sites_small")
+@query("""SELECT a, b, string_agg(reason, ',' ORDER BY reason) AS reasons FROM (SELECT a.site_id AS a, b.site_id AS b, 'operator' AS reason FROM v3 a JOIN v3 b ON a.operator = b.operator AND a.subdivision = b.subdivision AND a.site_id < b.site_id
+UNION SELECT a.site_id, b.site_id, 'external' FROM v3 a JOIN v3 b ON a.external_id = b.external_id AND a.site_id < b.site_id) GROUP BY a, b""", "v3")
 def u2_union_distinct(d):
     by = lambda cols, why: jo.block_pairs(d.v3, cols, "site_id").withColumn("reason", F.lit(why))
     pairs = by(["operator", "subdivision"], "operator").unionByName(by(["external_id"], "external"))

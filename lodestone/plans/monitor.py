@@ -119,7 +119,7 @@ def g7_gate_events(d):
     return mo.gate_events(d.oplog, d.oplog, AT, 72).select("event_id", "gated")
 
 
-@query(f"SELECT auto_id FROM sources WHERE epoch(TIMESTAMP '{AT}') - floor(epoch(last_artifact_at)) >= coalesce(CASE cadence WHEN 'hourly' THEN 3600 WHEN 'daily' THEN 86400 WHEN 'weekly' THEN 604800 WHEN 'monthly' THEN 2678400 END, 86400) ORDER BY last_artifact_at, auto_id LIMIT 10", "sources")
+@query(f"SELECT auto_id FROM sources WHERE epoch(TIMESTAMP '{AT}') - floor(epoch(last_artifact_at)) >= 60 * CASE cadence WHEN 'hourly' THEN 50 WHEN 'weekly' THEN 6.5 * 24 * 60 ELSE 20 * 60 END ORDER BY last_artifact_at, auto_id LIMIT 10", "sources")
 def r5_select_due(d):
     return mo.select_due(d.sources, AT, "cadence", "last_artifact_at", "auto_id", 10).select("auto_id")
 

@@ -16,18 +16,21 @@ def ingest_stream(stream: DataFrame, target: str, checkpoint: str, ts: str, wate
     """Append each content hash once to the Parquet table `target`.
 
     Repeats within the watermark are dropped by state; later ones by an anti-join of each micro-batch against the
-    table, and a batch that is replayed after a failure overwrites its own slice. So every hash is stored once.
+    table, and a batch that is replayed after a failure overwrites its own slice. So every hash is stored once. The table
+    is cut by the hash's first digit, and a batch reads only the parts that its own hashes fall into.
     """
     unique = stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["content_hash"])
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(["content_hash"])
+        new = batch.dropDuplicates(["content_hash"]).withColumn("_part", F.substring("content_hash", 1, 1))
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            seen = spark.read.parquet(target).filter(F.col("_epoch") != epoch).select("content_hash")
+            parts = [r[0] for r in new.select("_part").distinct().collect()]  # at most 16
+            stored = spark.read.schema(new.select("content_hash").schema.add("_part", "string").add("_epoch", "long")).parquet(target)
+            seen = stored.filter(F.col("_part").isin(parts) & (F.col("_epoch") != epoch)).select("content_hash")
             new = new.join(seen, "content_hash", "left_anti")
-        new.withColumn("_epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_epoch").parquet(target)
+        new.withColumn("_epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part", "_epoch").parquet(target)
 
     return unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
