@@ -75,3 +75,75 @@ def test_empty_observations(spark):
     bands = spark.createDataFrame([("low", 0, 39, 1)], "band string, lo int, hi int, sort_order int")
     r = ob.confidence(ent, obs, bands, "2001-08-02").first()
     assert (r.score, r.band) == (15, "low")
+
+
+@pytest.mark.parametrize(("s", "usd"), [("$500,000", 500000), ("2500000", 2500000), ("-$1.5 million", -1500000), ("", None)])
+def test_amounts(spark, s, usd):
+    assert one(spark, vl.parse_usd_scaled, s) == usd
+
+
+@pytest.mark.parametrize(("section", "status", "kind"), [("completed", "Energized", "actual"), ("future", "Planned", "projected"), ("rtp", None, "projected"), ("cancelled", "Cancelled", "unknown"), ("future", "under construction", "required")])
+def test_more_date_types(spark, section, status, kind):
+    df = spark.createDataFrame([(section, status)], "a string, b string")
+    assert df.select(vl.classify_date_type(F.col("a"), F.col("b")).alias("r")).first().r == kind
+
+
+def test_drivers_and_names(spark):
+    assert one(spark, vl.classify_driver, "serve a new data center large load") == "load_growth"
+    assert one(spark, vl.classify_driver, "generation interconnection for a solar POI") == "generation_interconnection"
+    assert one(spark, vl.classify_driver, None) is None
+    assert one(spark, vl.is_large_load, "hyperscale data center") and not one(spark, vl.is_large_load, "routine rebuild")
+    assert one(spark, vl.extract_station_names, "new San Miguel Switching Station") == ["San Miguel"]
+    assert one(spark, vl.extract_station_names, "Bakersfield Switch upgrade") == ["Bakersfield"]
+    assert one(spark, vl.extract_county, "Rebuild in Dickens County, TX") == "Dickens" and one(spark, vl.extract_county, "no county") is None
+
+
+def test_json_helpers(spark):
+    assert one(spark, tx.json_texts, '["a", 1, null, {"x": 2}]') == ["a", "1", None, '{"x":2}']
+    assert one(spark, tx.json_texts, '{"a": 1}') is None and one(spark, tx.json_texts, None) is None and one(spark, tx.json_texts, "[]") == []
+    assert one(spark, lambda c: tx.json_get(c, "a", "b"), '{"a": {"b": "x"}}') == "x"
+    assert one(spark, tx.json_strip_nulls, '{"b": null, "a": [1], "q\\"": "x"}') == '{"a":[1],"q\\"":"x"}'
+    assert one(spark, lambda c: tx.json_merge(c, F.lit(None).cast("string")), '{"a": 1}') == '{"a":1}'
+
+
+@pytest.mark.parametrize(("cadence", "minutes", "due"), [("hourly", 49, False), ("hourly", 50, True), ("daily", 1199, False), ("weekly", 9360, True), ("never heard", 1200, True), ("archival_refresh", 38_879, False)])
+def test_poll_intervals(spark, cadence, minutes, due):
+    at = datetime.datetime(2024, 3, 1)
+    df = spark.createDataFrame([(cadence, at - datetime.timedelta(minutes=minutes), at)], "c string, last timestamp, now timestamp")
+    assert df.select(vl.is_due(F.col("c"), F.col("last"), F.col("now")).alias("r")).first().r is due
+
+
+def test_recompute_is_idempotent(spark):
+    kind = "entity_id long, source_class string, observed_at date, attribute string, value_text string, value_num double, lat double, lng double, capacity_basis string, lineage string, redistributable boolean, cap string, retracted boolean, superseded boolean, obs_id string"
+    day = datetime.date(2001, 8, 1)
+    obs = spark.createDataFrame([(1, "official_record", day, "name", "A", None, None, None, None, f"L{i}", True, "VRF", False, False, f"o{i}") for i in range(3)], kind)
+    bands = spark.createDataFrame([("low", 0, 39, 1), ("high", 40, 100, 2)], "band string, lo int, hi int, sort_order int")
+    ent = spark.createDataFrame([(1, "parcel", "construction", "L4", 10, "low", False), (2, None, "decommissioned", None, 0, "low", False)], "entity_id long, geo_precision string, lifecycle string, old_layer string, old_score long, old_band string, old_publishable boolean")
+    moved, stats = ob.recompute(ent, obs, bands, "2001-08-02")
+    r = moved.collect()
+    assert [(x.entity_id, x.layer, x.band, x.publishable) for x in r] == [(1, "L2", "high", True)] and (stats.first().seen, stats.first().changed) == (2, 1)
+    again = spark.createDataFrame([(1, "parcel", "construction", r[0].layer, r[0].score, r[0].band, True)], ent.schema)
+    assert ob.recompute(again, obs, bands, "2001-08-02")[0].count() == 0
+
+
+def test_seasonal_fit_against_least_squares(spark):
+    import numpy as np
+    from lodestone.operators import analytics as an
+
+    g = np.random.default_rng(1)
+    t = np.arange(300.0)
+    y = 5 + 0.02 * t + 3 * np.sin(2 * np.pi * t / 24) + g.normal(0, 0.5, 300)
+    y[40] += 9
+    out = an.seasonal_deltas(spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(t, y, strict=True)], "s string, t double, y double"), "s", "t", "y", 24.0).orderBy("t").collect()
+    x = np.stack([np.ones(300), t, np.sin(2 * np.pi * t / 24), np.cos(2 * np.pi * t / 24)], 1)
+    rest = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    want = rest / np.sqrt((rest**2).sum() / 296)
+    assert np.allclose([r.delta_sigma for r in out], want, atol=1e-6) and [r.flagged for r in out] == [bool(v) for v in abs(want) >= 2]
+
+
+def test_repeated_rows_keep_their_prefix(spark):
+    from lodestone.operators import joins as jo
+
+    df = spark.createDataFrame([("Ab", 1), ("Ab", 1), ("x", 1), ("Ab", 2)], "t string, g int")
+    dim = spark.createDataFrame([(1, "a", "one"), (1, "AB", "two")], "g int, p string, v string")
+    assert sorted((r.t, r.g, r.v) for r in jo.prefix_lookup(df, dim, "g", "t", "p", "v").collect() if r.v) == [("Ab", 1, "two"), ("Ab", 1, "two")]
