@@ -96,15 +96,6 @@ def cdc_upsert(target: DataFrame, new: DataFrame, key: str, salient: list[str])
     return n.withColumn("change", F.when(F.col("_old").isNull(), "new").when(F.col("_old").eqNullSafe(F.col("content_hash")), "unchanged").otherwise("changed")).drop("_old")
 
 
-def map_awards(frames: dict[str, DataFrame], specs: dict[str, dict[str, Column]], columns: list[str]) -> DataFrame:
-    """Rows of heterogeneous sources in one schema; a source's spec gives a column expression for each field it has."""
-    out = None
-    for source, df in frames.items():
-        row = df.select(F.lit(source).alias("source"), *[specs[source].get(c, F.lit(None).cast("string")).cast("string").alias(c) for c in columns])
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def unify_registry(frames: dict[str, DataFrame], specs: dict[str, dict[str, Column]], evidence: DataFrame) -> DataFrame:
     """Registry rows of several tables, the first source of a key winning, with the latest date of seed and evidence."""
     columns = ["source_key", "name", "last_seen"]

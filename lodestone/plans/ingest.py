@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import recover_json
-from lodestone.functions.values import normalize_incentive_type
+from lodestone.operators import awards as aw
 from lodestone.operators import ingest as ig
 from lodestone.plans.base import query, view
 
@@ -104,18 +106,135 @@ def io11_dedupe_by_hash(d):
     return ig.dedupe_by_hash(d.v2, ["state", "award_type", "county"], [F.col("record_id")]).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT 'ckan' AS source, n_name AS state, c_name AS recipient, CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) AS amount, CASE o_orderpriority WHEN '3-MEDIUM' THEN 'tif' ELSE 'other' END AS kind FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 2 = 0
-UNION ALL SELECT 'arcgis', n_name, c_name, NULL, 'grant' FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 2 = 1""")
+_T = "CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING)"
+_D = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
+_Y = "CAST(1995 + o_orderkey % 40 AS STRING)"
+_C = "CASE WHEN o_custkey % 5 = 0 THEN '  ' ELSE c_name END"
+#: One landed row of one of the twelve sources (and of an unknown one) for each order.
+view("landed_awards", f"""SELECT o_orderkey, CASE o_orderkey % 13 WHEN 0 THEN 'ny_esd_dei' WHEN 1 THEN 'ny_ida_projects' WHEN 2 THEN 'ct_decd_business_assistance' WHEN 3 THEN 'md_commerce_finance_tracker'
+  WHEN 4 THEN 'or_ez_parta_2025' WHEN 5 THEN 'or_ez_parta_2024' WHEN 6 THEN 'or_energy_incentive_program' WHEN 7 THEN 'de_eeif_grants' WHEN 8 THEN 'ok_quality_jobs' WHEN 9 THEN 'wi_wedc_ared'
+  WHEN 10 THEN 'ia_ieda_awards' WHEN 11 THEN 'dc_tif_areas' ELSE 'xx_unknown' END AS source_key,
+ CASE o_orderkey % 13
+  WHEN 0 THEN concat('{{"project_id_number": "P', CAST(o_orderkey AS STRING), '", "recipient_name": "', {_C}, '", "original_recipient": "', o_orderstatus, '", "county": "', n_name, '", "assistance_type": "', CASE o_orderpriority WHEN '1-URGENT' THEN 'Tax Increment' WHEN '2-HIGH' THEN 'Loan' ELSE o_orderpriority END, '", "start_date": "', {_D}, 'T00:00:00", "end_date": "2003-06-30T00:00:00", "assistance_amount": ', {_T}, CASE WHEN o_custkey % 2 = 0 THEN ', "total_lead_agency_benefits_awarded": "$1,200.5"}}' ELSE '}}' END)
+  WHEN 1 THEN concat('{{"project_code": "', CAST(o_custkey AS STRING), '", "fiscal_year_end_date": "', {_D}, '", "applicant_name": "', c_name, '", "project_name": "', o_orderstatus, '", "project_city": "', n_name, '", "authority_name": "', n_name, CASE WHEN o_custkey % 2 = 0 THEN ' County IDA' ELSE ' City IDA' END, '", "planned_end_year": "', {_Y}, '", "date_project_approved": "', {_D}, '", "total_pilot_made": "', CAST(o_custkey % 2 AS STRING), '", "net_exemptions": "', {_T}, '"}}')
+  WHEN 2 THEN concat('{{"company_name": "', c_name, '", "contract_execution_date": "', {_D}, '", "fiscal_year": "', {_Y}, '", "company_address": "', c_mktsegment, '", "municipality": "', n_name, '", "county_1": "', n_name, '", "grant_amount": "', CAST(o_custkey AS STRING), '", "loan_amount": "700", "funding_source": "', o_orderpriority, '"', CASE WHEN o_custkey % 3 = 0 THEN ', "total_assistance": null}}' ELSE concat(', "total_assistance": ', {_T}, '}}') END)
+  WHEN 3 THEN concat('{{"recipient": "', {_C}, '", "fiscal_year": ', {_Y}, ', "program_name_level_one": "', n_name, '"', CASE WHEN o_custkey % 2 = 0 THEN ', "program_name_level_two": "Fund"' ELSE '' END, ', "address": "', c_mktsegment, '", "city": "', n_name, '", "county": "', n_name, '", "incentive_type": "Conditional Loan", "loan_guarantee_amount": "$', {_T}, '"}}')
+  WHEN 4 THEN concat('{{"name_of_qualified_business": "', c_name, '", "enterprise_zone_name": "', n_name, '", "property_tax_year": "', {_Y}, '", "oregon_county": "', n_name, '", "property_taxes_abated_6": "', {_T}, '", "year_s_exemption_s_began": "', {_Y}, '", "exemption_period_years_2": "', CAST(o_custkey % 4 AS STRING), '"}}')
+  WHEN 5 THEN concat('{{"name_of_qualified_business": "', c_name, '", "enterprise_zone_name": "', n_name, '", "oregon_county": "', n_name, '", "property_taxes_abated_6": "n/a", "year_s_exemption_s_began": "since ', {_Y}, '", "exemption_period_years_2": 2.5}}')
+  WHEN 6 THEN concat('{{"applicant_business_name": "', c_name, '", "date_final_certificate": "', {_D}, '", "application": "', CAST(o_orderkey AS STRING), '", "project_type": "', o_orderpriority, '", "site_address": "', c_mktsegment, '", "site_city": "', n_name, '", "site_county": "', n_name, '", "final_tax_credit_or_grant": "', {_T}, '"}}')
+  WHEN 7 THEN concat('{{"control_number": "', CAST(o_orderkey AS STRING), '", "name_of_grantee": "', {_C}, '", "project_description": "', o_orderstatus, '", "street_address": "', c_mktsegment, '", "city": "', n_name, '", "county": "', n_name, '", "final_award_amount": ', {_T}, ', "app_completed_to_fiscal_date": "', {_D}, '"}}')
+  WHEN 8 THEN concat('{{"Vendor Name": "', c_name, '", "Fiscal Year": "', {_Y}, '", "Street Address": "', c_mktsegment, '", "Vendor Address City": "', n_name, '", "Issue Date": "8/15/', {_Y}, '", "Payment Amount": "$', {_T}, '", "Account Description": "', o_orderstatus, '"}}')
+  WHEN 9 THEN concat('{{"ObjectId": ', CAST(o_orderkey AS STRING), CASE WHEN o_custkey % 2 = 0 THEN concat(', "uid": "FY', CAST(o_custkey AS STRING), '"') ELSE '' END, ', "awardRecipient": "', c_name, '", "projectName": "', o_orderstatus, '", "municipality": "', n_name, '", "county": "', n_name, '", "awardDate": ', CASE WHEN o_custkey % 3 = 0 THEN '"1496102400000"' ELSE '1496102400000' END, ', "awardType": "Grant", "awardAmount": ', {_T}, '}}')
+  WHEN 10 THEN concat('{{"contract_name": "', c_name, '", "city": "', n_name, '", "county": "', n_name, '", "program": "', o_orderpriority, '", "award_date": "', {_D}, 'T00:00:00.000", "project_completion_date": "', {_Y}, '-07-01", "direct_assistance_awarded": ', CAST(1000 * (o_custkey % 2) AS STRING), '.0, "tax_benefits_awarded": ', CAST(1000 * (o_custkey % 3) AS STRING), '}}')
+  WHEN 11 THEN concat('{{"NAME": "', c_name, '", "TYPE": ', CASE WHEN o_custkey % 2 = 0 THEN 'null' ELSE '"PILOT"' END, ', "WARD": "', CAST(o_custkey % 8 AS STRING), '", "YEAR_AUTHORIZED": ', {_Y}, ', "MATURITY_YEAR": 2043, "INITIAL_AUTHORIZATION": "$', CAST(o_custkey % 90 AS STRING), '.5 million"}}')
+  ELSE '{{}}' END AS raw
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+
+#: Of each source, what its columns hold; columns that aren't named are null.
+_AWARDS = {
+    "ny_esd_dei": {
+        "state_abbr": "'NY'", "source_record_id": "T(project_id_number)", "recipient_name": "coalesce(T(recipient_name), T(original_recipient))", "project_name": "T(name_of_project)", "county_name": "T(county)",
+        "incentive_type": "CASE T(assistance_type) WHEN 'Tax Increment' THEN 'tif' WHEN 'Loan' THEN 'loan' ELSE 'other' END", "raw_incentive_type": "T(assistance_type)", "award_value_usd": "coalesce(N(total_lead_agency_benefits_awarded), N(assistance_amount))",
+        "term_start": "D(start_date)", "term_end": "D(end_date)", "source_url": "'https://data.ny.gov/d/26ei-n4eb'",
+    },
+    "ny_ida_projects": {
+        "state_abbr": "'NY'", "source_record_id": "concat(T(project_code), ':', D(fiscal_year_end_date))", "recipient_name": "T(applicant_name)", "project_name": "T(project_name)", "place_name": "T(project_city)",
+        "county_name": "CASE WHEN T(authority_name) LIKE '% County IDA' THEN replace(T(authority_name), ' County IDA', '') END", "incentive_type": "CASE WHEN N(total_pilot_made) > 0 THEN 'pilot' ELSE 'abatement' END", "raw_incentive_type": "'IDA exemptions/PILOT'",
+        "program_name": "T(authority_name)", "statute_citation": "'NY General Municipal Law §859'", "award_value_usd": "N(net_exemptions)", "term_start": "D(date_project_approved)", "term_end": "CAST(concat(T(planned_end_year), '-12-31') AS DATE)", "source_url": "'https://data.ny.gov/d/9rtk-3fkw'",
+    },
+    "ct_decd_business_assistance": {
+        "state_abbr": "'CT'", "source_record_id": "concat(T(company_name), ':', D(contract_execution_date), ':', T(fiscal_year))", "recipient_name": "T(company_name)", "project_address": "T(company_address)", "place_name": "T(municipality)", "county_name": "T(county_1)",
+        "incentive_type": "CASE WHEN N(grant_amount) >= N(loan_amount) THEN 'grant' ELSE 'loan' END", "raw_incentive_type": "T(funding_source)", "program_name": "T(funding_source)", "award_value_usd": "coalesce(N(total_assistance), N(grant_amount) + N(loan_amount))",
+        "term_start": "D(contract_execution_date)", "source_url": "'https://data.ct.gov/d/xnw3-nytd'",
+    },
+    "md_commerce_finance_tracker": {
+        "state_abbr": "'MD'", "source_record_id": "concat(coalesce(T(recipient), ''), ':', T(fiscal_year), ':', concat_ws(' / ', T(program_name_level_one), T(program_name_level_two)))", "recipient_name": "T(recipient)", "project_address": "T(address)", "place_name": "T(city)",
+        "county_name": "T(county)", "incentive_type": "'loan'", "raw_incentive_type": "T(incentive_type)", "program_name": "concat_ws(' / ', T(program_name_level_one), T(program_name_level_two))", "award_value_usd": "N(loan_guarantee_amount)",
+        "source_url": "'https://opendata.maryland.gov/d/cf3i-xdgb'",
+    },
+    "or_ez_parta_2025": {
+        "state_abbr": "'OR'", "source_record_id": "concat(T(name_of_qualified_business), ':', T(enterprise_zone_name), ':', T(property_tax_year))", "recipient_name": "T(name_of_qualified_business)", "county_name": "T(oregon_county)", "incentive_type": "'exemption'",
+        "raw_incentive_type": "'Enterprise Zone property tax exemption'", "program_name": "T(enterprise_zone_name)", "statute_citation": "'ORS 285C'", "award_value_usd": "N(property_taxes_abated_6)", "term_start": "CAST(concat(T(year_s_exemption_s_began), '-01-01') AS DATE)",
+        "term_end": "CASE WHEN N(exemption_period_years_2) > 0 THEN make_date(CAST(N(year_s_exemption_s_began) + N(exemption_period_years_2) AS BIGINT), 1, 1) END", "term_years": "N(exemption_period_years_2)", "source_url": "'https://data.oregon.gov/d/9cc3-52ar'",
+    },
+    "or_ez_parta_2024": {
+        "state_abbr": "'OR'", "source_record_id": "concat(T(name_of_qualified_business), ':', T(enterprise_zone_name), ':')", "recipient_name": "T(name_of_qualified_business)", "county_name": "T(oregon_county)", "incentive_type": "'exemption'", "raw_incentive_type": "'Enterprise Zone property tax exemption'",
+        "program_name": "T(enterprise_zone_name)", "statute_citation": "'ORS 285C'", "term_start": "CAST(concat(right(T(year_s_exemption_s_began), 4), '-01-01') AS DATE)", "term_end": "make_date(CAST(right(T(year_s_exemption_s_began), 4) AS BIGINT) + 3, 1, 1)", "term_years": "2.5", "source_url": "'https://data.oregon.gov/d/ecbu-9t3b'",
+    },
+    "or_energy_incentive_program": {
+        "state_abbr": "'OR'", "source_record_id": "concat(T(applicant_business_name), ':', D(date_final_certificate), ':', T(application))", "recipient_name": "T(applicant_business_name)", "project_name": "T(project_type)", "project_address": "T(site_address)", "place_name": "T(site_city)",
+        "county_name": "T(site_county)", "incentive_type": "'credit'", "raw_incentive_type": "'Energy Incentive Program tax credit'", "award_value_usd": "N(final_tax_credit_or_grant)", "term_start": "D(date_final_certificate)", "source_url": "'https://data.oregon.gov/d/ria5-vqsx'",
+    },
+    "de_eeif_grants": {
+        "state_abbr": "'DE'", "source_record_id": "T(control_number)", "recipient_name": "T(name_of_grantee)", "project_name": "T(project_description)", "project_address": "T(street_address)", "place_name": "T(city)", "county_name": "T(county)", "incentive_type": "'grant'",
+        "raw_incentive_type": "'Energy Efficiency Investment Fund grant'", "program_name": "'Energy Efficiency Investment Fund'", "award_value_usd": "N(final_award_amount)", "term_start": "D(app_completed_to_fiscal_date)", "source_url": "'https://data.delaware.gov/d/vukm-g6g5'",
+    },
+    "ok_quality_jobs": {
+        "state_abbr": "'OK'", "source_record_id": "concat(T(Vendor Name), ':', T(Fiscal Year), ':', T(Issue Date), ':', T(Payment Amount))", "recipient_name": "T(Vendor Name)", "project_address": "T(Street Address)", "place_name": "T(Vendor Address City)", "incentive_type": "'rebate'",
+        "raw_incentive_type": "T(Account Description)", "program_name": "'Oklahoma Quality Jobs Program'", "statute_citation": "'68 O.S. §3601 et seq.'", "award_value_usd": "N(Payment Amount)", "term_start": "CAST(concat(right(T(Issue Date), 4), '-08-15') AS DATE)",
+        "source_url": "'https://data.ok.gov/dataset/oklahoma-quality-jobs-program'",
+    },
+    "wi_wedc_ared": {
+        "state_abbr": "'WI'", "source_record_id": "coalesce(T(uid), concat('oid:', T(ObjectId)))", "recipient_name": "T(awardRecipient)", "project_name": "T(projectName)", "place_name": "T(municipality)", "county_name": "T(county)", "incentive_type": "'grant'", "raw_incentive_type": "T(awardType)",
+        "award_value_usd": "N(awardAmount)", "term_start": "CASE WHEN json_type(raw, '$.awardDate') <> 'VARCHAR' THEN DATE '2017-05-30' END", "source_url": "'https://www.wedc.org/about-wedc/transparency/'",
+    },
+    "ia_ieda_awards": {
+        "state_abbr": "'IA'", "source_record_id": "concat(T(contract_name), ':', D(award_date))", "recipient_name": "T(contract_name)", "place_name": "T(city)", "county_name": "T(county)",
+        "incentive_type": "CASE WHEN N(direct_assistance_awarded) > 0 AND N(tax_benefits_awarded) > 0 THEN 'mixed' WHEN N(direct_assistance_awarded) > 0 THEN 'grant' WHEN N(tax_benefits_awarded) > 0 THEN 'credit' ELSE 'other' END", "raw_incentive_type": "T(program)", "program_name": "T(program)",
+        "award_value_usd": "nullif(N(direct_assistance_awarded) + N(tax_benefits_awarded), 0)", "term_start": "D(award_date)", "term_end": "D(project_completion_date)", "source_url": "'https://www.iowaeda.com/impact/'",
+    },
+    "dc_tif_areas": {
+        "state_abbr": "'DC'", "source_record_id": "concat(T(NAME), ':', T(YEAR_AUTHORIZED))", "recipient_name": "T(NAME)", "project_name": "T(NAME)", "place_name": "concat('Ward ', T(WARD))", "county_name": "'District of Columbia'", "incentive_type": "CASE WHEN T(TYPE) IS NULL THEN 'tif' ELSE 'pilot' END",
+        "raw_incentive_type": "T(TYPE)", "program_name": "'DC Tax Increment Financing'", "award_value_usd": "1000000 * CAST(regexp_extract(T(INITIAL_AUTHORIZATION), '[0-9.]+') AS DOUBLE)", "term_start": "make_date(CAST(T(YEAR_AUTHORIZED) AS BIGINT), 1, 1)", "term_end": "DATE '2043-12-31'",
+        "source_url": "'https://maps2.dcgis.dc.gov/dcgis/rest/services/DCGIS_DATA/Business_Incentives_WebMercator/MapServer/26'",
+    },
+}
+
+
+def _awards_sql() -> str:
+    """The union over the sources; T, N and D stand for a field's text, number and date."""
+    at = r"raw->>'$."
+    short = ((r"T\(([^()]+)\)", r"nullif(trim(FIELD\1'), '')"), (r"N\(([^()]+)\)", r"CAST(replace(replace(FIELD\1', '$', ''), ',', '') AS DOUBLE)"), (r"D\(([^()]+)\)", r"CAST(left(FIELD\1', 10) AS DATE)"))
+    parts = []
+    for source, spec in _AWARDS.items():
+        cols = []
+        for c, kind in aw.COLUMNS.items():
+            e = spec.get(c, "NULL")
+            for pattern, to in short:
+                e = re.sub(rf"(?<![A-Za-z_]){pattern}", to, e)
+            e = re.sub(r"FIELD([^']+)'", lambda m: f"({at}\"{m[1]}\"')", e)
+            cols.append(f"CAST({e} AS {kind}) AS {c}")
+        parts.append(f"SELECT o_orderkey, source_key, {', '.join(cols)} FROM landed_awards WHERE source_key = '{source}'")
+    years = "coalesce(term_years, CASE WHEN term_end >= term_start THEN floor(date_diff('day', term_start, term_end) / 365.25 * 10 + 0.5) / 10 END)"
+    return f"SELECT * REPLACE ({years} AS term_years) FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@query(_awards_sql(), "landed_awards")
 def e30_map_awards(d):
-    """E30 and F41."""
+    """E30: all columns of the record but the landed text, of twelve sources."""
+    return aw.map_awards(d.landed_awards).drop("raw")
+
+
+@query("""SELECT o_orderkey, c_name AS recipient_name, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE n_name END AS place_name, CAST(floor(o_totalprice) AS DOUBLE) AS award_value_usd,
+ CASE WHEN o_custkey % 3 = 0 THEN DATE '2016-03-09' ELSE CAST(o_orderdate AS DATE) END AS term_start FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def f41_map_portal_row(d):
+    """cells with markup under headers that a portal renames."""
     o = d.orders.join(d.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(d.nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    a = o.filter("o_orderkey % 2 = 0").select(F.col("n_name").alias("State"), F.col("c_name").alias("Vendor Name"), F.concat(F.lit("$"), F.floor("o_totalprice").cast("string")).alias("Payment Amount"), F.when(F.col("o_orderpriority") == "3-MEDIUM", "TIF").otherwise("x").alias("Type"))
-    b = o.filter("o_orderkey % 2 = 1").select(F.col("n_name").alias("st"), F.col("c_name").alias("awardRecipient"), F.lit("cash grant").alias("awardType"))
-    specs = {
-        "ckan": {"state": F.col("State"), "recipient": F.col("Vendor Name"), "amount": F.regexp_replace("Payment Amount", "[$,]", ""), "kind": normalize_incentive_type(F.col("Type"))},
-        "arcgis": {"state": F.col("st"), "recipient": F.col("awardRecipient"), "kind": normalize_incentive_type(F.col("awardType"))},
+    odd = F.col("o_orderkey") % 2 == 1
+    date = F.when(F.col("o_custkey") % 3 == 0, "3/9/2016").otherwise(F.date_format("o_orderdate", "yyyy/M/d"))
+    headers = F.array(F.lit("amountrecaptured"), F.when(odd, "taxpayer").otherwise("name"), F.lit("primarylocations"), F.when(odd, "grant_amount").otherwise("amountoftaxcredit"), F.when(odd, "approved_on").otherwise("dateagreementapproved"))
+    cells = F.array(
+        F.lit("$5"), F.concat(F.lit("<a href='x'>"), F.col("c_name"), F.lit("</a>&nbsp;")), F.when(F.col("o_custkey") % 4 == 0, "<i> </i>").otherwise(F.concat(F.lit(" <b>"), F.col("n_name"), F.lit("</b>\n"))),
+        F.concat(F.lit("<td>$ "), F.format_number(F.floor("o_totalprice"), 0), F.lit("</td>")), F.concat(F.lit("on "), date),
+    )
+    patterns = {
+        "recipient_name": ["^name$", "company|recipient|business|taxpayer"],
+        "place_name": ["location"],
+        "award_value_usd": ["amountoftaxcredit", "tax.?credit", "amount.*credit", "grant.?amount", "award.?amount"],
+        "term_start": ["date.*(approv|agreement)", "agreement.*date", "approv"],
     }
-    return ig.map_awards({"ckan": a, "arcgis": b}, specs, ["state", "recipient", "amount", "kind"])
+    rows = o.select("o_orderkey", F.map_from_arrays(headers, cells).alias("cells"))
+    return aw.map_portal_row(rows, "cells", patterns, ["award_value_usd"], ["term_start"]).drop("cells")
 
 
 @query("""SELECT source_key, name, origin, greatest(last_seen, DATE '2000-01-01' + CAST(k % 30 AS INTEGER)) AS last_seen FROM (SELECT k, CAST(k AS STRING) AS source_key, CASE WHEN s_name IS NOT NULL THEN s_name ELSE c_name END AS name, CASE WHEN s_name IS NOT NULL THEN 'feeds' ELSE 'rosters' END AS origin,

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import values as vl
+from lodestone.operators import awards as aw
 from lodestone.operators import monitor as mo
 from lodestone.operators import observations as ob
 from lodestone.sources import bodies as bo
@@ -147,3 +149,33 @@ def test_repeated_rows_keep_their_prefix(spark):
     df = spark.createDataFrame([("Ab", 1), ("Ab", 1), ("x", 1), ("Ab", 2)], "t string, g int")
     dim = spark.createDataFrame([(1, "a", "one"), (1, "AB", "two")], "g int, p string, v string")
     assert sorted((r.t, r.g, r.v) for r in jo.prefix_lookup(df, dim, "g", "t", "p", "v").collect() if r.v) == [("Ab", 1, "two"), ("Ab", 1, "two")]
+
+
+AWARDS = [
+    ("ok_quality_jobs", {"Fiscal Year": "2007", "Vendor Name": "A G EQUIPMENT CO", "Street Address": "3401 W ALBANY", "Vendor Address City": "BROKEN ARROW", "Issue Date": "08/15/2006", "Payment Amount": "$10649.55", "Department Description": "QUALITY JOBS INCENTIVE PAYMENT"},
+     {"source_record_id": "A G EQUIPMENT CO:2007:08/15/2006:$10649.55", "award_value_usd": 10649.55, "term_start": datetime.date(2006, 8, 15), "county_name": None, "incentive_type": "rebate", "statute_citation": "68 O.S. §3601 et seq."}),
+    ("wi_wedc_ared", {"uid": "FY17356", "county": "Dodge", "ObjectId": 1, "awardDate": 1496102400000, "awardType": "Grant", "awardAmount": 400000, "municipality": "Horicon"}, {"source_record_id": "FY17356", "term_start": datetime.date(2017, 5, 30), "award_value_usd": 400000.0, "incentive_type": "grant"}),
+    ("wi_wedc_ared", {"ObjectId": 42, "county": "Dane", "awardDate": "1496102400000"}, {"source_record_id": "oid:42", "award_value_usd": None, "term_start": None}),
+    ("ia_ieda_awards", {"contract_name": "X", "primary_funding_agreement": "21-HQJDF-005", "award_date": "2021-05-21T00:00:00.000", "direct_assistance_awarded": 150000.0, "tax_benefits_awarded": 147524.0}, {"source_record_id": "21-HQJDF-005", "award_value_usd": 297524.0, "incentive_type": "mixed", "term_start": datetime.date(2021, 5, 21)}),
+    ("ia_ieda_awards", {"contract_name": "Z"}, {"incentive_type": "other", "award_value_usd": None, "source_record_id": "Z:"}),
+    ("dc_tif_areas", {"NAME": "Verizon Center", "TYPE": "TIF", "WARD": "2", "MATURITY_YEAR": 2043, "YEAR_AUTHORIZED": 2007, "INITIAL_AUTHORIZATION": "$50.0 million", "GLOBALID": "{8370B12D}"},
+     {"source_record_id": "{8370B12D}", "place_name": "Ward 2", "award_value_usd": 50000000.0, "incentive_type": "tif", "term_start": datetime.date(2007, 1, 1), "term_end": datetime.date(2043, 12, 31), "term_years": 37.0}),
+    ("ny_esd_dei", {"total_lead_agency_benefits_awarded": "n/a", "assistance_amount": "5"}, {"award_value_usd": None}),
+]
+
+
+def test_award_records(spark):
+    rows = [(i, source, json.dumps(raw)) for i, (source, raw, _) in enumerate(AWARDS)] + [(98, "ok_quality_jobs", "{broken"), (99, "unheard_of", "{}"), (97, None, None)]
+    got = {r.i: r.asDict() for r in aw.map_awards(spark.createDataFrame(rows, "i int, source_key string, raw string")).collect()}
+    assert set(got) == set(range(len(AWARDS)))
+    for i, (_, _, want) in enumerate(AWARDS):
+        assert {k: got[i][k] for k in want} == want
+
+
+def test_portal_rows(spark):
+    rows = [(1, {"amountrecaptured": "$9", "Name": " <b>Acme&nbsp; Co</b>", "amountoftaxcredit": "", "grant_amount": "$1,200", "dateagreementapproved": "2016/3/9"}), (2, {"company": "B", "approved": "on 3/9/2016"}), (3, None)]
+    df = spark.createDataFrame(rows, "i int, cells map<string, string>")
+    patterns = {"name": ["^name$", "company"], "usd": ["amountoftaxcredit", "grant.?amount"], "at": ["date.*approv", "approv"]}
+    got = aw.map_portal_row(df, "cells", patterns, ["usd"], ["at"]).orderBy("i").collect()
+    day = datetime.date(2016, 3, 9)
+    assert [(r.name, r.usd, r.at) for r in got] == [("Acme Co", 1200.0, day), ("B", None, day), (None, None, None)]
