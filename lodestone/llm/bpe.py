@@ -1,15 +1,18 @@
-"""Byte-level BPE by merge replay over a block's whole vocabulary, and decoding.
+"""Byte-level BPE by merge replay over the corpus's distinct words, and decoding.
 
-Each task takes its documents in blocks. The distinct pieces of a block (what the split pattern matches) are laid out
-in one array of symbols; an inverted index holds, for each mergeable token pair, the positions where it stands. Merges
-are then applied in rank order, and each touches only its two neighbours, whose new pairs enter the index. So a merge
-rule is met once for all documents of the block, and a piece of any length costs n log n. Pieces don't interact, so
-blocks don't change the result; a piece already replayed by this task is looked up.
+1. Documents are dealt to blocks of a few megabytes, written with the distinct words of each block.
+2. The words of all blocks meet by word, so that each distinct word of the corpus is encoded once. The pieces of a task's
+   words (what the split pattern matches) are laid out in one array of symbols; an inverted index holds, for each mergeable
+   token pair, the positions where it stands. Merges are applied in rank order, and each touches only its two
+   neighbours, whose new pairs enter the index. A piece of any length costs n log n. Pieces don't interact, so it
+   doesn't matter which task has which.
+3. Each block meets the ids of its words again, and its documents are put together from them.
+
+Documents move once, in whole blocks; words move once a block. A word that every block has makes one row a block.
 
 Text is cut at single spaces before the pattern runs: every match that holds a space between other characters starts
 with it, so " word" splits alike wherever it stands. Where white space runs make that untrue, the whole text is split.
-
-The public pattern is assumed by the shortcuts only; with any other, every text is split whole.
+The public pattern is assumed by this shortcut only; with any other, a word is a match of the pattern.
 
 Cases: a null or empty text has no tokens. Rows with equal texts or ids are encoded alike, each on its own row. An empty
 table gives an empty result. Texts of any length are encoded whole, several to a block or one by itself. Columns with the
@@ -22,19 +25,20 @@ import base64
 import hashlib
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, give_back, load, runs, utf8
+from lodestone.llm.common import column, give_back, load, materialize, runs, small_batches, utf8
 
-#: Parts that a task remembers (twice over: those of late, and those before), and characters replayed together.
-REMEMBERED, BLOCK = 120_000, 4 << 20
+#: Bytes of documents in a block, and of words replayed together.
+BLOCK = 4 << 20
 #: From so many places on, a merge is applied to all of them by vector operations.
 MANY = 40
 #: Letters and digits of Unicode 17 and 18, which the pattern engine of tiktoken (Unicode 16) takes for
@@ -187,27 +191,32 @@ class MergeReplay:
 
 
 class Codec:
-    """Encodes and decodes texts; ids are kept as comma-joined decimals, the form that is hashed."""
+    """Cuts texts into words and encodes and decodes them; ids are kept as comma-joined decimals, the form that is hashed."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, shortcuts: bool = False):
         self.replay, self.pattern, self.shortcuts = MergeReplay(ranks), regex.compile(pattern), shortcuts
         self.newer = regex.compile(f"[{NEWER}]")
         self.token = {str(i): t for t, i in ranks.items()}
-        self.parts: dict[str, str] = {}
-        self.before: dict[str, str] = {}
         white = [c for c in map(chr, range(0x3001)) if regex.match(r"\s", c)]
         self.runs = [c + " " for c in white]
 
-    def split(self, text: str) -> list[str]:
-        """What the pattern matches in `text`."""
-        if not self.shortcuts:
+    def words(self, text: str) -> list[str]:
+        """Parts of a text of which each is encoded by itself; joined, they are what the pattern matches in it."""
+        if not self.shortcuts or any(r in text for r in self.runs):
             return self._findall(text)
-        word = text[1:] if text[:1] == " " else text
-        if word.isalpha():
-            return [text]
-        if text[-1:] in (".", ",") and word[:-1].isalpha():
-            return [text[:-1], text[-1]]
-        return self._findall(text)
+        first, *rest = text.split(" ")
+        return [first] * bool(first) + [" " + x for x in rest]
+
+    def pieces(self, word: str) -> list[str]:
+        """What the pattern matches in a word."""
+        if not self.shortcuts:
+            return [word]
+        bare = word[1:] if word[:1] == " " else word
+        if bare.isalpha():
+            return [word]
+        if word[-1:] in (".", ",") and bare[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self._findall(word)
 
     def _findall(self, text: str) -> list[str]:
         if not self.newer.search(text):
@@ -219,56 +228,12 @@ class Codec:
             at += len(x)
         return out
 
-    def _cut(self, text: str) -> list[str]:
-        if not self.shortcuts:
-            return [text]
-        if any(r in text for r in self.runs):
-            return self._findall(text)
-        first, *rest = text.split(" ")
-        return [first] * bool(first) + [" " + x for x in rest]
-
-    def _learn(self, parts: set[str]) -> None:
-        """Have the ids of all `parts` at hand in self.parts."""
-        new = parts.difference(self.parts)
-        if len(self.parts) + len(new) > REMEMBERED:
-            self.before, self.parts = self.parts, {}
-            new = parts
-        fresh = []
-        for p in new:
-            if (ids := self.before.get(p)) is not None:
-                self.parts[p] = ids
-            else:
-                fresh.append(p)
-        split = [self.split(p) for p in fresh]
+    def encode(self, words: list[str]) -> list[str]:
+        """The ids of each word."""
+        split = [self.pieces(w) for w in words]
         pieces = list({x for xs in split for x in xs})
         ids = dict(zip(pieces, self.replay.encode([x.encode() for x in pieces]), strict=True))
-        for p, xs in zip(fresh, split, strict=True):
-            self.parts[p] = ids[xs[0]] if len(xs) == 1 else ",".join([ids[x] for x in xs])
-
-    def encode(self, texts: list[str | None]) -> list[str]:
-        out: list[str] = []
-        at = 0
-        while at < len(texts):
-            met: set[str] = set()
-            end, size = at, 0
-            cuts: list[list[str]] = []
-            while end < len(texts) and size < BLOCK:
-                t = texts[end] or ""
-                cuts.append(self._cut(t) if t else [])
-                met.update(cuts[-1])
-                size += len(t)
-                end += 1
-            self._learn(met)
-            get = self.parts.__getitem__
-            out.extend(",".join(map(get, x)) for x in cuts)
-            at = end
-        return out
-
-    def shrink(self) -> None:
-        """Keep little between tasks: the worker that holds this may run other stages next."""
-        self.before = {}
-        if len(self.parts) > REMEMBERED:
-            self.parts = {}
+        return [ids[xs[0]] if len(xs) == 1 else ",".join([ids[x] for x in xs]) for xs in split]
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.split(","))) if ids else b""
@@ -280,36 +245,91 @@ def _codec(name: str, pattern: str, shortcuts: bool) -> Codec:
     return Codec(read_ranks(SparkFiles.get(name)), pattern, shortcuts)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True, shortcuts: bool = False) -> DataFrame:
+def _dealt(docs: DataFrame, text: str, codec: Callable[[], Codec]) -> DataFrame:
+    """The rows of `docs` with `block` and null `words`; for each block a row of nulls with its distinct words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, block, size, met = codec().words, TaskContext.get().partitionId() << 32, 0, set()
+        kind = pa.list_(pa.string())
+        batch = None
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in runs(utf8(column(whole, text))[1], BLOCK)):
+            for t in column(batch, text).to_pylist():
+                if t:
+                    met.update(words(t))
+            size += len(utf8(column(batch, text))[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), block)), pa.nulls(len(batch), kind)], names=[*batch.schema.names, "block", "words"])
+            if size >= BLOCK:
+                yield listed(batch, block, met, kind)
+                block, size, met = block + 1, 0, set()
+        if met:
+            yield listed(batch, block, met, kind)
+        give_back()
+
+    def listed(like: pa.RecordBatch, block: int, met: set[str], kind: pa.DataType) -> pa.RecordBatch:
+        none = [pa.nulls(1, f.type) for f in like.schema]
+        return pa.RecordBatch.from_arrays([*none, pa.array([block]), pa.array([list(met)], kind)], names=[*like.schema.names, "block", "words"])
+
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "block long, words array<string>"]))
+
+
+def _replayed(words: DataFrame, codec: Callable[[], Codec]) -> DataFrame:
+    """(block, word, ids): the ids of each word. Equal words come to one task in a row, and are encoded once there."""
+
+    def coded(part: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(part).combine_chunks()
+        word = table["word"].combine_chunks().dictionary_encode()
+        ids = pa.array(codec().encode(word.dictionary.to_pylist()), pa.string())
+        return pa.RecordBatch.from_arrays([table["block"].combine_chunks(), table["word"].combine_chunks(), ids.take(word.indices)], names=["block", "word", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, size = [], 0
+        for batch in batches:
+            part.append(batch)
+            size += batch.nbytes
+            if size >= BLOCK:
+                yield coded(part)
+                part, size = [], 0
+        if part:
+            yield coded(part)
+        give_back()
+
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, word string, ids string")
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True, shortcuts: bool = False, text: bool = True) -> DataFrame:
     """All columns of `docs` with n_tokens, ids_sha256 and decoded_sha256, and with `ids` the ids themselves.
 
     The digests take the names n_tokens, ids_sha256, decoded_sha256 and token_ids; columns of `docs` with such names
     give way. decoded_sha256 hashes the bytes that decoding the ids gives. `shortcuts` says that the pattern cuts words and
-    white space as the public one does.
+    white space as the public one does; without `text` the column text goes.
     """
     spark = docs.sparkSession
     spark.sparkContext.addFile(ranks_path)
     name = ranks_path.rstrip("/").rpartition("/")[2]
+    codec = lambda: _codec(name, pattern, shortcuts)
     added = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *([("token_ids", "array<int>")] if ids else [])]
-    own = [c for c in docs.columns if c not in {x for x, _ in added}]
-    kept = docs.select(*[f"`{c}`" for c in own])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name, pattern, shortcuts)
-        sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in (whole.slice(a, b - a) for whole in batches for a, b in runs(utf8(column(whole, "text"))[1], BLOCK)):
-            coded = codec.encode(column(batch, "text").to_pylist())
-            n = [x.count(",") + 1 if x else 0 for x in coded]
-            cols = [pa.array(n, pa.int64()), pa.array([sha(x.encode()) for x in coded]), pa.array([sha(codec.decode(x)) for x in coded])]
-            if ids:
-                flat = np.concatenate([np.zeros(0, np.int32), *[np.fromstring(x, np.int32, sep=",") for x in coded if x]])
-                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *[x for x, _ in added]])
-        codec.shrink()
-        give_back()
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{x} {k}" for x, k in added)])
-    return kept.mapInArrow(run, schema)
+    own = [f for f in docs.schema if f.name not in {x for x, _ in added}]
+    at = f"c{[f.name for f in own].index('text')}"
+    with small_batches(spark):
+        table = materialize(_dealt(docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(own)]), at, codec), "blocks")
+    words = table.filter("words is not null").select("block", F.explode("words").alias("word"))
+    kept = [(f"c{i}", f) for i, f in enumerate(own) if text or f.name != "text"]
+
+    def run(rows: pa.Table, coded: pa.Table) -> pa.Table:
+        c, sha = codec(), lambda b: hashlib.sha256(b).hexdigest()
+        get = dict(zip(coded["word"].to_pylist(), coded["ids"].to_pylist(), strict=True)).__getitem__
+        # A word that the pattern takes nothing of (it may be any pattern) has no ids.
+        out = [",".join(filter(None, map(get, c.words(t)))) if t else "" for t in rows[at].to_pylist()]
+        n = [x.count(",") + 1 if x else 0 for x in out]
+        cols = [pa.array(n, pa.int64()), pa.array([sha(x.encode()) for x in out], pa.string()), pa.array([sha(c.decode(x)) for x in out], pa.string())]
+        if ids:
+            flat = np.concatenate([np.zeros(0, np.int32), *[np.fromstring(x, np.int32, sep=",") for x in out if x]])
+            cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat)))
+        return pa.Table.from_arrays([*[rows[x] for x, _ in kept], *cols], names=[*[f.name for _, f in kept], *[x for x, _ in added]])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for _, f in kept), *(f"{x} {k}" for x, k in added)])
+    rows = table.filter("words is null").drop("words")
+    return rows.groupBy("block").cogroup(_replayed(words, codec).groupBy("block")).applyInArrow(run, schema)
 
 
 def _joined(by_id: dict[int, bytes], ids: list[int]) -> bytes | None:
@@ -347,4 +367,4 @@ def public_ranks() -> tuple[str, str]:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(load(spark, sf_dir, "documents").select("doc_id", "text"), *public_ranks(), ids=False, shortcuts=True).drop("text")
+    return encode(load(spark, sf_dir, "documents").select("doc_id", "text"), *public_ranks(), ids=False, shortcuts=True, text=False)

@@ -163,6 +163,24 @@ def test_bpe_equals_the_library(spark):
     assert all(bytes(x.decoded).decode() == (x.text or "") for x in back.collect())
 
 
+def test_bpe_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 300)
+    r = random.Random(5)
+    some = ["the", "Katze", "日本", "x1.5", "isn't", "zzzzzz,", "😀", "  ", "a\n"]
+    rows = [(i, None if i % 50 == 7 else "" if i % 50 == 8 else " ".join(r.choices(some, k=r.randint(1, 60)))) for i in range(600)]
+    rows += [(1, "the the"), (1, "the the"), (2, "w " * 30000 + "end")] + [(9, "same words here, again")] * 300
+    enc = reference_encoder()
+    want = sorted((i, ",".join(map(str, enc.encode_ordinary(t or "")))) for i, t in rows)
+    table = docs(spark, rows).withColumn("block", F.lit(3)).withColumn("words", F.lit("w")).repartition(5)
+    for shortcuts in (False, True):
+        out = bpe.encode(table, *bpe.public_ranks(), shortcuts=shortcuts, text=False)
+        assert out.columns == ["doc_id", "node", "fp", "block", "words", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
+        got = out.collect()
+        assert sorted((x.doc_id, ",".join(map(str, x.token_ids))) for x in got) == want
+        assert {(x.block, x.words) for x in got} == {(3, "w")}
+    assert bpe.encode(table.limit(0), *bpe.public_ranks()).count() == 0
+
+
 def test_replay_of_many_places_equals_that_of_few(monkeypatch):
     ranks = bpe.read_ranks(bpe.public_ranks()[0])
     r = random.Random(9)
