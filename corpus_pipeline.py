@@ -43,7 +43,7 @@ def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of what they decode to, in place of the text."""
-    return bpe.encode(docs, *bpe.public_ranks(), shortcuts=True).drop("text")
+    return bpe.encode(docs, *bpe.public_ranks(), shortcuts=True, text=False)
 
 
 STAGES = [
