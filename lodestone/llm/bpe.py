@@ -1,14 +1,15 @@
 """Byte-level BPE by merge replay over the corpus's distinct words, and decoding.
 
-1. Documents are dealt to blocks of a few megabytes, written with the distinct words of each block.
-2. The words of all blocks meet by word, so that each distinct word of the corpus is encoded once. The pieces of a task's
-   words (what the split pattern matches) are laid out in one array of symbols; an inverted index holds, for each mergeable
-   token pair, the positions where it stands. Merges are applied in rank order, and each touches only its two
-   neighbours, whose new pairs enter the index. A piece of any length costs n log n. Pieces don't interact, so it
-   doesn't matter which task has which.
+1. Documents are dealt to blocks of a few megabytes. A block is written as one compressed row, and its distinct words as
+   one compressed list for each bucket that words hash to.
+2. The lists of a bucket meet, so that each distinct word of the corpus is encoded once. The pieces of the words (what the
+   split pattern matches) are laid out in one array of symbols; an inverted index holds, for each mergeable token pair, the
+   positions where it stands. Merges are applied in rank order, and each touches only its two neighbours, whose new pairs
+   enter the index. A piece of any length costs n log n. Pieces don't interact, so it doesn't matter where one is replayed.
 3. Each block meets the ids of its words again, and its documents are put together from them.
 
-Documents move once, in whole blocks; words move once a block. A word that every block has makes one row a block.
+Documents move once, compressed; a word moves once a block. The number of buckets follows the corpus's size, so a bucket's
+distinct words stay below BUCKET bytes, and a word that every block has makes one entry a block.
 
 Text is cut at single spaces before the pattern runs: every match that holds a space between other characters starts
 with it, so " word" splits alike wherever it stands. Where white space runs make that untrue, the whole text is split.
@@ -24,6 +25,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -31,14 +34,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import column, give_back, load, materialize, runs, small_batches, utf8
 
-#: Bytes of documents in a block, and of words replayed together.
-BLOCK = 4 << 20
+#: Bytes of documents in a block; bytes of the corpus for one bucket of words, and buckets at least.
+BLOCK, BUCKET, BUCKETS = 4 << 20, 64 << 20, 64
 #: From so many places on, a merge is applied to all of them by vector operations.
 MANY = 40
 #: Letters and digits of Unicode 17 and 18, which the pattern engine of tiktoken (Unicode 16) takes for
@@ -203,7 +207,7 @@ class Codec:
     def words(self, text: str) -> list[str]:
         """Parts of a text of which each is encoded by itself; joined, they are what the pattern matches in it."""
         if not self.shortcuts or any(r in text for r in self.runs):
-            return self._findall(text)
+            return [x for x in self._findall(text) if x]
         first, *rest = text.split(" ")
         return [first] * bool(first) + [" " + x for x in rest]
 
@@ -245,55 +249,73 @@ def _codec(name: str, pattern: str, shortcuts: bool) -> Codec:
     return Codec(read_ranks(SparkFiles.get(name)), pattern, shortcuts)
 
 
-def _dealt(docs: DataFrame, text: str, codec: Callable[[], Codec]) -> DataFrame:
-    """The rows of `docs` with `block` and null `words`; for each block a row of nulls with its distinct words."""
+def _packed(part: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for batch in part:
+            out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, block, size, met = codec().words, TaskContext.get().partitionId() << 32, 0, set()
-        kind = pa.list_(pa.string())
-        batch = None
-        for batch in (whole.slice(a, b - a) for whole in batches for a, b in runs(utf8(column(whole, text))[1], BLOCK)):
+
+def _pack_list(strings: list[str]) -> bytes:
+    return zstandard.compress(json.dumps(strings, ensure_ascii=False, separators=(",", ":")).encode())
+
+
+def _unpack_list(data: bytes) -> list[str]:
+    return json.loads(zstandard.decompress(data))
+
+
+def _dealt(docs: DataFrame, text: str, buckets: int, codec: Callable[[], Codec]) -> DataFrame:
+    """(block, bucket, packed): for each block a row of its documents (bucket -1), and of its distinct words by bucket."""
+
+    def block(number: int, part: list[pa.RecordBatch]) -> pa.RecordBatch:
+        words, met = codec().words, set()
+        for batch in part:
             for t in column(batch, text).to_pylist():
                 if t:
                     met.update(words(t))
+        lists: dict[int, list[str]] = defaultdict(list)
+        for w in sorted(met):
+            lists[zlib.crc32(w.encode()) % buckets].append(w)
+        packed = [_packed(part), *map(_pack_list, lists.values())]
+        return pa.RecordBatch.from_arrays([pa.array([number] * len(packed), pa.int64()), pa.array([-1, *lists], pa.int32()), pa.array(packed, pa.binary())], names=["block", "bucket", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, part, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in runs(utf8(column(whole, text))[1], BLOCK)):
+            part.append(batch)
             size += len(utf8(column(batch, text))[0])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), block)), pa.nulls(len(batch), kind)], names=[*batch.schema.names, "block", "words"])
-            if size >= BLOCK:
-                yield listed(batch, block, met, kind)
-                block, size, met = block + 1, 0, set()
-        if met:
-            yield listed(batch, block, met, kind)
+            if size >= BLOCK or sum(map(len, part)) >= BLOCK // 64:
+                yield block(number, part)
+                number, part, size = number + 1, [], 0
+        if part:
+            yield block(number, part)
         give_back()
 
-    def listed(like: pa.RecordBatch, block: int, met: set[str], kind: pa.DataType) -> pa.RecordBatch:
-        none = [pa.nulls(1, f.type) for f in like.schema]
-        return pa.RecordBatch.from_arrays([*none, pa.array([block]), pa.array([list(met)], kind)], names=[*like.schema.names, "block", "words"])
-
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "block long, words array<string>"]))
+    return docs.mapInArrow(run, "block long, bucket int, packed binary")
 
 
-def _replayed(words: DataFrame, codec: Callable[[], Codec]) -> DataFrame:
-    """(block, word, ids): the ids of each word. Equal words come to one task in a row, and are encoded once there."""
-
-    def coded(part: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(part).combine_chunks()
-        word = table["word"].combine_chunks().dictionary_encode()
-        ids = pa.array(codec().encode(word.dictionary.to_pylist()), pa.string())
-        return pa.RecordBatch.from_arrays([table["block"].combine_chunks(), table["word"].combine_chunks(), ids.take(word.indices)], names=["block", "word", "ids"])
+def _replayed(lists: DataFrame, codec: Callable[[], Codec]) -> DataFrame:
+    """(block, words, ids): the ids of each word of each list. A bucket's lists come one after another; each word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, size = [], 0
-        for batch in batches:
-            part.append(batch)
-            size += batch.nbytes
-            if size >= BLOCK:
-                yield coded(part)
-                part, size = [], 0
-        if part:
-            yield coded(part)
+        known: dict[str, str] = {}
+        last = None
+        for batch in (whole.slice(a, 64) for whole in batches for a in range(0, len(whole), 64)):
+            of = column(batch, "bucket").to_pylist()
+            words = [_unpack_list(x) for x in column(batch, "packed").to_pylist()]
+            ids = []
+            for bucket in dict.fromkeys(of):
+                if bucket != last:
+                    known, last = {}, bucket
+                mine = [w for w, x in zip(words, of, strict=True) if x == bucket]
+                new = list({w for ws in mine for w in ws}.difference(known))
+                known.update(zip(new, codec().encode(new), strict=True))
+                ids.extend(_pack_list([known[w] for w in ws]) for ws in mine)
+            yield pa.RecordBatch.from_arrays([column(batch, "block"), column(batch, "packed"), pa.array(ids, pa.binary())], names=["block", "words", "ids"])
         give_back()
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, word string, ids string")
+    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, words binary, ids binary")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True, shortcuts: bool = False, text: bool = True) -> DataFrame:
@@ -310,16 +332,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True, sho
     added = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *([("token_ids", "array<int>")] if ids else [])]
     own = [f for f in docs.schema if f.name not in {x for x, _ in added}]
     at = f"c{[f.name for f in own].index('text')}"
+    renamed = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(own)])
+    size = renamed.agg(F.sum(F.octet_length(at))).first()[0] or 0
     with small_batches(spark):
-        table = materialize(_dealt(docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(own)]), at, codec), "blocks")
-    words = table.filter("words is not null").select("block", F.explode("words").alias("word"))
+        table = materialize(_dealt(renamed, at, max(BUCKETS, -(-size // BUCKET)), codec), "blocks")
     kept = [(f"c{i}", f) for i, f in enumerate(own) if text or f.name != "text"]
 
-    def run(rows: pa.Table, coded: pa.Table) -> pa.Table:
+    def run(packed: pa.Table, coded: pa.Table) -> pa.Table:
         c, sha = codec(), lambda b: hashlib.sha256(b).hexdigest()
-        get = dict(zip(coded["word"].to_pylist(), coded["ids"].to_pylist(), strict=True)).__getitem__
-        # A word that the pattern takes nothing of (it may be any pattern) has no ids.
-        out = [",".join(filter(None, map(get, c.words(t)))) if t else "" for t in rows[at].to_pylist()]
+        rows = pa.ipc.open_stream(packed["packed"][0].as_py()).read_all()
+        known: dict[str, str] = {}
+        for words, found in zip(coded["words"].to_pylist(), coded["ids"].to_pylist(), strict=True):
+            known.update(zip(_unpack_list(words), _unpack_list(found), strict=True))
+        out = [",".join([known[w] for w in c.words(t)]) if t else "" for t in rows[at].to_pylist()]
         n = [x.count(",") + 1 if x else 0 for x in out]
         cols = [pa.array(n, pa.int64()), pa.array([sha(x.encode()) for x in out], pa.string()), pa.array([sha(c.decode(x)) for x in out], pa.string())]
         if ids:
@@ -328,8 +353,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True, sho
         return pa.Table.from_arrays([*[rows[x] for x, _ in kept], *cols], names=[*[f.name for _, f in kept], *[x for x, _ in added]])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for _, f in kept), *(f"{x} {k}" for x, k in added)])
-    rows = table.filter("words is null").drop("words")
-    return rows.groupBy("block").cogroup(_replayed(words, codec).groupBy("block")).applyInArrow(run, schema)
+    blocks = table.filter("bucket < 0").select("block", "packed").groupBy("block")
+    return blocks.cogroup(_replayed(table.filter("bucket >= 0"), codec).groupBy("block")).applyInArrow(run, schema)
 
 
 def _joined(by_id: dict[int, bytes], ids: list[int]) -> bytes | None:

@@ -164,7 +164,8 @@ def test_bpe_equals_the_library(spark):
 
 
 def test_bpe_of_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK", 300)
+    monkeypatch.setattr(bpe, "BLOCK", 2000)
+    monkeypatch.setattr(bpe, "BUCKET", 500)
     r = random.Random(5)
     some = ["the", "Katze", "日本", "x1.5", "isn't", "zzzzzz,", "😀", "  ", "a\n"]
     rows = [(i, None if i % 50 == 7 else "" if i % 50 == 8 else " ".join(r.choices(some, k=r.randint(1, 60)))) for i in range(600)]
