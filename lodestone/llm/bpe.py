@@ -1,7 +1,7 @@
 """Byte-level BPE by merge replay over the corpus's distinct words, and decoding.
 
-1. Documents are dealt to blocks of a few megabytes. A block is written as one compressed row, and its distinct words as
-   one compressed list for each bucket that words hash to.
+1. Each task cuts its documents into blocks of a few megabytes. It sends a block's distinct words, one compressed list for
+   each bucket that words hash to, and later the block's documents, as one compressed row.
 2. The lists of a bucket meet, so that each distinct word of the corpus is encoded once. The pieces of the words (what the
    split pattern matches) are laid out in one array of symbols; an inverted index holds, for each mergeable token pair, the
    positions where it stands. Merges are applied in rank order, and each touches only its two neighbours, whose new pairs
@@ -9,7 +9,8 @@
 3. Each block meets the ids of its words again, and its documents are put together from them.
 
 Documents move once, compressed; a word moves once a block. The number of buckets follows the corpus's size, so a bucket's
-distinct words stay below BUCKET bytes, and a word that every block has makes one entry a block.
+distinct words stay below BUCKET bytes, and a word that every block has makes one entry a block. Give a table read from
+files: a task that is run again then cuts the same blocks. Should a block lack a word's ids, they are made there.
 
 Text is cut at single spaces before the pattern runs: every match that holds a space between other characters starts
 with it, so " word" splits alike wherever it stands. Where white space runs make that untrue, the whole text is split.
@@ -38,11 +39,13 @@ import zstandard
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from lodestone.llm.common import column, give_back, load, materialize, runs, small_batches, utf8
+from lodestone.llm.common import column, give_back, load, runs, utf8
 
 #: Bytes of documents in a block; bytes of the corpus for one bucket of words, and buckets at least.
-BLOCK, BUCKET, BUCKETS = 4 << 20, 64 << 20, 64
+BLOCK, BUCKET, BUCKETS = 8 << 20, 64 << 20, 64
 #: From so many places on, a merge is applied to all of them by vector operations.
 MANY = 40
 #: Letters and digits of Unicode 17 and 18, which the pattern engine of tiktoken (Unicode 16) takes for
@@ -265,34 +268,44 @@ def _unpack_list(data: bytes) -> list[str]:
     return json.loads(zstandard.decompress(data))
 
 
-def _dealt(docs: DataFrame, text: str, buckets: int, codec: Callable[[], Codec]) -> DataFrame:
-    """(block, bucket, packed): for each block a row of its documents (bucket -1), and of its distinct words by bucket."""
+def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """The task's rows in numbered blocks of about BLOCK bytes of text."""
+    number, part, size = TaskContext.get().partitionId() << 32, [], 0
+    for batch in (whole.slice(a, b - a) for whole in batches for a, b in runs(utf8(column(whole, text))[1], BLOCK // 8)):
+        part.append(batch)
+        size += len(utf8(column(batch, text))[0])
+        if size >= BLOCK or sum(map(len, part)) >= BLOCK // 64:
+            yield number, part
+            number, part, size = number + 1, [], 0
+    if part:
+        yield number, part
 
-    def block(number: int, part: list[pa.RecordBatch]) -> pa.RecordBatch:
-        words, met = codec().words, set()
-        for batch in part:
-            for t in column(batch, text).to_pylist():
-                if t:
-                    met.update(words(t))
-        lists: dict[int, list[str]] = defaultdict(list)
-        for w in sorted(met):
-            lists[zlib.crc32(w.encode()) % buckets].append(w)
-        packed = [_packed(part), *map(_pack_list, lists.values())]
-        return pa.RecordBatch.from_arrays([pa.array([number] * len(packed), pa.int64()), pa.array([-1, *lists], pa.int32()), pa.array(packed, pa.binary())], names=["block", "bucket", "packed"])
+
+def _documents(docs: DataFrame, text: str) -> DataFrame:
+    """(block, packed): the rows of `docs` in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, part, size = TaskContext.get().partitionId() << 32, [], 0
-        for batch in (whole.slice(a, b - a) for whole in batches for a, b in runs(utf8(column(whole, text))[1], BLOCK)):
-            part.append(batch)
-            size += len(utf8(column(batch, text))[0])
-            if size >= BLOCK or sum(map(len, part)) >= BLOCK // 64:
-                yield block(number, part)
-                number, part, size = number + 1, [], 0
-        if part:
-            yield block(number, part)
+        for number, part in _blocks(batches, text):
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_packed(part)], pa.binary())], names=["block", "packed"])
         give_back()
 
-    return docs.mapInArrow(run, "block long, bucket int, packed binary")
+    return docs.mapInArrow(run, "block long, packed binary")
+
+
+def _words(docs: DataFrame, text: str, buckets: int, codec: Callable[[], Codec]) -> DataFrame:
+    """(block, bucket, packed): the distinct words of each block by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = codec().words
+        for number, part in _blocks(batches, text):
+            lists: dict[int, list[str]] = defaultdict(list)
+            for w in sorted({w for batch in part for t in column(batch, text).to_pylist() if t for w in words(t)}):
+                lists[zlib.crc32(w.encode()) % buckets].append(w)
+            packed = pa.array(map(_pack_list, lists.values()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(lists), pa.int64()), pa.array(list(lists), pa.int32()), packed], names=["block", "bucket", "packed"])
+        give_back()
+
+    return docs.select(text).mapInArrow(run, "block long, bucket int, packed binary")
 
 
 def _replayed(lists: DataFrame, codec: Callable[[], Codec]) -> DataFrame:
@@ -334,17 +347,24 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True, sho
     at = f"c{[f.name for f in own].index('text')}"
     renamed = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(own)])
     size = renamed.agg(F.sum(F.octet_length(at))).first()[0] or 0
-    with small_batches(spark):
-        table = materialize(_dealt(renamed, at, max(BUCKETS, -(-size // BUCKET)), codec), "blocks")
+    coded = _replayed(_words(renamed, at, max(BUCKETS, -(-size // BUCKET)), codec), codec)
     kept = [(f"c{i}", f) for i, f in enumerate(own) if text or f.name != "text"]
 
-    def run(packed: pa.Table, coded: pa.Table) -> pa.Table:
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for _, f in kept), *(f"{x} {k}" for x, k in added)])
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
+    def run(packed: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(packed):  # words of a task that was run again and cut other blocks
+            return empty
         c, sha = codec(), lambda b: hashlib.sha256(b).hexdigest()
-        rows = pa.ipc.open_stream(packed["packed"][0].as_py()).read_all()
+        rows = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in packed["packed"].to_pylist())
         known: dict[str, str] = {}
-        for words, found in zip(coded["words"].to_pylist(), coded["ids"].to_pylist(), strict=True):
-            known.update(zip(_unpack_list(words), _unpack_list(found), strict=True))
-        out = [",".join([known[w] for w in c.words(t)]) if t else "" for t in rows[at].to_pylist()]
+        for words, made in zip(found["words"].to_pylist(), found["ids"].to_pylist(), strict=True):
+            known.update(zip(_unpack_list(words), _unpack_list(made), strict=True))
+        cut = [c.words(t) if t else [] for t in rows[at].to_pylist()]
+        lacking = list({w for ws in cut for w in ws}.difference(known))
+        known.update(zip(lacking, c.encode(lacking), strict=True))
+        out = [",".join(map(known.__getitem__, ws)) for ws in cut]
         n = [x.count(",") + 1 if x else 0 for x in out]
         cols = [pa.array(n, pa.int64()), pa.array([sha(x.encode()) for x in out], pa.string()), pa.array([sha(c.decode(x)) for x in out], pa.string())]
         if ids:
@@ -352,9 +372,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True, sho
             cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat)))
         return pa.Table.from_arrays([*[rows[x] for x, _ in kept], *cols], names=[*[f.name for _, f in kept], *[x for x, _ in added]])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for _, f in kept), *(f"{x} {k}" for x, k in added)])
-    blocks = table.filter("bucket < 0").select("block", "packed").groupBy("block")
-    return blocks.cogroup(_replayed(table.filter("bucket >= 0"), codec).groupBy("block")).applyInArrow(run, schema)
+    return _documents(renamed, at).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(run, schema)
 
 
 def _joined(by_id: dict[int, bytes], ids: list[int]) -> bytes | None:
