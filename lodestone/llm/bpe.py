@@ -8,9 +8,10 @@
    enter the index. A piece of any length costs n log n. Pieces don't interact, so it doesn't matter where one is replayed.
 3. Each block meets the ids of its words again, and its documents are put together from them.
 
-Documents move once, compressed; a word moves once a block. The number of buckets follows the corpus's size, so a bucket's
+Documents move once, compressed; a word moves once a block, and its ids once back. The number of buckets follows the corpus's size, so a bucket's
 distinct words stay below BUCKET bytes, and a word that every block has makes one entry a block. Give a table read from
-files: a task that is run again then cuts the same blocks. Should a block lack a word's ids, they are made there.
+files: a task that is run again then cuts the same blocks. Ids come
+back in the order of a block's sorted words, with a digest of these; should a block lack a word's ids, they are made there.
 
 Text is cut at single spaces before the pattern runs: every match that holds a space between other characters starts
 with it, so " word" splits alike wherever it stands. Where white space runs make that untrue, the whole text is split.
@@ -29,7 +30,7 @@ import heapq
 import json
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -268,6 +269,18 @@ def _unpack_list(data: bytes) -> list[str]:
     return json.loads(zstandard.decompress(data))
 
 
+def _digest(words: list[str]) -> bytes:
+    return hashlib.blake2b(json.dumps(words).encode(), digest_size=16).digest()
+
+
+def _by_bucket(words: Iterable[str], buckets: int) -> dict[int, list[str]]:
+    """The distinct words, sorted, by the bucket that each hashes to."""
+    lists: dict[int, list[str]] = defaultdict(list)
+    for w in sorted(set(words)):
+        lists[zlib.crc32(w.encode()) % buckets].append(w)
+    return lists
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """The task's rows in numbered blocks of about BLOCK bytes of text."""
     number, part, size = TaskContext.get().partitionId() << 32, [], 0
@@ -298,9 +311,7 @@ def _words(docs: DataFrame, text: str, buckets: int, codec: Callable[[], Codec])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = codec().words
         for number, part in _blocks(batches, text):
-            lists: dict[int, list[str]] = defaultdict(list)
-            for w in sorted({w for batch in part for t in column(batch, text).to_pylist() if t for w in words(t)}):
-                lists[zlib.crc32(w.encode()) % buckets].append(w)
+            lists = _by_bucket((w for batch in part for t in column(batch, text).to_pylist() if t for w in words(t)), buckets)
             packed = pa.array(map(_pack_list, lists.values()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([number] * len(lists), pa.int64()), pa.array(list(lists), pa.int32()), packed], names=["block", "bucket", "packed"])
         give_back()
@@ -309,7 +320,7 @@ def _words(docs: DataFrame, text: str, buckets: int, codec: Callable[[], Codec])
 
 
 def _replayed(lists: DataFrame, codec: Callable[[], Codec]) -> DataFrame:
-    """(block, words, ids): the ids of each word of each list. A bucket's lists come one after another; each word is encoded once."""
+    """(block, bucket, digest, ids): of each list the words' digest, and the ids of each word. A bucket's lists come one after another; each word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
@@ -325,10 +336,11 @@ def _replayed(lists: DataFrame, codec: Callable[[], Codec]) -> DataFrame:
                 new = list({w for ws in mine for w in ws}.difference(known))
                 known.update(zip(new, codec().encode(new), strict=True))
                 ids.extend(_pack_list([known[w] for w in ws]) for ws in mine)
-            yield pa.RecordBatch.from_arrays([column(batch, "block"), column(batch, "packed"), pa.array(ids, pa.binary())], names=["block", "words", "ids"])
+            cols = [column(batch, "block"), column(batch, "bucket"), pa.array(map(_digest, words), pa.binary()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["block", "bucket", "digest", "ids"])
         give_back()
 
-    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, words binary, ids binary")
+    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket int, digest binary, ids binary")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True, shortcuts: bool = False, text: bool = True) -> DataFrame:
@@ -347,7 +359,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True, sho
     at = f"c{[f.name for f in own].index('text')}"
     renamed = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(own)])
     size = renamed.agg(F.sum(F.octet_length(at))).first()[0] or 0
-    coded = _replayed(_words(renamed, at, max(BUCKETS, -(-size // BUCKET)), codec), codec)
+    buckets = max(BUCKETS, -(-size // BUCKET))
+    coded = _replayed(_words(renamed, at, buckets, codec), codec)
     kept = [(f"c{i}", f) for i, f in enumerate(own) if text or f.name != "text"]
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for _, f in kept), *(f"{x} {k}" for x, k in added)])
@@ -359,10 +372,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True, sho
         c, sha = codec(), lambda b: hashlib.sha256(b).hexdigest()
         rows = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in packed["packed"].to_pylist())
         known: dict[str, str] = {}
-        for words, made in zip(found["words"].to_pylist(), found["ids"].to_pylist(), strict=True):
-            known.update(zip(_unpack_list(words), _unpack_list(made), strict=True))
         cut = [c.words(t) if t else [] for t in rows[at].to_pylist()]
-        lacking = list({w for ws in cut for w in ws}.difference(known))
+        lists = _by_bucket((w for ws in cut for w in ws), buckets)
+        for bucket, digest, made in zip(*(found[x].to_pylist() for x in ("bucket", "digest", "ids")), strict=True):
+            if _digest(lists[bucket]) == digest:
+                known.update(zip(lists[bucket], _unpack_list(made), strict=True))
+        lacking = [w for ws in lists.values() for w in ws if w not in known]
         known.update(zip(lacking, c.encode(lacking), strict=True))
         out = [",".join(map(known.__getitem__, ws)) for ws in cut]
         n = [x.count(",") + 1 if x else 0 for x in out]
