@@ -9,9 +9,12 @@ from lodestone.llm.html_text import op7_html_extraction
 from lodestone.llm.image import op6_image_copies
 from lodestone.llm.language import op5_language_id
 from lodestone.llm.near_dup import OP9_SQL, op9_minhash_near_dedup
+from lodestone.llm.packing import op12_best_fit_packing
 from lodestone.llm.pii import op3_feistel_pseudonyms
 from lodestone.llm.quality import op1_quality_classifier
+from lodestone.llm.search import OP11_SQL, op11_ranked_search
 from lodestone.llm.shard import op2_hilbert_sharding
+from lodestone.llm.trie import OP13_SQL, op13_prefix_trie
 
 QUERIES = (
     op1_quality_classifier,
@@ -24,6 +27,9 @@ QUERIES = (
     op8_chat_snapshot_collapse,
     op9_minhash_near_dedup,
     op10_byte_bpe,
+    op11_ranked_search,
+    op12_best_fit_packing,
+    op13_prefix_trie,
 )
 
 
@@ -32,4 +38,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": OP4_SQL, "op8_chat_snapshot_collapse": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
+    return {"op4_benchmark_decontamination": OP4_SQL, "op8_chat_snapshot_collapse": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL, "op11_ranked_search": OP11_SQL, "op13_prefix_trie": OP13_SQL}
