@@ -247,8 +247,23 @@ def _object(m: Column) -> Column:
 
 
 def json_strip_nulls(c: Column) -> Column:
-    """A JSON object without its top-level fields that are null, keys in order."""
-    return _object(F.map_filter(_entries(c), lambda k, v: v != "null"))
+    """A JSON text without object fields that are null, at any depth; nulls in arrays stay. Null where it doesn't parse.
+
+    The text is cut into tokens. A field is a string, a colon and a value; the token before the colon is in a string only
+    as a whole, so a value that looks like a field isn't one. Fields keep their order, white space between tokens goes.
+    """
+    tokens = F.regexp_extract_all(c, F.lit(r'("(?:[^"\\]|\\.)*+"|[^\s",:{}\[\]]+|[,:{}\[\]])'), F.lit(1))
+
+    def kept(t: Column) -> Column:
+        at = lambda i: F.try_element_at(t, i + 1)
+        field = lambda i: F.coalesce((at(i + 1) == ":") & (at(i + 2) == "null"), F.lit(False))
+        before = lambda i, k: (i >= k) & field(F.greatest(i - k, F.lit(0)))
+        # The field's three tokens, and the comma after it.
+        return F.filter(t, lambda x, i: ~(field(i) | before(i, 1) | before(i, 2) | (before(i, 3) & (x == ","))))
+
+    once = kept(tokens)
+    closed = F.filter(once, lambda x, i: ~((x == ",") & F.coalesce(F.try_element_at(once, i + 2) == "}", F.lit(False))))
+    return F.when(F.try_parse_json(c).isNotNull(), F.array_join(closed, ""))
 
 
 def json_merge(a: Column, b: Column) -> Column:

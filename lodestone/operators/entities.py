@@ -313,6 +313,30 @@ def normalize_plan_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return p.drop("names"), p.select("id", F.posexplode("names").alias("pos", "name_frag"), "kv", "county", "date_type")
 
 
+def normalize_dockets(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(projects, mentions) of the dockets (id, title, state, county_fips) that screening keeps; the title's date never grades.
+
+    A project's content_hash is over its id, names, voltage and kind of date; a mention's over its id and name. The dates
+    stay null until a document gives them.
+    """
+    from lodestone.functions import dockets as dk
+    from lodestone.functions import values as vl
+
+    t = F.coalesce(F.trim(F.regexp_replace("title", "&#9;", " ")), F.lit(""))
+    p = df.select("id", "title", "state", "county_fips", dk.screen_docket(F.col("title")).alias("s")).filter("s.is_candidate")
+    p = p.select("id", "title", "state", "county_fips", "s.names", "s.is_siting", vl.extract_kv(t).alias("kv"), dk.docket_county(t).alias("county_raw"), dk.docket_date_type(t).alias("date_type"), t.alias("_t"))
+    ident = F.col("id").cast("string")
+    digest = F.sha2(F.concat_ws("|", ident, F.array_join("names", "|"), F.coalesce(F.col("kv").cast("string"), F.lit("")), "date_type"), 256)
+    projects = p.select(
+        "id", F.col("title").alias("project_name"), "state", "county_fips", "county_raw", "kv", F.array_join("names", "|").alias("names"), F.when(F.col("is_siting"), "reliability").alias("driver"),
+        F.col("_t").rlike("(?i)data center|large load").alias("large_load"), F.col("_t").rlike("(?i)tariff|rate class|large load").alias("tariff"), "date_type",
+        F.when(F.col("is_siting"), "approved").alias("status"), F.when(F.col("date_type") == "actual", "SRC").otherwise("EST").alias("tier"), digest.alias("content_hash"),
+    )
+    m = p.select("id", F.posexplode("names").alias("pos", "name_frag"), "kv", "state", "county_fips", "date_type")
+    sure = F.when(F.col("date_type") == "actual", 0.85).otherwise(0.30)
+    return projects, m.withColumns({"inservice_date": F.lit(None).cast("date"), "confidence": sure, "content_hash": F.sha2(F.concat_ws("|", F.lit("puc"), ident, "name_frag"), 256)})
+
+
 def link_entities(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     """(doc_id, entity_id): distinct entities whose name or alias a document mentions."""
     a = aliases.select(F.lower("alias").alias("_a"), "entity_id").distinct()

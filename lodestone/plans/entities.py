@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import dockets as dk
 from lodestone.operators import entities as en
 from lodestone.plans.base import query, view
 from lodestone.plans.joins import HAV
@@ -196,6 +197,36 @@ def e15_normalize_plan_rows(d):
     return m
 
 
+#: Nations' names without digits.
+view("towns", """SELECT x.n_nationkey AS town, translate(upper(x.n_name), '_0123456789', ' ABCDEFGHIJ') AS a, translate(upper(y.n_name), '_0123456789', ' ABCDEFGHIJ') AS b FROM nation x JOIN nation y ON y.n_nationkey = (x.n_nationkey + 1) % 25""")
+view("dockets", """SELECT o_orderkey AS id, CAST(o_custkey % 8 AS INT) AS k, a, b, substr(a, 1, 2) AS state, CASE WHEN o_custkey % 3 > 0 THEN CAST(o_custkey AS STRING) END AS county_fips,
+ CASE o_custkey % 8 WHEN 0 THEN concat('APPLICATION OF ', b, ' POWER TO AMEND ITS CERTIFICATE OF CONVENIENCE AND NECESSITY FOR THE ', a, ' SWITCH-TO-', b, ' SWITCH 345-KV TRANSMISSION LINE IN ', a, ' COUNTY')
+  WHEN 1 THEN concat('FOR THE PROPOSED ', a, ' SWITCH TO ', a, '  138-KV TRANSMISSION LINE, DATA CENTER TARIFF') WHEN 2 THEN concat('FINAL ORDER FOR THE ', a, ' SUBSTATION - ', b, ' TAP TRANSMISSION LINE REBUILD')
+  WHEN 3 THEN concat('PETITION FOR THE NEW&#9;', a, ' SWITCHING STATION') WHEN 4 THEN concat('MONTHLY RATE UPDATE FOR THE ', a, ' SWITCH TO ', b, ' SWITCH 69 KV TRANSMISSION LINE')
+  WHEN 5 THEN concat('SALE OF ', a, ' COMPANY') WHEN 6 THEN concat('UPGRADE FOR THE ', a, ' TO ', b, ' 500 KV LINE') END AS title
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN towns ON c_nationkey = town""", "towns")
+TITLED = "array_to_string(list_transform(string_split(lower({c}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+DOCKETS = f"""(SELECT *, CASE k WHEN 0 THEN [ta, tb] WHEN 2 THEN [ta, tb] ELSE [ta] END AS names, CASE k WHEN 0 THEN 345 WHEN 1 THEN 138 END AS kv, CASE k WHEN 1 THEN 'projected' WHEN 2 THEN 'actual' ELSE 'approved' END AS date_type
+ FROM (SELECT *, {TITLED.format(c='a')} AS ta, {TITLED.format(c='b')} AS tb FROM dockets WHERE k <= 3))"""
+
+
+@query(f"SELECT id, CASE WHEN k = 4 OR k = 6 THEN CASE k WHEN 4 THEN {TITLED.format(c='a')} || '|' || {TITLED.format(c='b')} ELSE '' END WHEN k IN (0, 2) THEN {TITLED.format(c='a')} || '|' || {TITLED.format(c='b')} WHEN k IN (1, 3) THEN {TITLED.format(c='a')} ELSE '' END AS names, CASE k WHEN 4 THEN 'excluded:rate/procedural' WHEN 6 THEN 'candidate:keyword' WHEN 5 THEN 'no-match' WHEN 7 THEN 'no-match' ELSE 'candidate:endpoints' END AS reason, k <= 3 AS is_candidate, CASE k WHEN 2 THEN 'actual' WHEN 0 THEN 'approved' WHEN 3 THEN 'approved' ELSE 'projected' END AS date_type FROM dockets", "dockets")
+def f17_screen_dockets(d):
+    """F17 and F18 of docket titles."""
+    s = d.dockets.select("id", dk.screen_docket(F.col("title")).alias("s"), dk.docket_date_type(F.col("title")).alias("date_type"))
+    return s.select("id", F.array_join("s.names", "|").alias("names"), "s.reason", "s.is_candidate", "date_type")
+
+
+@query(f"SELECT id, title AS project_name, state, county_fips, CASE k WHEN 0 THEN ta END AS county_raw, CAST(kv AS INTEGER) AS kv, array_to_string(names, '|') AS names, 'reliability' AS driver, k = 1 AS large_load, k = 1 AS tariff, date_type, 'approved' AS status, CASE k WHEN 2 THEN 'SRC' ELSE 'EST' END AS tier, sha256(CAST(id AS VARCHAR) || '|' || array_to_string(names, '|') || '|' || coalesce(CAST(kv AS VARCHAR), '') || '|' || date_type) AS content_hash FROM {DOCKETS}", "dockets")
+def e15_docket_projects(d):
+    return en.normalize_dockets(d.dockets)[0]
+
+
+@query(f"SELECT id, CAST(pos - 1 AS INTEGER) AS pos, names[pos] AS name_frag, CAST(kv AS INTEGER) AS kv, state, county_fips, date_type, CAST(NULL AS DATE) AS inservice_date, CASE k WHEN 2 THEN 0.85 ELSE 0.3 END::DOUBLE AS confidence, sha256('puc|' || CAST(id AS VARCHAR) || '|' || names[pos]) AS content_hash FROM {DOCKETS}, generate_series(1, 2) AS g(pos) WHERE pos <= len(names)", "dockets")
+def e15_docket_mentions(d):
+    return en.normalize_dockets(d.dockets)[1]
+
+
 @query("SELECT DISTINCT o_orderkey AS doc_id, n_nationkey AS entity_id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def e34_link_entities(d):
     m = d.orders.join(d.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(d.nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import analytics as an
 from lodestone.operators import monitor as mo
-from lodestone.plans.base import query, view
+from lodestone.plans.base import SQL, query, view
 from lodestone.plans.fixtures import AS_OF_EVENTS as AT
 from lodestone.storage import materialize, shared_dir
+from lodestone.streaming import failures
 from lodestone.streaming.ingest import content_key, ingest_stream, trailing_stream
 
 view("watches", """SELECT concat(lane, ':', auto_id) AS watch_key, auto_id, CASE WHEN CAST(substr(auto_id, 2) AS INT) % 2 = 0 THEN 'poll' ELSE 'error' END AS mode, cadence, CAST(1.5 AS DOUBLE) AS grace FROM sources
@@ -84,6 +85,26 @@ def g2_failure_runs(d):
     return mo.failure_runs(d.oplog, "auto_id", ["completed_at", "event_id"], "success", 5)
 
 
+@query(SQL["g2_failure_runs"][0], "oplog")
+def g2_failure_stream(d):
+    """The same runs from a file stream, which stops after the first third of the rows and is started again."""
+    rows = d.oplog.select("auto_id", F.col("completed_at").cast("timestamp").alias("completed_at"), "event_id", "success")
+    low, high = rows.agg(F.min("completed_at"), F.max("completed_at")).first()
+    base = f"{shared_dir(d.spark)}/stream-{uuid.uuid4().hex}"
+    cut = low + (high - low) / 3 if low else None
+    before = d.spark.conf.get(failures.STORE[0])
+    d.spark.conf.set(*failures.STORE)
+    try:
+        for part in (F.col("completed_at") <= F.lit(cut), F.col("completed_at") > F.lit(cut)):
+            rows.filter(part).write.mode("append").parquet(f"{base}/in")
+            out = failures.failure_stream(d.spark.readStream.schema(rows.schema).parquet(f"{base}/in"), "auto_id", "completed_at", "event_id", "success", 5)
+            save = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+            out.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        d.spark.conf.set(failures.STORE[0], before)
+    return failures.latest(d.spark.read.schema(failures.OUT).parquet(f"{base}/out")).withColumnRenamed("key", "auto_id")
+
+
 view("queue", "SELECT o_orderkey AS id, CASE o_custkey % 3 WHEN 0 THEN 'processing' ELSE 'pending' END AS status, CAST(o_custkey % 4 AS INT) AS attempts, o_orderdate AS claimed_at FROM orders")
 
 
@@ -124,9 +145,10 @@ def r5_select_due(d):
     return mo.select_due(d.sources, AT, "cadence", "last_artifact_at", "auto_id", 10).select("auto_id")
 
 
-@query("SELECT 'orders' AS name, count(*) AS actual, count(*) AS expected, true AS ok FROM orders UNION ALL SELECT 'orphans', count(*), CAST(0 AS BIGINT), count(*) = 0 FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+@query("SELECT 'orders' AS name, n AS actual, e AS expected, n = e AS ok FROM (SELECT count(*) AS n FROM orders), (SELECT count(DISTINCT l_orderkey) AS e FROM lineitem) UNION ALL SELECT 'orphans', count(*), CAST(0 AS BIGINT), count(*) = 0 FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
 def q1_run_gates(d):
-    n = d.orders.count()
+    """As many orders as the lines name, and no line without its order."""
+    n = d.lineitem.select("l_orderkey").distinct().count()
     return mo.run_gates({"orders": (d.orders, n), "orphans": (d.lineitem.join(d.orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti"), 0)})
 
 

@@ -8,9 +8,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import dockets as dk
 from lodestone.functions import text as tx
 from lodestone.functions import values as vl
 from lodestone.operators import awards as aw
+from lodestone.operators import entities as en
 from lodestone.operators import monitor as mo
 from lodestone.operators import observations as ob
 from lodestone.sources import bodies as bo
@@ -105,6 +107,9 @@ def test_json_helpers(spark):
     assert one(spark, tx.json_texts, '{"a": 1}') is None and one(spark, tx.json_texts, None) is None and one(spark, tx.json_texts, "[]") == []
     assert one(spark, lambda c: tx.json_get(c, "a", "b"), '{"a": {"b": "x"}}') == "x"
     assert one(spark, tx.json_strip_nulls, '{"b": null, "a": [1], "q\\"": "x"}') == '{"a":[1],"q\\"":"x"}'
+    nested = '{"a": {"x": null, "y": [null, {"z": null, "w": "\\"k\\":null,"}], "v": null}, "c": ":null", "e": null, "f": null}'
+    assert one(spark, tx.json_strip_nulls, nested) == '{"a":{"y":[null,{"w":"\\"k\\":null,"}]},"c":":null"}'
+    assert [one(spark, tx.json_strip_nulls, s) for s in ('{"a":null}', '[{"a":null,"b":null}]', "null", "{bad", None)] == ["{}", "[{}]", "null", None, None]
     assert one(spark, lambda c: tx.json_merge(c, F.lit(None).cast("string")), '{"a": 1}') == '{"a":1}'
 
 
@@ -179,3 +184,37 @@ def test_portal_rows(spark):
     got = aw.map_portal_row(df, "cells", patterns, ["usd"], ["at"]).orderBy("i").collect()
     day = datetime.date(2016, 3, 9)
     assert [(r.name, r.usd, r.at) for r in got] == [("Acme Co", 1200.0, day), ("B", None, day), (None, None, None)]
+
+
+AMEND = "APPLICATION OF {} TO AMEND ITS CERTIFICATE OF CONVENIENCE AND NECESSITY FOR THE {}"
+
+
+@pytest.mark.parametrize(
+    ("title", "names"),
+    [
+        (AMEND.format("ONCOR ELECTRIC DELIVERY COMPANY LLC", "EL CAPITAN SWITCH-TO-DRY LAKE SWITCH 345-KV TRANSMISSION LINE"), ["El Capitan", "Dry Lake"]),
+        ("...FOR THE DINOSAUR SWITCH - LONGSHORE SWITCH 765 KV TRANSMISSION LINE", ["Dinosaur", "Longshore"]),
+        (AMEND.format("BRAZOS ELECTRIC POWER COOPERATIVE, INC.", "PROPOSED KOSSE SWITCH TO KOSSE 138-KV TRANSMISSION LINE IN LIMESTONE COUNTY"), ["Kosse"]),
+        ("PETITION FOR THE NEW O'NEIL-RAY&#9;SWITCHING STATION", ["O'Neil-Ray"]),
+        ("FOR THE AB SWITCH TO THE NEW 69 KV TRANSMISSION LINE", []),
+        ("UTILITY TO AMEND ITS RATES", []),
+        (None, []),
+    ],
+)
+def test_docket_endpoints(spark, title, names):
+    assert one(spark, dk.extract_endpoints, title) == names
+
+
+def test_dockets_are_screened_and_become_mentions(spark):
+    rows = [
+        (1, AMEND.format("BRAZOS", "PROPOSED KOSSE SWITCH TO KOSSE 138-KV TRANSMISSION LINE IN LIMESTONE COUNTY"), "TX", "48293"),
+        (2, "TRANSMISSION AND DISTRIBUTION UTILITY MONTHLY RATE UPDATES", "TX", None),
+        (3, "FINAL ORDER energizing the line FOR THE AX SWITCH - BOYD SWITCH TRANSMISSION LINE placed in service", None, None),
+        (4, None, None, None),
+    ]
+    projects, mentions = en.normalize_dockets(spark.createDataFrame(rows, "id long, title string, state string, county_fips string"))
+    p = {r.id: r for r in projects.collect()}
+    assert set(p) == {1, 3} and (p[1].kv, p[1].county_raw, p[1].date_type, p[1].tier, p[1].driver, p[1].status) == (138, "Limestone", "approved", "EST", "reliability", "approved")
+    assert (p[3].kv, p[3].county_raw, p[3].date_type, p[3].tier) == (None, None, "actual", "SRC")
+    assert sorted((r.id, r.pos, r.name_frag, r.confidence, r.inservice_date) for r in mentions.collect()) == [(1, 0, "Kosse", 0.3, None), (3, 0, "Boyd", 0.85, None)]
+    assert one(spark, lambda c: dk.screen_docket(c)["reason"], rows[1][1]) == "excluded:rate/procedural"
