@@ -44,6 +44,18 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
+def trigram_codes(c: Column) -> Column:
+    """The trigrams as whole numbers: three code points of 21 bits each."""
+    point = lambda g, i: F.ascii(F.substr(g, F.lit(i), F.lit(1))).cast("long")
+    return F.transform(trigrams(c), lambda g: F.shiftleft(point(g, 1), 42).bitwiseOR(F.shiftleft(point(g, 2), 21)).bitwiseOR(point(g, 3)))
+
+
+def set_similarity(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two arrays without repeats; 0 where both are empty, null where one is null."""
+    both = let(F.size(F.array_intersect(x, y)), lambda n: F.try_divide(n, F.size(x) + F.size(y) - n))
+    return F.when(x.isNotNull() & y.isNotNull(), F.coalesce(both, F.lit(0.0)))
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of the trigram sets; 0 where both are empty."""
     x, y = trigrams(a), trigrams(b)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import campus_stem, json_build, normalize_company, normalize_operator, normalize_station, stable_id, trigram_similarity
+from lodestone.functions.text import blank_to_null, campus_stem, json_build, normalize_company, normalize_operator, normalize_station, set_similarity, stable_id, trigram_codes
 from lodestone.operators.ingest import best_per_key
 from lodestone.operators.joins import block_pairs, geo_pairs, trigram_pairs
 from lodestone.storage import materialize, release
@@ -35,52 +35,95 @@ def qualifiers(name: Column) -> Column:
     return F.array_join(F.array_sort(words), " ")
 
 
-def block(sites: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """(a, b, reasons): pairs by distance, by name, and by operator with subdivision, all of one country."""
-    geo = geo_pairs(sites, cfg.block_distance_m, group="country").select("a", "b", F.lit("geo_2km").alias("reason"))
-    name = trigram_pairs(sites, cfg.block_similarity, "site_id", "name", "country").select("a", "b", F.lit("name").alias("reason"))
-    keyed = sites.withColumn("_op", normalize_operator(F.col("operator"))).filter("_op is not null and subdivision is not null")
-    op = block_pairs(keyed, ["_op", "subdivision"], "site_id").select("a", "b", F.lit("operator").alias("reason"))
+def _or_null(df: DataFrame, column: str, kind: str = "string") -> Column:
+    return F.col(column) if column in df.columns else F.lit(None).cast(kind)
+
+
+def match_facts(sites: DataFrame) -> DataFrame:
+    """What the matcher compares, once a site, of those that aren't superseded.
+
+    norm_name is the name's words, site_name these without the operator's (all of them, if none is left); norm_parent is the
+    parent company of the operator, else the operator. Grams are whole numbers.
+    """
+    live = sites.filter("superseded_by is null") if "superseded_by" in sites.columns else sites
+    words = blank_to_null(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", " "))
+    f = live.select(
+        "site_id", "country", "subdivision", "lat", "lng", _or_null(live, "parent_id", "bigint").alias("parent_id"), "name", words.alias("norm_name"), normalize_operator(F.col("operator")).alias("norm_operator"),
+        normalize_operator(F.coalesce(_or_null(live, "operator_parent"), F.col("operator"))).alias("norm_parent"),
+    )
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    bare = blank_to_null(F.replace(padded(F.col("norm_name")), padded(F.col("norm_operator")), F.lit(" ")))
+    f = f.withColumns({"site_name": F.coalesce(bare, F.col("norm_name")), "quals": F.when(F.col("name").isNotNull(), qualifiers(F.col("name")))})
+    return f.withColumns({"grams": trigram_codes(F.col("site_name")), "op_grams": trigram_codes(F.col("norm_operator"))})
+
+
+def block(facts: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """(a, b, reasons): pairs by distance and by name, of one country (null is one), and by operator with subdivision."""
+    geo = geo_pairs(facts, cfg.block_distance_m, group="country").select("a", "b", F.lit("geo_2km").alias("reason"))
+    name = trigram_pairs(facts, cfg.block_similarity, "site_id", "norm_name", "country").select("a", "b", F.lit("name_trgm").alias("reason"))
+    op = block_pairs(facts.filter("norm_operator is not null and subdivision is not null"), ["norm_operator", "subdivision"], "site_id").select("a", "b", F.lit("operator_subdivision").alias("reason"))
     return geo.unionByName(name).unionByName(op).groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
-def suppress_family(pairs: DataFrame, sites: DataFrame) -> DataFrame:
-    """Without pairs of parent and child, and of siblings."""
-    p = sites.select("site_id", "parent_id")
-    j = pairs.join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b")
-    kin = F.coalesce(F.col("pa") == F.col("b"), F.lit(False)) | F.coalesce(F.col("pb") == F.col("a"), F.lit(False)) | F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))
-    return j.filter(~kin).drop("pa", "pb")
+def shared_ids(pairs: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sites share an identifier (site_id, source_key, external_id), each once.
+
+    Only pairs meet the identifiers, and only identifiers that several sites have: one that very many have adds no pair.
+    """
+    ids = identifiers.select("site_id", F.xxhash64("source_key", "external_id").alias("h"), "source_key", "external_id").dropna().distinct()
+    ids = ids.join(ids.groupBy("source_key", "external_id").agg(F.count("*").alias("_n")).filter("_n > 1"), ["source_key", "external_id"], "left_semi")
+    # The long way round is the pairs' own: with the ids of the first site, then those that the second has as well.
+    met = pairs.select("a", "b").join(ids.withColumnRenamed("site_id", "a"), "a")
+    return met.join(ids.withColumnRenamed("site_id", "b"), ["b", "h", "source_key", "external_id"], "left_semi").select("a", "b").distinct()
+
 
+def match_entities(sites: DataFrame, cfg: MatchConfig | None = None, identifiers: DataFrame | None = None) -> DataFrame:
+    """(a, b, reasons, distance_m, score_*, match, external_id_match, qualifier_conflict, decision, why) of every blocked pair outside a family.
 
-def match_entities(sites: DataFrame, cfg: MatchConfig | None = None) -> DataFrame:
-    """(a, b, reasons, distance_m, score_*, match, decision, why) for every pair that blocking finds outside a family."""
+    sites: site_id, name, operator, country, subdivision, lat, lng, and if there are any parent_id, operator_parent and
+    superseded_by. identifiers: (site_id, source_key, external_id), many a site. A score that a pair has no facts for is null
+    and its weight is left out. Pairs of parent and child and of siblings are none. Superseded sites take no part.
+    """
     cfg = cfg or MatchConfig()
     from lodestone.functions.geo import haversine_m
 
-    pairs = suppress_family(block(sites, cfg), sites)
-    side = sites.select("site_id", F.struct("name", "operator", "lat", "lng", "parent_id", "external_id").alias("s"))
+    facts = materialize(match_facts(sites), "facts")
+    pairs = block(facts, cfg)
+    side = facts.select("site_id", F.struct("grams", "op_grams", "norm_operator", "norm_parent", "lat", "lng", "parent_id", "quals").alias("s"))
+    if identifiers is not None:
+        pairs = materialize(pairs, "pairs")
+        pairs = pairs.join(shared_ids(pairs, identifiers).withColumn("external_id_match", F.lit(True)), ["a", "b"], "left")
+    else:
+        pairs = pairs.withColumn("external_id_match", F.lit(None).cast("boolean"))
     j = pairs.join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b")
-    op = lambda s: normalize_operator(F.col(f"{s}.operator"))
-    distance = haversine_m("x.lat", "x.lng", "y.lat", "y.lng")
-    j = j.withColumn("distance_m", distance)
-    same_parent = F.col("x.parent_id").isNotNull() & (F.col("x.parent_id") == F.col("y.parent_id"))
+    kin = (F.col("x.parent_id") == F.col("b")) | (F.col("y.parent_id") == F.col("a")) | (F.col("x.parent_id") == F.col("y.parent_id"))
+    j = j.filter(~F.coalesce(kin, F.lit(False)))
+    j = j.withColumns({"_m": haversine_m("x.lat", "x.lng", "y.lat", "y.lng"), "external_id_match": F.coalesce("external_id_match", F.lit(False))})
+    x, y = F.col("x.norm_operator"), F.col("y.norm_operator")
     scores = {
-        "name": F.round(trigram_similarity(F.col("x.name"), F.col("y.name")), 4),
-        "geo": F.round(F.exp(-F.col("distance_m") / cfg.decay_m), 4),
-        "operator": F.when(op("x").isNull() | op("y").isNull(), F.lit(None)).when(op("x") == op("y"), 1.0).when(same_parent, 0.75).when(trigram_similarity(op("x"), op("y")) >= cfg.same_operator, 0.6).otherwise(0.0),
-        "external": F.when(F.col("x.external_id") == F.col("y.external_id"), 1.0),
+        "name": F.round(set_similarity(F.col("x.grams"), F.col("y.grams")), 4),
+        "geo": F.round(F.exp(-F.col("_m") / cfg.decay_m), 4),
+        "operator": F.when(x.isNull() | y.isNull(), F.lit(None)).when(x == y, 1.0).when(F.col("x.norm_parent") == F.col("y.norm_parent"), 0.75).when(set_similarity(F.col("x.op_grams"), F.col("y.op_grams")) >= cfg.same_operator, 0.6).otherwise(0.0),
+        "external": F.when(F.col("external_id_match"), 1.0),
         "lifecycle": F.lit(1.0),
     }
     j = j.withColumns({f"score_{k}": v for k, v in scores.items()})
     top = sum((F.coalesce(F.col(f"score_{k}") * w, F.lit(0.0)) for k, w in cfg.weights.items()), F.lit(0.0))
     below = sum((F.when(F.col(f"score_{k}").isNotNull(), w).otherwise(0.0) for k, w in cfg.weights.items()), F.lit(0.0))
-    j = j.withColumn("match", F.round(top / below + 1e-9, 4))
-    clash = qualifiers(F.col("x.name")) != qualifiers(F.col("y.name"))
-    near = F.col("score_external").isNotNull() | (F.col("distance_m") <= cfg.auto_distance_m)
+    j = j.withColumns({"match": F.when(below == 0, 0.0).otherwise(F.round(top / below + 1e-9, 4)), "qualifier_conflict": ~F.col("x.quals").eqNullSafe(F.col("y.quals")), "distance_m": F.round("_m", 1)})
     auto = F.col("match") >= cfg.auto
-    decision = F.when(auto & ~clash & near, "auto_merged").when(F.col("match") >= cfg.queue, "queued").otherwise("rejected")
-    why = F.when(auto & clash, "qualifiers differ").when(auto & ~near, "too far for auto").when(auto, "all conditions hold").when(F.col("match") >= cfg.queue, "between queue and auto").otherwise("below queue")
-    return j.select("a", "b", "reasons", F.round("distance_m", 3).alias("distance_m"), *[f"score_{k}" for k in scores], "match", decision.alias("decision"), why.alias("why"))
+    near = F.col("external_id_match") | F.coalesce(F.col("distance_m") <= cfg.auto_distance_m, F.lit(False))
+    decision = F.when(auto & ~F.col("qualifier_conflict") & near, "auto_merged").when(F.col("match") >= cfg.queue, "queued").otherwise("rejected")
+    over = f"score>={cfg.auto:g}"
+    agreed = F.when(F.col("external_id_match"), "external-ID match").otherwise(F.concat(F.lit("coordinate agreement "), F.col("distance_m").cast("string"), F.lit("m")))
+    why = (
+        F.when(auto & ~F.col("qualifier_conflict") & near, F.concat(F.lit(f"{over} with "), agreed))
+        .when(auto & F.col("qualifier_conflict"), f"{over} but site-qualifier conflict - demoted to review")
+        .when(auto, f"{over} but no coordinate agreement or external-ID match - demoted to review")
+        .when(F.col("match") >= cfg.queue, "score in queue band - human review")
+        .otherwise("score below queue threshold")
+    )
+    return j.select("a", "b", "reasons", "distance_m", *[f"score_{k}" for k in scores], "match", "external_id_match", "qualifier_conflict", decision.alias("decision"), why.alias("why"))
 
 
 def check_share(decisions: DataFrame, flag: Column, most: float) -> DataFrame:
@@ -90,21 +133,55 @@ def check_share(decisions: DataFrame, flag: Column, most: float) -> DataFrame:
     return g.select("n", "flagged", share.alias("share"), (share <= most).alias("ok"))
 
 
+def within_rail(decisions: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """`decisions` (a stored table) if their share of automatic merges stays within the rail; else this raises."""
+    g = check_share(decisions, F.col("decision") == "auto_merged", cfg.share_rail).first()
+    if not g.ok:
+        raise ValueError(f"automatic merges on {g.flagged} of {g.n} pairs, above the share of {cfg.share_rail:g}: the thresholds are wrong, nothing is merged")
+    return decisions
+
+
 def apply_merges(entities: DataFrame, decisions: DataFrame, key: str = "site_id", score: str = "score", actor: str = "matcher") -> tuple[DataFrame, DataFrame]:
-    """(entities with superseded_by, merges). An auto-merged pair's survivor is the one of higher score, then of lower id.
+    """(entities with superseded_by, merges). An auto-merged pair's survivor is the one of higher score, then the one
+    discovered earlier (`discovered_at`, if there is one; null last), then of lower id.
 
     A row that loses to several points to the best of them; where that one loses too, resolve_superseded follows the
-    chain. merges, one row a loser, are the audit: surviving, merged, match_score, method, reason, actor. No row goes.
+    chain. merges, one row a loser, are the audit: surviving, merged, merged_public_id (`public_id`, if there is one: it is
+    kept as it is and never given again), match_score, method, reason, actor, reversed_at (null). No row goes, and rows that
+    were superseded before stay so.
     """
     auto = decisions.filter("decision = 'auto_merged'").select("a", "b", "match", "why")
-    s = entities.select(F.col(key), F.col(score).alias("s"))
-    j = auto.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
-    a_wins = (F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
-    pairs = j.select(F.when(a_wins, F.col("b")).otherwise(F.col("a")).alias("merged"), F.when(a_wins, F.col("a")).otherwise(F.col("b")).alias("surviving"), F.greatest("sa", "sb").alias("s"), "match", "why")
-    best = best_per_key(pairs, ["merged"], [F.desc("s"), F.asc("surviving")])
-    merges = best.select("surviving", "merged", F.col("match").alias("match_score"), F.lit("auto").alias("method"), F.col("why").alias("reason"), F.lit(actor).alias("actor"))
-    pointer = merges.select(F.col("merged").alias(key), F.col("surviving").alias("superseded_by"))
-    return entities.drop("superseded_by").join(pointer, key, "left"), merges
+    found = _or_null(entities, "discovered_at", "timestamp").cast("timestamp")
+    s = entities.select(F.col(key).alias("k"), F.struct(F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("s"), (-F.unix_micros(F.coalesce(found, F.lit("9999-01-01").cast("timestamp")))).alias("t")).alias("v"), _or_null(entities, "public_id").cast("string").alias("p"))
+    j = auto.join(s.toDF("a", "va", "pa"), "a").join(s.toDF("b", "vb", "pb"), "b")
+    a_wins = (F.col("va") > F.col("vb")) | ((F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")))
+    pairs = j.select(*[F.when(a_wins, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("merged", "b", "a"), ("surviving", "a", "b"), ("v", "va", "vb"), ("merged_public_id", "pb", "pa"))], "match", "why")
+    best = best_per_key(pairs, ["merged"], [F.desc("v"), F.asc("surviving")])
+    merges = best.select("surviving", "merged", "merged_public_id", F.col("match").alias("match_score"), F.lit("auto").alias("method"), F.col("why").alias("reason"), F.lit(actor).alias("actor"), F.lit(None).cast("timestamp").alias("reversed_at"))
+    pointer = merges.select(F.col("merged").alias(key), F.col("surviving").alias("_into"))
+    out = entities.join(pointer, key, "left").withColumn("superseded_by", F.coalesce(_or_null(entities, "superseded_by", "bigint"), F.col("_into"))).drop("_into")
+    return out, merges
+
+
+def reverse_merges(entities: DataFrame, merges: DataFrame, merged: DataFrame, at: Column, key: str = "site_id") -> tuple[DataFrame, DataFrame]:
+    """(entities, merges) after the merges of the rows in `merged` (a column `merged`) are taken back.
+
+    The audit keeps its rows, with the time of reversal; a merge reversed before keeps its own. A pointer goes only where it
+    is the one that the merge has set.
+    """
+    back = F.broadcast(merged.select("merged").distinct()) if merged.limit(100_001).count() <= 100_000 else merged.select("merged").distinct()
+    back = back.withColumn("_back", F.lit(True))
+    marked = merges.join(back, "merged", "left")
+    open_ = marked.filter("_back and reversed_at is null").select(F.col("merged").alias(key), F.col("surviving").alias("_from"))
+    audit = marked.withColumn("reversed_at", F.coalesce("reversed_at", F.when(F.col("_back"), at))).select(*merges.columns)
+    freed = entities.join(open_, key, "left").withColumn("superseded_by", F.when(F.col("superseded_by") == F.col("_from"), F.lit(None)).otherwise(F.col("superseded_by"))).drop("_from")
+    return freed, audit
+
+
+def match_and_merge(sites: DataFrame, identifiers: DataFrame | None = None, cfg: MatchConfig | None = None) -> tuple[DataFrame, DataFrame]:
+    """Matching, the share rail (which raises) and the merges: (entities, merges)."""
+    cfg = cfg or MatchConfig()
+    return apply_merges(sites, within_rail(materialize(match_entities(sites, cfg, identifiers), "decisions"), cfg))
 
 
 def resolve_tree(df: DataFrame, key: str, parent: str, superseded: str = "superseded_by", grain: str = "grain", depth: int = 3) -> DataFrame:
@@ -132,16 +209,26 @@ def inventory_counts(entities: DataFrame) -> DataFrame:
 
 
 def resolve_superseded(df: DataFrame, key: str, pointer: str) -> DataFrame:
-    """(key, survivor): the end of each pointer chain, by pointer doubling: rounds grow with the log of the longest chain."""
+    """(key, survivor): the end of each pointer chain, by pointer doubling: rounds are the logarithm of the rows at most.
+
+    A cycle has no end: it raises, with some of the rows in it. A pointer to a missing row ends there.
+    """
     cur = materialize(df.select(F.col(key).alias("k"), F.coalesce(pointer, key).alias("to")), "pointers")
-    while True:
+    bent = materialize(cur.filter("k <> to").select(F.col("k").alias("to")), "bent")
+    for _ in range(max(1, cur.count()).bit_length() + 1):
         nxt = cur.alias("c").join(cur.select(F.col("k").alias("_k"), F.col("to").alias("_t")), F.col("to") == F.col("_k"), "left")
         nxt = materialize(nxt.select("k", F.coalesce("_t", "to").alias("to"), (~F.col("to").eqNullSafe(F.coalesce("_t", "to"))).alias("moved")), "pointers")
         moved = nxt.filter("moved").limit(1).count()
         release(cur)
         cur = nxt.drop("moved")
         if not moved:
-            return cur.select(F.col("k").alias(key), F.col("to").alias("survivor"))
+            break
+    # Doubling along a cycle never leaves it, and may even come to rest: an end that points on is in one.
+    ring = [r.to for r in cur.join(bent, "to", "left_semi").select("to").distinct().orderBy("to").limit(5).collect()]
+    release(bent)
+    if ring:
+        raise ValueError(f"{pointer} has a cycle, among its rows {', '.join(map(str, ring))}")
+    return cur.select(F.col("k").alias(key), F.col("to").alias("survivor"))
 
 
 def validate_hierarchy(df: DataFrame, ranks: dict[str, int], depth: int = 3) -> DataFrame:

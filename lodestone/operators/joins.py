@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.geo import haversine_m
-from lodestone.functions.text import trigrams
+from lodestone.functions.text import set_similarity, trigram_codes
 from lodestone.storage import materialize, release
 
 #: Rows of a configuration table, and of narrow rows that are broadcast.
@@ -75,32 +75,58 @@ def geo_pairs(df: DataFrame, metres: float, key: str = "site_id", lat: str = "la
     return met.filter(F.col("distance_m") <= metres).select("a", "b", "distance_m").distinct()
 
 
-def trigram_pairs(df: DataFrame, threshold: float, key: str, name: str, group: str | None = None) -> DataFrame:
-    """(a, b, similarity): pairs a < b of similarity at least `threshold`, by an exact prefix-filtered inverted index.
+def trigram_classes(df: DataFrame, threshold: float, key: str, name: str, group: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (ra, rb, similarity, na, nb) of classes of equal gram sets, and (key, r, n) of every row with grams.
 
-    Equal gram sets are collapsed to one representative first. With grams ordered rarest first, two sets of Jaccard
-    similarity t share a gram among the first n - ceil(t * n) + 1 of either, so only these are posted; similarity is
-    then computed on the whole sets. Representatives expand to their members at the end.
+    A class is named by its least key; na and nb are its numbers of rows, so a pair stands for na * nb pairs of rows, and a
+    class within itself for n * (n - 1) / 2. The join is exact. With grams ordered rarest first, two sets of Jaccard similarity
+    t share a gram among the first n - ceil(t * n) + 1 of either, so only these are posted. Where two postings meet, what is
+    left of both lists bounds the common grams (the first meeting of a pair has none before it), and so do the bits in which
+    two signatures of 128 bits differ; sets move only for pairs that may reach the threshold by both bounds.
     """
     g = F.coalesce(F.col(group).cast("string"), F.lit("\x00")) if group else F.lit("")
-    rows = df.select(F.col(key).alias("k"), g.alias("g"), F.array_sort(trigrams(F.col(name))).alias("grams")).filter(F.size("grams") > 0)
-    reps = rows.groupBy("g", "grams").agg(F.min("k").alias("r"))
-    posted = reps.select("g", "r", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    df_ = posted.groupBy("g", "gram").agg(F.count("*").alias("df"))
-    ranked = posted.join(df_, ["g", "gram"]).withColumn("rn", F.row_number().over(W.partitionBy("g", "r").orderBy("df", "gram")))
-    prefix = ranked.filter(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("g", "gram", "r", "n")
-    left, right = prefix.toDF("g", "gram", "ra", "na"), prefix.toDF("g", "gram", "rb", "nb")
-    close = (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (F.col("ra") < F.col("rb"))
-    cand = left.join(right, ["g", "gram"]).filter(close).select("g", "ra", "rb").distinct()
-    sets = reps.select("g", "r", "grams")
-    full = cand.join(sets.toDF("g", "ra", "xa"), ["g", "ra"]).join(sets.toDF("g", "rb", "xb"), ["g", "rb"])
-    both = F.size(F.array_intersect("xa", "xb"))
-    linked = full.withColumn("similarity", both / (F.size("xa") + F.size("xb") - both)).filter(F.col("similarity") >= threshold)
-    same = reps.select("g", F.col("r").alias("ra"), F.col("r").alias("rb"), F.lit(1.0).alias("similarity"))
-    member = rows.join(reps, ["g", "grams"]).select("g", "k", "r")
-    pairs = linked.select("g", "ra", "rb", "similarity").union(same)
-    out = pairs.join(member.toDF("g", "ka", "ra"), ["g", "ra"]).join(member.toDF("g", "kb", "rb"), ["g", "rb"]).filter("ka <> kb")
-    return out.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.col("similarity").cast("double").alias("similarity")).distinct()
+    rows = df.select(F.col(key).alias("k"), g.alias("g"), F.array_sort(trigram_codes(F.col(name))).alias("grams")).filter(F.size("grams") > 0)
+    reps = rows.groupBy("g", "grams").agg(F.min("k").alias("r"), F.count("*").alias("n"))
+    posted = reps.select("g", "r", F.explode("grams").alias("gram"))
+    often = posted.groupBy("g", "gram").agg(F.count("*").alias("df"))
+    ranked = posted.join(often, ["g", "gram"]).groupBy("g", "r").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
+    ranked = ranked.select("g", "r", F.col("o.gram").alias("o"), F.size("o").alias("n"))
+    # One of 128 bits for each gram, in two numbers.
+    bit = lambda x, lane: F.when(F.pmod(F.xxhash64(x), F.lit(128)).between(64 * lane, 64 * lane + 63), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))).otherwise(0)
+    bits = lambda lane: F.aggregate("o", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x, lane)))
+    signed = ranked.select("g", "r", "n", F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1).alias("o"), bits(0).alias("s"), bits(1).alias("t"))
+    prefix = signed.select("g", "r", "n", "s", "t", F.posexplode("o").alias("at", "gram"))
+    left, right = (prefix.select("g", "gram", *[F.col(c).alias(f"{c}{x}") for c in ("r", "n", "s", "t", "at")]) for x in "ab")
+    need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    differ = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("ta").bitwiseXOR(F.col("tb")))
+    may = (F.col("ra") < F.col("rb")) & (F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= need) & (F.col("na") + F.col("nb") - differ >= 2 * need)
+    cand = left.join(right, ["g", "gram"]).filter(may).select("ra", "rb").distinct()
+    sets = reps.select("r", "grams", "n")
+    full = cand.join(sets.toDF("ra", "xa", "na"), "ra").join(sets.toDF("rb", "xb", "nb"), "rb")
+    pairs = full.withColumn("similarity", set_similarity(F.col("xa"), F.col("xb"))).filter(F.col("similarity") >= threshold).select("ra", "rb", "similarity", "na", "nb")
+    return pairs, rows.join(reps, ["g", "grams"]).select(F.col("k").alias(key), "r", "n")
+
+
+def trigram_pairs(df: DataFrame, threshold: float, key: str, name: str, group: str | None = None) -> DataFrame:
+    """(a, b, similarity): pairs a < b of similarity at least `threshold`: the classes of :func:`trigram_classes`, expanded."""
+    pairs, members = trigram_classes(df, threshold, key, name, group)
+    same = members.filter(f"{key} = r and n > 1").select(F.col("r").alias("ra"), F.col("r").alias("rb"), F.lit(1.0).alias("similarity"))
+    member = members.select(F.col(key).alias("k"), "r")
+    out = pairs.select("ra", "rb", "similarity").union(same).join(member.toDF("ka", "ra"), "ra").join(member.toDF("kb", "rb"), "rb")
+    # A class with itself gives each of its pairs in both orders, two classes give theirs in one.
+    out = out.filter((F.col("ra") != F.col("rb")) | (F.col("ka") < F.col("kb")))
+    return out.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.col("similarity").cast("double").alias("similarity"))
+
+
+def block_classes(df: DataFrame, columns: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): (class, n, n_pairs) of rows that share all blocking columns, named by the least key, and (key, class).
+
+    As long as the rows, where :func:`block_pairs` is as long as the squares of the blocks. Rows with a null column share nothing.
+    """
+    known = df.dropna(subset=columns)
+    sizes = known.groupBy(*columns).agg(F.min(key).alias("_class"), F.count("*").alias("_n")).filter("_n > 1")
+    classes = sizes.select(F.col("_class").alias("class"), F.col("_n").alias("n"), F.expr("_n * (_n - 1) div 2").alias("n_pairs"))
+    return classes, known.join(sizes, columns).select(key, F.col("_class").alias("class"))
 
 
 def block_pairs(df: DataFrame, columns: list[str], key: str) -> DataFrame:

@@ -8,57 +8,82 @@ from lodestone.functions import dockets as dk
 from lodestone.operators import entities as en
 from lodestone.plans.base import query, view
 from lodestone.plans.joins import HAV
+from lodestone.storage import materialize
 
 GR = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({c}), '[^\\pL\\pN]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
 SIM = "(len(list_intersect({a}, {b})) * 1.0 / (len({a}) + len({b}) - len(list_intersect({a}, {b}))))"
 
-view("msites", "SELECT site_id, concat('Site ', operator, ' ', CAST(site_id % 40 AS STRING)) AS name, operator, country, subdivision, lat, lng, parent_id, external_id, site_id % 7 AS score FROM v3", "v3")
-#: Sites named by operator alone, so that more of them match.
-view("plainsites", "SELECT site_id, concat('Site ', operator) AS name, operator, country, subdivision, lat, lng, parent_id, external_id, site_id % 7 AS score FROM v3", "v3")
-
-
-def _matched(sites: str, auto: float, queue: float, near: int) -> str:
-    """Every pair of sites that a blocking rule finds outside a family, scored."""
-    return f"""(SELECT *, CASE WHEN match >= {auto} AND clear AND close THEN 'auto_merged' WHEN match >= {queue} THEN 'queued' ELSE 'rejected' END AS decision,
-  CASE WHEN match >= {auto} THEN CASE WHEN NOT clear THEN 'qualifiers differ' WHEN NOT close THEN 'too far for auto' ELSE 'all conditions hold' END WHEN match >= {queue} THEN 'between queue and auto' ELSE 'below queue' END AS why FROM
- (SELECT *, round((0.35 * score_name + 0.30 * score_geo + 0.20 * score_operator + 0.10 * coalesce(score_external, 0) + 0.05) / (0.90 + CASE WHEN score_external IS NULL THEN 0 ELSE 0.10 END) + 1e-9, 4) AS match, score_external IS NOT NULL OR dist <= {near} AS close,
-   array_to_string(list_filter([CASE WHEN same_country AND dist <= 2000 THEN 'geo_2km' END, CASE WHEN same_country AND sim >= 0.45 THEN 'name' END, CASE WHEN same_op AND same_sub THEN 'operator' END], lambda x: x IS NOT NULL), ',') AS reasons FROM
-  (SELECT a.site_id AS a, b.site_id AS b, {SIM.format(a='a.g', b='b.g')} AS sim, round({SIM.format(a='a.g', b='b.g')}, 4) AS score_name, {HAV.format(a='a', b='b')} AS dist, round(exp(-{HAV.format(a='a', b='b')} / 500), 4) AS score_geo,
-    CASE WHEN a.operator = b.operator THEN 1.0::DOUBLE WHEN {SIM.format(a='a.og', b='b.og')} >= 0.8 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS score_operator, CASE WHEN a.external_id = b.external_id THEN 1.0::DOUBLE END AS score_external, 1.0::DOUBLE AS score_lifecycle,
-    a.country = b.country AS same_country, a.operator = b.operator AS same_op, a.subdivision = b.subdivision AS same_sub, a.q = b.q AS clear
-   FROM (SELECT *, {GR.format(c='name')} AS g, {GR.format(c='operator')} AS og, regexp_extract(name, '[0-9]*$') AS q FROM {sites}) a JOIN (SELECT *, {GR.format(c='name')} AS g, {GR.format(c='operator')} AS og, regexp_extract(name, '[0-9]*$') AS q FROM {sites}) b ON a.site_id < b.site_id
-   WHERE NOT (coalesce(a.parent_id = b.site_id, false) OR coalesce(b.parent_id = a.site_id, false) OR coalesce(a.parent_id = b.parent_id, false)))) WHERE reasons <> '')"""
-
-
-@query(f"SELECT a, b, reasons, round(dist, 3) AS distance_m, score_name, score_geo, score_operator, score_external, score_lifecycle, match, decision, why FROM {_matched('msites', 0.92, 0.70, 250)}", "msites")
+#: Sites with operators' parents and two spellings of an operator, without a name or operator here and there, some superseded; ids that agree modulo 300 are near.
+view("msites", """SELECT site_id, CASE WHEN site_id % 11 <> 0 THEN concat('Site ', coalesce(operator, ''), ' ', CAST(site_id % 3 AS STRING)) END AS name, operator,
+ CASE operator WHEN 'AUTOMOBILE' THEN 'Motor Works, Inc.' WHEN 'MACHINERY' THEN 'Motor Works' END AS operator_parent, country, subdivision, lat, lng, parent_id, superseded_by, score, discovered_at, public_id
+ FROM (SELECT site_id, CASE WHEN site_id % 13 <> 0 THEN CASE site_id % 7 WHEN 1 THEN concat(operator, ' regional distribution centers') WHEN 2 THEN concat(operator, ' regional distribution center') ELSE operator END END AS operator,
+  CASE WHEN site_id % 19 <> 0 THEN country END AS country, subdivision, CASE WHEN site_id % 9 <> 0 THEN 30 + (site_id % 300) * 0.03 END AS lat, -100 + (site_id % 7) * 0.001 AS lng, parent_id, CASE WHEN site_id % 17 = 0 THEN site_id - 1 END AS superseded_by,
+  site_id % 7 AS score, CAST(CASE WHEN site_id % 3 <> 0 THEN concat('2024-01-0', CAST(1 + site_id % 5 AS STRING)) END AS DATE) AS discovered_at, concat('P-', CAST(site_id AS STRING)) AS public_id FROM v3)""", "v3")
+#: Two identifiers a site, one of them frequent.
+view("site_ids", """SELECT site_id, 's1' AS source_key, CAST(external_id AS STRING) AS external_id FROM v3 WHERE external_id IS NOT NULL
+ UNION ALL SELECT site_id, 's2', concat('F', CAST(site_id % 11 AS STRING)) FROM v3 WHERE site_id % 4 = 0 UNION ALL SELECT site_id, 's1', concat('F', CAST(site_id % 3 AS STRING)) FROM v3 WHERE site_id % 50 = 1""", "v3")
+
+#: What the matcher compares: names' words, names without their operators, operators' parents.
+FACTS = f"""(SELECT *, lower(operator) AS op, coalesce(CASE WHEN operator_parent IS NOT NULL THEN 'motor works' END, lower(operator)) AS par, {GR.format(c='norm_name')} AS g, {GR.format(c='site_name')} AS sg, {GR.format(c='operator')} AS og, regexp_extract(name, '[0-9]*$') AS q FROM
+ (SELECT *, coalesce(nullif(trim(replace(concat(' ', norm_name, ' '), concat(' ', lower(operator), ' '), ' ')), ''), norm_name) AS site_name FROM (SELECT *, nullif(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), '') AS norm_name FROM msites WHERE superseded_by IS NULL)))"""
+
+
+def _matched(auto: float, queue: float, near: int) -> str:
+    """Every pair of sites that a blocking rule finds outside a family, scored: scores without facts are left out with their weights."""
+    return f"""(SELECT *, CASE WHEN match >= {auto} AND NOT qualifier_conflict AND close THEN 'auto_merged' WHEN match >= {queue} THEN 'queued' ELSE 'rejected' END AS decision,
+  CASE WHEN match >= {auto} THEN CASE WHEN qualifier_conflict THEN 'score>={auto} but site-qualifier conflict - demoted to review' WHEN NOT close THEN 'score>={auto} but no coordinate agreement or external-ID match - demoted to review'
+   WHEN external_id_match THEN 'score>={auto} with external-ID match' ELSE 'score>={auto} with coordinate agreement ' || CAST(distance_m AS VARCHAR) || 'm' END WHEN match >= {queue} THEN 'score in queue band - human review' ELSE 'score below queue threshold' END AS why FROM
+ (SELECT *, round((coalesce(0.35 * score_name, 0) + coalesce(0.30 * score_geo, 0) + coalesce(0.20 * score_operator, 0) + coalesce(0.10 * score_external, 0) + 0.05)
+    / (CASE WHEN score_name IS NULL THEN 0 ELSE 0.35 END + CASE WHEN score_geo IS NULL THEN 0 ELSE 0.30 END + CASE WHEN score_operator IS NULL THEN 0 ELSE 0.20 END + CASE WHEN score_external IS NULL THEN 0 ELSE 0.10 END + 0.05) + 1e-9, 4) AS match,
+   external_id_match OR coalesce(distance_m <= {near}, false) AS close FROM
+  (SELECT *, round(dist, 1) AS distance_m, round(exp(-dist / 500), 4) AS score_geo, CASE WHEN external_id_match THEN 1.0::DOUBLE END AS score_external, 1.0::DOUBLE AS score_lifecycle,
+    array_to_string(list_filter([CASE WHEN same_country AND dist <= 2000 THEN 'geo_2km' END, CASE WHEN same_country AND sim >= 0.45 THEN 'name_trgm' END, CASE WHEN same_op AND same_sub THEN 'operator_subdivision' END], lambda x: x IS NOT NULL), ',') AS reasons FROM
+   (SELECT a.site_id AS a, b.site_id AS b, {SIM.format(a='a.g', b='b.g')} AS sim, round({SIM.format(a='a.sg', b='b.sg')}, 4) AS score_name, {HAV.format(a='a', b='b')} AS dist, a.country IS NOT DISTINCT FROM b.country AS same_country, a.op = b.op AS same_op, a.subdivision = b.subdivision AS same_sub,
+     CASE WHEN a.op IS NULL OR b.op IS NULL THEN NULL WHEN a.op = b.op THEN 1.0::DOUBLE WHEN a.par = b.par THEN 0.75::DOUBLE WHEN {SIM.format(a='a.og', b='b.og')} >= 0.8 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS score_operator,
+     a.q IS DISTINCT FROM b.q AS qualifier_conflict, coalesce(list_has_any(a.ids, b.ids), false) AS external_id_match
+    FROM (SELECT * FROM {FACTS} LEFT JOIN (SELECT site_id, list(source_key || ':' || external_id) AS ids FROM site_ids GROUP BY site_id) USING (site_id)) a JOIN (SELECT * FROM {FACTS} LEFT JOIN (SELECT site_id, list(source_key || ':' || external_id) AS ids FROM site_ids GROUP BY site_id) USING (site_id)) b ON a.site_id < b.site_id
+    WHERE NOT (coalesce(a.parent_id = b.site_id, false) OR coalesce(b.parent_id = a.site_id, false) OR coalesce(a.parent_id = b.parent_id, false)))) WHERE reasons <> ''))"""
+
+
+@query(f"SELECT a, b, reasons, distance_m, score_name, score_geo, score_operator, score_external, score_lifecycle, match, external_id_match, qualifier_conflict, decision, why FROM {_matched(0.92, 0.70, 250)}", "msites", "site_ids")
 def e7_match_entities(d):
-    return en.match_entities(d.msites)
+    return en.match_entities(d.msites, identifiers=d.site_ids)
 
 
-MERGED = f"""(SELECT surviving, merged, match AS match_score, 'auto' AS method, why AS reason, 'matcher' AS actor FROM (SELECT *, row_number() OVER (PARTITION BY merged ORDER BY s DESC, surviving) AS rn FROM
- (SELECT CASE WHEN a_wins THEN b ELSE a END AS merged, CASE WHEN a_wins THEN a ELSE b END AS surviving, greatest(sa, sb) AS s, match, why FROM
-  (SELECT m.*, x.score AS sa, y.score AS sb, x.score > y.score OR (x.score = y.score AND m.a < m.b) AS a_wins FROM {_matched('plainsites', 0.5, 0.4, 2000)} m JOIN plainsites x ON m.a = x.site_id JOIN plainsites y ON m.b = y.site_id WHERE decision = 'auto_merged'))) WHERE rn = 1)"""
+MERGED = f"""(SELECT surviving, merged, 'P-' || CAST(merged AS VARCHAR) AS merged_public_id, match AS match_score, 'auto' AS method, why AS reason, 'matcher' AS actor, CAST(NULL AS TIMESTAMP) AS reversed_at FROM (SELECT *, row_number() OVER (PARTITION BY merged ORDER BY s DESC, f NULLS LAST, surviving) AS rn FROM
+ (SELECT CASE WHEN a_wins THEN b ELSE a END AS merged, CASE WHEN a_wins THEN a ELSE b END AS surviving, CASE WHEN a_wins THEN sa ELSE sb END AS s, CASE WHEN a_wins THEN fa ELSE fb END AS f, match, why FROM
+  (SELECT m.*, x.score AS sa, y.score AS sb, x.discovered_at AS fa, y.discovered_at AS fb, x.score > y.score OR (x.score = y.score AND (coalesce(x.discovered_at, DATE '9999-01-01') < coalesce(y.discovered_at, DATE '9999-01-01') OR (x.discovered_at IS NOT DISTINCT FROM y.discovered_at AND m.a < m.b))) AS a_wins
+   FROM {_matched(0.8, 0.6, 500)} m JOIN msites x ON m.a = x.site_id JOIN msites y ON m.b = y.site_id WHERE decision = 'auto_merged'))) WHERE rn = 1)"""
 
 
 def _applied(d):
-    return en.apply_merges(d.plainsites, en.match_entities(d.plainsites, en.MatchConfig(auto=0.5, queue=0.4, auto_distance_m=2000)))
+    return en.match_and_merge(d.msites, d.site_ids, en.MatchConfig(auto=0.8, queue=0.6, auto_distance_m=500))
 
 
-@query(f"SELECT * FROM {MERGED}", "plainsites")
+@query(f"SELECT * FROM {MERGED}", "msites", "site_ids")
 def e8_apply_merges(d):
     """The audit of the merges."""
     return _applied(d)[1]
 
 
-@query(f"SELECT s.site_id, s.name, m.surviving AS superseded_by FROM plainsites s LEFT JOIN {MERGED} m ON s.site_id = m.merged", "plainsites")
+@query(f"SELECT s.site_id, s.name, coalesce(s.superseded_by, m.surviving) AS superseded_by FROM msites s LEFT JOIN {MERGED} m ON s.site_id = m.merged", "msites", "site_ids")
 def e8_merged_entities(d):
     """The entities with their pointers."""
     return _applied(d)[0].select("site_id", "name", "superseded_by")
 
 
-@query(f"SELECT n, flagged, CASE WHEN n > 0 THEN flagged / n ELSE 0.0::DOUBLE END AS share, CASE WHEN n > 0 THEN flagged / n ELSE 0 END <= 0.25 AS ok FROM (SELECT count(*) AS n, count(*) FILTER (decision = 'auto_merged') AS flagged FROM {_matched('msites', 0.92, 0.70, 250)})", "msites")
+@query(f"SELECT surviving, merged, CASE WHEN merged % 2 = 0 THEN TIMESTAMP '2024-06-01' END AS reversed_at, CASE WHEN merged % 2 = 1 THEN surviving END AS superseded_by FROM {MERGED}", "msites", "site_ids")
+def e8_reversed_merges(d):
+    """Merges of even ids taken back: the audit, beside what the entities point to."""
+    entities, merges = _applied(d)
+    merges = materialize(merges, "merges")
+    entities, audit = en.reverse_merges(entities, merges, merges.filter("merged % 2 = 0"), F.lit("2024-06-01").cast("timestamp_ntz").cast("timestamp"))
+    return audit.select("surviving", "merged", "reversed_at").join(entities.select(F.col("site_id").alias("merged"), "superseded_by"), "merged")
+
+
+@query(f"SELECT n, flagged, CASE WHEN n > 0 THEN flagged / n ELSE 0.0::DOUBLE END AS share, CASE WHEN n > 0 THEN flagged / n ELSE 0 END <= 0.25 AS ok FROM (SELECT count(*) AS n, count(*) FILTER (decision = 'auto_merged') AS flagged FROM {_matched(0.8, 0.6, 500)})", "msites", "site_ids")
 def q6_check_share(d):
-    m = en.match_entities(d.msites)
+    m = en.match_entities(d.msites, en.MatchConfig(auto=0.8, queue=0.6, auto_distance_m=500), d.site_ids)
     return en.check_share(m, F.col("decision") == "auto_merged", en.MatchConfig().share_rail)
 
 

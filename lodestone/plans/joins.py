@@ -75,6 +75,34 @@ def j12_trigram_pairs(d):
     return jo.trigram_pairs(names, 0.6, "company_id", "nm", "kind").withColumn("similarity", F.round("similarity", 6))
 
 
+#: Names of few distinct words, so that many rows share one.
+view("roster", "SELECT company_id, concat(kind, CASE company_id % 3 WHEN 0 THEN ' Works' WHEN 1 THEN ' Works Nr. 1' ELSE '' END) AS nm FROM v4", "v4")
+
+
+@query(f"""WITH m AS (SELECT company_id, min(company_id) OVER (PARTITION BY g) AS r, count(*) OVER (PARTITION BY g) AS n, g FROM (SELECT company_id, list_sort({GRAMS.format(c='nm')}) AS g FROM roster)),
+ c AS (SELECT r, any_value(n) AS n, any_value(g) AS g FROM m GROUP BY r)
+SELECT * FROM (SELECT a.r AS ra, b.r AS rb, len(list_intersect(a.g, b.g)) * 1.0 / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS similarity, a.n AS na, b.n AS nb FROM c a JOIN c b ON a.r < b.r) WHERE similarity >= 0.6""", "roster")
+def j12_trigram_classes(d):
+    """Pairs of classes of equal names with their numbers of rows."""
+    return jo.trigram_classes(d.roster, 0.6, "company_id", "nm")[0]
+
+
+@query(f"SELECT company_id, min(company_id) OVER (PARTITION BY g) AS r, count(*) OVER (PARTITION BY g) AS n FROM (SELECT company_id, list_sort({GRAMS.format(c='nm')}) AS g FROM roster)", "roster")
+def j12_trigram_members(d):
+    return jo.trigram_classes(d.roster, 0.6, "company_id", "nm")[1]
+
+
+@query("SELECT min(site_id) AS class, count(*) AS n, count(*) * (count(*) - 1) // 2 AS n_pairs FROM v3 GROUP BY operator, subdivision, country HAVING count(*) > 1", "v3")
+def j13_block_classes(d):
+    """The blocks of j13_block_pairs, each once."""
+    return jo.block_classes(d.v3, ["operator", "subdivision", "country"], "site_id")[0]
+
+
+@query("SELECT * FROM (SELECT site_id, min(site_id) OVER w AS class FROM v3 WINDOW w AS (PARTITION BY operator, subdivision, country) QUALIFY count(*) OVER w > 1)", "v3")
+def j13_block_members(d):
+    return jo.block_classes(d.v3, ["operator", "subdivision", "country"], "site_id")[1]
+
+
 @query("SELECT a.site_id AS a, b.site_id AS b FROM v3 a JOIN v3 b ON a.operator = b.operator AND a.subdivision = b.subdivision AND a.country = b.country AND a.site_id < b.site_id", "v3")
 def j13_block_pairs(d):
     return jo.block_pairs(d.v3, ["operator", "subdivision", "country"], "site_id")
