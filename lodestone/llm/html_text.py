@@ -7,8 +7,10 @@ undecided. Pass two gives every undecided block the label of its nearest decided
 on, else the nearer side's. Inside an article element prose needs no stop words to be content, so that pages in other
 languages come out whole.
 
-Words in class, id and role mark boilerplate if they name it (`sidebar`), not if they name a layout that has it
-(`has-sidebar`). A form is boilerplate where the page has content outside of it, and not where it wraps the page: a main
+Words in class, id and role mark boilerplate if their first or last part names it (`sidebar`, `site-footer`, `adBox`), not if
+they name a layout, subject or state (`has-sidebar`, `category-newsletter`, `comments-open`) or only mention it
+(`page-alert-wrap`). An article inside a marked box stands by itself, but for boxes of comments, related articles, adverts and
+the like, hidden ones, and asides, footers and menus. A form is boilerplate where the page has content outside of it, and not where it wraps the page: a main
 or article element inside a form stands by itself, and so does a main element inside marked boxes.
 
 Cases: null or empty html, and a page without content, give an empty text. Broken markup is read as far as it goes: an
@@ -46,12 +48,15 @@ FORM = {"form", "fieldset"}
 CONTENT = {"article", "main"}
 #: Elements whose text is prose even where most of it is one link.
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption", "dd"}
-#: Class and id words that mark boilerplate, the layouts and styles that only mention it, and those that hide.
-MARKED = re.compile(
-    r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|banner|cookies?|consent|gdpr|notice|alert|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|comments?|replies|reply|disqus|share|sharing|social|related|recommended|promo|newsletter|subscribe|signup|login|popup|modal|overlay|toolbar|pagination|pager|skip)(?:$|[_-])",
-    re.I,
-)
-LAYOUT = re.compile(r"^(?:has|with|without|no|show|shows|hide|hides|js|overflow)[_-]", re.I)
+#: Parts of class and id words that name a box of boilerplate. An article inside one of the second kind isn't the page's.
+PLAIN_BOX = re.compile(r"banner|cookies?|consent|gdpr|notice|alert|menu|nav|navbar|navigation|breadcrumbs?|footer|signup|login|popup|modal|overlay|toolbar|pagination|pager|skip")
+SEALED_BOX = re.compile(r"ads?|adbox|adslot|adsense|advert\w*|sponsor\w*|sidebar|comment(?:s|list|thread|form|box|area|section)?|replies|reply|respond|disqus|share|sharing|social|related|recommended|promo|newsletter|subscribe")
+#: First parts of words for a layout or a subject, and last ones for a state: such words only mention a box.
+LAYOUT = {"has", "with", "without", "no", "not", "is", "show", "shows", "hide", "hides", "js", "overflow", "tag", "tags", "category", "cat", "topic", "type", "format"}
+STATES = {"open", "opened", "closed", "enabled", "disabled", "on", "off", "allowed", "visible", "active"}
+#: Classes of an article element that is none: a comment, a teaser beside the page's own.
+OWN = re.compile(r"(?i)comment(?:-?(?:body|item|content))?|reply|related(?:-?(?:post|item|article))?|ad|advertisement|promo|sponsored")
+PARTED = re.compile(r"[-_]+|(?<=[a-z0-9])(?=[A-Z])")
 UNSEEN = {"hidden", "is-hidden", "visually-hidden", "sr-only", "d-none"}
 START = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?])")
 STOP = re.compile(r"[>\"']")
@@ -74,32 +79,40 @@ class Block:
     prose: bool = False
 
 
-def _marked(attributes: str) -> bool:
-    """Whether a tag's attributes name boilerplate, or hide what it holds."""
-    for found in NAMED.findall(attributes):
-        for word in "".join(found).split():
-            if word.lower() in UNSEEN or (MARKED.search(word) and not LAYOUT.match(word)):
-                return True
-    return bool(HIDDEN.search(QUOTED.sub("", attributes)) or UNSHOWN.search(attributes))
+def _box(word: str) -> int:
+    """Of a class or id word: 2 if its first or last part names a sealed box, 1 a plain one, else 0."""
+    parts = [p.lower() for p in PARTED.split(word) if p]
+    if not parts or parts[0] in LAYOUT or parts[-1] in STATES:
+        return 0
+    ends = (parts[0], parts[-1])
+    return 2 if any(SEALED_BOX.fullmatch(p) for p in ends) else 1 if any(PLAIN_BOX.fullmatch(p) for p in ends) else 0
+
+
+def _marked(attributes: str) -> int:
+    """Whether a tag's attributes name boilerplate (1, or 2 for a sealed box), or hide what it holds (2)."""
+    words = [word for found in NAMED.findall(attributes) for word in "".join(found).split()]
+    if any(w.lower() in UNSEEN for w in words) or HIDDEN.search(QUOTED.sub("", attributes)) or UNSHOWN.search(attributes):
+        return 2
+    return max(map(_box, words), default=0)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, with what pass one needs to know of each."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool, bool]] = []  # name, outside, inside an article, inside a form
+    open_: list[tuple[str, bool, bool, bool, bool]] = []  # name, outside, inside an article, inside a form, sealed
     depth: Counter[str] = Counter()  # of the names in open_
     parts: list[str] = []
     links: list[str] = []
     at, in_link, heading, strict = 0, 0, False, True
 
-    def state() -> tuple[bool, bool, bool]:
-        return open_[-1][1:] if open_ else (False, False, False)
+    def state() -> tuple[bool, bool, bool, bool]:
+        return open_[-1][1:] if open_ else (False, False, False, False)
 
     def flush() -> None:
         nonlocal heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            outside, inside, form = state()
+            outside, inside, form, _ = state()
             out.append(Block(text, len(" ".join(html.unescape(" ".join(links)).split())), outside, inside, heading, form, bool(open_) and open_[-1][0] in PROSE))
         parts.clear()
         links.clear()
@@ -183,20 +196,23 @@ def blocks(page: str) -> list[Block]:
                 pop()
         elif open_ and open_[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             pop()
-        outside, inside, form = state()
+        outside, inside, form, sealed = state()
         if name in CONTENT:
-            inside, form = True, False
+            own = name == "article" and any(OWN.fullmatch(w) for found in NAMED.findall(attributes) for w in "".join(found).split())
+            inside, form, sealed = True, False, sealed or own
             if name == "main" and not any(depth[x] for x in OUTSIDE):
-                outside = False
+                outside = sealed = False
+            elif name == "article":
+                outside = sealed
         elif name in OUTSIDE or (name == "header" and not inside):
-            outside = True
-        elif name not in ("html", "body") and attributes and _marked(attributes):
-            outside = True
+            outside, sealed = True, sealed or name in OUTSIDE
+        elif name not in ("html", "body") and attributes and (box := _marked(attributes)):
+            outside, sealed = True, sealed or box == 2
         if name in FORM:
             form = True
         heading = re.fullmatch("h[1-6]", name) is not None
         if not attributes.endswith("/"):
-            open_.append((name, outside, inside, form))
+            open_.append((name, outside, inside, form, sealed))
             depth[name] += 1
     flush()
     return out

@@ -231,3 +231,24 @@ def test_rare_languages_are_classes(spark):
     models = language.train(docs, 40)
     assert models.languages == ["de", "en", "it"] and np.isfinite(models.log_p).all()
     assert np.argmax(models.evidence("il gatto dorme")) == 2
+
+
+STORY = "The cat of the house is in the garden and it was happy with the day that was long and for all of the people in the town the time was good. " * 3
+REMARK = "This is what I think of the matter and it is not what you said in the first place, so there. " * 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        *[f'<div {box}="{name}"><article><p>{STORY}</p></article></div>' for box, name in (("class", "post tag-social-media"), ("class", "post category-newsletter"), ("id", "page-alert-wrap"), ("class", "modal"), ("class", "cookie-wall"))],
+        *[f'<div class="{name}"><p>{STORY}</p></div>' for name in ("post category-newsletter", "page-alert-wrap", "post comments-open", "has-sidebar", "is-sidebar")],
+        *[f'<article><p>{STORY}</p><div class="{name}"><p>{REMARK}</p></div></article>' for name in ("CommentThread", "adBox", "gdprBox", "comment-list", "site-footer", "relatedPosts")],
+        f'<article><p>{STORY}</p></article><ol class="commentlist"><li><article class="comment-body"><p>{REMARK}</p></article></li></ol>',
+        f'<article><p>{STORY}</p></article><article class="comment"><p>{REMARK}</p></article>',
+        f'<article><p>{STORY}</p></article><aside><article><p>{REMARK}</p></article></aside>',
+        f'<main><p>{STORY}</p></main><div class="related"><article><p>{REMARK}</p></article></div>',
+        f'<article><p>{STORY}</p></article><div hidden><article><p>{REMARK}</p></article></div>',
+    ],
+)
+def test_boxes_by_their_names(page):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == STORY.strip()
