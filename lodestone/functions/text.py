@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they become.
-ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+#: Letters without an accent that can be taken off, and what they become.
+BARRED = (("ø", "o"), ("ł", "l"), ("đ", "d"), ("ð", "d"), ("ħ", "h"), ("ı", "i"), ("ŧ", "t"), ("ŋ", "n"), ("ƀ", "b"), ("ɨ", "i"), ("ʉ", "u"))
+LIGATURES = (("æ", "ae"), ("œ", "oe"), ("ß", "ss"), ("þ", "th"), ("ĳ", "ij"), ("ŉ", "'n"))
+
+
+def _accents() -> tuple[str, str]:
+    """Latin small letters with accents and the letters below them, by their decomposition, and the barred ones."""
+    blocks = [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]
+    bases = ((chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in blocks if chr(c).islower())
+    found = [(c, b) for c, b in bases if c != b and b.isascii()] + list(BARRED)
+    return "".join(c for c, _ in found), "".join(b for _, b in found)
+
+
 #: Corporate suffixes of the first and the second pass; words that operators' and stations' names lose.
 SUFFIXES = "incorporated|inc|llc|ltd|limited|corp|corporation|plc|sa|ag|gmbh|nv|bv|co|company|companies|holdings|holding|group|lp|llp|sarl|pte|pty"
 SECOND = "incorporated|inc|llc|ltd|limited|corp|corporation|plc|sa|ag|gmbh|nv|bv|co|company|companies|holdings|holding|group|lp|llp"
@@ -33,6 +45,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def unaccent(c: Column) -> Column:
+    """Small Latin letters without accents, composed or not, bars and ligatures. Other letters stay."""
+    for letter, plain in LIGATURES:
+        c = F.replace(c, F.lit(letter), F.lit(plain))
+    return F.regexp_replace(F.translate(c, *_accents()), r"\p{Mn}", "")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -78,7 +97,7 @@ def normalize_operator(c: Column) -> Column:
 
 def normalize_station(c: Column) -> Column:
     """Accents and type words gone; null for placeholder names."""
-    s = F.translate(F.lower(c), *ACCENTS)
+    s = unaccent(F.lower(c))
     bare = F.regexp_replace(F.regexp_replace(s, rf"\b({STATION_TYPES})\b", " "), "[^a-z0-9 ]+", " ")
     return F.when(~s.rlike("^(unknown|tap)[0-9]+$"), blank_to_null(F.regexp_replace(bare, r"\s+", " ")))
 
@@ -206,7 +225,18 @@ def campus_stem(c: Column) -> Column:
 
 
 def to_name_array(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
+    """Trimmed names of a JSON array (of strings, or objects with a name, carrier or tenant) or of a text parted by ; or ,.
+
+    Any other JSON object, and null, has none.
+    """
+    doc = F.try_parse_json(c)
+    text = lambda v, path: F.try_variant_get(v, path, "string")
+    kind = lambda v: F.schema_of_variant(v)
+    named = lambda v: F.when(kind(v) == "STRING", text(v, "$")).when(F.startswith(kind(v), F.lit("OBJECT")), F.coalesce(text(v, "$.name"), text(v, "$.carrier"), text(v, "$.tenant")))
+    listed = F.transform(F.try_variant_get(doc, "$", "array<variant>"), named)
+    none = F.array().cast("array<string>")
+    parts = F.when(F.startswith(kind(doc), F.lit("ARRAY")), listed).when(F.startswith(kind(doc), F.lit("OBJECT")) | c.isNull(), none).otherwise(F.split(c, "[;,]"))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 #: Bands with the priorities and the label that call for each; labels that block.

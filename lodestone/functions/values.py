@@ -35,21 +35,27 @@ def parse_usd_scaled(c: Column) -> Column:
     return half_up(F.regexp_extract(s, AMOUNT, 1).try_cast("double") * by).cast("bigint")
 
 
+#: A date at the start, year first or last; a day or month with its name anywhere; a bare year.
+ISO_DATE, US_DATE = r"^(\d{4})-(\d{1,2})-(\d{1,2})", r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})"
+NAMED_DAY, NAMED_MONTH, BARE_YEAR = r"\b([A-Za-z]{3})[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})\b", r"\b([A-Za-z]{3})[a-z]*\.?\s+(\d{4})\b", r"^(\d{4})$"
+
+
 def parse_date_any(c: Column) -> Column:
-    """y-m-d, m/d/y, "Mon d, yyyy", "Mon yyyy" (first of the month), "yyyy" (first of the year), else null."""
+    """y-m-d, m/d/y or m-d-y at the start, "Mon d, yyyy" or "Mon yyyy" (first of the month) anywhere, "yyyy" (first of the year), else null.
+
+    A text that has the form of a date but isn't one is null.
+    """
     s = F.trim(c)
-    month = F.lit(None).cast("int")
-    for m, i in MONTHS.items():
-        month = F.when(F.lower(F.substring(s, 1, 3)) == m, i).otherwise(month)
     day = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
     x = lambda p, i: F.regexp_extract(s, p, i)
-    iso, us, long, short = r"^(\d{4})-(\d{1,2})-(\d{1,2})", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", r"^[A-Za-z]{3,9}\.? (\d{1,2}),? (\d{4})$", r"^[A-Za-z]{3,9}\.? (\d{4})$"
+    months = F.create_map(*[F.lit(v) for pair in MONTHS.items() for v in pair])
+    month = lambda p: F.try_element_at(months, F.lower(x(p, 1)))
     return (
-        F.when(s.rlike(iso), day(x(iso, 1), x(iso, 2), x(iso, 3)))
-        .when(s.rlike(us), day(x(us, 3), x(us, 1), x(us, 2)))
-        .when(s.rlike(long) & month.isNotNull(), day(x(long, 2), month, x(long, 1)))
-        .when(s.rlike(short) & month.isNotNull(), day(x(short, 1), month, F.lit("1")))
-        .when(s.rlike(r"^\d{4}$"), day(s, F.lit("1"), F.lit("1")))
+        F.when(s.rlike(ISO_DATE), day(x(ISO_DATE, 1), x(ISO_DATE, 2), x(ISO_DATE, 3)))
+        .when(s.rlike(US_DATE), day(x(US_DATE, 3), x(US_DATE, 1), x(US_DATE, 2)))
+        .when(s.rlike(NAMED_DAY) & month(NAMED_DAY).isNotNull(), day(x(NAMED_DAY, 3), month(NAMED_DAY), x(NAMED_DAY, 2)))
+        .when(s.rlike(NAMED_MONTH) & month(NAMED_MONTH).isNotNull(), day(x(NAMED_MONTH, 2), month(NAMED_MONTH), F.lit("1")))
+        .when(s.rlike(BARE_YEAR), day(s, F.lit("1"), F.lit("1")))
     )
 
 

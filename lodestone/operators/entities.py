@@ -289,6 +289,31 @@ def anchor_years(resolved: DataFrame) -> DataFrame:
 TIER_MULTIPLIER = (("VRF", 0.95), ("SRC", 0.85), ("INF", 0.60), ("EST", 0.40))
 
 
+def _bare_county(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), r"\s+county$", "")
+
+
+def resolve_awards(awards: DataFrame, counties: DataFrame) -> DataFrame:
+    """`awards` with jurisdiction_id, resolution_method, resolution_status, candidate_count: the county of its state by name.
+
+    counties: jurisdiction_id, state, county, and active if some aren't. An award with a jurisdiction_id keeps it. An award
+    without a county, or with one that isn't known, stays as unresolved, without candidates; of several counties of one name
+    the least id is taken.
+    """
+    own = awards if "jurisdiction_id" in awards.columns else awards.withColumn("jurisdiction_id", F.lit(None).cast(counties.schema["jurisdiction_id"].dataType))
+    live = counties.filter("active") if "active" in counties.columns else counties
+    known = live.groupBy(F.col("state").alias("_s"), _bare_county(F.col("county")).alias("_k")).agg(F.min("jurisdiction_id").alias("_j"))
+    j = own.join(known, (F.col("state") == F.col("_s")) & (_bare_county(F.col("county")) == F.col("_k")) & F.col("jurisdiction_id").isNull(), "left")
+    new = F.col("_j").isNotNull()
+    added = {
+        "jurisdiction_id": F.coalesce("jurisdiction_id", "_j"),
+        "resolution_method": F.when(new, "county_name"),
+        "resolution_status": F.when(new | F.col("jurisdiction_id").isNotNull(), "resolved").otherwise("unresolved"),
+        "candidate_count": F.when(new, 1).otherwise(F.when(F.col("jurisdiction_id").isNull(), 0)),
+    }
+    return j.select(*[c for c in own.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+
+
 def incentive_attributes(awards: DataFrame, counties: DataFrame, registry: DataFrame) -> DataFrame:
     """(county, attribute, value, confidence_tier, multiplier, source_level): five attributes of each county's awards, as JSON.
 
@@ -297,9 +322,8 @@ def incentive_attributes(awards: DataFrame, counties: DataFrame, registry: DataF
     INC-05 programs and statutes. All carry the best tier among the sources, and primary if any source is. An
     unregistered source counts as estimated and primary.
     """
-    bare = lambda c: F.regexp_replace(F.lower(c), r"\s+county$", "")
-    a = awards.filter("county is not null").withColumn("_c", bare(F.col("county")))
-    c = counties.select(F.col("state").alias("_s"), bare(F.col("county")).alias("_k"), F.col("county").alias("_name"))
+    a = awards.filter("county is not null").withColumn("_c", _bare_county(F.col("county")))
+    c = counties.select(F.col("state").alias("_s"), _bare_county(F.col("county")).alias("_k"), F.col("county").alias("_name"))
     known = registry.select("source_key", "confidence", "source_kind")
     j = a.join(c, (F.col("state") == F.col("_s")) & (F.col("_c") == F.col("_k"))).join(known, "source_key", "left")
     mult = F.lit(TIER_MULTIPLIER[-1][1])

@@ -121,11 +121,11 @@ def confidence(entities: DataFrame, obs: DataFrame, bands: DataFrame, as_of: str
 
 
 def best_claims(obs: DataFrame) -> DataFrame:
-    """The best live claim of each entity and attribute: cap, recency, number of lineages that make the same claim, id."""
+    """The best live claim of each entity and attribute: cap, recency, number of lineages that make the same claim, time of ingest, id."""
     same = ["entity_id", "attribute"]
     o = live(obs).withColumn("value_key", value_key()).repartition(*same)  # one shuffle serves both windows
     o = o.withColumn("lineages", F.size(F.collect_set("lineage").over(W.partitionBy(*same, "value_key"))).cast("bigint"))
-    order = [steps(F.col("cap"), CAP_RANK, 0).desc(), F.col("observed_at").desc_nulls_last(), F.col("lineages").desc(), F.col("obs_id").asc()]
+    order = [steps(F.col("cap"), CAP_RANK, 0).desc(), F.col("observed_at").desc_nulls_last(), F.col("lineages").desc(), *[F.col(c).desc_nulls_last() for c in ("ingested_at",) if c in obs.columns], F.col("obs_id").asc()]
     return o.withColumn("rn", F.row_number().over(W.partitionBy(*same).orderBy(*order))).filter("rn = 1").drop("rn")
 
 

@@ -164,7 +164,7 @@ def e29_story(d):
 
 @query("SELECT company_id, kind, concat('C-', lpad(CAST(row_number() OVER (ORDER BY kind, company_id) AS STRING), 6, '0')) AS public_id FROM v4", "v4")
 def w3_number_rows(d):
-    return an.number_rows(d.v4.select("company_id", "kind"), ["company_id"], "C-", 6, "kind")
+    return an.number_rows(d.v4.select("company_id", "kind"), ["kind", "company_id"], "C-", 6)
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")

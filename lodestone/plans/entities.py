@@ -150,6 +150,13 @@ def e4_incentive_attributes(d):
     return en.incentive_attributes(d.v2, c, d.award_registry)
 
 
+@query("SELECT record_id, n_nationkey AS jurisdiction_id, CASE WHEN n_nationkey IS NOT NULL THEN 'county_name' END AS resolution_method, CASE WHEN n_nationkey IS NULL THEN 'unresolved' ELSE 'resolved' END AS resolution_status, CASE WHEN n_nationkey IS NULL THEN 0 ELSE 1 END AS candidate_count FROM v2 LEFT JOIN nation ON state = n_name AND n_nationkey % 4 <> 0 AND regexp_replace(lower(county), '\\s+county$', '') = lower(n_name)", "v2")
+def e4_resolved_awards(d):
+    """Every award, those without a known county as unresolved."""
+    c = d.nation.select(F.col("n_nationkey").alias("jurisdiction_id"), F.col("n_name").alias("state"), F.concat("n_name", F.lit(" COUNTY")).alias("county"), (F.col("n_nationkey") % 4 != 0).alias("active"))
+    return en.resolve_awards(d.v2, c).select("record_id", "jurisdiction_id", "resolution_method", "resolution_status", "candidate_count")
+
+
 NORM = "nullif(trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(trim(raw_name)), '^the\\s+', ''), '[^a-z0-9]+', ' ', 'g')), ' (inc|llc|ltd|holdings|group)$', ''), ' (inc|llc|ltd|holdings|group)$', ''), ' +', ' ', 'g')), '')"
 
 

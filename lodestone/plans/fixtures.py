@@ -20,7 +20,7 @@ SELECT l_orderkey AS entity_id, l_suppkey AS source_id,
   CASE WHEN l_partkey % 4 = 3 THEN CASE l_suppkey % 2 WHEN 0 THEN 'it_load' ELSE 'gross_utility' END END AS capacity_basis,
   concat('L', CAST(l_suppkey % 7 AS STRING)) AS lineage, (l_suppkey % 3 <> 0) AS redistributable,
   CASE l_linenumber % 4 WHEN 0 THEN 'VRF' WHEN 1 THEN 'SRC' WHEN 2 THEN 'INF' ELSE 'EST' END AS cap,
-  (l_suppkey % 23 = 0) AS retracted, (l_suppkey % 19 = 0) AS superseded,
+  CAST(concat('2001-09-', lpad(CAST(1 + (l_orderkey * 7 + l_linenumber * 5 + l_partkey) % 5 AS STRING), 2, '0')) AS DATE) AS ingested_at, (l_suppkey % 23 = 0) AS retracted, (l_suppkey % 19 = 0) AS superseded,
   concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS obs_id
 FROM lineitem""")
 

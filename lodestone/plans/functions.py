@@ -23,7 +23,7 @@ def f2_normalize_operator(d):
     return d.odd_names.select("company_id", tx.normalize_operator(F.col("nm")).alias("norm"))
 
 
-view("stations", "SELECT s_suppkey AS id, CASE s_suppkey % 8 WHEN 0 THEN concat('UNKNOWN', CAST(s_suppkey AS STRING)) WHEN 1 THEN concat('Río ', s_name, ' Substation') WHEN 2 THEN concat('tap', CAST(s_suppkey AS STRING)) WHEN 3 THEN concat('Tap ', CAST(s_suppkey AS STRING)) WHEN 4 THEN concat(s_name, ' DC Tie S/S') WHEN 5 THEN concat(s_name, ' Station') WHEN 6 THEN concat(s_name, ' Switch (POI)') ELSE concat(s_name, ' Switching Station') END AS nm FROM supplier")
+view("stations", "SELECT s_suppkey AS id, CASE s_suppkey % 8 WHEN 0 THEN concat('UNKNOWN', CAST(s_suppkey AS STRING)) WHEN 1 THEN concat('Río Čačak Ångström ', s_name, ' Substation') WHEN 2 THEN concat('tap', CAST(s_suppkey AS STRING)) WHEN 3 THEN concat('Tap ', CAST(s_suppkey AS STRING)) WHEN 4 THEN concat(s_name, ' DC Tie S/S') WHEN 5 THEN concat(s_name, ' Station') WHEN 6 THEN concat(s_name, ' Switch (POI)') ELSE concat(s_name, ' Switching Station') END AS nm FROM supplier")
 
 
 @query(r"""SELECT id, CASE WHEN NOT regexp_matches(strip_accents(lower(nm)), '^(unknown|tap)[0-9]+$') THEN nullif(trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(nm)), '\b(switching station|substation|switchyard|switching|switch|sub station|s/?s|tap|poi|interchange|delivery station|dc tie)\b', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')), '') END AS norm FROM stations""", "stations")
@@ -52,13 +52,15 @@ def f9_parse_numbers(d):
     return d.money.select("id", vl.parse_number(F.col("plain")).alias("num"), vl.parse_usd_scaled(F.col("scaled")).alias("usd"))
 
 
-view("dates", """SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, CASE o_custkey % 6 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING)
+view("dates", """SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, CASE o_custkey % 10 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING)
   WHEN 1 THEN concat(CAST(month(o_orderdate) AS STRING), '/', CAST(day(o_orderdate) AS STRING), '/', CAST(year(o_orderdate) AS STRING))
   WHEN 2 THEN concat('Dec ', CAST(day(o_orderdate) AS STRING), ', ', CAST(year(o_orderdate) AS STRING)) WHEN 3 THEN concat('May ', CAST(year(o_orderdate) AS STRING))
-  WHEN 4 THEN CAST(year(o_orderdate) AS STRING) ELSE 'n/a' END AS s, o_custkey % 6 AS k FROM orders""")
+  WHEN 4 THEN CAST(year(o_orderdate) AS STRING)
+  WHEN 5 THEN concat('est. December ', CAST(day(o_orderdate) AS STRING), ' ', CAST(year(o_orderdate) AS STRING), ' or so') WHEN 6 THEN concat('in May. ', CAST(year(o_orderdate) AS STRING), '?') WHEN 7 THEN concat(CAST(month(o_orderdate) AS STRING), '-', CAST(day(o_orderdate) AS STRING), '-', CAST(year(o_orderdate) AS STRING), ' 10:00')
+  WHEN 8 THEN concat('Lot 12, ', CAST(year(o_orderdate) AS STRING)) ELSE 'n/a' END AS s, o_custkey % 10 AS k FROM orders""")
 
 
-@query("""SELECT id, CASE k WHEN 0 THEN d WHEN 1 THEN d WHEN 2 THEN make_date(year(d), 12, day(d)) WHEN 3 THEN make_date(year(d), 5, 1) WHEN 4 THEN make_date(year(d), 1, 1) END AS parsed,
+@query("""SELECT id, CASE k WHEN 0 THEN d WHEN 1 THEN d WHEN 2 THEN make_date(year(d), 12, day(d)) WHEN 3 THEN make_date(year(d), 5, 1) WHEN 4 THEN make_date(year(d), 1, 1) WHEN 5 THEN make_date(year(d), 12, day(d)) WHEN 6 THEN make_date(year(d), 5, 1) WHEN 7 THEN d END AS parsed,
  floor((DATE '2001-08-02' - d) / 365.25 * 10 + 0.5) / 10 AS years, CAST(DATE '2001-08-02' - d AS INTEGER) AS lag, CAST(year(d) AS INTEGER) AS y4 FROM dates""", "dates")
 def f11_parse_dates(d):
     """F11, F13, F14 and F21's year."""
@@ -125,11 +127,14 @@ def f24_layer(d):
     return d.entities.select("entity_id", steps(F.col("lifecycle"), LAYERS).alias("layer"))
 
 
-@query("""SELECT company_id, array_to_string(list_filter(list_transform(regexp_split_to_array(replace(raw_name, ' ', ' ; '), '[;,]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS names, string_split(raw_name, ' ')[2] AS q FROM v4""", "v4")
+@query("""SELECT company_id, CASE company_id % 3 WHEN 0 THEN kind || '|' || trim(kind) || ', Ltd' || '|Carrier ' || CAST(size AS VARCHAR) || '|7' WHEN 1 THEN '' ELSE array_to_string(list_filter(list_transform(regexp_split_to_array(replace(raw_name, ' ', ' ; '), '[;,]'), lambda x: trim(x)), lambda x: x <> ''), '|') END AS names, string_split(raw_name, ' ')[2] AS q FROM v4""", "v4")
 def f25_name_arrays(d):
     """F25 and F28."""
     q = F.concat(F.lit('news "'), F.get(F.split("raw_name", " "), F.lit(1)), F.lit('" site'))
-    return d.v4.select("company_id", F.array_join(tx.to_name_array(F.replace("raw_name", F.lit(" "), F.lit(" ; "))), "|").alias("names"), tx.quoted_entity(q).alias("q"))
+    size = F.col("size").cast("string")
+    listed = F.concat(F.lit('["'), "kind", F.lit('", " '), "kind", F.lit(', Ltd ", {"x": 1, "name": null, "carrier": "Carrier '), size, F.lit('", "tenant": "t"}, {"tenant": 7}, {"x": "y"}, 5, null, " "]'))
+    raw = F.when(F.col("company_id") % 3 == 0, listed).when(F.col("company_id") % 3 == 1, F.concat(F.lit('{"name": "'), "kind", F.lit('"}'))).otherwise(F.replace("raw_name", F.lit(" "), F.lit(" ; ")))
+    return d.v4.select("company_id", F.array_join(tx.to_name_array(raw), "|").alias("names"), tx.quoted_entity(q).alias("q"))
 
 
 @query("SELECT p_partkey AS id, concat('<', p_brand, ' & ', chr(233), 'é') AS decoded, p_name AS stripped FROM part")

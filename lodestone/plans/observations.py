@@ -53,7 +53,7 @@ FROM parts""", "parts")
 
 view("best", """
 SELECT * FROM (SELECT o.*, k.lineages, row_number() OVER (PARTITION BY o.entity_id, o.attribute ORDER BY
-    CASE cap WHEN 'VRF' THEN 4 WHEN 'SRC' THEN 3 WHEN 'INF' THEN 2 ELSE 1 END DESC, observed_at DESC, k.lineages DESC, obs_id) AS rn
+    CASE cap WHEN 'VRF' THEN 4 WHEN 'SRC' THEN 3 WHEN 'INF' THEN 2 ELSE 1 END DESC, observed_at DESC, k.lineages DESC, ingested_at DESC, obs_id) AS rn
   FROM v1 o JOIN (SELECT entity_id, attribute, value_text, value_num, lat, lng, count(DISTINCT lineage) AS lineages
     FROM v1 WHERE NOT retracted AND NOT superseded GROUP BY 1, 2, 3, 4, 5, 6) k
   ON o.entity_id = k.entity_id AND o.attribute = k.attribute AND o.value_text IS NOT DISTINCT FROM k.value_text AND o.value_num IS NOT DISTINCT FROM k.value_num

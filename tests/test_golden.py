@@ -218,3 +218,56 @@ def test_dockets_are_screened_and_become_mentions(spark):
     assert (p[3].kv, p[3].county_raw, p[3].date_type, p[3].tier) == (None, None, "actual", "SRC")
     assert sorted((r.id, r.pos, r.name_frag, r.confidence, r.inservice_date) for r in mentions.collect()) == [(1, 0, "Kosse", 0.3, None), (3, 0, "Boyd", 0.85, None)]
     assert one(spark, lambda c: dk.screen_docket(c)["reason"], rows[1][1]) == "excluded:rate/procedural"
+
+
+@pytest.mark.parametrize(
+    ("s", "d"),
+    [("est. Dec 4, 2013", (2013, 12, 4)), ("in May 2024", (2024, 5, 1)), ("12/4/2013 10:00", (2013, 12, 4)), ("12-4-2013", (2013, 12, 4)), ("2013-12-04T10:00", (2013, 12, 4)), ("Sept. 3 2020, late", (2020, 9, 3)), ("Lot 12, 2013", None), ("in 2013", None), ("13/45/2020", None), ("", None), (None, None)],
+)
+def test_dates_inside_text(spark, s, d):
+    assert one(spark, vl.parse_date_any, s) == (datetime.date(*d) if d else None)
+
+
+@pytest.mark.parametrize(
+    ("s", "names"),
+    [('["A","B"]', ["A", "B"]), ('[" A ", {"name": "N"}, {"carrier": "C", "tenant": "T"}, {"name": null, "tenant": "T"}, {"x": 1}, 5, null, ""]', ["A", "N", "C", "T"]), ("a; b,c ,", ["a", "b", "c"]), ("[]", []), ('{"name": "x"}', []), ("[broken, text", ["[broken", "text"]), ("", []), (None, [])],
+)
+def test_name_arrays(spark, s, names):
+    assert one(spark, tx.to_name_array, s) == names
+
+
+@pytest.mark.parametrize(("s", "norm"), [("Łódź Substation", "lodz"), ("Søndre Tap", "sondre"), ("Ångström Switch", "angstrom"), ("Æsir & Œuvre S/S", "aesir oeuvre"), ("Re\u0301union POI", "reunion"), ("Đắk Lắk", "dak lak"), ("TAP12", None), (None, None)])
+def test_station_names_lose_their_accents(spark, s, norm):
+    assert one(spark, tx.normalize_station, s) == norm
+
+
+def test_later_ingest_wins_a_tie(spark):
+    day = datetime.date
+    rows = [(1, "name", "a", day(2024, 1, 1), day(2024, 2, 1), "o1"), (1, "name", "b", day(2024, 1, 1), day(2024, 2, 9), "o2"), (2, "name", "a", day(2024, 1, 1), None, "o3"), (2, "name", "b", day(2024, 1, 1), None, "o4")]
+    obs = spark.createDataFrame([(*r, None, None, None, "L" + r[5], "SRC", False, False) for r in rows], "entity_id long, attribute string, value_text string, observed_at date, ingested_at date, obs_id string, value_num double, lat double, lng double, lineage string, cap string, retracted boolean, superseded boolean")
+    assert {r.entity_id: r.obs_id for r in ob.best_claims(obs).collect()} == {1: "o2", 2: "o3"}
+    assert {r.entity_id: r.obs_id for r in ob.best_claims(obs.drop("ingested_at")).collect()} == {1: "o1", 2: "o3"}
+
+
+def test_awards_without_a_county_stay(spark):
+    awards = spark.createDataFrame([(1, "TX", "Bell COUNTY", None), (2, "TX", "bell", 9), (3, "TX", None, None), (4, "TX", "Nowhere", None), (5, "OK", "Bell", None), (6, "TX", "Old", None)], "id long, state string, county string, jurisdiction_id long")
+    counties = spark.createDataFrame([(7, "TX", "Bell County", True), (8, "TX", "bell", True), (6, "TX", "Old County", False)], "jurisdiction_id long, state string, county string, active boolean")
+    got = {r.id: (r.jurisdiction_id, r.resolution_method, r.resolution_status, r.candidate_count) for r in en.resolve_awards(awards, counties).collect()}
+    none = (None, None, "unresolved", 0)
+    assert got == {1: (7, "county_name", "resolved", 1), 2: (9, None, "resolved", None), 3: none, 4: none, 5: none, 6: none}
+
+
+def test_numbers_of_one_hot_value_are_spread(spark):
+    from lodestone.operators import analytics as an
+
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(5).alias("v"), F.hash("id").alias("h"), "id")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small ranges are merged
+    try:
+        out = an.number_rows(df, ["v", "h", "id"], "N-", 6)
+        got = [(r.v, r.h, r.id, int(r.public_id[2:])) for r in out.collect()]
+        parts = spark.read.parquet(*[f for f in out.inputFiles()]).select(F.shiftright("_at", 33).alias("p"), "v").filter("v = 5").groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert [n for *_, n in sorted(got)] == list(range(1, 20_001)) and len(parts) >= 3
+    assert an.number_rows(df.limit(0), ["v"], "N-", 6).count() == 0
