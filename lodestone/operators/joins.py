@@ -17,7 +17,7 @@ DEGREE_M = 111_194.9
 
 
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """Hint a broadcast if `df` has at most `rows` rows; else join by shuffle."""
+    """Hint a broadcast if `df` (best a stored table: it is counted first) has at most `rows` rows; else join by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -200,22 +200,53 @@ def gazetteer_lookup(df: DataFrame, dim: DataFrame, state: str, county: str, cod
     return df.join(d, (F.upper(F.trim(F.col(state))) == F.col("_s")) & (bare(F.col(county)) == F.col("_c")), "left").drop("_s", "_c")
 
 
-def dictionary_resolve(df: DataFrame, terms: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def _trie(known: DataFrame, most: int) -> list[DataFrame]:
+    """Term lists (prefix, terms) under their first words, by the number of these words: one each, and one more for those that over `most` terms share, and so on.
+
+    terms: structs of the term with a blank at its end, its number of words, and the code.
+    """
+    rest = known.withColumn("_w", F.split("term", " "))
+    entry = F.struct(F.concat("term", F.lit(" ")).alias("t"), F.size("_w").alias("n"), "code")
+    levels, depth = [], 0
+    while True:
+        depth += 1
+        at = rest.withColumn("prefix", F.array_join(F.slice("_w", 1, depth), " "))
+        wide = at.groupBy("prefix").agg(F.count("*").alias("_n")).filter(f"_n > {most}").select("prefix")
+        wide = materialize(wide, "wide")
+        more = not wide.isEmpty()
+        # Terms that end here stay, however many go on.
+        here = at.join(wide, "prefix", "left_anti").union(at.join(wide, "prefix", "left_semi").filter(F.size("_w") <= depth)) if more else at
+        levels.append(materialize(here.groupBy("prefix").agg(F.collect_list(entry).alias("terms")), "trie"))
+        if not more:
+            return levels
+        rest = at.join(wide, "prefix", "left_semi").filter(F.size("_w") > depth).drop("prefix")
+
+
+def dictionary_resolve(df: DataFrame, terms: DataFrame, key: str, columns: list[str], most: int = 500) -> DataFrame:
     """(key, code): the one code that a row's longest whole-word dictionary terms name; earlier columns are preferred.
 
-    terms: (term lower-cased, code). N-grams of the dictionary's own lengths meet its terms by equality; a match inside a
-    longer match of the same column is dropped; a row resolves only if one code is left in its first column with any.
+    terms: (term lower-cased, code). A text is cut into words once. Each word is a row with the words that follow it, as many
+    as the longest term has, and meets the terms under its first word by equality (where over `most` share it, under its
+    first two, and so on); of these the row keeps what it starts with. A match inside a longer match of the same column is
+    dropped; a row resolves only if one code is left in its first column with any.
     """
     parted = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), " ")
     known = materialize(terms.select(F.array_join(parted(F.col("term")), " ").alias("term"), "code").filter("term <> ''").distinct(), "terms")
-    lengths = [r.n for r in known.select(F.size(F.split("term", " ")).alias("n")).distinct().orderBy("n").collect()]  # a few small numbers
-    if not lengths:
+    longest = known.agg(F.max(F.size(F.split("term", " ")))).first()[0]
+    if not longest:
         return df.select(key, F.lit(None).cast("string").alias("code")).limit(0)
     parts = F.array(*[F.struct(F.lit(i).alias("place"), parted(F.coalesce(F.col(c), F.lit(""))).alias("w")) for i, c in enumerate(columns)])
     tok = df.select(key, F.explode(parts).alias("p")).select(key, "p.place", "p.w")
-    grams = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("s"), (i + n).alias("e"), F.array_join(F.slice("w", i + 1, n), " ").alias("term")))
-    every = F.flatten(F.array(*[F.when(F.size("w") >= n, grams(n)).otherwise(F.array().cast("array<struct<s:int,e:int,term:string>>")) for n in lengths]))
-    hit = tok.select(key, "place", F.explode(every).alias("g")).select(key, "place", "g.s", "g.e", "g.term").join(small(known), "term")
+    words = tok.select(key, "place", "w", F.posexplode("w").alias("s", "word"))
+    hit = None
+    for depth, level in enumerate(_trie(known, most), 1):
+        # Only words that some term starts with get to the words after them.
+        first = level.select(F.split("prefix", " ")[0].alias("word")).distinct() if depth > 1 else level.select(F.col("prefix").alias("word"))
+        after = words.join(small(first), "word", "left_semi").select(key, "place", "s", F.slice("w", F.col("s") + 1, F.lit(longest)).alias("_a"))
+        after = after.select(key, "place", "s", F.concat(F.array_join("_a", " "), F.lit(" ")).alias("_a"), F.array_join(F.slice("_a", 1, depth), " ").alias("prefix"))
+        met = after.join(small(level, 20_000), "prefix").select(key, "place", "s", F.explode(F.filter("terms", lambda t: F.startswith(F.col("_a"), t["t"]))).alias("t"))
+        met = met.select(key, "place", "s", (F.col("s") + F.col("t.n")).alias("e"), "t.code")
+        hit = met if hit is None else hit.union(met)
     spans = hit.groupBy(key, "place", "s", "e").agg(F.collect_set("code").alias("codes"))
     # A span lies inside another if one that starts no later, and isn't it, ends no earlier.
     before = W.partitionBy(key, "place").orderBy("s", F.desc("e")).rowsBetween(W.unboundedPreceding, -1)

@@ -56,6 +56,28 @@ def test_dictionary_prefers_longer_matches_and_earlier_columns(spark):
     assert {(r.id, r.code) for r in jo.dictionary_resolve(docs, terms, "id", ["a", "b"]).collect()} == {(1, "US"), (2, "GB")}
 
 
+def test_dictionary_equals_a_plain_scan(spark):
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(12)] + ["ä1", "Ωm"]
+    phrase = lambda n: " ".join(r.choices(vocabulary, k=n))
+    terms = sorted({(phrase(r.choice([1, 1, 2, 2, 3, 5])), r.choice("xyz")) for _ in range(60)} | {(f"w0 w1 {phrase(2)}", "x") for _ in range(40)})
+    docs = [(i, phrase(r.randint(0, 9)).replace(" ", r.choice([" ", ", ", "--"])).upper(), phrase(r.randint(0, 30)) if i % 3 else None) for i in range(300)]
+    want = set()
+    for i, *texts in docs:
+        for text in texts:
+            words = [w for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()]
+            spans = {(s, s + len(t.lower().split())) for t, _ in terms for s in range(len(words)) if words[s : s + len(t.split())] == t.lower().split()}
+            outer = [x for x in spans if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in spans)]
+            codes = {c for t, c in terms for s, e in outer if words[s:e] == t.lower().split()}
+            if codes:
+                want |= {(i, min(codes))} if len(codes) == 1 else set()
+                break
+    frames = spark.createDataFrame(docs, "id int, a string, b string"), spark.createDataFrame([(t.lower(), c) for t, c in terms], "term string, code string")
+    for most in (500, 3, 1):
+        assert {(x.id, x.code) for x in jo.dictionary_resolve(*frames, "id", ["a", "b"], most).collect()} == want
+    assert jo.dictionary_resolve(frames[0], frames[1].limit(0), "id", ["a"]).count() == 0
+
+
 def test_long_pointer_chains(spark):
     df = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "id long, p long")
     assert {r.survivor for r in resolve_superseded(df, "id", "p").collect()} == {0}
