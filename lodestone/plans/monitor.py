@@ -12,7 +12,7 @@ from lodestone.plans.base import SQL, query, view
 from lodestone.plans.fixtures import AS_OF_EVENTS as AT
 from lodestone.storage import materialize, shared_dir
 from lodestone.streaming import failures
-from lodestone.streaming.ingest import content_key, ingest_stream, trailing_stream
+from lodestone.streaming.ingest import HashTable, content_key, ingest_stream, trailing_stream
 
 view("watches", """SELECT concat(lane, ':', auto_id) AS watch_key, auto_id, CASE WHEN CAST(substr(auto_id, 2) AS INT) % 2 = 0 THEN 'poll' ELSE 'error' END AS mode, cadence, CAST(1.5 AS DOUBLE) AS grace FROM sources
 UNION ALL SELECT 'feed:none', 'A99', 'poll', 'daily', CAST(1.0 AS DOUBLE)""", "sources")
@@ -191,7 +191,7 @@ def _stream(d):
 def g1_ingest_stream(d):
     base = f"{shared_dir(d.spark)}/stream-{uuid.uuid4().hex}"
     ingest_stream(_stream(d), f"{base}/table", f"{base}/state", "ts").awaitTermination()
-    return d.spark.read.parquet(f"{base}/table").agg(F.count("*").alias("n"), F.countDistinct("content_hash").alias("hashes"))
+    return HashTable(d.spark, f"{base}/table").read().agg(F.count("*").alias("n"), F.countDistinct("content_hash").alias("hashes"))
 
 
 @query("""SELECT CAST(epoch(w) AS BIGINT) AS start_s, CAST(epoch(w) AS BIGINT) + 86400 AS end_s, event_type, count(*) AS n FROM (SELECT event_type, date_trunc('hour', ts) - to_hours(CAST(k AS INTEGER)) AS w FROM events, generate_series(0, 23) AS g(k))
