@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import blank_to_null, campus_stem, json_build, normalize_company, normalize_operator, normalize_station, set_similarity, stable_id, trigram_codes
 from lodestone.operators.ingest import best_per_key
-from lodestone.operators.joins import block_pairs, geo_pairs, trigram_pairs
+from lodestone.operators.joins import block_pairs, geo_pairs, small, trigram_pairs
 from lodestone.storage import materialize, release
 
 
@@ -406,13 +406,24 @@ def link_operators(fac: DataFrame, companies: DataFrame) -> tuple[DataFrame, Dat
     return f.join(c, "_n").drop("_n"), f.join(c.select("_n"), "_n", "left_anti").drop("_n")
 
 
-def resolve_country(df: DataFrame, column: str, dictionary: dict[str, str]) -> DataFrame:
-    """`iso2` from country text by dictionary, with a trailing postcode allowed."""
-    words = F.trim(F.regexp_replace(F.lower(F.col(column)), r"\s+[0-9][0-9a-z -]*$", ""))
-    out = F.lit(None).cast("string")
-    for k, v in dictionary.items():
-        out = F.when(words == k, v).otherwise(out)
-    return df.withColumn("iso2", out)
+#: The form of a postcode after the country's name, by the country's code.
+POSTCODES = {"SG": r"[0-9]{6}", "TW": r"[0-9]{3}", "DE": r"[0-9]{5}"}
+
+
+def resolve_country(df: DataFrame, column: str, names: DataFrame, postcodes: dict[str, str] | None = None) -> DataFrame:
+    """`iso2` from country text: the code of its name, or of its name before a postcode of this country's form; else null.
+
+    names: (name, code), a table of names in any language, which the caller gives; case and blanks around don't count, accents
+    do. A name with several codes has none.
+    """
+    known = names.select(F.lower(F.trim("name")).alias("_n"), F.col("code").alias("_c")).groupBy("_n").agg(F.when(F.countDistinct("_c") == 1, F.min("_c")).alias("_c"))
+    forms = F.create_map(*[F.lit(v) for pair in (postcodes or POSTCODES).items() for v in pair])
+    text = F.lower(F.trim(F.col(column)))
+    head, tail = F.regexp_extract(text, r"^(.*\S)\s+([0-9][0-9a-z -]*)$", 1), F.regexp_extract(text, r"^(.*\S)\s+([0-9][0-9a-z -]*)$", 2)
+    known = small(materialize(known, "names"), 10_000)
+    j = df.withColumns({"_text": text, "_head": head}).join(known.withColumnsRenamed({"_n": "_text", "_c": "_whole"}), "_text", "left").join(known.withColumnsRenamed({"_n": "_head", "_c": "_part"}), "_head", "left")
+    fits = F.rlike(tail, F.concat(F.lit("^("), F.try_element_at(forms, F.col("_part")), F.lit(")$")))
+    return j.select(*df.columns, F.coalesce("_whole", F.when(fits, F.col("_part"))).alias("iso2"))
 
 
 def normalize_plan_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -70,9 +70,11 @@ def x4_extract_links(d):
     return bo.extract_links(d.pages, "page_id", "html", "url", min_text=3)
 
 
-@query("SELECT p_partkey AS id, concat('https://e.org/feed', CAST(p_partkey AS STRING), '.xml') AS href FROM part")
+@query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat('https://e.org/feed', CAST(p_partkey AS STRING), '.xml') ELSE concat('https://', p_type, '.org/', CAST(p_size AS STRING)) END AS href FROM part WHERE p_partkey % 3 <> 2")
 def x5_alternate_links(d):
-    html = F.concat(F.lit('<head><link rel="stylesheet" href="/s.css"><link rel="alternate" type="application/rss+xml" href="/feed'), F.col("p_partkey").cast("string"), F.lit('.xml"></head>'))
+    rss = F.concat(F.lit('<head><link rel="stylesheet" href="/s.css"><link rel="alternate" type="application/rss+xml" href="/feed'), F.col("p_partkey").cast("string"), F.lit('.xml"></head>'))
+    atom = F.concat(F.lit('<link type="application/atom+xml" rel="alternate" href="https://'), F.col("p_type"), F.lit(".org/"), F.col("p_size").cast("string"), F.lit('">'))
+    html = F.when(F.col("p_partkey") % 3 == 0, rss).when(F.col("p_partkey") % 3 == 1, atom).otherwise(F.concat(F.lit('<link rel="icon" href="/'), "p_name", F.lit('">')))
     return bo.alternate_links(d.part.select(F.col("p_partkey").alias("id"), html.alias("h"), F.lit("https://e.org/a/b").alias("u")), "id", "h", "u")
 
 
@@ -82,11 +84,12 @@ def x7_classify_body(d):
     return b.select(bo.classify_body(F.col("body"), F.lit("text/html")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey AS id, p_partkey % 4 IN (1, 2) AS allowed FROM part")
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_size % 3 = 0 WHEN 1 THEN true WHEN 2 THEN p_size % 3 <> 0 ELSE false END AS allowed FROM part")
 def x8_robots_allowed(d):
     k = F.col("p_partkey") % 4
     rules = F.when(k == 0, "User-agent: x\nDisallow: /\n\nUser-agent: *\nDisallow: /a # no\n").when(k == 1, "User-agent: x\nDisallow: /\nUser-agent: *\nDisallow:\n").when(k == 2, "User-agent: *\nDisallow: /b")
-    return bo.robots_allowed(d.part.select(F.col("p_partkey").alias("id"), rules.alias("r"), F.lit("/a/b").alias("p")), "id", "r", "p")
+    path = F.concat(F.when(F.col("p_size") % 3 == 0, "/b/").otherwise("/a/"), F.replace("p_name", F.lit(" "), F.lit("-")))
+    return bo.robots_allowed(d.part.select(F.col("p_partkey").alias("id"), rules.alias("r"), path.alias("p")), "id", "r", "p")
 
 
 @query("SELECT p_partkey AS id, CAST(g.i AS INTEGER) AS pos, string_split(p_name, ' ')[CAST(g.i + 1 AS BIGINT)] AS value FROM part, generate_series(0, 1) AS g(i)")

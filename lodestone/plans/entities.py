@@ -217,10 +217,16 @@ def e24_link_operators(d):
     return linked.select("id", "company_id")
 
 
-@query("SELECT id, CASE id % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'US' END AS iso2 FROM cands", "cands")
+#: Country texts: names of `nation` and a few in other languages, in other cases, with postcodes that fit and that don't.
+view("country_texts", """SELECT c_custkey AS id, n_nationkey AS nation, CASE c_custkey % 8 WHEN 0 THEN n_name WHEN 1 THEN concat(' ', upper(n_name), ' ') WHEN 2 THEN concat(n_name, ' 10115') WHEN 3 THEN concat(n_name, ' 1011') WHEN 4 THEN 'Türkiye' WHEN 5 THEN 'Россия' WHEN 6 THEN concat(n_name, ' region') END AS text, CAST(c_custkey % 8 AS INT) AS k
+ FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+
+
+@query("SELECT id, CASE WHEN k <= 1 THEN 'N' || CAST(nation AS VARCHAR) WHEN k = 2 AND nation % 2 = 0 THEN 'N' || CAST(nation AS VARCHAR) WHEN k = 4 THEN 'TR' WHEN k = 5 THEN 'RU' END AS iso2 FROM country_texts", "country_texts")
 def f35_resolve_country(d):
-    text = F.when(F.col("id") % 3 == 0, "Germany 10115").when(F.col("id") % 3 == 1, "United States").otherwise("Nowhere")
-    return en.resolve_country(d.cands.select("id", text.alias("c")), "c", {"germany": "DE", "united states": "US"}).drop("c")
+    names = d.nation.select(F.col("n_name").alias("name"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"))
+    more = d.spark.createDataFrame([("türkiye", "TR"), ("россия", "RU"), ("twice", "AA"), ("twice", "BB")], "name string, code string")
+    return en.resolve_country(d.country_texts, "text", names.union(more), {f"N{i}": "[0-9]{5}" for i in range(0, 25, 2)}).select("id", "iso2")
 
 
 @query("SELECT id, CAST(pos - 1 AS INTEGER) AS pos, string_split(names, '|')[pos] AS name_frag, kv, county, date_type FROM plans, generate_series(1, 2) AS g(pos) WHERE names <> '' AND pos <= len(string_split(names, '|'))", "plans")

@@ -137,10 +137,10 @@ def f25_name_arrays(d):
     return d.v4.select("company_id", F.array_join(tx.to_name_array(raw), "|").alias("names"), tx.quoted_entity(q).alias("q"))
 
 
-@query("SELECT p_partkey AS id, concat('<', p_brand, ' & ', chr(233), 'é') AS decoded, p_name AS stripped FROM part")
+@query("SELECT p_partkey AS id, concat('<', p_brand, ' & ', chr(CAST(65 + p_partkey % 900 AS INTEGER)), chr(CAST(192 + p_size AS INTEGER))) AS decoded, p_name || ' ' || p_type AS stripped FROM part")
 def f29_decode_entities(d):
-    coded = F.concat(F.lit("&lt;"), F.col("p_brand"), F.lit(" &amp; &#233;&#xE9;"))
-    return d.part.select(F.col("p_partkey").alias("id"), tx.decode_entities(coded).alias("decoded"), tx.strip_tags(F.concat(F.lit("<p class='x'>"), F.col("p_name"), F.lit("</p><script>no</script>"))).alias("stripped"))
+    coded = F.concat(F.lit("&lt;"), F.col("p_brand"), F.lit(" &amp; &#"), (F.col("p_partkey") % 900 + 65).cast("string"), F.lit(";&#x"), F.hex(F.col("p_size") + 192), F.lit(";"))
+    return d.part.select(F.col("p_partkey").alias("id"), tx.decode_entities(coded).alias("decoded"), tx.strip_tags(F.concat(F.lit("<p class='x'>"), F.col("p_name"), F.lit(" <b id='"), F.col("p_size").cast("string"), F.lit("'>"), F.col("p_type"), F.lit("</b></p><script>"), F.col("p_brand"), F.lit("</script>"))).alias("stripped"))
 
 
 GR = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({c}), '[^\\pL\\pN]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
@@ -169,9 +169,9 @@ def f32_cadence(d):
     return d.cadences.select("auto_id", vl.cadence_seconds(c).alias("secs"), vl.normalize_cadence(F.col("said")).alias("norm"), vl.is_due(c, F.col("last_artifact_at"), F.lit("2024-02-01").cast("timestamp")).alias("due"))
 
 
-@query("""SELECT s_suppkey AS id, CAST(s_suppkey AS STRING) AS number, concat('n ', lower(replace(s_name, '#', '#')), ' st') AS body FROM supplier""")
+@query("""SELECT s_suppkey AS id, CAST(s_suppkey AS STRING) AS number, concat(CASE s_suppkey % 3 WHEN 0 THEN 'n ' WHEN 1 THEN 's ' ELSE '' END, lower(s_name), CASE s_suppkey % 2 WHEN 0 THEN ' st' ELSE ' ave' END) AS body FROM supplier""")
 def f33_normalize_address(d):
-    a = tx.normalize_address(F.concat(F.col("s_suppkey").cast("string"), F.lit(" North "), F.col("s_name"), F.lit(" Street, Suite 5")))
+    a = tx.normalize_address(F.concat(F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 3 == 0, " North ").when(F.col("s_suppkey") % 3 == 1, " South ").otherwise(" "), F.col("s_name"), F.when(F.col("s_suppkey") % 2 == 0, " Street, Suite ").otherwise(" Avenue, Suite "), (F.col("s_suppkey") % 90 + 1).cast("string")))
     return d.supplier.select(F.col("s_suppkey").alias("id"), a["number"].alias("number"), a["body"].alias("body"))
 
 
