@@ -151,7 +151,11 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, columns: l
     found = materialize(_candidates(index, keys), "aligned")
     release(index)
     whole = terms.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("words"))
-    held = found.join(whole, "item_id").groupBy("row").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("found"))
+    if terms.limit(HELD_TERMS + 1).count() <= HELD_TERMS:  # 32 MB of hashes: an item that very many rows meet is no key of a shuffle then
+        whole = F.broadcast(whole)
+    # An item's words go to a row once, with all its alignments there; a row's list is as long as the items that it may hold.
+    met = found.groupBy("row", "item_id").agg(F.collect_list("shift").alias("shifts")).join(whole, "item_id")
+    held = met.groupBy("row").agg(F.collect_list(F.struct("item_id", "shifts", "words")).alias("found"))
     own = [f"_{c}" for c in columns if c != "text"]
     joined = rows.join(held, "row", "left").select("text", "found", *[f"`{c}`" for c in own])
 
@@ -181,16 +185,17 @@ def _hits(text: np.ndarray, found: list[dict], size: int) -> tuple[int, list[str
     items = set()
     for x in found:
         item = np.asarray(x["words"], np.int64)
-        width, shift = min(size, len(item)), int(x["shift"])
-        lo, hi = max(0, -shift), min(len(item), len(text) - shift)
-        if hi - lo < width:
-            continue
-        same = np.concatenate([[0], np.cumsum(text[lo + shift : hi + shift] == item[lo:hi])])
-        for s in np.flatnonzero(same[width:] - same[:-width] == width):
-            at = int(s) + lo + shift
-            cover[at] += 1
-            cover[at + width] -= 1
-            items.add(x["item_id"].rpartition(_MARK)[0])
+        width = min(size, len(item))
+        for shift in map(int, x["shifts"]):
+            lo, hi = max(0, -shift), min(len(item), len(text) - shift)
+            if hi - lo < width:
+                continue
+            same = np.concatenate([[0], np.cumsum(text[lo + shift : hi + shift] == item[lo:hi])])
+            at = np.flatnonzero(same[width:] - same[:-width] == width) + lo + shift
+            if len(at):
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + width, -1)
+                items.add(x["item_id"].rpartition(_MARK)[0])
     return int(np.count_nonzero(np.cumsum(cover[:-1]))), sorted(items)
 
 
@@ -203,10 +208,15 @@ def proximity_matches(docs: DataFrame, items: DataFrame, size: int = 10, slack:
     rows = _rows(docs, ["doc_id"])
     keys = materialize(window_keys(terms, term_counts(docs, _sorted_terms(terms)).withColumnRenamed("n", "n_seen"), size), "keys")
     index = materialize(postings(rows, _sorted_terms(keys.select(F.col("t1").alias("term")).union(keys.select("t2")))), "postings")
-    left = index.select(F.col("term").alias("t1"), "row", F.col("positions").alias("x"))
-    right = index.select(F.col("term").alias("t2"), "row", F.col("positions").alias("y"))
-    met = keys.join(left, "t1").join(right, ["t2", "row"])
-    near = met.filter(F.exists("x", lambda p: F.exists("y", lambda q: F.abs(p - q) <= slack)))
+    # Each pair of terms meets its lists once, however many windows share it.
+    pairs = materialize(keys.select("t1", "t2").distinct(), "pairs")
+    lists = lambda t, x: index.select(F.col("term").alias(t), "row", F.col("positions").alias(x))
+    met = lists("t1", "x").join(small(pairs), "t1").join(lists("t2", "y"), ["t2", "row"])
+    # Of two lists the nearest places are neighbours in their merged order.
+    marked = lambda c, side: F.transform(c, lambda p: F.struct(p.alias("p"), F.lit(side).alias("side")))
+    merged = met.select("t1", "t2", "row", F.array_sort(F.concat(marked("x", 0), marked("y", 1))).alias("m"))
+    beside = F.zip_with("m", F.slice("m", F.lit(2), F.size("m")), lambda a, b: F.coalesce((a["side"] != b["side"]) & (b["p"] - a["p"] <= slack), F.lit(False)))
+    near = merged.filter(F.exists(beside, lambda v: v)).select("t1", "t2", "row").join(small(keys.select("t1", "t2", "item_id", "start")), ["t1", "t2"])
     return near.select("row", "item_id", "start").distinct().join(rows.select("row", F.col("_doc_id").alias("doc_id")).distinct(), "row").select("doc_id", F.regexp_extract("item_id", f"(?s)^(.*){_MARK}", 1).alias("item_id"), "start")
 
 
