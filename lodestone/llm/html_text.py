@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,7 @@ class Block:
     prose: bool = False
 
 
+@lru_cache(maxsize=1 << 16)
 def _box(word: str) -> int:
     """Of a class or id word: 2 if its first or last part names a sealed box, 1 a plain one, else 0."""
     parts = [p.lower() for p in PARTED.split(word) if p]
