@@ -113,15 +113,16 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
-    """Write `docs` as one Parquet folder for each shard, sorted by slot, a row for each row.
+def write_shards(docs: DataFrame, path: str, shards: int = 24, files: int = 1) -> None:
+    """Write `docs` as one Parquet folder for each shard, a row for each row, each file sorted by slot.
 
-    The folders are those of the partition column `shard`, and `slot` is a column; columns of `docs` with these names,
-    in any case, are written as `own_shard` and `own_slot`.
+    A shard is cut into `files` runs of its slots or a few more, dealt by ranges of (shard, slot), so that a shard of any
+    size is written by as many tasks. The folders are those of the partition column `shard`, and `slot` is a column; columns
+    of `docs` with these names, in any case, are written as `own_shard` and `own_slot`.
     """
     own = [F.col(f"`{c}`").alias(f"own_{c}" if c.lower() in ("shard", "slot") else c) for c in docs.columns]
     put = _placed(_metadata(docs, F.struct(*own).alias("_own")), shards)
-    put.select("_own.*", "shard", "slot").repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    put.select("_own.*", "shard", "slot").repartitionByRange(shards * files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

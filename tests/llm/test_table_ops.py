@@ -72,6 +72,20 @@ def test_shards(spark):
     assert shard.shard_documents(df.limit(0)).count() == 0
 
 
+def test_a_shard_is_written_by_several_tasks(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    df = spark.range(2_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("t"), (F.col("id") % 70).cast("int")).alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id") % 5).alias("source"), F.lit(1).alias("Slot"))
+    shard.write_shards(df, str(tmp_path / "s"), 3, files=4)
+    for i in range(3):
+        runs = sorted((x[0], x[-1], len(x)) for x in (pq.ParquetFile(f).read(["slot"]).column(0).to_pylist() for f in glob.glob(f"{tmp_path}/s/shard={i}/*.parquet")))
+        assert len(runs) >= 3 and sum(n for *_, n in runs) == runs[-1][1] + 1 and all(b - a + 1 == n for a, b, n in runs)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 2_000 and "own_Slot" in back.columns
+
+
 def test_written_shards_prune(spark, tmp_path):
     df = spark.createDataFrame([(i, "t" * (i % 90), f"l{i % 4}", f"s{i % 9}", i) for i in range(600)], "doc_id long, text string, lang string, source string, n_chars long")
     shard.write_shards(df, str(tmp_path / "s"), 6)
