@@ -25,6 +25,12 @@ def test_against_sql(spark, con, name):
     assert mismatch(plans.queries()[name](spark, SF), con, plans.oracle_sql()[name]) is None
 
 
+@pytest.mark.parametrize("name", sorted(LARGER))
+def test_larger_tables_against_sql(spark, name):
+    larger = SF.replace("sf0.001", "sf0.01")
+    assert mismatch(plans.queries()[name](spark, larger), duck(larger), plans.oracle_sql()[name]) is None
+
+
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_runs_without_sql(spark, name):
     df = plans.queries()[name](spark, SF)
