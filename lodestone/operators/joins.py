@@ -135,26 +135,84 @@ def block_pairs(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     return left.join(df.select(*columns, F.col(key).alias("b")), columns).filter("a < b").select("a", "b")
 
 
-def pip_join(points: DataFrame, polygons: DataFrame, key: str, cell: float = 0.05) -> DataFrame:
-    """(key, poly_id): points inside rings given as (poly_id, seq, x, y) vertices, by crossing parity.
-
-    A ring's bounding box is posted to the cells that it meets, its edges to the rows of cells that they span. So a point
-    meets the rings of its own cell, and of these the edges at its own height.
-    """
+def _ring_edges(polygons: DataFrame, cell: float) -> DataFrame:
+    """(poly_id, x, y, u, v, row): the edges of rings given by their vertices, under each row of cells that they span."""
     ring = W.partitionBy("poly_id").orderBy("seq")
     first = F.first(F.struct("x", "y")).over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     nxt = F.coalesce(F.lead(F.struct("x", "y")).over(ring), first)
-    at = lambda c: F.floor(c / cell).cast("long")
-    between = lambda a, b: F.explode(F.sequence(at(a), at(b)))
     edges = polygons.select("poly_id", "x", "y", nxt.alias("n")).select("poly_id", "x", "y", F.col("n.x").alias("u"), F.col("n.y").alias("v"))
-    edges = edges.withColumn("row", between(F.least("y", "v"), F.greatest("y", "v")))
-    box = polygons.groupBy("poly_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    box = box.withColumn("row", between(F.col("y0"), F.col("y1"))).withColumn("col", between(F.col("x0"), F.col("x1")))
-    pts = points.select(F.col(key), F.col("lng").alias("px"), F.col("lat").alias("py")).withColumns({"row": at(F.col("py")), "col": at(F.col("px"))})
-    near = pts.join(small(box), ["row", "col"]).filter("px between x0 and x1 and py between y0 and y1").select(key, "poly_id", "px", "py", "row")
-    met = near.join(small(edges), ["poly_id", "row"])
+    at = lambda c: F.floor(c / cell).cast("long")
+    return edges.withColumn("row", F.explode(F.sequence(at(F.least("y", "v")), at(F.greatest("y", "v")))))
+
+
+def _by_parity(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+    """`points` (poly_id, px, py and others) with `inside`: whether a ray to the right crosses the ring an odd number of times."""
     crosses = ((F.col("y") > F.col("py")) != (F.col("v") > F.col("py"))) & (F.col("px") < (F.col("u") - F.col("x")) * (F.col("py") - F.col("y")) / (F.col("v") - F.col("y")) + F.col("x"))
-    return met.groupBy(key, "poly_id").agg(F.count_if(F.coalesce(crosses, F.lit(False))).alias("n")).filter("n % 2 = 1").select(key, "poly_id")
+    met = points.withColumn("row", F.floor(F.col("py") / cell).cast("long")).join(small(edges), ["poly_id", "row"])
+    return met.groupBy(*points.columns).agg((F.count_if(F.coalesce(crosses, F.lit(False))) % 2 == 1).alias("inside"))
+
+
+def polygon_cover(polygons: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+    """(poly_id, k, i, j, whole): square cells of size cell * 2**k that a ring touches; whole: it lies inside, and no edge meets it.
+
+    A ring starts with a handful of cells as large as itself. Those that an edge meets are cut in four, down to the size
+    `cell`; of the others the centre decides. So cells follow the ring's outline, not its area.
+    """
+    box = polygons.groupBy("poly_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / (4 * cell)
+    box = box.withColumn("k", F.when(wide > 1, F.ceil(F.log2(wide))).otherwise(0).cast("int"))
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell / F.pow(F.lit(2.0), "k")).cast("long"), F.floor(F.col(b) / cell / F.pow(F.lit(2.0), "k")).cast("long")))
+    top = materialize(box.withColumn("i", span("x0", "x1")).withColumn("j", span("y0", "y1")).select("poly_id", "k", "i", "j"), "cells")
+    lines = materialize(edges.select("poly_id", "x", "y", "u", "v").distinct(), "lines")
+
+    def touched(rows: DataFrame) -> DataFrame:
+        """Of (cell, edge) rows those where the edge meets the cell, or comes as close as the numbers' error."""
+        size = F.pow(F.lit(2.0), F.col("k")) * cell
+        lo = lambda c: F.col(c) * size - 1e-9 * size
+        hi = lambda c: (F.col(c) + 1) * size + 1e-9 * size
+        over = (F.greatest("x", "u") >= lo("i")) & (F.least("x", "u") <= hi("i")) & (F.greatest("y", "v") >= lo("j")) & (F.least("y", "v") <= hi("j"))
+        side = [(F.col("u") - F.col("x")) * (cy - F.col("y")) - (F.col("v") - F.col("y")) * (cx - F.col("x")) for cx in (lo("i"), hi("i")) for cy in (lo("j"), hi("j"))]
+        return rows.filter(over & (F.least(*side) <= 0) & (F.greatest(*side) >= 0))
+
+    key = ["poly_id", "k", "i", "j"]
+    plain, cut = [], None
+    for k in range(top.agg(F.max("k")).first()[0] or 0, -1, -1):
+        fresh = top.filter(F.col("k") == k)
+        met = touched(fresh.join(lines, "poly_id"))
+        cells = fresh
+        if cut is not None:
+            quarter = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
+            smaller = [F.lit(k).cast("int").alias("k"), (F.col("i") * 2 + F.col("q.a")).alias("i"), (F.col("j") * 2 + F.col("q.b")).alias("j")]
+            met = met.select(*key, "x", "y", "u", "v").union(touched(cut.withColumn("q", quarter).select("poly_id", *smaller, "x", "y", "u", "v")))
+            cells = cells.union(cut.select(*key).distinct().withColumn("q", quarter).select("poly_id", *smaller))
+        cut = materialize(met.select(*key, "x", "y", "u", "v"), "cut")
+        plain.append(cells.join(cut.select(*key).distinct(), key, "left_anti"))
+    leaves = cut.select(*key).distinct().withColumn("whole", F.lit(False))
+    free = plain[0]
+    for p in plain[1:]:
+        free = free.union(p)
+    centre = lambda c: (F.col(c) + 0.5) * F.pow(F.lit(2.0), F.col("k")) * cell
+    inner = _by_parity(free.withColumns({"px": centre("i"), "py": centre("j")}), edges, cell).filter("inside").select(*key, F.lit(True).alias("whole"))
+    return materialize(inner.union(leaves), "cover")
+
+
+def pip_join(points: DataFrame, polygons: DataFrame, key: str, cell: float = 0.05) -> DataFrame:
+    """(key, poly_id): points inside rings given as (poly_id, seq, x, y) vertices, by crossing parity.
+
+    Points meet the cells of the rings' covers: in a cell that lies inside nothing is left to be done, in one on the outline
+    the ring's edges at the point's height decide.
+    """
+    edges = materialize(_ring_edges(polygons, cell), "edges")
+    cover = polygon_cover(polygons, edges, cell)
+    levels = [r.k for r in cover.select("k").distinct().orderBy("k").collect()]  # at most some twenty
+    if not levels:
+        return points.select(key).withColumn("poly_id", F.lit(None).cast(polygons.schema["poly_id"].dataType)).limit(0)
+    pts = points.select(F.col(key), F.col("lng").cast("double").alias("px"), F.col("lat").cast("double").alias("py")).filter("px is not null and py is not null")
+    at = lambda c: F.floor(F.col(c) / cell / F.pow(F.lit(2.0), F.col("k"))).cast("long")
+    cells = pts.withColumn("k", F.explode(F.array(*[F.lit(k) for k in levels]))).withColumns({"i": at("px"), "j": at("py")})
+    met = cells.join(small(cover), ["k", "i", "j"])
+    edge = _by_parity(met.filter("not whole").select("poly_id", "px", "py").distinct(), edges, cell).filter("inside")
+    return met.filter("whole").select(key, "poly_id").union(met.filter("not whole").join(edge, ["poly_id", "px", "py"], "left_semi").select(key, "poly_id"))
 
 
 def nearest_control(pos: DataFrame, pool: DataFrame, lo_m: float, hi_m: float, stratum: str, key: str = "site_id") -> DataFrame:

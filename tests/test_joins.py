@@ -50,6 +50,31 @@ def test_point_in_polygon(spark):
     assert {r.id for r in jo.pip_join(pts, poly, "id").collect()} == {1, 3}
 
 
+def test_large_rings_are_covered_by_their_outline(spark):
+    import math
+
+    r = random.Random(2)
+    star = [(-3 + (6 + 3 * (i % 2)) * math.cos(i * math.pi / 20), 40 + (6 + 3 * (i % 2)) * math.sin(i * math.pi / 20)) for i in range(40)]
+    rings = {1: star, 2: [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)], 3: [(100.0, -5.0), (100.01, -5.0), (100.0, -4.99)], 4: [(-12.0, 30.0), (8.0, 30.0), (8.0, 30.2)]}
+    poly = spark.createDataFrame([(k, i, float(x), float(y)) for k, v in rings.items() for i, (x, y) in enumerate(v)], "poly_id int, seq int, x double, y double")
+    pts = [(i, r.uniform(-13, 8), r.uniform(-1, 50)) for i in range(4_000)] + [(5_000, 100.002, -4.998), (5_001, 100.009, -4.991), (5_002, None, 1.0)] + [(6_000 + i, x + 1e-4, y) for i, (x, y) in enumerate(star)]
+
+    def inside(x, y, ring):
+        hit = False
+        for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if (b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a:
+                hit = not hit
+        return hit
+
+    want = {(i, k) for i, x, y in pts if x is not None for k, ring in rings.items() if inside(x, y, ring)}
+    frame = spark.createDataFrame([(i, y, x) for i, x, y in pts], "id int, lat double, lng double")
+    got = [(x.id, x.poly_id) for x in jo.pip_join(frame, poly, "id").collect()]
+    assert set(got) == want and len(got) == len(want)
+    cover = jo.polygon_cover(poly, jo._ring_edges(poly, 0.05), 0.05).groupBy("poly_id").count().collect()
+    assert {x.poly_id: x["count"] for x in cover}[1] < 8_000 < (18 / 0.05) ** 2 / 10  # its box has over 100,000
+    assert jo.pip_join(frame, poly.limit(0), "id").count() == 0
+
+
 def test_dictionary_prefers_longer_matches_and_earlier_columns(spark):
     docs = spark.createDataFrame([(1, "in New York city", "paris"), (2, "york", ""), (3, None, "paris york"), (4, None, None)], "id int, a string, b string")
     terms = spark.createDataFrame([("new york", "US"), ("york", "GB"), ("paris", "FR")], "term string, code string")
