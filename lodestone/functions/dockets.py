@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import let
+
 #: Words that an endpoint doesn't start with, words for a station, what cuts a span, what parts endpoints.
 LEADING = ("THE", "FOR", "OF", "AND", "TO", "A", "AN", "NEW", "PROPOSED", "APPLICATION", "AMEND", "ITS", "CERTIFICATE", "CONVENIENCE", "NECESSITY", "JOINT", "PETITION")
 STATION = r"(?i)\b(SWITCHING STATION|SUBSTATION|SWITCHYARD|SWITCH|SS|STATION|POI|TAP|INTERCHANGE)\b"
@@ -45,20 +47,24 @@ def extract_endpoints(title: Column) -> Column:
 
     Distinct, in order, each over two characters and no leading word. Without any, and for a null title, an empty array.
     """
-    t = F.coalesce(tidy_title(title), F.lit(""))
-    span = F.when(t.rlike(SPANS[0]), F.regexp_extract(t, SPANS[0], 1)).when(t.rlike(SPANS[1]), F.regexp_extract(t, SPANS[1], 1)).otherwise("")
-    parts = F.filter(F.transform(F.split(F.trim(F.regexp_replace(span, CUT, "")), PARTED), F.trim), lambda p: p != "")
     none = F.array().cast("array<string>")
-    named = F.when(~t.rlike("(?i)TRANSMISSION LINE"), none).when((F.size(parts) >= 2) | ((F.size(parts) == 1) & t.rlike("(?i)SWITCH|SUBSTATION|STATION")), parts).otherwise(none)
-    ends = F.filter(F.transform(named, _endpoint), lambda e: e != "")
-    alone = F.filter(F.transform(F.regexp_extract_all(t, F.lit(STANDALONE), F.lit(1)), _endpoint), lambda e: e != "")
-    every = F.array_distinct(F.when(F.size(ends) > 0, ends).otherwise(alone))
+
+    def ends(t: Column) -> Column:
+        span = F.when(t.rlike(SPANS[0]), F.regexp_extract(t, SPANS[0], 1)).when(t.rlike(SPANS[1]), F.regexp_extract(t, SPANS[1], 1)).otherwise("")
+        parts = F.filter(F.transform(F.split(F.trim(F.regexp_replace(span, CUT, "")), PARTED), lambda p: F.trim(p)), lambda p: p != "")
+        several = let(parts, lambda p: F.when((F.size(p) >= 2) | ((F.size(p) == 1) & t.rlike("(?i)SWITCH|SUBSTATION|STATION")), F.transform(p, _endpoint)).otherwise(none))
+        return F.when(t.rlike("(?i)TRANSMISSION LINE"), F.filter(several, lambda e: e != "")).otherwise(none)
+
+    def named(t: Column) -> Column:
+        alone = F.filter(F.transform(F.regexp_extract_all(t, F.lit(STANDALONE), F.lit(1)), _endpoint), lambda e: e != "")
+        return let(ends(t), lambda e: F.array_distinct(F.when(F.size(e) > 0, e).otherwise(alone)))
+
+    every = let(F.coalesce(tidy_title(title), F.lit("")), named)
     return F.filter(every, lambda e: (F.length(e) > 2) & ~F.upper(e).isin(*LEADING))
 
 
 def docket_county(title: Column) -> Column:
-    found = F.trim(F.regexp_extract(title, COUNTY, 1))
-    return F.when(found != "", title_case(found))
+    return let(F.trim(F.regexp_extract(title, COUNTY, 1)), lambda found: F.when(found != "", title_case(found)))
 
 
 def docket_date_type(title: Column) -> Column:
@@ -70,6 +76,11 @@ def docket_date_type(title: Column) -> Column:
 def screen_docket(title: Column) -> Column:
     """Struct of is_candidate, reason, names, is_siting: a candidate is a siting case with names, and no rate or procedural one."""
     t = F.coalesce(F.trim(F.regexp_replace(title, "&#9;", " ")), F.lit(""))
-    names, bad, good, siting = extract_endpoints(t), t.rlike(UNWANTED), t.rlike(WANTED), t.rlike(SITING)
-    reason = F.when(bad, "excluded:rate/procedural").when(good & (F.size(names) > 0), "candidate:endpoints").when(good, "candidate:keyword").otherwise("no-match")
-    return F.struct((good & ~bad & siting & (F.size(names) > 0)).alias("is_candidate"), reason.alias("reason"), names.alias("names"), siting.alias("is_siting"))
+    flags = F.struct(extract_endpoints(t).alias("names"), t.rlike(UNWANTED).alias("bad"), t.rlike(WANTED).alias("good"), t.rlike(SITING).alias("siting"))
+
+    def decide(f: Column) -> Column:
+        some = F.size(f["names"]) > 0
+        reason = F.when(f["bad"], "excluded:rate/procedural").when(f["good"] & some, "candidate:endpoints").when(f["good"], "candidate:keyword").otherwise("no-match")
+        return F.struct((f["good"] & ~f["bad"] & f["siting"] & some).alias("is_candidate"), reason.alias("reason"), f["names"].alias("names"), f["siting"].alias("is_siting"))
+
+    return let(flags, decide)
