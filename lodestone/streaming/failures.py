@@ -25,10 +25,10 @@ def fold(trailing: int, longest: int, oks: list[bool]) -> tuple[int, int]:
 
 
 class FailureRuns(StatefulProcessor):
-    """Counters of one key. Rows that the watermark may still overtake wait in the state by hour, and a timer folds an hour once it is over.
+    """Counters of one key. Rows that the watermark may still overtake wait in the state by hour, and a timer folds the hours that are over.
 
     Every batch gives the counters as of all rows seen, those that wait in their order; a late row within the watermark so
-    finds its place. State is three numbers and the rows of the watermark's span.
+    finds its place. State is four numbers and the rows of the watermark's span.
     """
 
     def __init__(self, limit: int):
@@ -36,11 +36,12 @@ class FailureRuns(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", "seen long, trailing long, longest long")
+        self.settled = handle.getValueState("settled", "seen long, trailing long, longest long, timer long")
         self.waiting = handle.getMapState("waiting", "hour long", "us array<long>, tie array<long>, ok array<boolean>")
 
-    def _settled(self) -> tuple[int, int, int]:
-        return tuple(self.settled.get()) if self.settled.exists() else (0, 0, 0)
+    def _settled(self) -> tuple[int, int, int, int]:
+        """Rows, both counters, and when the key's one timer is due (0: none is set)."""
+        return tuple(self.settled.get()) if self.settled.exists() else (0, 0, 0, 0)
 
     def _waiting(self) -> dict[int, list[tuple[int, int, bool]]]:
         return {hour: list(zip(*rows, strict=True)) for (hour,), rows in self.waiting.iterator()}
@@ -54,21 +55,29 @@ class FailureRuns(StatefulProcessor):
                 new.add(hour)
         for hour in new:
             self.waiting.updateValue((hour,), tuple(map(list, zip(*held[hour], strict=True))))
-            self.handle.registerTimer((hour + 1) * HOUR // 1000)
-        seen, trailing, longest = self._settled()
+        seen, trailing, longest, timer = self._settled()
+        due = (min(held) + 1) * HOUR // 1000
+        if not timer or due < timer:
+            self.handle.registerTimer(due)
+            self.settled.update((seen, trailing, longest, due))
         trailing, longest = fold(trailing, longest, [ok for hour in sorted(held) for *_, ok in sorted(held[hour])])
         seen += sum(map(len, held.values()))
         yield pd.DataFrame({"key": [key[0]], "seen": [seen], "trailing_failures": [trailing], "longest_run": [longest], "in_error": [trailing >= self.limit]})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        over = expiredTimerInfo.getExpiryTimeInMs() * 1000 // HOUR
-        seen, trailing, longest = self._settled()
+        over = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000 // HOUR
+        seen, trailing, longest, timer = self._settled()
         held = self._waiting()
         for hour in sorted(h for h in held if h < over):
-            trailing, longest = fold(trailing, longest, [ok for *_, ok in sorted(held[hour])])
-            seen += len(held[hour])
+            rows = held.pop(hour)
+            trailing, longest = fold(trailing, longest, [ok for *_, ok in sorted(rows)])
+            seen += len(rows)
             self.waiting.removeKey((hour,))
-        self.settled.update((seen, trailing, longest))
+        if expiredTimerInfo.getExpiryTimeInMs() >= timer:  # else one that a late row has set: the other is still to come
+            timer = (min(held) + 1) * HOUR // 1000 if held else 0
+            if timer:
+                self.handle.registerTimer(timer)
+        self.settled.update((seen, trailing, longest, timer))
         yield from ()
 
     def close(self) -> None:
