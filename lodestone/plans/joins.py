@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import controls
 from lodestone.operators import joins as jo
 from lodestone.plans.base import query, view
 
@@ -114,10 +115,15 @@ def j14_point_in_polygon(d):
     return jo.pip_join(d.v3, d.polygons, "site_id")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE near AS (SELECT site, control, round(distance_m, 3) AS distance_m FROM (SELECT a.site_id AS site, b.site_id AS control, {HAV.format(a='a', b='b')} AS distance_m
+    FROM v3 a JOIN v3 b ON a.country IS NOT DISTINCT FROM b.country AND a.site_id % 10 = 0 AND b.site_id % 10 <> 0 AND abs(a.lat - b.lat) < 0.3) WHERE distance_m BETWEEN 5000 AND 25000),
+  free AS (SELECT *, false AS hit FROM near UNION ALL SELECT site, control, distance_m, hit FROM (
+    SELECT *, bool_or(hit) OVER (PARTITION BY site) OR bool_or(hit) OVER (PARTITION BY control) AS gone FROM (
+      SELECT site, control, distance_m, row_number() OVER (PARTITION BY site ORDER BY distance_m, control) = 1 AND row_number() OVER (PARTITION BY control ORDER BY distance_m, site) = 1 AS hit FROM free WHERE NOT hit)) WHERE hit OR NOT gone)
+SELECT s.site_id AS site, control, distance_m FROM v3 s LEFT JOIN (SELECT * FROM free WHERE hit) ON site = s.site_id WHERE s.site_id % 10 = 0""", "v3")
 def j15_nearest_control(d):
     s = d.v3
-    return jo.nearest_control(s.filter("site_id % 10 = 0"), s.filter("site_id % 10 <> 0"), 5_000, 25_000, "country")
+    return controls.nearest_control(s.filter("site_id % 10 = 0"), s.filter("site_id % 10 <> 0"), 5_000, 25_000, "country")
 
 
 view("twice", "SELECT raw_name, company_id % 2 AS g FROM v4 UNION ALL SELECT raw_name, 1 FROM v4", "v4")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
+
+from lodestone.operators import controls
 from lodestone.operators import joins as jo
 from lodestone.operators.entities import resolve_superseded
 
@@ -108,14 +111,50 @@ def test_long_pointer_chains(spark):
     assert {r.survivor for r in resolve_superseded(df, "id", "p").collect()} == {0}
 
 
-def test_nearest_control_until_none_is_left(spark):
+def greedy(site, pool):
+    got: dict = {s[0]: None for s in site}
+    taken = set()
+    for d, s, c in sorted((round(metres(a, b), 3), a[0], b[0]) for a in site for b in pool if a[1] is not None and b[1] is not None):
+        if 5_000 <= d <= 25_000 and got[s] is None and c not in taken:
+            got[s] = c
+            taken.add(c)
+    return got
+
+
+def assigned(spark, site, pool, kind="long", **how):
+    frame = lambda rows: spark.createDataFrame([(*x, "s") for x in rows], f"site_id {kind}, lat double, lng double, g string")
+    out = controls.nearest_control(frame(site), frame(pool), 5_000, 25_000, "g", **how).collect()
+    assert len(out) == len(site)
+    return {x.site: x.control for x in out}
+
+
+@pytest.mark.parametrize("whole", [60, 0])
+def test_nearest_control_until_none_is_left(spark, whole):
+    """In tasks and rounds, and in rounds alone: the result is that of taking pairs in order."""
     r = random.Random(8)
-    site = [(i, 30.0, -100.0) for i in range(20)] + [(i, 30 + r.uniform(0, 0.3), -100 + r.uniform(0, 0.3)) for i in range(20, 30)]
-    pool = [(100 + i, 30.06, -100.0) for i in range(9)] + [(120 + i, 30 + r.uniform(0, 0.3), -100 + r.uniform(0, 0.3)) for i in range(17)]
-    frame = lambda rows: spark.createDataFrame([(*x, "s") for x in rows], "site_id long, lat double, lng double, g string")
-    got = {x.site: x.control for x in jo.nearest_control(frame(site), frame(pool), 5_000, 25_000, "g").collect()}
-    want: dict = {s[0]: None for s in site}
-    for d, s, c in sorted((metres(a, b), a[0], b[0]) for a in site for b in pool):
-        if 5_000 <= d <= 25_000 and want[s] is None and c not in want.values():
-            want[s] = c
-    assert got == want
+    site = [(i, 30.0, -100.0) for i in range(20)] + [(i, 30 + r.uniform(0, 0.3), -100 + r.uniform(0, 0.3)) for i in range(20, 30)] + [(i, 50 + i / 5, 7.0) for i in range(30, 36)] + [(40, None, 1.0)]
+    pool = [(100 + i, 30.06, -100.0) for i in range(9)] + [(120 + i, 30 + r.uniform(0, 0.3), -100 + r.uniform(0, 0.3)) for i in range(17)] + [(140 + i, 56 + i / 5, 7.1) for i in range(6)]
+    r.shuffle(site)
+    assert assigned(spark, site, pool, whole=whole) == greedy(site, pool)
+
+
+@pytest.mark.parametrize("whole", [500_000, 0])
+def test_nearest_control_takes_turns_at_equal_distances(spark, whole):
+    """Members of places at the same distance from a control's place take turns by their ids."""
+    site = [(i, 0.0, 0.1 if i % 3 else -0.1) for i in range(9)]
+    pool = [(100 + i, 0.0, 0.0) for i in range(5)] + [(110 + i, 0.0, 0.2) for i in range(3)]
+    assert assigned(spark, site, pool, whole=whole) == greedy(site, pool)
+
+
+@pytest.mark.parametrize("whole", [500_000, 10])
+def test_nearest_control_of_many_sites_at_one_place(spark, whole):
+    r = random.Random(4)
+    site = [(f"s{i:05}", 30.0, -100.0) for i in range(1_000)]
+    pool = [(f"c{i:05}", *r.choice([(30.06, -100.0), (30.1, -100.0), (29.9, -100.1)])) for i in range(700)]
+    got, want = assigned(spark, site, pool, "string", whole=whole), greedy(site, pool)
+    assert got == want and sum(c is not None for c in got.values()) == 700
+
+
+def test_nearest_control_without_candidates(spark):
+    assert assigned(spark, [(1, 0.0, 0.0)], [(2, 50.0, 0.0)]) == {1: None}
+    assert assigned(spark, [], [(2, 50.0, 0.0)]) == {}
