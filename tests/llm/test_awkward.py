@@ -234,10 +234,71 @@ def test_odd_pictures(spark, monkeypatch):
     rows = [(1, image.write_pgm(np.full((1, 1), 7))), (2, image.write_pgm(np.full((1, 90), 7))), (3, image.write_pgm(np.full((90, 1), 7))), (4, image.write_pgm(x)), (5, png(x.astype(int), 4)), (6, b"\x89PNG\r\n\x1a\n")]
     out = {r.image_id: r for r in image.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
     assert [out[i].n_keypoints for i in (1, 2, 3, 6)] == [0] * 4 and out[5].component_id == 4 and out[4].n_keypoints > 0
-    monkeypatch.setattr(image, "LARGEST", x.size // 4)
-    wide = np.kron(x, np.ones((2, 2)))
-    _, place, _, _ = image.describe(np.stack([wide]))
-    assert len(place) and place[:, 0].max() > 40
+    monkeypatch.setattr(image, "LARGEST", x.size - 1)
+    assert image.read_image(rows[3][1]) is None and image.read_image(rows[4][1]) is None
+
+
+def filtered(x, kinds):
+    """A PNG of colours x whose lines have these filters, by the format's rules."""
+    h, w, c = x.shape
+    p = np.zeros((h + 1, w + 1, c), int)
+    p[1:, 1:] = x
+    raw = b""
+    for y in range(h):
+        a, b, corner = p[y + 1, :-1], p[y, 1:], p[y, :-1]
+        d = [abs(v - (a + b - corner)) for v in (a, b, corner)]
+        guess = [0, a, b, (a + b) // 2, np.where((d[0] <= d[1]) & (d[0] <= d[2]), a, np.where(d[1] <= d[2], b, corner))][kinds[y]]
+        raw += bytes([kinds[y]]) + ((x[y] - guess) & 255).astype(np.uint8).tobytes()
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("most", [1 << 24, 200, 1])
+def test_png_of_mixed_lines_in_parts(monkeypatch, most):
+    monkeypatch.setattr(image, "UNFILTERED", most)
+    g = np.random.default_rng(9)
+    for h, w in ((41, 23), (5, 1), (1, 7)):
+        x = g.integers(0, 256, (h, w, 3))
+        data = filtered(x, [int(k) for k in g.integers(0, 5, h)])
+        assert np.array_equal(image.read_image(data), x.sum(2) // 3)
+        assert image.read_image(data[:-30]) is None
+
+
+def test_a_short_file_that_claims_a_large_picture():
+    data = bytearray(filtered(np.zeros((4, 4, 3), int), [0] * 4))
+    data[16:24] = struct.pack(">II", 16_000, 16_000)
+    assert image.read_image(bytes(data)) is None
+
+
+def test_tiles_describe_as_the_whole(monkeypatch):
+    """The corners don't depend on the tiles that a picture is cut into."""
+    g = np.random.default_rng(4)
+    x = np.clip(np.kron(g.integers(0, 256, (75, 110)), np.ones((8, 8))) + g.normal(0, 2, (600, 880)), 0, 255).astype(np.uint8)[None]
+    whole = image.describe(x)
+    monkeypatch.setattr(image, "TILE", (4, 8))
+    parts = image.describe(x)
+    rows = lambda d: {(*p, *b) for p, b in zip(d[1].tolist(), d[2].tolist(), strict=True)}
+    assert len(whole[0]) == len(parts[0]) > 3 * 20 * 2 and len(rows(whole) & rows(parts)) > 0.99 * len(whole[0])
+
+
+def test_crops_of_large_pictures(spark):
+    """Crops of 5.8 million pixels, down to a hundredth, are linked as those of small pictures are."""
+    rows, g = [], np.random.default_rng(6)
+    for i in range(3):
+        # Noise on three scales with some boxes; a picture is faint on its left.
+        x = 120 + sum(image._resized(g.normal(0, 34, (1, 2400 // c, 2400 // c)), c)[0] for c in (16, 8, 4))
+        for y0, x0, h, w, level in zip(*g.integers(0, 2380, (2, 9000)), *g.integers(6, 20, (2, 9000)), g.integers(-70, 70, 9000), strict=True):
+            x[y0 : y0 + h, x0 : x0 + w] += level
+        x[:, :1200] = 100 + x[:, :1200] * 0.3
+        x = np.clip(np.rint(x), 0, 255)
+        rows.append((10 * i, image.write_pgm(x)))
+        for k, (t, l, n) in enumerate(((600, 600, 1200), (1301, 77, 700), (333, 1707, 240), (1999, 555, 240)), 1):
+            cut = x[t : t + n, l : l + n] * 0.9 + 9
+            rows.append((10 * i + k, image.write_pgm(np.clip(cut + g.normal(0, 1, cut.shape), 0, 255))))
+    out = {r.image_id: r.component_id for r in image.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    found = [(i, k) for i in range(3) for k in range(1, 5) if out[10 * i + k] == 10 * i]
+    assert len(found) >= 11, found
+    assert all(out[10 * i] == 10 * i for i in range(3))
 
 
 def test_hot_lists_meet_by_neighbours(spark):
