@@ -271,3 +271,16 @@ def test_numbers_of_one_hot_value_are_spread(spark):
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert [n for *_, n in sorted(got)] == list(range(1, 20_001)) and len(parts) >= 3
     assert an.number_rows(df.limit(0), ["v"], "N-", 6).count() == 0
+
+
+def test_nested_json_is_stripped_and_merged_in_time(spark):
+    """Each step names its input many times: computed again for each token, this took the cube of the tokens."""
+    import time
+
+    nulls = json.dumps({f"k{i}": None if i % 2 else {"v": [None, i]} for i in range(400)})
+    start = time.monotonic()
+    out = json.loads(one(spark, tx.json_strip_nulls, nulls))
+    assert out == {f"k{i}": {"v": [None, i]} for i in range(0, 400, 2)}
+    both = json.loads(one(spark, lambda c: tx.json_merge(c, F.lit('{"k0": 1}')), nulls))
+    assert both == json.loads(nulls) | {"k0": 1}
+    assert time.monotonic() - start < 60
