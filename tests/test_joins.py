@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import controls
 from lodestone.operators import joins as jo
@@ -158,3 +159,25 @@ def test_nearest_control_of_many_sites_at_one_place(spark, whole):
 def test_nearest_control_without_candidates(spark):
     assert assigned(spark, [(1, 0.0, 0.0)], [(2, 50.0, 0.0)]) == {1: None}
     assert assigned(spark, [], [(2, 50.0, 0.0)]) == {}
+
+
+def test_pairs_of_one_large_group_are_made_in_many_tasks(spark):
+    rows = spark.range(5_000).select(F.col("id").alias("site_id"), F.lit("g").alias("g"), F.lit(30.0).alias("lat"), F.lit(-100.0).alias("lng"))
+    for pairs in (jo.block_pairs(rows, ["g"], "site_id"), jo.geo_pairs(rows, 100.0), jo.trigram_pairs(rows, 0.5, "site_id", "g")):
+        by_task = [r.n for r in pairs.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(by_task) == 5_000 * 4_999 // 2 and max(by_task) < sum(by_task) / 2
+
+
+def test_pairs_by_blocks_are_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jo, "BLOCK", 3)
+    g = random.Random(5)
+    rows = [(i, g.choice([None, "p", "q"]), g.choice(["s", "t", None]), g.choice([None, *range(20)]), round(g.choice([30.0, 30.01, 30.015, -0.0, 0.0]), 3), g.choice([10.0, 10.01])) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, o string, s string, x int, lat double, lng double")
+    both = [(a, b) for a in rows for b in rows if a[0] < b[0]]
+    op = {(a[0], b[0]) for a, b in both if a[1] is not None and a[2] is not None and a[1:3] == b[1:3]}
+    ext = {(a[0], b[0]) for a, b in both if a[3] is not None and a[3] == b[3]}
+    assert sorted(map(tuple, jo.block_pairs(df, ["o", "s"], "k").collect())) == sorted(op)
+    got = {(r.a, r.b): r.reasons for r in jo.block_reasons(df, {"operator": ["o", "s"], "external": ["x"]}, "k").collect()}
+    assert got == {p: ",".join(n for n, s in (("external", ext), ("operator", op)) if p in s) for p in op | ext}
+    geo = sorted((r.a, r.b) for r in jo.geo_pairs(df, 1_200, "k").collect())
+    assert geo == sorted((a[0], b[0]) for a, b in both if metres((a[0], *a[4:]), (b[0], *b[4:])) <= 1_200)
