@@ -211,24 +211,29 @@ def inventory_counts(entities: DataFrame) -> DataFrame:
 def resolve_superseded(df: DataFrame, key: str, pointer: str) -> DataFrame:
     """(key, survivor): the end of each pointer chain, by pointer doubling: rounds are the logarithm of the rows at most.
 
+    Rounds see only the rows that point to another.
+
     A cycle has no end: it raises, with some of the rows in it. A pointer to a missing row ends there.
     """
-    cur = materialize(df.select(F.col(key).alias("k"), F.coalesce(pointer, key).alias("to")), "pointers")
-    bent = materialize(cur.filter("k <> to").select(F.col("k").alias("to")), "bent")
+    every = df.select(F.col(key).alias("k"), F.coalesce(pointer, key).alias("to"))
+    bent = ~F.col("k").eqNullSafe(F.col("to"))
+    first = cur = materialize(every.filter(bent), "pointers")
     for _ in range(max(1, cur.count()).bit_length() + 1):
-        nxt = cur.alias("c").join(cur.select(F.col("k").alias("_k"), F.col("to").alias("_t")), F.col("to") == F.col("_k"), "left")
-        nxt = materialize(nxt.select("k", F.coalesce("_t", "to").alias("to"), (~F.col("to").eqNullSafe(F.coalesce("_t", "to"))).alias("moved")), "pointers")
+        # A merge: files are compressed, so a table that looks small enough for every task's memory may not be.
+        nxt = cur.join(cur.select(F.col("k").alias("_k"), F.col("to").alias("_t")).hint("merge"), F.col("to") == F.col("_k"), "left")
+        nxt = materialize(nxt.select("k", F.coalesce("_t", "to").alias("to"), F.col("_t").isNotNull().alias("moved")), "pointers")
         moved = nxt.filter("moved").limit(1).count()
-        release(cur)
-        cur = nxt.drop("moved")
+        if cur is not first:
+            release(cur)
+        cur = nxt
         if not moved:
             break
-    # Doubling along a cycle never leaves it, and may even come to rest: an end that points on is in one.
-    ring = [r.to for r in cur.join(bent, "to", "left_semi").select("to").distinct().orderBy("to").limit(5).collect()]
-    release(bent)
+    # Doubling along a cycle never leaves it: an end that points on is in one.
+    ring = [r.to for r in cur.join(first.select(F.col("k").alias("to")).hint("merge"), "to", "left_semi").select("to").distinct().orderBy("to").limit(5).collect()]
+    release(first)
     if ring:
         raise ValueError(f"{pointer} has a cycle, among its rows {', '.join(map(str, ring))}")
-    return cur.select(F.col("k").alias(key), F.col("to").alias("survivor"))
+    return every.filter(~bent).union(cur.select("k", "to")).toDF(key, "survivor")
 
 
 def validate_hierarchy(df: DataFrame, ranks: dict[str, int], depth: int = 3) -> DataFrame:

@@ -113,3 +113,14 @@ def test_classes_stand_for_all_pairs(spark):
     classes, own = jo.block_classes(df, ["n", "g"], "k")
     assert {(r["class"], r.n) for r in classes.collect()} == {(c, n) for c, n in ((r["class"], r["count"]) for r in own.groupBy("class").count().collect())}
     assert sum(r.n_pairs for r in classes.collect()) == jo.block_pairs(df, ["n", "g"], "k").count()
+
+
+def test_pointers_are_followed_by_merges_over_the_rows_that_point(spark, monkeypatch):
+    """Files are compressed: a table small enough for a broadcast there isn't so in memory."""
+    written = []
+    monkeypatch.setattr(en, "materialize", lambda df, name: written.append((df, materialize(df, name))) or written[-1][1])
+    df = spark.range(2_000).select("id", F.when(F.col("id") % 10 == 0, F.when(F.col("id") > 0, F.col("id") - 10)).alias("to")).union(spark.sql("select cast(null as bigint), 50L"))
+    got = {r.id: r.survivor for r in en.resolve_superseded(df, "id", "to").collect()}
+    assert got == {i: 0 if i % 10 == 0 else i for i in range(2_000)} | {None: 0}
+    assert len(written) > 5 and all(t.count() == 200 for _, t in written[-1:])
+    assert not any("Broadcast" in d._jdf.queryExecution().executedPlan().toString() for d, _ in written)
