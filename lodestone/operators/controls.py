@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +16,8 @@ from lodestone.operators.entities import resolve_superseded
 from lodestone.operators.joins import geo_pairs
 from lodestone.storage import materialize, release
 
-#: Pairs and members of a component that one task solves; rounds between two cuts into components.
-WHOLE, ROUNDS = 500_000, 4
+#: Pairs and members of a component that one task solves (some 24 bytes each); rounds between two cuts into components.
+WHOLE, ROUNDS = 6_000_000, 4
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -38,14 +40,23 @@ def connected(edges: DataFrame) -> DataFrame:
     return label
 
 
-def _taken(pairs: list[tuple[float, int, int]], sites: dict[int, list], controls: dict[int, list]) -> list[tuple]:
-    """(site, control, distance): pairs of places are taken by distance; members of a place and of equal distances by id."""
+def _in_order(d: np.ndarray, s: np.ndarray, c: np.ndarray, step: int = 1 << 16) -> Iterator[tuple[float, int, int]]:
+    """The rows (d, s, c) in order, as Python's numbers only a part at a time."""
+    order = np.lexsort((c, s, d))
+    for a in range(0, len(order), step):
+        o = order[a : a + step]
+        yield from zip(d[o].tolist(), s[o].tolist(), c[o].tolist(), strict=True)
+
+
+def _taken(pairs: Iterable[tuple[float, int, int]], sites: dict[int, list], controls: dict[int, list]) -> list[tuple]:
+    """(site, control, distance): pairs of places, given in order, are taken by distance; members of a place and of equal distances by id."""
     out, at = [], dict.fromkeys([*sites, *controls], 0)
-    for d, tied in groupby(sorted(pairs), key=lambda p: p[0]):
+    for d, tied in groupby(pairs, key=lambda p: p[0]):
         near: dict[int, list[int]] = {}
         for _, s, c in tied:
-            near.setdefault(s, []).append(c)
-        heads = [(sites[s][at[s]], s) for s in near if at[s] < len(sites[s])]
+            if at[s] < len(sites[s]) and at[c] < len(controls[c]):
+                near.setdefault(s, []).append(c)
+        heads = [(sites[s][at[s]], s) for s in near]
         heapq.heapify(heads)
         while heads:
             site, s = heapq.heappop(heads)
@@ -69,7 +80,7 @@ def _solved(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
             lists.setdefault(place, []).append(member)
         for v in lists.values():
             v.sort()
-        rows = list(zip(left["distance_m"].tolist(), left["s"].tolist(), left["c"].tolist(), strict=True))
+        rows = _in_order(*(left[x].to_numpy() for x in ("distance_m", "s", "c")))
         return pd.DataFrame(_taken(rows, {p: v for p, v in lists.items() if p % 2}, {p: v for p, v in lists.items() if not p % 2}), columns=["site", "control", "distance_m"])
 
     kind = members.schema[key].dataType.simpleString()

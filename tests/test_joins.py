@@ -181,3 +181,18 @@ def test_pairs_by_blocks_are_all_pairs(spark, monkeypatch):
     assert got == {p: ",".join(n for n, s in (("external", ext), ("operator", op)) if p in s) for p in op | ext}
     geo = sorted((r.a, r.b) for r in jo.geo_pairs(df, 1_200, "k").collect())
     assert geo == sorted((a[0], b[0]) for a, b in both if metres((a[0], *a[4:]), (b[0], *b[4:])) <= 1_200)
+
+
+def test_a_component_of_many_places_is_solved_in_a_task(spark, monkeypatch):
+    """640,000 pairs of places on a lattice: their equal distances would take a round for each of their members."""
+    monkeypatch.setattr(controls, "_round", lambda pairs: pytest.fail("goes in rounds"))
+    at = lambda i, lat: (i, 30.0 + lat + (i // 2 % 40) * 0.001, -100.0 + (i // 80) * 0.001)
+    site, pool = [at(i, 0.0) for i in range(1, 1600, 2)], [at(i, 0.12) for i in range(0, 1600, 2)]
+    frame = lambda rows: spark.createDataFrame(rows, "site_id long, lat double, lng double").withColumn("g", F.lit("g"))
+    got = {(r.site, r.control) for r in controls.nearest_control(frame(site), frame(pool), 5_000, 25_000, "g").collect()}
+    free, want = {i for i, *_ in site + pool}, set()
+    for _, s, c in sorted((round(metres(a, b), 3), a[0], b[0]) for a in site for b in pool):
+        if s in free and c in free:
+            want.add((s, c))
+            free -= {s, c}
+    assert len(want) == 800 and got == want
