@@ -77,6 +77,20 @@ def shared_ids(pairs: DataFrame, identifiers: DataFrame) -> DataFrame:
     return met.join(ids.withColumnRenamed("site_id", "b"), ["b", "h", "source_key", "external_id"], "left_semi").select("a", "b").distinct()
 
 
+def fact_scores(cfg: MatchConfig) -> list[Column]:
+    """score_name and score_operator of the facts x and y."""
+    x, y = F.col("x.norm_operator"), F.col("y.norm_operator")
+    operator = F.when(x.isNull() | y.isNull(), F.lit(None)).when(x == y, 1.0).when(F.col("x.norm_parent") == F.col("y.norm_parent"), 0.75).when(set_similarity(F.col("x.op_grams"), F.col("y.op_grams")) >= cfg.same_operator, 0.6).otherwise(0.0)
+    return [F.round(set_similarity(F.col("x.grams"), F.col("y.grams")), 4).alias("score_name"), operator.alias("score_operator")]
+
+
+def match_score(scores: dict[str, Column], cfg: MatchConfig) -> Column:
+    """The weighted mean of the scores that there are."""
+    top = sum((F.coalesce(scores[k] * w, F.lit(0.0)) for k, w in cfg.weights.items()), F.lit(0.0))
+    below = sum((F.when(scores[k].isNotNull(), w).otherwise(0.0) for k, w in cfg.weights.items()), F.lit(0.0))
+    return F.when(below == 0, 0.0).otherwise(F.round(top / below + 1e-9, 4))
+
+
 def match_entities(sites: DataFrame, cfg: MatchConfig | None = None, identifiers: DataFrame | None = None) -> DataFrame:
     """(a, b, reasons, distance_m, score_*, match, external_id_match, qualifier_conflict, decision, why) of every blocked pair outside a family.
 
@@ -85,32 +99,29 @@ def match_entities(sites: DataFrame, cfg: MatchConfig | None = None, identifiers
     and its weight is left out. Pairs of parent and child and of siblings are none. Superseded sites take no part.
     """
     cfg = cfg or MatchConfig()
-    from lodestone.functions.geo import haversine_m
-
     facts = materialize(match_facts(sites), "facts")
     pairs = block(facts, cfg)
+    return score_pairs(pairs if identifiers is None else materialize(pairs, "pairs"), facts, cfg, identifiers)
+
+
+def score_pairs(pairs: DataFrame, facts: DataFrame, cfg: MatchConfig, identifiers: DataFrame | None, families: bool = False) -> DataFrame:
+    """The pairs (a, b, reasons; a stored table, if there are identifiers) scored; those of a family only on demand."""
+    from lodestone.functions.geo import haversine_m
+
     side = facts.select("site_id", F.struct("grams", "op_grams", "norm_operator", "norm_parent", "lat", "lng", "parent_id", "quals").alias("s"))
     if identifiers is not None:
-        pairs = materialize(pairs, "pairs")
         pairs = pairs.join(shared_ids(pairs, identifiers).withColumn("external_id_match", F.lit(True)), ["a", "b"], "left")
     else:
         pairs = pairs.withColumn("external_id_match", F.lit(None).cast("boolean"))
     j = pairs.join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b")
     kin = (F.col("x.parent_id") == F.col("b")) | (F.col("y.parent_id") == F.col("a")) | (F.col("x.parent_id") == F.col("y.parent_id"))
-    j = j.filter(~F.coalesce(kin, F.lit(False)))
+    if not families:
+        j = j.filter(~F.coalesce(kin, F.lit(False)))
     j = j.withColumns({"_m": haversine_m("x.lat", "x.lng", "y.lat", "y.lng"), "external_id_match": F.coalesce("external_id_match", F.lit(False))})
-    x, y = F.col("x.norm_operator"), F.col("y.norm_operator")
-    scores = {
-        "name": F.round(set_similarity(F.col("x.grams"), F.col("y.grams")), 4),
-        "geo": F.round(F.exp(-F.col("_m") / cfg.decay_m), 4),
-        "operator": F.when(x.isNull() | y.isNull(), F.lit(None)).when(x == y, 1.0).when(F.col("x.norm_parent") == F.col("y.norm_parent"), 0.75).when(set_similarity(F.col("x.op_grams"), F.col("y.op_grams")) >= cfg.same_operator, 0.6).otherwise(0.0),
-        "external": F.when(F.col("external_id_match"), 1.0),
-        "lifecycle": F.lit(1.0),
-    }
-    j = j.withColumns({f"score_{k}": v for k, v in scores.items()})
-    top = sum((F.coalesce(F.col(f"score_{k}") * w, F.lit(0.0)) for k, w in cfg.weights.items()), F.lit(0.0))
-    below = sum((F.when(F.col(f"score_{k}").isNotNull(), w).otherwise(0.0) for k, w in cfg.weights.items()), F.lit(0.0))
-    j = j.withColumns({"match": F.when(below == 0, 0.0).otherwise(F.round(top / below + 1e-9, 4)), "qualifier_conflict": ~F.col("x.quals").eqNullSafe(F.col("y.quals")), "distance_m": F.round("_m", 1)})
+    j = j.select("*", *fact_scores(cfg)).withColumns({"score_geo": F.round(F.exp(-F.col("_m") / cfg.decay_m), 4), "score_external": F.when(F.col("external_id_match"), 1.0), "score_lifecycle": F.lit(1.0)})
+    scores = ("name", "geo", "operator", "external", "lifecycle")
+    match = match_score({k: F.col(f"score_{k}") for k in scores}, cfg)
+    j = j.withColumns({"match": match, "qualifier_conflict": ~F.col("x.quals").eqNullSafe(F.col("y.quals")), "distance_m": F.round("_m", 1)})
     auto = F.col("match") >= cfg.auto
     near = F.col("external_id_match") | F.coalesce(F.col("distance_m") <= cfg.auto_distance_m, F.lit(False))
     decision = F.when(auto & ~F.col("qualifier_conflict") & near, "auto_merged").when(F.col("match") >= cfg.queue, "queued").otherwise("rejected")
@@ -128,19 +139,45 @@ def match_entities(sites: DataFrame, cfg: MatchConfig | None = None, identifiers
 
 def check_share(decisions: DataFrame, flag: Column, most: float) -> DataFrame:
     """(n, flagged, share, ok): whether the flagged share stays within the rail."""
-    g = decisions.agg(F.count("*").alias("n"), F.count_if(flag).alias("flagged"))
+    return share_of(decisions.agg(F.count("*").alias("n"), F.count_if(flag).alias("flagged")), most)
+
+
+def share_of(counted: DataFrame, most: float) -> DataFrame:
+    """(n, flagged, share, ok) of (n, flagged)."""
     share = F.coalesce(F.try_divide("flagged", "n"), F.lit(0.0))
-    return g.select("n", "flagged", share.alias("share"), (share <= most).alias("ok"))
+    return counted.select("n", "flagged", share.alias("share"), (share <= most).alias("ok"))
 
 
-def within_rail(decisions: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """`decisions` (a stored table) if their share of automatic merges stays within the rail; else this raises."""
-    g = check_share(decisions, F.col("decision") == "auto_merged", cfg.share_rail).first()
+def merge_rail(sites: DataFrame, identifiers: DataFrame | None = None, cfg: MatchConfig | None = None) -> DataFrame:
+    """:func:`check_share` of the automatic merges among the pairs of :func:`match_entities`, without making the pairs."""
+    from lodestone.operators import merging as mg
+
+    cfg = cfg or MatchConfig()
+    if mg.merge_reach(cfg) is None:
+        return check_share(match_entities(sites, cfg, identifiers), F.col("decision") == "auto_merged", cfg.share_rail)
+    k = mg.Classes(sites, identifiers, cfg)
+    return share_of(mg.merge_share(k, *k.edges()), cfg.share_rail)
+
+
+def _within(share: DataFrame, cfg: MatchConfig) -> None:
+    g = share.first()
     if not g.ok:
         raise ValueError(f"automatic merges on {g.flagged} of {g.n} pairs, above the share of {cfg.share_rail:g}: the thresholds are wrong, nothing is merged")
+
+
+def within_rail(decisions: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """`decisions` (a stored table) if their share of automatic merges stays within the rail; else this raises."""
+    _within(check_share(decisions, F.col("decision") == "auto_merged", cfg.share_rail), cfg)
     return decisions
 
 
+def merge_order(entities: DataFrame, key: str = "site_id", score: str = "score", *more: str) -> DataFrame:
+    """(key, v, *more): the survivor of two is the one of greater v."""
+    found = _or_null(entities, "discovered_at", "timestamp").cast("timestamp")
+    v = F.struct(F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("s"), (-F.unix_micros(F.coalesce(found, F.lit("9999-01-01").cast("timestamp")))).alias("t"))
+    return entities.select(key, v.alias("v"), *more)
+
+
 def apply_merges(entities: DataFrame, decisions: DataFrame, key: str = "site_id", score: str = "score", actor: str = "matcher") -> tuple[DataFrame, DataFrame]:
     """(entities with superseded_by, merges). An auto-merged pair's survivor is the one of higher score, then the one
     discovered earlier (`discovered_at`, if there is one; null last), then of lower id.
@@ -151,8 +188,7 @@ def apply_merges(entities: DataFrame, decisions: DataFrame, key: str = "site_id"
     were superseded before stay so.
     """
     auto = decisions.filter("decision = 'auto_merged'").select("a", "b", "match", "why")
-    found = _or_null(entities, "discovered_at", "timestamp").cast("timestamp")
-    s = entities.select(F.col(key).alias("k"), F.struct(F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("s"), (-F.unix_micros(F.coalesce(found, F.lit("9999-01-01").cast("timestamp")))).alias("t")).alias("v"), _or_null(entities, "public_id").cast("string").alias("p"))
+    s = merge_order(entities.withColumn("_p", _or_null(entities, "public_id").cast("string")), key, score, "_p")
     j = auto.join(s.toDF("a", "va", "pa"), "a").join(s.toDF("b", "vb", "pb"), "b")
     a_wins = (F.col("va") > F.col("vb")) | ((F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")))
     pairs = j.select(*[F.when(a_wins, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("merged", "b", "a"), ("surviving", "a", "b"), ("v", "va", "vb"), ("merged_public_id", "pb", "pa"))], "match", "why")
@@ -179,9 +215,20 @@ def reverse_merges(entities: DataFrame, merges: DataFrame, merged: DataFrame, at
 
 
 def match_and_merge(sites: DataFrame, identifiers: DataFrame | None = None, cfg: MatchConfig | None = None) -> tuple[DataFrame, DataFrame]:
-    """Matching, the share rail (which raises) and the merges: (entities, merges)."""
+    """Matching, the share rail (which raises) and the merges: (entities, merges).
+
+    Only the pairs that are merged are made (:mod:`lodestone.operators.merging`), unless the weights leave sites at any
+    distance to be merged: then all blocked pairs are.
+    """
+    from lodestone.operators import merging as mg
+
     cfg = cfg or MatchConfig()
-    return apply_merges(sites, within_rail(materialize(match_entities(sites, cfg, identifiers), "decisions"), cfg))
+    if mg.merge_reach(cfg) is None:
+        return apply_merges(sites, within_rail(materialize(match_entities(sites, cfg, identifiers), "decisions"), cfg))
+    k = mg.Classes(sites, identifiers, cfg)
+    edges, near = k.edges()
+    _within(share_of(mg.merge_share(k, edges, near), cfg.share_rail), cfg)
+    return apply_merges(sites, materialize(mg.best_merges(k, edges, merge_order(sites)), "decisions"))
 
 
 def resolve_tree(df: DataFrame, key: str, parent: str, superseded: str = "superseded_by", grain: str = "grain", depth: int = 3) -> DataFrame:

@@ -124,3 +124,26 @@ def test_pointers_are_followed_by_merges_over_the_rows_that_point(spark, monkeyp
     assert got == {i: 0 if i % 10 == 0 else i for i in range(2_000)} | {None: 0}
     assert len(written) > 5 and all(t.count() == 200 for _, t in written[-1:])
     assert not any("Broadcast" in d._jdf.queryExecution().executedPlan().toString() for d, _ in written)
+
+
+@pytest.mark.parametrize("cfg, identified", [({"auto": 0.8, "queue": 0.6, "auto_distance_m": 300}, True), ({"auto": 0.86, "block_distance_m": 60.0}, False)])
+def test_merges_from_classes_are_those_of_all_pairs(spark, monkeypatch, cfg, identified):
+    import datetime as dt
+
+    r = random.Random(3)
+    rows = []
+    for i in range(1, 161):
+        name, operator = r.choice(["Alpha 1", "Alpha 1", "Alpha west 1", "Beta 2", "Acme Alpha 1", None]), r.choice(["Acme Inc", "Acme", "Acmes", "Zeta", None])
+        parent = r.choice([None, None, None, r.randint(1, 160), i - i % 10, i])
+        more = {"subdivision": r.choice(["x", "y", None]), "country": r.choice(["US", "US", "CA", None]), "parent_id": parent, "score": r.choice([1, 1, 2]), "superseded_by": r.choice([None] * 9 + [1]), "discovered_at": r.choice([None, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)]), "lng": -100 + r.choice([0.0, 0.001, 0.0052, 0.0056, 0.3])}
+        rows.append(site(i, name, operator, r.choice([None, "Umbrella"]), r.choice([30.0, 30.0, 30.0005, None]), **more))
+    ids = [(r.randint(1, 160), r.choice("st"), r.choice("abcd")) for _ in range(240)]
+    sites, ids = materialize(spark.createDataFrame(rows, SHAPE), "sites"), materialize(spark.createDataFrame(ids, "site_id long, source_key string, external_id string"), "ids")
+    cfg = en.MatchConfig(share_rail=1.0, **cfg)
+    known = ids if identified else None
+    pairs = materialize(en.match_entities(sites, cfg, known), "pairs")
+    want = sorted(map(tuple, en.apply_merges(sites, pairs)[1].collect()))
+    share = en.check_share(pairs, F.col("decision") == "auto_merged", 1.0).first()
+    monkeypatch.setattr(en, "block", lambda *_: pytest.fail("all pairs are made"))
+    assert en.merge_rail(sites, known, cfg).first() == share and share.flagged > 20
+    assert sorted(map(tuple, en.match_and_merge(sites, known, cfg)[1].collect())) == want
