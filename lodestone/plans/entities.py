@@ -83,8 +83,7 @@ def e8_reversed_merges(d):
 
 @query(f"SELECT n, flagged, CASE WHEN n > 0 THEN flagged / n ELSE 0.0::DOUBLE END AS share, CASE WHEN n > 0 THEN flagged / n ELSE 0 END <= 0.25 AS ok FROM (SELECT count(*) AS n, count(*) FILTER (decision = 'auto_merged') AS flagged FROM {_matched(0.8, 0.6, 500)})", "msites", "site_ids")
 def q6_check_share(d):
-    m = en.match_entities(d.msites, en.MatchConfig(auto=0.8, queue=0.6, auto_distance_m=500), d.site_ids)
-    return en.check_share(m, F.col("decision") == "auto_merged", en.MatchConfig().share_rail)
+    return en.merge_rail(d.msites, d.site_ids, en.MatchConfig(auto=0.8, queue=0.6, auto_distance_m=500))
 
 
 @query("""WITH RECURSIVE walk AS (SELECT id, id AS root, 0 AS depth, grain AS root_grain FROM v7 WHERE parent_id IS NULL AND superseded_by IS NULL
