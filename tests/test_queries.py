@@ -36,3 +36,11 @@ def test_runs_without_sql(spark, name):
     df = plans.queries()[name](spark, SF)
     assert len(df.columns) == len(set(df.columns))
     df.count()
+
+
+def test_recompute_weighs_the_evidence_once(spark, monkeypatch):
+    from lodestone.operators import observations as ob
+
+    seen, evidence = [], ob._evidence
+    monkeypatch.setattr(ob, "_evidence", lambda obs: seen.append(1) or evidence(obs))
+    assert plans.queries()["e6_recompute_stats"](spark, SF).count() == 1 and len(seen) == 1
