@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.storage import materialize, release, shared_dir  # noqa: F401
+from lodestone.storage import materialize, release, shared_dir, small_batches  # noqa: F401
 
 #: Rows of (long key, small payload) that may be broadcast: about 50 MB as a hashed relation.
 BROADCAST_ROWS = 500_000
@@ -42,19 +42,6 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0] : o[-1]], o - o[0]
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
-    """What is written inside goes to Python in batches of at most `rows` rows, so that long rows don't add up."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def give_back() -> None:
     """Return freed memory to the system at a task's end: the worker stays, and other stages run beside it."""
     pa.default_memory_pool().release_unused()
