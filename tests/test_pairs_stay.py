@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from lodestone.operators import entities as en
+from lodestone.operators import joins as jo
 
 
 def test_no_pair_of_the_matcher_is_shuffled(spark, monkeypatch):
@@ -17,3 +18,21 @@ def test_no_pair_of_the_matcher_is_shuffled(spark, monkeypatch):
     told = sorted(map(str, got.collect()))
     monkeypatch.setattr(en, "KINDS", 0)  # names told by pair
     assert told == sorted(map(str, en.match_entities(sites, identifiers=ids).collect())) and len(told) > 200 and any("external_id_match=True" in r for r in told)
+
+
+def _waiting(df) -> list[int]:
+    """Explosions in one step, for every step of the plan that has any: what a step makes of one row waits in memory."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [step.count("Generate explode") for step in re.split(r"Coalesce|Exchange", plan) if "Generate explode" in step]
+
+
+def test_pairs_of_a_block_do_not_wait_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(jo, "BLOCK", 7)
+    df = spark.range(100).selectExpr("id as k", "id % 3 as n", "id % 2 as i", "id % 5 as x")  # columns named as the blocks' own are
+    pairs = jo.block_pairs(df, ["n", "i"], "k")
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a in range(100) for b in range(a + 1, 100) if (a - b) % 6 == 0}
+    assert max(_waiting(pairs)) == 1
+    reasons = jo.block_reasons(df, {"one": ["n", "i"], "two": ["x"]}, "k")
+    want = {(a, b): ",".join(["one"] * ((a - b) % 6 == 0) + ["two"] * ((a - b) % 5 == 0)) for a in range(100) for b in range(a + 1, 100)}
+    assert {(r.a, r.b): r.reasons for r in reasons.collect()} == {p: r for p, r in want.items() if r}
+    assert max(_waiting(reasons)) == 1
