@@ -36,3 +36,14 @@ def test_pairs_of_a_block_do_not_wait_in_memory(spark, monkeypatch):
     want = {(a, b): ",".join(["one"] * ((a - b) % 6 == 0) + ["two"] * ((a - b) % 5 == 0)) for a in range(100) for b in range(a + 1, 100)}
     assert {(r.a, r.b): r.reasons for r in reasons.collect()} == {p: r for p, r in want.items() if r}
     assert max(_waiting(reasons)) == 1
+
+
+def test_reasons_are_named_by_literals(spark):
+    """No pair puts its reasons together."""
+    df = spark.range(60).selectExpr("id as k", "id % 2 as a", "id % 3 as b", "nullif(id % 5, 4) as c")
+    rules = {"z": ["a"], "m": ["b"], "c": ["c"], "all": ["a", "b"]}
+    got = jo.block_reasons(df, rules, "k")
+    assert "concat_ws" not in got._jdf.queryExecution().optimizedPlan().toString()
+    hold = lambda a, b: {"z": a % 2 == b % 2, "m": a % 3 == b % 3, "c": a % 5 == b % 5 != 4, "all": (a - b) % 6 == 0}
+    want = {(a, b): ",".join(sorted(r for r, h in hold(a, b).items() if h)) for a in range(60) for b in range(a + 1, 60)}
+    assert sorted((r.a, r.b, r.reasons) for r in got.collect()) == sorted((*p, r) for p, r in want.items() if r)
