@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.geo import haversine_m
 from lodestone.functions.text import blank_to_null, campus_stem, json_build, normalize_company, normalize_operator, normalize_station, set_similarity, stable_id, trigram_codes
 from lodestone.operators.ingest import best_per_key
-from lodestone.operators.joins import block_pairs, geo_pairs, small, trigram_pairs
+from lodestone.operators.joins import block_pairs, geo_pairs, held, large, small, trigram_pairs
 from lodestone.storage import materialize, release
 
 
@@ -86,7 +86,7 @@ def _told(pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
 def _identifiers(identifiers: DataFrame) -> DataFrame:
     """(site_id, ids): the identifiers (site_id, source_key, external_id) that a site shares with others."""
     ids = identifiers.select("site_id", "source_key", "external_id").dropna().distinct()
-    ids = ids.join(ids.groupBy("source_key", "external_id").agg(F.count("*").alias("_n")).filter("_n > 1"), ["source_key", "external_id"], "left_semi")
+    ids = ids.join(large(ids.groupBy("source_key", "external_id").agg(F.count("*").alias("_n")).filter("_n > 1")), ["source_key", "external_id"], "left_semi")
     key = F.concat(F.length(F.col("source_key").cast("string")), F.lit(":"), "source_key", "external_id")
     return ids.groupBy("site_id").agg(F.sort_array(F.collect_set(key)).alias("ids"))
 
@@ -97,10 +97,10 @@ def shared_ids(pairs: DataFrame, identifiers: DataFrame) -> DataFrame:
     Only pairs meet the identifiers, and only identifiers that several sites have: one that very many have adds no pair.
     """
     ids = identifiers.select("site_id", F.xxhash64("source_key", "external_id").alias("h"), "source_key", "external_id").dropna().distinct()
-    ids = ids.join(ids.groupBy("source_key", "external_id").agg(F.count("*").alias("_n")).filter("_n > 1"), ["source_key", "external_id"], "left_semi")
+    ids = ids.join(large(ids.groupBy("source_key", "external_id").agg(F.count("*").alias("_n")).filter("_n > 1")), ["source_key", "external_id"], "left_semi")
     # The long way round is the pairs' own: with the ids of the first site, then those that the second has as well.
-    met = pairs.select("a", "b").join(ids.withColumnRenamed("site_id", "a"), "a")
-    return met.join(ids.withColumnRenamed("site_id", "b"), ["b", "h", "source_key", "external_id"], "left_semi").select("a", "b").distinct()
+    met = pairs.select("a", "b").join(large(ids.withColumnRenamed("site_id", "a")), "a")
+    return met.join(large(ids.withColumnRenamed("site_id", "b")), ["b", "h", "source_key", "external_id"], "left_semi").select("a", "b").distinct()
 
 
 def fact_scores(cfg: MatchConfig) -> list[Column]:
@@ -159,10 +159,10 @@ def score_pairs(pairs: DataFrame, facts: DataFrame, cfg: MatchConfig, identifier
     """The pairs (a, b, reasons; a stored table, if there are identifiers) scored; those of a family only on demand."""
     side = facts.select("site_id", F.struct("grams", "op_grams", "norm_operator", "norm_parent", "lat", "lng", "parent_id", "quals").alias("s"))
     if identifiers is not None:
-        pairs = pairs.join(shared_ids(pairs, identifiers).withColumn("external_id_match", F.lit(True)), ["a", "b"], "left")
+        pairs = pairs.join(large(shared_ids(pairs, identifiers).withColumn("external_id_match", F.lit(True))), ["a", "b"], "left")
     else:
         pairs = pairs.withColumn("external_id_match", F.lit(None).cast("boolean"))
-    j = pairs.join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b")
+    j = pairs.join(large(side.toDF("a", "x")), "a").join(large(side.toDF("b", "y")), "b")
     if not families:
         j = j.filter(~_kin(F.col("x.parent_id"), F.col("y.parent_id"), F.col("a"), F.col("b")))
     j = j.select("*", *fact_scores(cfg), (~F.col("x.quals").eqNullSafe(F.col("y.quals"))).alias("qualifier_conflict"))
@@ -242,13 +242,13 @@ def apply_merges(entities: DataFrame, decisions: DataFrame, key: str = "site_id"
     """
     auto = decisions.filter("decision = 'auto_merged'").select("a", "b", "match", "why")
     s = merge_order(entities.withColumn("_p", _or_null(entities, "public_id").cast("string")), key, score, "_p")
-    j = auto.join(s.toDF("a", "va", "pa"), "a").join(s.toDF("b", "vb", "pb"), "b")
+    j = auto.join(large(s.toDF("a", "va", "pa")), "a").join(large(s.toDF("b", "vb", "pb")), "b")
     a_wins = (F.col("va") > F.col("vb")) | ((F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")))
     pairs = j.select(*[F.when(a_wins, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("merged", "b", "a"), ("surviving", "a", "b"), ("v", "va", "vb"), ("merged_public_id", "pb", "pa"))], "match", "why")
     best = best_per_key(pairs, ["merged"], [F.desc("v"), F.asc("surviving")])
     merges = best.select("surviving", "merged", "merged_public_id", F.col("match").alias("match_score"), F.lit("auto").alias("method"), F.col("why").alias("reason"), F.lit(actor).alias("actor"), F.lit(None).cast("timestamp").alias("reversed_at"))
     pointer = merges.select(F.col("merged").alias(key), F.col("surviving").alias("_into"))
-    out = entities.join(pointer, key, "left").withColumn("superseded_by", F.coalesce(_or_null(entities, "superseded_by", "bigint"), F.col("_into"))).drop("_into")
+    out = entities.join(large(pointer), key, "left").withColumn("superseded_by", F.coalesce(_or_null(entities, "superseded_by", "bigint"), F.col("_into"))).drop("_into")
     return out, merges
 
 
@@ -258,12 +258,12 @@ def reverse_merges(entities: DataFrame, merges: DataFrame, merged: DataFrame, at
     The audit keeps its rows, with the time of reversal; a merge reversed before keeps its own. A pointer goes only where it
     is the one that the merge has set.
     """
-    back = F.broadcast(merged.select("merged").distinct()) if merged.limit(100_001).count() <= 100_000 else merged.select("merged").distinct()
+    back = held(merged.select("merged").distinct())
     back = back.withColumn("_back", F.lit(True))
     marked = merges.join(back, "merged", "left")
     open_ = marked.filter("_back and reversed_at is null").select(F.col("merged").alias(key), F.col("surviving").alias("_from"))
     audit = marked.withColumn("reversed_at", F.coalesce("reversed_at", F.when(F.col("_back"), at))).select(*merges.columns)
-    freed = entities.join(open_, key, "left").withColumn("superseded_by", F.when(F.col("superseded_by") == F.col("_from"), F.lit(None)).otherwise(F.col("superseded_by"))).drop("_from")
+    freed = entities.join(large(open_), key, "left").withColumn("superseded_by", F.when(F.col("superseded_by") == F.col("_from"), F.lit(None)).otherwise(F.col("superseded_by"))).drop("_from")
     return freed, audit
 
 

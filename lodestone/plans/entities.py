@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import dockets as dk
 from lodestone.operators import entities as en
+from lodestone.operators.joins import large
 from lodestone.plans.base import query, view
 from lodestone.plans.joins import HAV
 from lodestone.storage import materialize
@@ -78,7 +79,7 @@ def e8_reversed_merges(d):
     entities, merges = _applied(d)
     merges = materialize(merges, "merges")
     entities, audit = en.reverse_merges(entities, merges, merges.filter("merged % 2 = 0"), F.lit("2024-06-01").cast("timestamp_ntz").cast("timestamp"))
-    return audit.select("surviving", "merged", "reversed_at").join(entities.select(F.col("site_id").alias("merged"), "superseded_by"), "merged")
+    return audit.select("surviving", "merged", "reversed_at").join(large(entities.select(F.col("site_id").alias("merged"), "superseded_by")), "merged")
 
 
 @query(f"SELECT n, flagged, CASE WHEN n > 0 THEN flagged / n ELSE 0.0::DOUBLE END AS share, CASE WHEN n > 0 THEN flagged / n ELSE 0 END <= 0.25 AS ok FROM (SELECT count(*) AS n, count(*) FILTER (decision = 'auto_merged') AS flagged FROM {_matched(0.8, 0.6, 500)})", "msites", "site_ids")

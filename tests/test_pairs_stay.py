@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from lodestone.operators import entities as en
 from lodestone.operators import joins as jo
+from lodestone.operators import merging as mg
+from lodestone.storage import materialize
 
 
 def test_no_pair_of_the_matcher_is_shuffled(spark, monkeypatch):
@@ -47,3 +51,33 @@ def test_reasons_are_named_by_literals(spark):
     hold = lambda a, b: {"z": a % 2 == b % 2, "m": a % 3 == b % 3, "c": a % 5 == b % 5 != 4, "all": (a - b) % 6 == 0}
     want = {(a, b): ",".join(sorted(r for r, h in hold(a, b).items() if h)) for a in range(60) for b in range(a + 1, 60)}
     assert sorted((r.a, r.b, r.reasons) for r in got.collect()) == sorted((*p, r) for p, r in want.items() if r)
+
+
+def test_merges_broadcast_only_what_was_counted(spark, monkeypatch):
+    """Stored tables are compressed: one that Spark takes for small by its files fills the driver's memory."""
+    rows = [(i, f"Site Acme {i % 3}", "Acme" if i % 2 else "Beta", "US", "TX", 30 + i % 40 * 0.01, -100.0, i - 1 if i % 8 == 1 else None, i % 3) for i in range(1, 121)]
+    sites = materialize(spark.createDataFrame(rows, "site_id long, name string, operator string, country string, subdivision string, lat double, lng double, parent_id long, score int"), "sites")
+    ids = materialize(spark.createDataFrame([(i, "s", f"x{i % 13}") for i in range(1, 121, 2)], "site_id long, source_key string, external_id string"), "ids")
+    seen = []
+
+    def hinted(df):
+        """Broadcasts of the plan, and those that are left where none is chosen by size."""
+        sent = [df.select("*")._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")]
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            return [*sent, df.select("*")._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    def watched(df, name):
+        seen.append((name, *hinted(df)))
+        return materialize(df, name)
+
+    for module in (en, jo, mg):
+        monkeypatch.setattr(module, "materialize", watched)
+    entities, merges = en.match_and_merge(sites, ids, en.MatchConfig(share_rail=1.0))
+    entities, audit = en.reverse_merges(entities, materialize(merges, "merges"), merges.limit(1), F.current_timestamp())
+    seen += [("entities", *hinted(entities)), ("audit", *hinted(audit))]
+    # Blocks of keys look up groups of several blocks, which are few; `similar` are pairs of kinds of names.
+    sized = {name for name, sent, least in seen if sent != least} - {"similar", "near", "pairs"}
+    assert len(seen) > 15 and not sized, sized
