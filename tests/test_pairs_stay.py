@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -92,3 +93,25 @@ def test_pairs_of_the_matcher_leave_their_step_as_they_end(spark):
     assert plan.strip().startswith("Union")
     values = [0.0, 0.12344999, 0.99995, 20015086.796]
     assert [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(en.rounded(F.col("v"), 4)).collect()] == [round(v, 4) for v in values]
+
+
+def test_names_meet_in_blocks_however_they_share_grams(spark, monkeypatch):
+    """Groups whose names share few grams and groups whose names share most give what all pairs give, and no pair is shuffled."""
+    plans = []
+    monkeypatch.setattr(jo, "BLOCK", 9)
+    monkeypatch.setattr(jo, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or materialize(df, name))
+    r = random.Random(5)
+    word = lambda n: "".join(r.choices("abcdefghijklmnop", k=n))
+    apart = [" ".join(word(5) for _ in range(3)) for _ in range(40)]
+    names = [(n, "apart") for n in apart] + [(n[: len(n) - r.randint(0, 4)] + word(2), "apart") for n in apart * 2] + [(f"Large {r.choice('abc')} ring {i % 30}", "dense") for i in range(90)]
+    rows = [(i, n, g) for i, (n, g) in enumerate(names)] + [(900, None, "dense"), (901, "", "apart")]
+
+    def grams(n):
+        return {f"  {w} "[i : i + 3] for w in (n or "").lower().split() for i in range(len(w) + 1)}
+
+    sets = [(k, g, grams(n)) for k, n, g in rows if grams(n)]
+    want = {(a, b): len(x & y) / len(x | y) for a, g, x in sets for b, h, y in sets if a < b and g == h and len(x & y) / len(x | y) >= 0.5}
+    got = jo.trigram_pairs(spark.createDataFrame(rows, "k long, n string, g string"), 0.5, "k", "n", "g").collect()
+    assert len(got) == len(want) and {(p.a, p.b): p.similarity for p in got} == want
+    assert "MapInArrow" in dict(plans)["pairs"]
+    assert sum(g == "apart" for k, n, g in rows) > 100 and any(rows[a][2] == "apart" for a, _ in want)
